@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marque.llm.bpe_codec import codec_digests
+from marque.llm.decontaminate import contamination
 from marque.llm.token_counts import token_counts
 
 
@@ -20,6 +21,10 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), word_bpe(), limit=2048)
 
@@ -29,7 +34,7 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op5_token_counts, op6_bpe_codec)
+    own = (op2_decontamination, op5_token_counts, op6_bpe_codec)
     return {f.__name__: f for f in own}
 
 
