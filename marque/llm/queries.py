@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marque.llm.bpe_codec import codec_digests
 from marque.llm.decontaminate import contamination
+from marque.llm.ngram_join import jaccard_components
 from marque.llm.token_counts import token_counts
 
 
@@ -33,8 +34,12 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec_digests(table(spark, sf_dir, "documents"), word_bpe())
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), n=5, percent=75)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_decontamination, op5_token_counts, op6_bpe_codec)
+    own = (op2_decontamination, op5_token_counts, op6_bpe_codec, op9_ngram_jaccard)
     return {f.__name__: f for f in own}
 
 
