@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marque.llm.bpe_codec import codec_digests
 from marque.llm.decontaminate import contamination
+from marque.llm.line_dedup import dedup_lines
 from marque.llm.ngram_join import jaccard_components
 from marque.llm.token_counts import token_counts
 
@@ -34,12 +36,17 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec_digests(table(spark, sf_dir, "documents"), word_bpe())
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(table(spark, sf_dir, "documents"), percent=80, min_chars=40)
+    return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=5, percent=75)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_decontamination, op5_token_counts, op6_bpe_codec, op9_ngram_jaccard)
+    own = (op2_decontamination, op5_token_counts, op6_bpe_codec, op7_line_dedup, op9_ngram_jaccard)
     return {f.__name__: f for f in own}
 
 
