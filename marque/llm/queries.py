@@ -11,6 +11,7 @@ from marque.llm.bpe_codec import codec_digests
 from marque.llm.decontaminate import contamination
 from marque.llm.line_dedup import dedup_lines
 from marque.llm.ngram_join import jaccard_components
+from marque.llm.quality import fit_quality, score_quality
 from marque.llm.token_counts import token_counts
 
 
@@ -24,6 +25,18 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def held_out(spark_id: str = "doc_id"):
+    """Rows whose crc32 of the id as text leaves 1 when divided by 3; never learned from."""
+    return F.crc32(F.col(spark_id).cast("string")) % 3 == 1
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_quality(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    out = score_quality(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -46,7 +59,7 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_decontamination, op5_token_counts, op6_bpe_codec, op7_line_dedup, op9_ngram_jaccard)
+    own = (op1_quality, op2_decontamination, op5_token_counts, op6_bpe_codec, op7_line_dedup, op9_ngram_jaccard)
     return {f.__name__: f for f in own}
 
 
