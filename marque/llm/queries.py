@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marque.llm.ann import nearest
 from marque.llm.bpe_codec import codec_digests
 from marque.llm.decontaminate import contamination
+from marque.llm.html_text import extract_text
 from marque.llm.line_dedup import dedup_lines
 from marque.llm.ngram_join import jaccard_components
 from marque.llm.quality import fit_quality, score_quality
@@ -41,6 +43,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.where("vec_id % 20 = 0"), k=20)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), word_bpe(), limit=2048)
 
@@ -54,12 +61,16 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=5, percent=75)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality, op2_decontamination, op5_token_counts, op6_bpe_codec, op7_line_dedup, op9_ngram_jaccard)
+    own = (op1_quality, op2_decontamination, op4_nearest, op5_token_counts, op6_bpe_codec, op7_line_dedup, op8_html_text, op9_ngram_jaccard)
     return {f.__name__: f for f in own}
 
 
