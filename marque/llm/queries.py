@@ -12,6 +12,7 @@ from marque.llm.bpe_codec import codec_digests
 from marque.llm.decontaminate import contamination
 from marque.llm.html_text import extract_text
 from marque.llm.line_dedup import dedup_lines
+from marque.llm.lm_scores import lm_scores
 from marque.llm.ngram_join import jaccard_components
 from marque.llm.quality import fit_quality, score_quality
 from marque.llm.token_counts import token_counts
@@ -43,6 +44,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm_scores(table(spark, sf_dir, "documents"), alpha=0.4, min_count=2)
+    return out.withColumn("score", F.round("score", 3))
+
+
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return nearest(rows, rows.where("vec_id % 20 = 0"), k=20)
@@ -70,7 +76,7 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality, op2_decontamination, op4_nearest, op5_token_counts, op6_bpe_codec, op7_line_dedup, op8_html_text, op9_ngram_jaccard)
+    own = (op1_quality, op2_decontamination, op3_lm_scores, op4_nearest, op5_token_counts, op6_bpe_codec, op7_line_dedup, op8_html_text, op9_ngram_jaccard)
     return {f.__name__: f for f in own}
 
 
