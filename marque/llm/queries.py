@@ -14,6 +14,7 @@ from marque.llm.html_text import extract_text
 from marque.llm.line_dedup import dedup_lines
 from marque.llm.lm_scores import lm_scores
 from marque.llm.ngram_join import jaccard_components
+from marque.llm.pii import pseudonymise
 from marque.llm.quality import fit_quality, score_quality
 from marque.llm.token_counts import token_counts
 
@@ -75,8 +76,13 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=5, percent=75)
 
 
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key of a production run comes from the caller's secret store; this one is for the tests."""
+    return pseudonymise(table(spark, sf_dir, "documents"), key="test-key").select("doc_id", "n_entities", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality, op2_decontamination, op3_lm_scores, op4_nearest, op5_token_counts, op6_bpe_codec, op7_line_dedup, op8_html_text, op9_ngram_jaccard)
+    own = (op1_quality, op2_decontamination, op3_lm_scores, op4_nearest, op5_token_counts, op6_bpe_codec, op7_line_dedup, op8_html_text, op9_ngram_jaccard, op10_surrogates)
     return {f.__name__: f for f in own}
 
 
