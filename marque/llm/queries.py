@@ -16,10 +16,12 @@ from marque.llm.lm_scores import lm_scores
 from marque.llm.ngram_join import jaccard_components
 from marque.llm.pii import pseudonymise
 from marque.llm.quality import fit_quality, score_quality
+from marque.llm.shared import ship
 from marque.llm.token_counts import token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

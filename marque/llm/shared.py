@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import sys
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +45,19 @@ def even_keys(spark: SparkSession, n: int) -> list[int]:
     keys = {r[0]: r[1] for r in found}
     spare = iter(range(n * 16, n * 17))
     return [keys.get(p, next(spare)) for p in range(n)]
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, unless PYTHONPATH (which they inherit) already leads to it."""
+    root = Path(__file__).resolve().parents[2]
+    name = __name__.partition(".")[0]
+    context = spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or any(f.endswith(f"{name}-package.zip") for f in context._python_includes):
+        return
+    path = Path(tempfile.mkdtemp()) / f"{name}-package.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted((root / name).rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    before = list(sys.path)
+    context.addPyFile(str(path))
+    sys.path[:] = before  # the driver goes on importing from its own place
