@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 #: Rows and text bytes handled at once by a Python worker; bounds its memory for any partition.
 SLICE_ROWS = 512
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 
 def slices(batch: pa.RecordBatch, sizes: Iterable[int | None] | None = None) -> Iterator[pa.RecordBatch]:

@@ -13,8 +13,9 @@ hashes) that travel packed, seven bytes an entry, and the work is discarding:
 3. The columns are counted again, now by component: a text is dropped when fewer than 75 %
    of its set lie in texts of other components, as no link can then leave its component.
    2 and 3 alternate; they only have to make the rest small.
-4. The rest is joined exactly by prefix filter, rarest columns first, between different
-   components only. Nothing is capped, and no link between different components is lost.
+4. The rest is settled exactly. Texts that share a column of their prefixes (rarest columns
+   first; any linked pair shares one) form candidate clusters, and every two row blocks of
+   a cluster are multiplied. Nothing is capped, and no link between components is lost.
 
 Texts that are byte for byte equal are one row throughout.
 """
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marque.llm.arrow import slices
@@ -34,13 +35,13 @@ from marque.llm.components import connected_components
 from marque.llm.hashing import BLANK, hashed_words, lower_ascii, mix, shingles
 from marque.llm.shared import cut, drop, even_keys
 
-#: Text bytes for each column block (about 2.5 million entries) and rows of a row block.
-BLOCK_BYTES = 16_000_000
+#: Text bytes for each column block (about 1.2 million entries) and rows of a row block.
+BLOCK_BYTES = 8_000_000
 ROW_BLOCK = 768
 #: Columns multiplied at once in a row block.
 COLUMN_SLICE = 4096
 #: Passes of steps 2 and 3 before step 4. More passes only move work from 4 to 2.
-PASSES = 3
+PASSES = 2
 
 _ENTRY = np.dtype([("local", "u1"), ("token", "u1", 6)])
 _SHARED = np.dtype([("local", "u1"), ("df", "<u2"), ("token", "<u8")])
@@ -104,13 +105,15 @@ def _count_columns(packed: DataFrame, by_comp: bool) -> DataFrame:
             src = np.repeat(np.arange(len(own)), size)
             tok = np.zeros((len(e), 8), np.uint8)
             tok[:, :6] = e["token"]
-            token = tok.view("<u8").ravel()
+            token, local = tok.view("<u8").ravel(), e["local"].copy()
+            del e, tok
             if by_comp:
                 comp = np.concatenate([comps[p][np.frombuffer(d, _ENTRY)["local"]] for p, _, d in own])
                 order = np.lexsort((comp, token))
             else:
                 order = np.argsort(token)
             t = token[order]
+            del token
             new = np.r_[True, t[1:] != t[:-1]]
             group = np.cumsum(new) - 1
             df = np.bincount(group)
@@ -122,7 +125,8 @@ def _count_columns(packed: DataFrame, by_comp: bool) -> DataFrame:
                 hit = (df > 1)[group]
             at = order[hit]
             out = np.empty(len(at), _SHARED)
-            out["local"], out["df"] = e["local"][at], np.minimum(df[group[hit]], 65535)
+            out["local"], out["df"] = local[at], np.minimum(df[group[hit]], 65535)
+            del group
             out["token"] = mix(t[hit] ^ np.uint64((block * 0x9E3779B97F4A7C15) & (2**64 - 1)))
             s = src[at]
             back = np.argsort(s, kind="stable")
@@ -217,7 +221,7 @@ def _again(texts: DataFrame, keys: list[int]) -> DataFrame:
     return texts.select("key", "comp", "n", "tokens").mapInArrow(run, _PACK)
 
 
-def forest(keys: np.ndarray, comps: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def forest(comps: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links of a row block as (component, component) of a spanning forest, by products over column slices."""
     order = np.argsort(sizes, kind="stable")
     sizes, comps, sets = sizes[order], comps[order], [sets[i] for i in order]
@@ -239,22 +243,16 @@ def forest(keys: np.ndarray, comps: np.ndarray, sizes: np.ndarray, sets: list[np
         overlap[np.ix_(rows, rows)] += dense @ dense.T  # exact: counts stay far below 2**24
     n = sizes.astype(np.int64)
     o = overlap.astype(np.int64)
-    linked = np.triu(100 * o >= percent * (n[:, None] + n[None, :] - o), 1)
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for x, y in zip(*np.nonzero(linked), strict=True):
-        a, b = root(int(comps[x])), root(int(comps[y]))
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            out.append((a, b))
-    return out
+    linked = 100 * o >= percent * (n[:, None] + n[None, :] - o)
+    label = np.arange(m)
+    while True:  # least label among linked rows, then a jump, until nothing moves
+        new = np.minimum(label, np.where(linked, label[None, :], m).min(1))
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    got = {(int(comps[r]), int(comps[i])) for i, r in enumerate(label.tolist()) if comps[r] != comps[i]}
+    return sorted(got)
 
 
 def _row_blocks(texts: DataFrame, percent: int, turn: int) -> DataFrame:
@@ -273,12 +271,17 @@ def _row_blocks(texts: DataFrame, percent: int, turn: int) -> DataFrame:
     many = sigs.groupBy("sig").count().where("count > 1")
     where = sigs.join(many, "sig").select("key", F.xxhash64("sig", F.pmod(F.xxhash64("key", F.lit(turn)), F.ceil(F.col("count") / ROW_BLOCK).cast("long"))).alias("place"))
     rows = texts.join(where, "key").select("place", "key", "comp", "n", "tokens")
+    return _products(rows, percent)
+
+
+def _products(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) from the product of each row block; rows: place, key, comp, n, tokens."""
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(own: list[tuple]) -> pa.RecordBatch | None:
-            if len(own) < 2:
+            if len({r[2] for r in own}) < 2:
                 return None
-            got = forest(*(np.array([r[i] for r in own], np.int64) for i in (1, 2, 3)), [np.frombuffer(r[4], "<u8") for r in own], percent)
+            got = forest(*(np.array([r[i] for r in own], np.int64) for i in (2, 3)), [np.frombuffer(r[4], "<u8") for r in own], percent)
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], ["a", "b"]) if got else None
 
         own: list[tuple] = []
@@ -289,47 +292,34 @@ def _row_blocks(texts: DataFrame, percent: int, turn: int) -> DataFrame:
                         yield out
                     own = []
                 own.append(r)
-        if (out := links(own)) is not None:
+        if own and (out := links(own)) is not None:
             yield out
 
     return rows.repartition("place").sortWithinPartitions("place").mapInArrow(product, "a long, b long")
 
 
-def _prefix_join(texts: DataFrame, percent: int) -> DataFrame:
-    """Step 4: exact links (a, b) between different components."""
+def _exact_blocks(texts: DataFrame, percent: int) -> DataFrame:
+    """Step 4: every link between different components as links (a, b) between them."""
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key, comp, n, tok = [], [], [], []
+            key, comp, tok = [], [], []
             for k, c, m, x, d in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 t, df = np.frombuffer(x, "<u8"), np.frombuffer(d, "<u2")
                 t = t[np.lexsort((t, df))][: len(t) - int(_least(np.int64(m), percent)) + 1]
                 key += [k] * len(t)
                 comp += [c] * len(t)
-                n += [m] * len(t)
                 tok.append(t.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(comp, pa.int64()), pa.array(n, pa.int64()), pa.array(np.concatenate(tok), pa.int64())], ["key", "comp", "n", "token"])
-
-    p = cut(texts.select("key", "comp", "n", "tokens", "dfs").mapInArrow(prefix, "key long, comp long, n long, token long"))
-    mixed = p.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    p = p.join(mixed, "token")
-    other = p.select("token", *[F.col(c).alias(c + "2") for c in ("key", "comp", "n")])
-    size: Column = (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (F.col("key") < F.col("key2")) & (F.col("comp") != F.col("comp2"))
-    pairs = p.join(other, "token").where(size).select("key", "key2").distinct()
-    one = texts.select("key", "comp", "n", "tokens")
-    full = pairs.join(one, "key").join(one.select(*[F.col(c).alias(c + "2") for c in one.columns]), "key2").select("comp", "n", "tokens", "comp2", "n2", "tokens2")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            a, c = [], []
-            for c1, n1, t1, c2, n2, t2 in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                o = len(np.intersect1d(np.frombuffer(t1, "<u8"), np.frombuffer(t2, "<u8"), assume_unique=True))
-                if 100 * o >= percent * (n1 + n2 - o):
-                    a.append(c1)
-                    c.append(c2)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(comp, pa.int64()), pa.array(np.concatenate(tok), pa.int64())], ["key", "comp", "token"])
 
-    return full.mapInArrow(verify, "a long, b long")
+    p = cut(texts.select("key", "comp", "n", "tokens", "dfs").mapInArrow(prefix, "key long, comp long, token long"))
+    mixed = p.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("key").alias("to")).where("lo < hi").select("token", "to")
+    near = cut(connected_components(p.join(mixed, "token").select(F.col("key").alias("a"), F.col("to").alias("b"))))
+    size = near.groupBy("root").agg(F.ceil(F.count("*") / ROW_BLOCK).cast("int").alias("blocks"))
+    place = near.join(size, "root").select(F.col("node").alias("key"), "root", "blocks", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int").alias("i"))
+    other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("i")))
+    place = place.select("key", "root", "i", F.explode(other).alias("j")).select("key", F.xxhash64("root", F.least("i", "j"), F.greatest("i", "j")).alias("place"))
+    return _products(texts.join(place, "key").select("place", "key", "comp", "n", "tokens"), percent)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
@@ -360,7 +350,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         fewer = cut(_gather(_count_columns(_again(rest, own).repartition(len(own), "block"), True), percent, len(own)).where("tokens is not null"))
         drop(rest)
         rest = fewer
-        links = _prefix_join(rest, percent) if turn == PASSES else _row_blocks(rest, percent, turn)
+        links = _exact_blocks(rest, percent) if turn == PASSES else _row_blocks(rest, percent, turn)
         roots = cut(connected_components(links))
         moved = rest.select("key", "comp").join(roots.select(F.col("node").alias("comp"), "root"), "comp", "left").select("key", F.coalesce("root", "comp").alias("comp"))
         known = roots if known is None else cut(known.join(roots.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(roots.join(known.select("node"), "node", "left_anti")))
