@@ -4,11 +4,15 @@ S(w | h) is c(h w) / c(h) where the bigram is in the table, else alpha * c(w) /
 tables count the whole corpus that is scored; a bigram enters with ``min_count``
 occurrences, as one seen only in the text at hand says nothing about it.
 
-All is relational, on packed rows. A document's distinct bigrams (with their numbers)
-go to the block of the bigram's hash, where the count table is summed and joined to them.
-Each then needs one more count, c(h) or c(w): it goes on to the block of that word's hash,
-where the unigram counts of all tasks meet. What a block finds is summed for each document.
-Words of a row are 40-bit ids; hot words and pairs are summed before each shuffle.
+All is relational, on packed rows. A document's distinct bigrams (with their numbers) go to
+the block of their history's hash, where the count table is summed and joined to them; a
+document's last word goes with an end mark, so that a history's bigrams add up to its count.
+What the table doesn't hold needs c(w): it goes on to the block of that word's hash, where
+the unigram counts of all tasks meet. What a block finds is summed for each document.
+
+Hot words (at most 1000, found in a sample) only change how rows are dealt: their bigrams
+are spread by both words, and their counts, taken over all texts in a pass of its own, are
+broadcast. Words of a row are 40-bit ids.
 """
 
 from __future__ import annotations
@@ -25,11 +29,15 @@ from marque.llm.arrow import slices
 from marque.llm.hashing import BLANK, hashed_words, lower_ascii, mix
 from marque.llm.shared import cut, even_keys
 
-BLOCK_BYTES = 16_000_000
-#: Documents packed together, at most.
-PART_DOCS = 256
+#: Text bytes for each block, and those packed together.
+BLOCK_BYTES = 12_000_000
+PART_BYTES = 6_000_000
+PART_DOCS = 60_000
 #: Distinct words a task holds before it sends their counts on.
 HELD_WORDS = 2_000_000
+#: A hot word has this share of the words of the sample; the sample's rows, at most.
+HOT_SHARE = 0.001
+SAMPLE_ROWS = 2000
 
 _PACK = "block int, part long, kind int, src int, data binary"
 _NAMES = ["block", "part", "kind", "src", "data"]
@@ -54,23 +62,28 @@ def _from_five(b: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _pairs_out(local: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> bytes:
-    return np.uint32(len(local)).tobytes() + local.astype("u1").tobytes() + n.astype("<u2").tobytes() + _five(a) + _five(b)
+def _pairs_out(a: np.ndarray, b: np.ndarray, local: np.ndarray, n: np.ndarray) -> bytes:
+    """Bigrams in order of a, which is written once for each of its runs."""
+    at = _runs(a)
+    size = np.diff(np.r_[at, len(a)])
+    return np.array([len(a), len(at)], "<u4").tobytes() + size.astype("<u4").tobytes() + n.astype("<u2").tobytes() + local.astype("<u2").tobytes() + _five(a[at]) + _five(b)
 
 
 def _pairs_in(d: bytes) -> tuple[np.ndarray, ...]:
-    m = int(np.frombuffer(d, "<u4", 1)[0])
-    o = 4 + 3 * m
-    return np.frombuffer(d, "u1", m, 4), np.frombuffer(d, "<u2", m, 4 + m), _from_five(d[o : o + 5 * m]), _from_five(d[o + 5 * m :])
+    m, k = np.frombuffer(d, "<u4", 2).tolist()
+    o = 8 + 4 * k
+    size, n, local = np.frombuffer(d, "<u4", k, 8), np.frombuffer(d, "<u2", m, o), np.frombuffer(d, "<u2", m, o + 2 * m)
+    o += 4 * m
+    return np.repeat(_from_five(d[o : o + 5 * k]), size), _from_five(d[o + 5 * k :]), local, n
 
 
 def _looks_out(local: np.ndarray, n: np.ndarray, w: np.ndarray) -> bytes:
-    return np.uint32(len(local)).tobytes() + local.astype("u1").tobytes() + n.astype("<i4").tobytes() + _five(w)
+    return np.uint32(len(local)).tobytes() + local.astype("<u2").tobytes() + n.astype("<i4").tobytes() + _five(w)
 
 
 def _looks_in(d: bytes) -> tuple[np.ndarray, ...]:
     m = int(np.frombuffer(d, "<u4", 1)[0])
-    return np.frombuffer(d, "u1", m, 4), np.frombuffer(d, "<i4", m, 4 + m), _from_five(d[4 + 5 * m :])
+    return np.frombuffer(d, "<u2", m, 4), np.frombuffer(d, "<i4", m, 4 + 2 * m), _from_five(d[4 + 6 * m :])
 
 
 def _block(x: np.ndarray, n: int) -> np.ndarray:
@@ -89,58 +102,131 @@ def _deal(block: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(block[order], np.arange(n + 1))
 
 
-def _explode(rows: DataFrame, keys: list[int]) -> DataFrame:
+#: The word that ends a document; a word's own id of 0 becomes 1.
+_END = np.uint64(0)
+
+
+def _words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    h, size = hashed_words([t or b"" for t in texts], lower_ascii(), BLANK)
+    return np.maximum(h >> _ID_BITS, np.uint64(1)), size
+
+
+def _word_counts(rows: DataFrame, only: object = None) -> DataFrame:
+    """(word, n) of each task; only: a broadcast of the words to count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            for some in slices(batch, _sizes(batch.column(1))):
+                w, _ = _words(some.column(1).to_pylist())
+                if only is not None:
+                    w = w[np.isin(w, only.value)]
+                held.append(np.unique(w, return_counts=True))
+                if sum(len(x) for x, _ in held) > HELD_WORDS:
+                    held = [_added(held)]
+        if held:
+            w, n = _added(held)
+            yield pa.RecordBatch.from_arrays([pa.array(w.astype(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
+
+    return rows.mapInArrow(run, "word long, n long")
+
+
+def _added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    w, n = np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
+    order = np.argsort(w)
+    at = _runs(w[order])
+    return w[order][at], np.add.reduceat(n[order], at) if len(at) else n
+
+
+def _sizes(column: pa.Array) -> list[int | None]:
+    import pyarrow.compute as pc
+
+    return pc.binary_length(column).to_pylist()
+
+
+def _hot_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hot words, sorted, and their counts over all rows; 1000 at most."""
+    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(50)) == 0).limit(SAMPLE_ROWS)
+    n = _word_counts(sample).groupBy("word").agg(F.sum("n").alias("n"))
+    total = n.agg(F.sum("n")).first()[0] or 0
+    words = np.array(sorted(r.word for r in n.where(F.col("n") >= max(2.0, HOT_SHARE * total)).collect()), np.uint64)
+    if not len(words):
+        return words, np.zeros(0, np.int64)
+    held = rows.sparkSession.sparkContext.broadcast(words)
+    got = {r.word: r.n for r in _word_counts(rows, held).groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    return words, np.array([got.get(int(w), 0) for w in words], np.int64)
+
+
+def _find(x: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each x is among the sorted words, and where."""
+    if not len(words):
+        return np.zeros(len(x), bool), np.zeros(len(x), np.int64)
+    at = np.minimum(np.searchsorted(words, x), len(words) - 1)
+    return words[at] == x, at
+
+
+def _explode(rows: DataFrame, keys: list[int], hot: object) -> DataFrame:
     """(id as text, text binary) -> packed bigrams, first words, word counts and ids."""
     blocks = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute as pc
         from pyspark import TaskContext
 
-        part, fold = TaskContext.get().partitionId() << 32, lower_ascii()
+        part = TaskContext.get().partitionId() << 32
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        ids: list[str] = []
+        sizes: list[np.ndarray] = []
+        ws: list[np.ndarray] = []
 
         def counts() -> pa.RecordBatch:
-            w = np.concatenate([x for x, _ in held])
-            c = np.concatenate([y for _, y in held])
-            order = np.argsort(w)
-            w, c = w[order], c[order]
-            at = _runs(w)
-            w, c = w[at], np.add.reduceat(c, at)
+            w, c = _added(held)
             order, bound = _deal(_block(w, blocks), blocks)
             held.clear()
             return _emit([(keys[i], part, _COUNT, 0, np.uint32(b - a).tobytes() + c[order[a:b]].astype("<i8").tobytes() + _five(w[order[a:b]])) for i, (a, b) in enumerate(zip(bound, bound[1:], strict=False)) if b > a])
 
+        def packed() -> Iterator[pa.RecordBatch]:
+            size, w = np.concatenate(sizes), np.concatenate(ws)
+            yield _emit([(keys[part % blocks], part, _PLAIN, 0, np.uint32(len(size)).tobytes() + size.astype("<i8").tobytes() + "\x00".join(ids).encode())])
+            if not len(w):
+                return
+            local = np.repeat(np.arange(len(size)), size)
+            first = np.r_[True, local[1:] != local[:-1]]
+            order, bound = _deal(_block(w[first], blocks), blocks)
+            fl, fw = local[first][order], w[first][order]
+            yield _emit([(keys[j], part, _LOOK, 0, _looks_out(fl[a:b], np.ones(b - a), fw[a:b])) for j, (a, b) in enumerate(zip(bound, bound[1:], strict=False)) if b > a])
+            after = np.where(np.r_[first[1:], True], _END, np.r_[w[1:], _END])
+            is_hot, _ = _find(w, hot.value[0])
+            block = _block(np.where(is_hot, w * np.uint64(0x9E3779B97F4A7C15) + after, w), blocks)
+            order = np.lexsort((local, after, w, block))
+            a, b, local, block = w[order], after[order], local[order], block[order]
+            at = _runs(block, a, b, local)
+            n = np.diff(np.r_[at, len(a)])
+            while len(at):  # numbers of 16 bits
+                a1, b1, l1, k1, n1 = a[at], b[at], local[at], block[at], np.minimum(n, 65535)
+                bound = np.searchsorted(k1, np.arange(blocks + 1))
+                yield _emit([(keys[j], part, _PAIR, 0, _pairs_out(a1[x:y], b1[x:y], l1[x:y], n1[x:y])) for j, (x, y) in enumerate(zip(bound, bound[1:], strict=False)) if y > x])
+                at, n = at[n > 65535], (n - 65535)[n > 65535]
+
+        bulk = 0
         for batch in batches:
-            for whole in slices(batch, pc.binary_length(batch.column(1)).to_pylist()):
-                for i in range(0, whole.num_rows, PART_DOCS):
-                    some = whole.slice(i, PART_DOCS)
-                    h, size = hashed_words([t or b"" for t in some.column(1).to_pylist()], fold, BLANK)
-                    w = h >> _ID_BITS
-                    ids = [x if x is not None else "\x01" for x in some.column(0).to_pylist()]
-                    yield _emit([(keys[part % blocks], part, _PLAIN, 0, np.uint32(len(size)).tobytes() + size.astype("<i8").tobytes() + "\x00".join(ids).encode())])
-                    if len(w):
-                        local = np.repeat(np.arange(len(size)), size)
-                        uw, uc = np.unique(w, return_counts=True)
-                        held.append((uw, uc))
-                        first = np.r_[True, local[1:] != local[:-1]]
-                        order, bound = _deal(_block(w[first], blocks), blocks)
-                        fl, fw = local[first][order], w[first][order]
-                        yield _emit([(keys[j], part, _LOOK, 0, _looks_out(fl[a:b], np.ones(b - a), fw[a:b])) for j, (a, b) in enumerate(zip(bound, bound[1:], strict=False)) if b > a])
-                        a, b, local = w[:-1][~first[1:]], w[1:][~first[1:]], local[1:][~first[1:]]
-                        pair = a * np.uint64(0x9E3779B97F4A7C15) + b
-                        order = np.lexsort((b, a, local, _block(pair, blocks)))
-                        a, b, local, block = a[order], b[order], local[order], _block(pair[order], blocks)
-                        at = _runs(block, local, a, b)
-                        n = np.diff(np.r_[at, len(a)])
-                        while len(at):  # numbers of 16 bits
-                            a1, b1, l1, k1, n1 = a[at], b[at], local[at], block[at], np.minimum(n, 65535)
-                            bound = np.searchsorted(k1, np.arange(blocks + 1))
-                            yield _emit([(keys[j], part, _PAIR, 0, _pairs_out(l1[x:y], n1[x:y], a1[x:y], b1[x:y])) for j, (x, y) in enumerate(zip(bound, bound[1:], strict=False)) if y > x])
-                            at, n = at[n > 65535], (n - 65535)[n > 65535]
-                    part += 1
-                    if sum(len(x) for x, _ in held) > HELD_WORDS:
+            for some in slices(batch, _sizes(batch.column(1))):
+                texts = some.column(1).to_pylist()
+                w, size = _words(texts)
+                ids += [x if x is not None else "\x01" for x in some.column(0).to_pylist()]
+                sizes.append(size)
+                ws.append(w)
+                held.append(np.unique(w, return_counts=True))
+                bulk += sum(len(t or b"") for t in texts)
+                if bulk > PART_BYTES or len(ids) > PART_DOCS:
+                    yield from packed()
+                    part, bulk = part + 1, 0
+                    ids, sizes, ws = [], [], []
+                if sum(len(x) for x, _ in held) > HELD_WORDS:
+                    held[:] = [_added(held)]
+                    if len(held[0][0]) > HELD_WORDS // 2:
                         yield counts()
+        if ids:
+            yield from packed()
         if held:
             yield counts()
 
@@ -148,19 +234,19 @@ def _explode(rows: DataFrame, keys: list[int]) -> DataFrame:
 
 
 def _sums(part_of: np.ndarray, local: np.ndarray, value: np.ndarray, seen: np.ndarray | None, parts: list[int], src: int) -> list[tuple[int, int, int, int, bytes]]:
-    """Sums for each document of each part: kind _SUM rows."""
+    """Sums for each document of each part: kind _SUM rows. part_of: index into parts, in order."""
     out = []
     bound = np.searchsorted(part_of, np.arange(len(parts) + 1))
     for i, (a, b) in enumerate(zip(bound, bound[1:], strict=False)):
         if b > a:
             n = int(local[a:b].max()) + 1
-            s = np.bincount(local[a:b], value[a:b], n)
-            c = np.bincount(local[a:b], seen[a:b], n) if seen is not None else np.zeros(n)
-            out.append((0, parts[i], _SUM, src, np.uint32(n).tobytes() + s.tobytes() + c.astype("<u4").tobytes()))
+            s = np.bincount(local[a:b], value[a:b], n).tobytes()
+            c = b"" if seen is None else np.bincount(local[a:b], seen[a:b], n).astype("<u4").tobytes()
+            out.append((0, parts[i], _SUM, src, np.uint32(n).tobytes() + s + c))
     return out
 
 
-def _join_pairs(packed: DataFrame, keys: list[int], alpha: float, min_count: int) -> DataFrame:
+def _join_pairs(packed: DataFrame, keys: list[int], hot: object, alpha: float, min_count: int) -> DataFrame:
     """Count the bigrams of a block, score what they settle, and send on what needs a word's count."""
     blocks = len(keys)
 
@@ -172,32 +258,43 @@ def _join_pairs(packed: DataFrame, keys: list[int], alpha: float, min_count: int
                     by[block].append((part, data))
                 else:
                     yield _emit([(block, part, kind, src, data)])
+        words, logs = hot.value[0], np.log(np.maximum(hot.value[1], 1))
         while by:
             block, own = by.popitem()
+            parts = sorted({p for p, _ in own})
             own.sort(key=lambda x: x[0])
             cols = [_pairs_in(d) for _, d in own]
-            source = np.repeat(np.arange(len(own)), [len(c[0]) for c in cols])
-            local, n, a, b = (np.concatenate([c[i] for c in cols]) for i in range(4))
-            del cols
+            source = np.repeat(np.searchsorted(parts, [p for p, _ in own]), [len(c[0]) for c in cols])
+            a, b, local, n = (np.concatenate([c[i] for c in cols]) for i in range(4))
+            del cols, own
+            n = n.astype(np.int64)
             order = np.lexsort((b, a))
-            at = _runs(a[order], b[order])
-            total = np.add.reduceat(n[order].astype(np.int64), at)
-            count = np.empty(len(a), np.int64)
-            count[order] = np.repeat(total, np.diff(np.r_[at, len(a)]))
+            at, heads = _runs(a[order], b[order]), _runs(a[order])
+            size = np.diff(np.r_[at, len(a)])
+            count, past = np.empty(len(a), np.int64), np.empty(len(a), np.int64)
+            count[order] = np.repeat(np.add.reduceat(n[order], at), size)
+            past[order] = np.repeat(np.add.reduceat(n[order], heads), np.diff(np.r_[heads, len(a)]))
             del order
-            seen = count >= min_count
-            n = n.astype(np.int64)
-            parts = [p for p, _ in own]
-            rows = _sums(source, local, n * np.where(seen, np.log(count), np.log(alpha)), n * seen, parts, block)
-            for i in range(0, len(rows), 500):
-                yield _emit(rows[i : i + 500])
-            word = np.where(seen, a, b)
-            need = np.where(seen, -n, n)
-            del a, b, count
-            to = _block(word, blocks).astype(np.int32)
+            is_hot, where = _find(a, words)
+            past = np.where(is_hot, logs[where], np.log(past)) if len(words) else np.log(past)
+            real = b != _END
+            seen = (count >= min_count) & real
+            value = n * np.where(seen, np.log(count) - past, np.where(real, np.log(alpha), 0.0))
+            is_hot, where = _find(b, words)
+            if len(words):
+                value += np.where(real & ~seen & is_hot, n * logs[where], 0.0)
+            rows = _sums(source, local, value, n * seen, parts, block)
+            for i in range(0, len(rows), 200):
+                yield _emit(rows[i : i + 200])
+            ask = real & ~seen & ~is_hot
+            word, need, local, source = b[ask], n[ask], local[ask], source[ask]
+            del a, b, n, count, past, value, seen
+            to = _block(word, blocks)
             order = np.lexsort((word, local, source, to))
             word, need, local, source, to = word[order], need[order], local[order], source[order], to[order]
             at = _runs(to, source, local, word)
+            if not len(at):
+                continue
             word, local, source, to, need = word[at], local[at], source[at], to[at], np.add.reduceat(need, at)
             cut_at = np.r_[_runs(to, source), len(to)]
             rows = [(keys[to[x]], parts[source[x]], _LOOK, 0, _looks_out(local[x:y], need[x:y], word[x:y])) for x, y in zip(cut_at, cut_at[1:], strict=False)]
@@ -231,8 +328,9 @@ def _join_words(packed: DataFrame) -> DataFrame:
             w, c = w[order], c[order]
             at = _runs(w)
             w, logc = w[at], np.log(np.add.reduceat(c, at))
-            for i in range(0, len(own), 200):
-                some = own[i : i + 200]
+            step = max(1, 4_000_000 // max(1, sum(len(d) for _, d in own) // (11 * len(own))))
+            for i in range(0, len(own), step):
+                some = own[i : i + step]
                 cols = [_looks_in(d) for _, d in some]
                 parts = sorted({p for p, _ in some})
                 source = np.repeat(np.searchsorted(parts, [p for p, _ in some]), [len(x[0]) for x in cols])
@@ -259,7 +357,8 @@ def _per_document(sums: DataFrame, n: int) -> DataFrame:
                 else:
                     m = int(np.frombuffer(data, "<u4", 1)[0])
                     total[:m] += np.frombuffer(data, "<f8", m, 4)
-                    seen[:m] += np.frombuffer(data, "<u4", m, 4 + 8 * m)
+                    if len(data) > 4 + 8 * m:
+                        seen[:m] += np.frombuffer(data, "<u4", m, 4 + 8 * m)
             yield pa.RecordBatch.from_arrays([pa.array([None if x == "\x01" else x for x in ids], pa.string()), pa.array(size), pa.array(seen), pa.array(total)], ["id", "n_tokens", "n_seen", "logs"])
 
     return sums.repartition(n, "part").mapInArrow(run, "id string, n_tokens long, n_seen long, logs double")
@@ -278,7 +377,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(12, -(-total // BLOCK_BYTES))
     keys = even_keys(spark, blocks)
-    one = _join_pairs(_explode(rows, keys).repartition(blocks, "block"), keys, alpha, min_count)
+    hot = spark.sparkContext.broadcast(_hot_counts(rows))  # 1000 words at most
+    one = _join_pairs(_explode(rows, keys, hot).repartition(blocks, "block"), keys, hot, alpha, min_count)
     two = _join_words(one.repartition(blocks, "block"))
     out = cut(_per_document(two, blocks))
     n = out.agg(F.sum("n_tokens")).first()[0] or 1
