@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "marque", cpus: int | None = None, **conf: str) -> SparkSession:
@@ -29,3 +31,15 @@ def get_session(app: str = "marque", cpus: int | None = None, **conf: str) -> Sp
     spark = b.config(map=base | conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to a table in the folder that all executors share (spark.checkpoint.dir) and read again.
+
+    Ends the lineage and the plan there: later stages are planned and recovered by themselves.
+    """
+    spark = df.sparkSession
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    path = f"{(given or f'file://{tempfile.gettempdir()}/marque-tables').rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
