@@ -25,7 +25,7 @@ import numpy as np
 import regex
 
 #: Runs of non-space characters kept encoded in a worker; beyond it the cache starts anew.
-CACHE_RUNS = 300_000
+CACHE_RUNS = 400_000
 #: Runs longer than this (bytes are bounded by the text itself) aren't kept.
 CACHE_RUN_CHARS = 200
 #: str.split() also splits at these four, which aren't white space to Unicode.
@@ -113,59 +113,65 @@ class WordBpe:
         self.split = regex.compile(split.replace(r"\s", r"\p{White_Space}"))
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         self.marks = sorted({s[0] + s[1:2] for s in self.specials})
+        self.known: dict[str, tuple[int, ...]] = {}
         self.text_ids = [str(i) for i in range(len(self.tokens))]
 
     def runs(self, text: str) -> list[str]:
-        """Runs of non-space characters, in order."""
+        """Runs of non-space characters in order, normalised unless a special token may be in the run."""
+        if any(m in text for m in self.marks):
+            return [r if any(m in r for m in self.marks) else self._normal(r) for r in self._cut(text)]
+        return self._cut(self._normal(text))
+
+    @staticmethod
+    def _cut(text: str) -> list[str]:
         if any(c in text for c in _NOT_SPACE):
             return [x for x in _SPACE.split(text) if x]
         return text.split()
 
+    @staticmethod
+    def _normal(text: str) -> str:
+        if not text.isascii():
+            # The library lowers each character by itself: no final sigma.
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        return text.lower()
+
     def _pretokens(self, run: str) -> list[str | int]:
         """Pre-tokens of a run; an int stands for a special token."""
-        if self.special is not None and any(m in run for m in self.marks):
-            out: list[str | int] = []
-            at = 0
-            for m in self.special.finditer(run):
-                out += self._plain(run[at : m.start()])
-                out.append(self.specials[m.group()])
-                at = m.end()
-            return out + self._plain(run[at:])
-        return self._plain(run)
-
-    def _plain(self, run: str) -> list[str]:
-        if not run.isascii():
-            # The library lowers each character by itself: no final sigma.
-            run = unicodedata.normalize("NFC", run).replace("Σ", "σ")
-        return self.split.findall(run.lower())
-
-    def encode_runs(self, runs: list[str]) -> list[np.ndarray]:
-        """Ids of each run, by one set of merge rounds over all of their pre-tokens."""
-        pre = [self._pretokens(r) for r in runs]
-        words = [p.encode() for ps in pre for p in ps if type(p) is str]
-        raw = np.frombuffer(b"".join(words), np.uint8)
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        if run.isalpha():
+            return [run]
+        if self.special is None or not any(m in run for m in self.marks):
+            return self.split.findall(run)
+        out: list[str | int] = []
+        at = 0
+        for m in self.special.finditer(run):
+            out += self.split.findall(self._normal(run[at : m.start()]))
+            out.append(self.specials[m.group()])
+            at = m.end()
+        return out + self.split.findall(self._normal(run[at:]))
+
+    def merge(self, words: list[str]) -> list[tuple[int, ...]]:
+        """Ids of pre-tokens, by one set of merge rounds over all of them."""
+        coded = [w.encode() for w in words]
+        raw = np.frombuffer(b"".join(coded), np.uint8)
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
         flat = self.inner[raw]
-        if len(words):
-            ends = np.cumsum(sizes) - 1
-            flat[ends] = self.last[raw[ends]]
+        ends = np.cumsum(sizes) - 1
+        flat[ends] = self.last[raw[ends]]
         flat, sizes = merge_rounds(flat, sizes, self.keys, self.ranks, self.made, self.base)
-        bounds = np.r_[0, np.cumsum(sizes)]
-        out, w = [], 0
-        for ps in pre:
-            if all(type(p) is str for p in ps):
-                out.append(flat[bounds[w] : bounds[w + len(ps)]])
-                w += len(ps)
-            else:
-                bits = []
-                for p in ps:
-                    if type(p) is str:
-                        bits.append(flat[bounds[w] : bounds[w + 1]])
-                        w += 1
-                    else:
-                        bits.append(np.array([p], np.int64))
-                out.append(np.concatenate(bits))
-        return out
+        ids, stop = flat.tolist(), np.cumsum(sizes).tolist()
+        return [tuple(ids[a:b]) for a, b in zip([0, *stop], stop, strict=False)]
+
+    def encode_runs(self, runs: list[str]) -> list[tuple[int, ...]]:
+        """Ids of each run; pre-tokens met before come from a bounded cache."""
+        pre = list(map(self._pretokens, runs))
+        new = [p for p in {p for ps in pre for p in ps if p not in self.known} if type(p) is str]
+        if len(self.known) + len(new) > CACHE_RUNS:
+            self.known.clear()
+            new = [p for p in {p for ps in pre for p in ps} if type(p) is str]
+        if new:
+            self.known.update(zip(new, self.merge(new), strict=True))
+        known = self.known
+        return [known[ps[0]] if len(ps) == 1 and type(ps[0]) is str else tuple([i for p in ps for i in (known[p] if type(p) is str else (p,))]) for ps in pre]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The library's decode without a decoder: the tokens, joined by a space."""

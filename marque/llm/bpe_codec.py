@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,15 +13,14 @@ from marque.llm.bpe import WordBpe, loaded
 
 
 def _ids(bpe: WordBpe):
-    return lambda ids: tuple(ids.tolist())
+    return lambda ids: ids
 
 
 def _digests(bpe: WordBpe):
     text = bpe.text_ids
 
-    def make(ids: np.ndarray) -> tuple[int, str, str]:
-        i = ids.tolist()
-        return len(i), " ".join(map(text.__getitem__, i)), bpe.decode(i)
+    def make(ids: tuple[int, ...]) -> tuple[int, str, str]:
+        return len(ids), " ".join([text[i] for i in ids]), bpe.decode(ids)
 
     return make
 
@@ -68,10 +66,10 @@ def codec_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
         got = cache.of([cache.bpe.runs(t) if t else [] for t in batch.column(1).to_pylist()])
         n, ids, text = [], [], []
         for x in got:
-            x = [y for y in x if y[0]]
-            n.append(sum(y[0] for y in x))
-            ids.append(hashlib.sha256(" ".join([y[1] for y in x]).encode()).hexdigest())
-            text.append(hashlib.sha256(" ".join([y[2] for y in x]).encode()).hexdigest())
+            count, some_ids, some_text = zip(*x, strict=True) if x else ((), (), ())  # no run is without a token
+            n.append(sum(count))
+            ids.append(hashlib.sha256(" ".join(some_ids).encode()).hexdigest())
+            text.append(hashlib.sha256(" ".join(some_text).encode()).hexdigest())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     t = docs.schema[id_col].dataType.simpleString()
