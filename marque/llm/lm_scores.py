@@ -35,9 +35,9 @@ PART_BYTES = 6_000_000
 PART_DOCS = 60_000
 #: Distinct words a task holds before it sends their counts on.
 HELD_WORDS = 2_000_000
-#: A hot word has this share of the words of the sample; the sample's rows, at most.
+#: A hot word has this share of the words of the sample; the sample's text bytes, about.
 HOT_SHARE = 0.001
-SAMPLE_ROWS = 2000
+SAMPLE_BYTES = 20_000_000
 
 _PACK = "block int, part long, kind int, src int, data binary"
 _NAMES = ["block", "part", "kind", "src", "data"]
@@ -144,12 +144,12 @@ def _sizes(column: pa.Array) -> list[int | None]:
     return pc.binary_length(column).to_pylist()
 
 
-def _hot_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hot words, sorted, and their counts over all rows; 1000 at most."""
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(50)) == 0).limit(SAMPLE_ROWS)
+def _hot_counts(rows: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hot words, sorted, and their counts over all rows; 1000 at most. The sample only finds the words."""
+    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(max(1, total // SAMPLE_BYTES))) == 0)
     n = _word_counts(sample).groupBy("word").agg(F.sum("n").alias("n"))
-    total = n.agg(F.sum("n")).first()[0] or 0
-    words = np.array(sorted(r.word for r in n.where(F.col("n") >= max(2.0, HOT_SHARE * total)).collect()), np.uint64)
+    of = n.agg(F.sum("n")).first()[0] or 0
+    words = np.array(sorted(r.word for r in n.where(F.col("n") >= max(2.0, HOT_SHARE * of)).collect()), np.uint64)
     if not len(words):
         return words, np.zeros(0, np.int64)
     held = rows.sparkSession.sparkContext.broadcast(words)
@@ -377,7 +377,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(12, -(-total // BLOCK_BYTES))
     keys = even_keys(spark, blocks)
-    hot = spark.sparkContext.broadcast(_hot_counts(rows))  # 1000 words at most
+    hot = spark.sparkContext.broadcast(_hot_counts(rows, total))  # 1000 words at most
     one = _join_pairs(_explode(rows, keys, hot).repartition(blocks, "block"), keys, hot, alpha, min_count)
     two = _join_words(one.repartition(blocks, "block"))
     out = cut(_per_document(two, blocks))
