@@ -233,8 +233,8 @@ def _explode(rows: DataFrame, keys: list[int], hot: object) -> DataFrame:
     return rows.mapInArrow(run, _PACK)
 
 
-def _sums(part_of: np.ndarray, local: np.ndarray, value: np.ndarray, seen: np.ndarray | None, parts: list[int], src: int) -> list[tuple[int, int, int, int, bytes]]:
-    """Sums for each document of each part: kind _SUM rows. part_of: index into parts, in order."""
+def _sums(part_of: np.ndarray, local: np.ndarray, value: np.ndarray, seen: np.ndarray | None, parts: list[int], src: int, keys: list[int]) -> list[tuple[int, int, int, int, bytes]]:
+    """Sums for each document of each part: kind _SUM rows, dealt by part. part_of: index into parts, in order."""
     out = []
     bound = np.searchsorted(part_of, np.arange(len(parts) + 1))
     for i, (a, b) in enumerate(zip(bound, bound[1:], strict=False)):
@@ -242,7 +242,7 @@ def _sums(part_of: np.ndarray, local: np.ndarray, value: np.ndarray, seen: np.nd
             n = int(local[a:b].max()) + 1
             s = np.bincount(local[a:b], value[a:b], n).tobytes()
             c = b"" if seen is None else np.bincount(local[a:b], seen[a:b], n).astype("<u4").tobytes()
-            out.append((0, parts[i], _SUM, src, np.uint32(n).tobytes() + s + c))
+            out.append((keys[parts[i] % len(keys)], parts[i], _SUM, src, np.uint32(n).tobytes() + s + c))
     return out
 
 
@@ -283,7 +283,7 @@ def _join_pairs(packed: DataFrame, keys: list[int], hot: object, alpha: float, m
             is_hot, where = _find(b, words)
             if len(words):
                 value += np.where(real & ~seen & is_hot, n * logs[where], 0.0)
-            rows = _sums(source, local, value, n * seen, parts, block)
+            rows = _sums(source, local, value, n * seen, parts, block, keys)
             for i in range(0, len(rows), 200):
                 yield _emit(rows[i : i + 200])
             ask = real & ~seen & ~is_hot
@@ -335,7 +335,7 @@ def _join_words(packed: DataFrame) -> DataFrame:
                 parts = sorted({p for p, _ in some})
                 source = np.repeat(np.searchsorted(parts, [p for p, _ in some]), [len(x[0]) for x in cols])
                 local, need, word = (np.concatenate([x[j] for x in cols]) for j in range(3))
-                yield _emit(_sums(source, local, need * logc[np.searchsorted(w, word)], None, parts, -1 - block))
+                yield _emit(_sums(source, local, need * logc[np.searchsorted(w, word)], None, parts, -1 - block, [0]))
 
     return packed.mapInArrow(run, _PACK)
 
