@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marque.llm import oracles
 from marque.llm.ann import nearest
 from marque.llm.bpe_codec import codec_digests
 from marque.llm.decontaminate import contamination
@@ -89,4 +90,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of the others SQL expresses none: models, tokenizers, hashes with a key and HTML are tested against brute force."""
+    return {"op2_decontamination": oracles.OP2, "op3_lm_scores": oracles.OP3, "op9_ngram_jaccard": oracles.OP9}
