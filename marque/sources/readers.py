@@ -126,5 +126,9 @@ def read_html_tables(spark: SparkSession, path: str) -> DataFrame:
 
 def cell(*parts: str):
     """The cell of a table row under the first header that holds one of the parts; blank if there is none."""
-    at = F.coalesce(*[F.nullif(F.array_position(F.transform("header", lambda h, p=p: F.contains(F.lower(h), F.lit(p))), True), F.lit(0)) for p in parts])
+
+    def place(part: str):
+        return F.nullif(F.array_position(F.transform("header", lambda h: F.contains(F.lower(h), F.lit(part))), True), F.lit(0))
+
+    at = F.coalesce(*[place(p) for p in parts])
     return F.coalesce(F.get("cells", (at - 1).cast("int")), F.lit(""))
