@@ -18,8 +18,10 @@ from marque.llm.line_dedup import dedup_lines
 from marque.llm.ngram_join import jaccard_components
 from marque.llm.quality import fit_quality, score_quality
 from marque.llm.queries import held_out, table, word_bpe
-from marque.llm.shared import cut
+from marque.llm.shared import cut, ship
 
+#: Runs that the last stage's workers keep: fewer than the operator's default, as the executors are full by then.
+CACHE_RUNS = 60_000
 #: A document goes when its quality score is below this.
 MIN_QUALITY = 0.5
 
@@ -29,6 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document without text scores the prior, and so stays where most labels are good.
     """
+    ship(spark)
     model = fit_quality(docs, table(spark, sf_dir, "labels").where(~held_out()))
     return score_quality(docs, model, score_col="_score").where(F.col("_score") >= MIN_QUALITY).drop("_score")
 
@@ -56,7 +59,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids' number and digests of each document that is left."""
-    return codec_digests(docs, word_bpe())
+    return codec_digests(docs, word_bpe(), cache_runs=CACHE_RUNS)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marque.llm.arrow import tidy
+
 
 SUB = 2
 CENTRES = 16
@@ -177,7 +179,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
                 yield pa.RecordBatch.from_arrays([pa.array([s.column(0).to_numpy().tobytes()]), pa.array([v.tobytes()])], ["ids", "vecs"])
 
     each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    packed = asked.mapInArrow(pack, "ids binary, vecs binary").select(each.alias("block"), F.lit(1).alias("kind"), "ids", "vecs")
+    packed = asked.mapInArrow(tidy(pack), "ids binary, vecs binary").select(each.alias("block"), F.lit(1).alias("kind"), "ids", "vecs")
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -188,7 +190,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
                 for k in np.unique(own):
                     yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([0], pa.int32()), pa.array([ids[own == k].tobytes()]), pa.array([v[own == k].tobytes()])], ["block", "kind", "ids", "vecs"])
 
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).mapInArrow(lay, "block int, kind int, ids binary, vecs binary")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).mapInArrow(tidy(lay), "block int, kind int, ids binary, vecs binary")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, ids, vecs, block = None, [], [], None
@@ -208,6 +210,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
                         got = block.search(i[j : j + 64], v[j : j + 64])
                         yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], ["query_id", "vec_id", "score"])
 
-    found = dealt.unionByName(packed).repartition(blocks, "block").sortWithinPartitions("block", "kind").mapInArrow(scan, "query_id long, vec_id long, score double")
+    found = dealt.unionByName(packed).repartition(blocks, "block").sortWithinPartitions("block", "kind").mapInArrow(tidy(scan), "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -2,17 +2,40 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from marque.llm import hashing
+
 #: Rows and text bytes handled at once by a Python worker; bounds its memory for any partition.
 SLICE_ROWS = 512
 SLICE_BYTES = 1_000_000
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers outlive their tasks, and what the allocators keep would add up."""
+    hashing.forget()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow, with its memory released at the end of a task."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return whole
+
+
 def slices(batch: pa.RecordBatch, sizes: Iterable[int | None] | None = None) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of at most SLICE_ROWS rows and about SLICE_BYTES (a longer row is alone)."""
     if sizes is None:
@@ -30,8 +53,8 @@ def slices(batch: pa.RecordBatch, sizes: Iterable[int | None] | None = None) ->
         yield batch.slice(start, batch.num_rows - start)
 
 
-def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType, by: int | None = None) -> DataFrame:
-    """mapInArrow over small slices. by: the column whose byte lengths bound a slice."""
+def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType, by: int | None = None, done: Callable[[], None] | None = None) -> DataFrame:
+    """mapInArrow over small slices. by: the column whose byte lengths bound a slice; done: called as a task ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
@@ -41,5 +64,7 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | No
             for part in slices(batch, sizes):
                 if (out := fn(part)) is not None and out.num_rows:
                     yield out
+        if done is not None:
+            done()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)

@@ -24,8 +24,8 @@ from collections.abc import Iterable
 import numpy as np
 import regex
 
-#: Runs of non-space characters kept encoded in a worker; beyond it the cache starts anew.
-CACHE_RUNS = 400_000
+#: Runs of non-space characters kept encoded in a worker unless told otherwise; beyond it the cache starts anew.
+CACHE_RUNS = 300_000
 #: Runs longer than this (bytes are bounded by the text itself) aren't kept.
 CACHE_RUN_CHARS = 200
 #: str.split() also splits at these four, which aren't white space to Unicode.
@@ -90,6 +90,7 @@ class WordBpe:
     """The vocabulary, and the encoding of runs, texts and ids by it."""
 
     def __init__(self, path: str):
+        self.limit = CACHE_RUNS
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -165,7 +166,7 @@ class WordBpe:
         """Ids of each run; pre-tokens met before come from a bounded cache."""
         pre = list(map(self._pretokens, runs))
         new = [p for p in {p for ps in pre for p in ps if p not in self.known} if type(p) is str]
-        if len(self.known) + len(new) > CACHE_RUNS:
+        if len(self.known) + len(new) > self.limit:
             self.known.clear()
             new = [p for p in {p for ps in pre for p in ps} if type(p) is str]
         if new:
@@ -188,7 +189,7 @@ class RunCache(dict):
     def of(self, runs: list[list[str]]) -> list[list]:
         """For each list of runs, what its runs stand for."""
         new = list(set().union(*runs).difference(self.keys()))
-        if len(self) + len(new) > CACHE_RUNS:
+        if len(self) + len(new) > self.bpe.limit:
             self.clear()
             new = list(set().union(*runs))
         made = {}
@@ -200,7 +201,7 @@ class RunCache(dict):
         for r in new:
             if len(r) > CACHE_RUN_CHARS:
                 del self[r]
-        if len(self) > CACHE_RUNS:
+        if len(self) > self.bpe.limit:
             self.clear()
         return got
 
@@ -208,9 +209,17 @@ class RunCache(dict):
 _LOADED: dict[tuple, RunCache] = {}
 
 
-def loaded(path: str, kind: str, make) -> RunCache:
+def loaded(path: str, kind: str, make, limit: int = CACHE_RUNS) -> RunCache:
     """One vocabulary and cache for a worker, file and use."""
     if (path, kind) not in _LOADED:
-        bpe = WordBpe(path)
+        bpe = next((c.bpe for (p, _), c in _LOADED.items() if p == path), None) or WordBpe(path)
         _LOADED[path, kind] = RunCache(bpe, make(bpe))
+    _LOADED[path, kind].bpe.limit = limit
     return _LOADED[path, kind]
+
+
+def forget() -> None:
+    """Empty the caches, as workers outlive their tasks; the vocabularies stay."""
+    for cache in _LOADED.values():
+        cache.clear()
+        cache.bpe.known.clear()

@@ -3,32 +3,25 @@
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marque.llm.arrow import map_slices
-from marque.llm.bpe import WordBpe, loaded
+from marque.llm.bpe import CACHE_RUNS, WordBpe, forget, loaded
 
 
 def _ids(bpe: WordBpe):
     return lambda ids: ids
 
 
-def _digests(bpe: WordBpe):
-    text = bpe.text_ids
-
-    def make(ids: tuple[int, ...]) -> tuple[int, str, str]:
-        return len(ids), " ".join([text[i] for i in ids]), bpe.decode(ids)
-
-    return make
-
-
 def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """docs with an array<int> of token ids (empty for a null or empty text). No shuffle."""
     names = docs.columns
-    schema = docs.schema.add(ids_col, "array<int>")
+    schema = T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
     at = names.index(text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -37,13 +30,13 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str
         ids = pa.array([[i for run in x for i in run] for x in got], pa.list_(pa.int32()))
         return pa.RecordBatch.from_arrays([*batch.columns, ids], [*names, ids_col])
 
-    return map_slices(docs, run, schema, by=at)
+    return map_slices(docs, run, schema, by=at, done=forget)
 
 
 def decode(rows: DataFrame, tokenizer: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """rows with the text of their ids (null for null ids)."""
     names = rows.columns
-    schema = rows.schema.add(text_col, "string")
+    schema = T.StructType([*rows.schema.fields, T.StructField(text_col, T.StringType())])
     at = names.index(ids_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -54,25 +47,26 @@ def decode(rows: DataFrame, tokenizer: str, ids_col: str = "ids", text_col: str
     return map_slices(rows, run, schema)
 
 
-def codec_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def codec_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", cache_runs: int = CACHE_RUNS) -> DataFrame:
     """id, n_tokens, and SHA-256 of the ids and of the decoded text, without keeping either.
 
-    A null text counts as empty: no ids, and the digests are of the empty string. Repeated
-    rows give repeated results; other columns are not read.
+    A null text counts as empty: no ids, and the digests are of the empty string. cache_runs:
+    runs of text a worker keeps encoded, memory for time. Repeated rows give repeated results; other columns are not read.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cache = loaded(tokenizer, "digests", _digests)
+        cache = loaded(tokenizer, "ids", _ids, cache_runs)
+        number = cache.bpe.text_ids.__getitem__
         got = cache.of([cache.bpe.runs(t) if t else [] for t in batch.column(1).to_pylist()])
         n, ids, text = [], [], []
         for x in got:
-            count, some_ids, some_text = zip(*x, strict=True) if x else ((), (), ())  # no run is without a token
-            n.append(sum(count))
-            ids.append(hashlib.sha256(" ".join(some_ids).encode()).hexdigest())
-            text.append(hashlib.sha256(" ".join(some_text).encode()).hexdigest())
+            flat = list(chain.from_iterable(x))
+            n.append(len(flat))
+            ids.append(hashlib.sha256(" ".join(map(number, flat)).encode()).hexdigest())
+            text.append(hashlib.sha256(cache.bpe.decode(flat).encode()).hexdigest())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     t = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = map_slices(rows, run, f"id {t}, n_tokens long, ids_sha256 string, decoded_sha256 string", by=1)
+    out = map_slices(rows, run, f"id {t}, n_tokens long, ids_sha256 string, decoded_sha256 string", by=1, done=forget)
     return out.withColumnRenamed("id", id_col)

@@ -91,3 +91,8 @@ def shingles(h: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.
     new = np.r_[True, (text[1:] != text[:-1]) | (s[1:] != s[:-1])] if len(s) else np.zeros(0, bool)
     text, s = text[new], s[new]
     return text, s, np.bincount(text, minlength=len(counts))
+
+
+def forget() -> None:
+    """Free the tables of powers."""
+    _POWERS[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]

@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marque.llm.arrow import slices
+from marque.llm.arrow import slices, tidy
 from marque.llm.hashing import BLANK, hashed_words, lower_ascii, mix
-from marque.llm.shared import cut, even_keys
+from marque.llm.shared import cut, even_keys, text_bytes
 
 #: Text bytes for each block, and those packed together.
 BLOCK_BYTES = 12_000_000
@@ -128,7 +128,7 @@ def _word_counts(rows: DataFrame, only: object = None) -> DataFrame:
             w, n = _added(held)
             yield pa.RecordBatch.from_arrays([pa.array(w.astype(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
 
-    return rows.mapInArrow(run, "word long, n long")
+    return rows.mapInArrow(tidy(run), "word long, n long")
 
 
 def _added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -230,7 +230,7 @@ def _explode(rows: DataFrame, keys: list[int], hot: object) -> DataFrame:
         if held:
             yield counts()
 
-    return rows.mapInArrow(run, _PACK)
+    return rows.mapInArrow(tidy(run), _PACK)
 
 
 def _sums(part_of: np.ndarray, local: np.ndarray, value: np.ndarray, seen: np.ndarray | None, parts: list[int], src: int, keys: list[int]) -> list[tuple[int, int, int, int, bytes]]:
@@ -301,7 +301,7 @@ def _join_pairs(packed: DataFrame, keys: list[int], hot: object, alpha: float, m
             for i in range(0, len(rows), 500):
                 yield _emit(rows[i : i + 500])
 
-    return packed.mapInArrow(run, _PACK)
+    return packed.mapInArrow(tidy(run), _PACK)
 
 
 def _join_words(packed: DataFrame) -> DataFrame:
@@ -337,7 +337,7 @@ def _join_words(packed: DataFrame) -> DataFrame:
                 local, need, word = (np.concatenate([x[j] for x in cols]) for j in range(3))
                 yield _emit(_sums(source, local, need * logc[np.searchsorted(w, word)], None, parts, -1 - block, [0]))
 
-    return packed.mapInArrow(run, _PACK)
+    return packed.mapInArrow(tidy(run), _PACK)
 
 
 def _per_document(sums: DataFrame, n: int) -> DataFrame:
@@ -361,7 +361,7 @@ def _per_document(sums: DataFrame, n: int) -> DataFrame:
                         seen[:m] += np.frombuffer(data, "<u4", m, 4 + 8 * m)
             yield pa.RecordBatch.from_arrays([pa.array([None if x == "\x01" else x for x in ids], pa.string()), pa.array(size), pa.array(seen), pa.array(total)], ["id", "n_tokens", "n_seen", "logs"])
 
-    return sums.repartition(n, "part").mapInArrow(run, "id string, n_tokens long, n_seen long, logs double")
+    return sums.repartition(n, "part").mapInArrow(tidy(run), "id string, n_tokens long, n_seen long, logs double")
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.4, min_count: int = 2) -> DataFrame:
@@ -374,7 +374,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = text_bytes(docs, text_col)
     blocks = max(12, -(-total // BLOCK_BYTES))
     keys = even_keys(spark, blocks)
     hot = spark.sparkContext.broadcast(_hot_counts(rows, total))  # 1000 words at most

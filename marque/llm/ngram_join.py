@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marque.llm.arrow import slices
+from marque.llm.arrow import slices, tidy
 from marque.llm.components import connected_components
 from marque.llm.hashing import BLANK, hashed_words, lower_ascii, mix, shingles
-from marque.llm.shared import cut, drop, even_keys
+from marque.llm.shared import cut, drop, even_keys, text_bytes
 
 #: Text bytes for each column block (about 1.2 million entries) and rows of a row block.
 BLOCK_BYTES = 8_000_000
@@ -136,7 +136,7 @@ def _count_columns(packed: DataFrame, by_comp: bool) -> DataFrame:
             for i in range(0, len(rows), 1000):
                 yield _emit(rows[i : i + 1000])
 
-    return packed.mapInArrow(run, _PACK)
+    return packed.mapInArrow(tidy(run), _PACK)
 
 
 _TEXTS = "key long, comp long, n long, tokens binary, dfs binary"
@@ -161,7 +161,7 @@ def _gather(counted: DataFrame, percent: int, n_out: int) -> DataFrame:
                 dfs.append(e["df"][a:b].tobytes() if keep else None)
             yield pa.RecordBatch.from_arrays([pa.array(rows["key"]), pa.array(rows["comp"]), pa.array(rows["n"].astype(np.int64)), pa.array(tokens, pa.binary()), pa.array(dfs, pa.binary())], ["key", "comp", "n", "tokens", "dfs"])
 
-    return counted.repartition(n_out, "part").mapInArrow(run, _TEXTS)
+    return counted.repartition(n_out, "part").mapInArrow(tidy(run), _TEXTS)
 
 
 def _first(docs: DataFrame, keys: list[int], n: int) -> DataFrame:
@@ -191,7 +191,7 @@ def _first(docs: DataFrame, keys: list[int], n: int) -> DataFrame:
                     yield _pack(part, keys, rows, text, token)
                     part += 1
 
-    return docs.mapInArrow(run, _PACK)
+    return docs.mapInArrow(tidy(run), _PACK)
 
 
 def _lengths(column: pa.Array) -> list[int | None]:
@@ -218,7 +218,7 @@ def _again(texts: DataFrame, keys: list[int]) -> DataFrame:
                     yield _emit([(k, part, 3, rows.tobytes()) for k in keys])
                     part += 1
 
-    return texts.select("key", "comp", "n", "tokens").mapInArrow(run, _PACK)
+    return texts.select("key", "comp", "n", "tokens").mapInArrow(tidy(run), _PACK)
 
 
 def forest(comps: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -267,7 +267,7 @@ def _row_blocks(texts: DataFrame, percent: int, turn: int) -> DataFrame:
                 sig.append(int(mix(np.array([mix(t ^ s).min() for s in salts], np.uint64)[:1] ^ mix(t ^ salts[1]).min())[0].astype(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sig, pa.int64())], ["key", "sig"])
 
-    sigs = cut(texts.select("key", "tokens").mapInArrow(sign, "key long, sig long"))
+    sigs = cut(texts.select("key", "tokens").mapInArrow(tidy(sign), "key long, sig long"))
     many = sigs.groupBy("sig").count().where("count > 1")
     where = sigs.join(many, "sig").select("key", F.xxhash64("sig", F.pmod(F.xxhash64("key", F.lit(turn)), F.ceil(F.col("count") / ROW_BLOCK).cast("long"))).alias("place"))
     rows = texts.join(where, "key").select("place", "key", "comp", "n", "tokens")
@@ -295,7 +295,7 @@ def _products(rows: DataFrame, percent: int) -> DataFrame:
         if own and (out := links(own)) is not None:
             yield out
 
-    return rows.repartition("place").sortWithinPartitions("place").mapInArrow(product, "a long, b long")
+    return rows.repartition("place").sortWithinPartitions("place").mapInArrow(tidy(product), "a long, b long")
 
 
 def _exact_blocks(texts: DataFrame, percent: int) -> DataFrame:
@@ -312,7 +312,7 @@ def _exact_blocks(texts: DataFrame, percent: int) -> DataFrame:
                 tok.append(t.astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(comp, pa.int64()), pa.array(np.concatenate(tok), pa.int64())], ["key", "comp", "token"])
 
-    p = cut(texts.select("key", "comp", "n", "tokens", "dfs").mapInArrow(prefix, "key long, comp long, token long"))
+    p = cut(texts.select("key", "comp", "n", "tokens", "dfs").mapInArrow(tidy(prefix), "key long, comp long, token long"))
     mixed = p.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("key").alias("to")).where("lo < hi").select("token", "to")
     near = cut(connected_components(p.join(mixed, "token").select(F.col("key").alias("a"), F.col("to").alias("b"))))
     size = near.groupBy("root").agg(F.ceil(F.count("*") / ROW_BLOCK).cast("int").alias("blocks"))
@@ -333,7 +333,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).cast("binary").alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = text_bytes(docs, text_col)
     blocks = max(12, -(-total // BLOCK_BYTES))
     keys = even_keys(spark, blocks)
     packed = _first(rows.select("key", "text"), keys, n).repartition(blocks, "block")

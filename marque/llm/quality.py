@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from marque.llm.arrow import map_slices, slices
+from marque.llm.arrow import map_slices, slices, tidy
 from marque.llm.hashing import prefix_sums, span_hash, word_spans
 
 #: Bin edges of each feature of a line.
@@ -229,7 +230,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
     t = docs.schema[id_col].dataType.simpleString()
     k = labels.schema[label_col].dataType.simpleString()
-    got = sorted(rows.mapInArrow(run, f"id {t}, y {k}, x binary").collect(), key=lambda r: (str(r.id), bytes(r.x)))
+    got = sorted(rows.mapInArrow(tidy(run), f"id {t}, y {k}, x binary").collect(), key=lambda r: (str(r.id), bytes(r.x)))
     xs = [np.frombuffer(r.x, np.uint8).reshape(-1, len(NAMES)) for r in got]
     if not xs:
         return LineCRF.zero()
@@ -243,11 +244,11 @@ def score_quality(docs: DataFrame, model: LineCRF, text_col: str = "text", score
     """
     docs = docs.select(*[c for c in docs.columns if c != score_col])
     names = docs.columns
+    at = names.index(text_col)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.withColumn(score_col, F.col(text_col).cast("binary"))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        got = held.value.scores([t or b"" for t in b.column(len(names)).to_pylist()])
-        return pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(got)], [*names, score_col])
+        got = held.value.scores([t or b"" for t in b.column(at).cast(pa.binary()).to_pylist()])
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(got)], [*names, score_col])
 
-    return map_slices(rows, run, docs.schema.add(score_col, "double"), by=len(names))
+    return map_slices(docs, run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]), by=at)

@@ -10,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +40,19 @@ def drop(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def text_bytes(docs: DataFrame, text_col: str) -> int:
+    """About how many bytes of text docs has, to choose the number of blocks by (results don't depend on it).
+
+    Of plain files twice their size, without reading them; of anything else the sum.
+    """
+    node = docs._jdf.queryExecution().optimizedPlan()
+    while node.children().size() == 1:
+        node = node.children().apply(0)
+    if node.getClass().getSimpleName() == "LogicalRelation":
+        return 2 * int(str(node.stats().sizeInBytes()))
+    return docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+
+
 def even_keys(spark: SparkSession, n: int) -> list[int]:
     """For each of n hash partitions an int that Spark deals to it, so that packed buckets spread evenly."""
     found = spark.range(n * 16).selectExpr("cast(id as int) as k", f"pmod(hash(cast(id as int)), {n}) as p").groupBy("p").min("k").collect()
@@ -47,8 +61,14 @@ def even_keys(spark: SparkSession, n: int) -> list[int]:
     return [keys.get(p, next(spare)) for p in range(n)]
 
 
+#: Rows of an Arrow batch where the session leaves Spark's default: documents can be long.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, unless PYTHONPATH (which they inherit) already leads to it."""
+    """Send this package to the executors, unless PYTHONPATH (which they inherit) already leads to it; smaller Arrow batches."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     root = Path(__file__).resolve().parents[2]
     name = __name__.partition(".")[0]
     context = spark.sparkContext

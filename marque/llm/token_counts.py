@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marque.llm.arrow import map_slices
-from marque.llm.bpe import WordBpe, loaded
+from marque.llm.bpe import WordBpe, forget, loaded
 
 
 def _count(bpe: WordBpe):
@@ -31,5 +31,5 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     t = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
-    out = map_slices(rows, count, f"id {t}, n_bytes long, n_tokens long", by=1)
+    out = map_slices(rows, count, f"id {t}, n_bytes long, n_tokens long", by=1, done=forget)
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
