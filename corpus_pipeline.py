@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from marque.llm.bpe_codec import codec_digests
 from marque.llm.decontaminate import decontaminate
-from marque.llm.line_dedup import dedup_lines
+from marque.llm.line_dedup import QUERY_SHINGLE, dedup_lines
 from marque.llm.ngram_join import jaccard_components
 from marque.llm.quality import fit_quality, score_quality
 from marque.llm.queries import held_out, table, word_bpe
@@ -38,7 +38,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each fuzzy line once in the corpus. A document that lost lines and has no long line left goes: what it held stays elsewhere."""
-    out = dedup_lines(docs)
+    out = dedup_lines(docs, shingle=QUERY_SHINGLE)
     out = out.where((F.col("n_removed") == 0) | (F.col("n_long_kept") > 0))
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
 

@@ -25,8 +25,11 @@ from marque.llm.components import connected_components
 from marque.llm.hashing import mix
 from marque.llm.shared import cut, even_keys, text_bytes
 
+#: Characters of a shingle where the caller names none (the queries and the pipeline use QUERY_SHINGLE), and the longest.
 SHINGLE = 9
-BANDS, ROWS = 10, 5
+QUERY_SHINGLE = 6
+#: A pair at exactly 0.8 misses every band once in 4,600.
+BANDS, ROWS = 16, 4
 #: Eligible lines packed together, text bytes for each hash block, candidates of a band that share a centre.
 PART_LINES = 20_000
 BLOCK_BYTES = 8_000_000
@@ -46,17 +49,17 @@ def _fold(line: str) -> np.ndarray:
     return np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-def _shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _shingles(lines: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all character shingles (of ASCII-lower-cased lines), and where each line's begin."""
-    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    length = np.fromiter(map(len, lines), np.int64, len(lines))
     c = _fold("".join(lines)).astype(np.uint64)
     upper = (c >= 65) & (c <= 90)
     c[upper] += np.uint64(32)
-    n = np.maximum(size - SHINGLE + 1, 1)  # eligible lines are longer than a shingle
-    h = np.zeros(max(0, len(c) - SHINGLE + 1), np.uint64)
-    for j in range(SHINGLE):
+    n = np.maximum(length - size + 1, 1)  # eligible lines are longer than a shingle
+    h = np.zeros(max(0, len(c) - size + 1), np.uint64)
+    for j in range(size):
         h += c[j : j + len(h)] * _STEP[j]
-    start = np.cumsum(size) - size
+    start = np.cumsum(length) - length
     first = np.cumsum(n) - n
     at = np.arange(n.sum()) + np.repeat(start - first, n)
     return mix(h[at]), first
@@ -71,11 +74,11 @@ def _emit(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.binary())], ["block", "part", "kind", "data"])
 
 
-def _signed(part: int, keys: list[int], own: list[tuple[int, int, str]]) -> pa.RecordBatch:
+def _signed(part: int, keys: list[int], own: list[tuple[int, int, str]], size: int) -> pa.RecordBatch:
     """Band hashes of own (text key, line number, line) by hash block, and the lines' places (kind 0)."""
     tokens, whole = [], []
     for i in range(0, len(own), 1000):  # shingles of some lines at once: what stays in a processor's cache
-        h, first = _shingles([x for _, _, x in own[i : i + 1000]])
+        h, first = _shingles([x for _, _, x in own[i : i + 1000]], size)
         whole.append(mix(np.add.reduceat(mix(h ^ np.uint64(0x5BD1E995)), first)))  # of the set with repeats; equal lines agree
         low = (h >> np.uint64(32)).astype(np.uint32)
         sig = np.empty((len(first), BANDS * ROWS), np.uint64)
@@ -101,7 +104,7 @@ def _signed(part: int, keys: list[int], own: list[tuple[int, int, str]]) -> pa.R
     return _emit(out + [(keys[i], part, 1, e[a:b].tobytes()) for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a])
 
 
-def _pack(rows: DataFrame, keys: list[int], least: int) -> DataFrame:
+def _pack(rows: DataFrame, keys: list[int], least: int, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
         from pyspark import TaskContext
@@ -114,10 +117,10 @@ def _pack(rows: DataFrame, keys: list[int], least: int) -> DataFrame:
                         seen.add(k)
                         own += [(k, i, x) for i, x in _lines(t, least)]
                 while len(own) >= PART_LINES:
-                    yield _signed(part, keys, own[:PART_LINES])
+                    yield _signed(part, keys, own[:PART_LINES], size)
                     own, part = own[PART_LINES:], part + 1
         if own:
-            yield _signed(part, keys, own)
+            yield _signed(part, keys, own, size)
 
     return rows.mapInArrow(tidy(run), _PACK)
 
@@ -181,7 +184,7 @@ def _small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
-def _verified(pairs: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, percent: int, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = (b.column(i).to_pylist() for i in (2, 3))
@@ -189,7 +192,7 @@ def _verified(pairs: DataFrame, percent: int) -> DataFrame:
                 continue
             sets = []
             for side in (x, y):
-                h, first = _shingles(side)
+                h, first = _shingles(side, size)
                 sets.append(np.split(h, first[1:]))
             ok = []
             for p, q in zip(*sets, strict=True):
@@ -201,15 +204,15 @@ def _verified(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(tidy(run), "a long, b long")
 
 
-def removed_lines(docs: DataFrame, id_col: str, text_col: str, percent: int, min_chars: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def removed_lines(docs: DataFrame, id_col: str, text_col: str, percent: int, min_chars: int, shingle: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows with id, key, text; key -> removed line numbers; key -> first id, for texts of several ids)."""
-    if min_chars < SHINGLE:
-        raise ValueError(f"min_chars must be at least {SHINGLE}")
+    if not 1 <= shingle <= min(SHINGLE, min_chars):
+        raise ValueError(f"shingle must be from 1 to {SHINGLE}, and min_chars at least that")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     total = text_bytes(docs, text_col)
     blocks = max(12, -(-total // BLOCK_BYTES))
-    packed = _pack(rows.select("key", "text"), even_keys(spark, blocks), min_chars).repartition(blocks, "block")
+    packed = _pack(rows.select("key", "text"), even_keys(spark, blocks), min_chars, shingle).repartition(blocks, "block")
     found = cut(_candidates(_share(packed), blocks))
 
     # Centres: the least hash of each band, one for every CENTRE_LINES candidates and one above those.
@@ -225,7 +228,7 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, percent: int, min
     text = text.select(F.split("text", "\n").alias("all"), F.explode("lines").alias("l")).select("l.hash", F.element_at("all", F.col("l.line") + 1).alias("text"))
     text = cut(text.groupBy("hash").agg(F.first("text").alias("text")))
     full = pairs.join(text.select(F.col("hash").alias("a"), F.col("text").alias("text_a")), "a").join(text.select(F.col("hash").alias("b"), F.col("text").alias("text_b")), "b")
-    roots = connected_components(_verified(full, percent))
+    roots = connected_components(_verified(full, percent, shingle))
 
     first = rows.where("text is not null").groupBy("key").agg(F.min("id").alias("first"), F.count_distinct("id").alias("ids"))
     lines = found.select("hash", "key", "line").join(roots.select(F.col("node").alias("hash"), "root"), "hash", "left").select("key", "line", F.coalesce("root", "hash").alias("comp")).join(first.select("key", "first"), "key")
@@ -234,17 +237,17 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, percent: int, min
     return rows, cut(gone), cut(first.where("ids > 1").select("key", "first"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, min_chars: int = 40) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, min_chars: int = 40, shingle: int = SHINGLE) -> DataFrame:
     """docs, with the duplicate lines cut out of the text, and n_lines, n_removed, n_long_kept added.
 
     Two eligible lines (of min_chars characters or more) are duplicates when percent * |union| <=
-    100 * |intersection| for their sets of nine-character shingles; duplicates of duplicates
+    100 * |intersection| for their sets of shingles of so many characters; duplicates of duplicates
     count too, and the first line of a component in order of (id, line number) stays. A
     null text stays null with 0 lines; an empty one has one (short) line. Rows of equal id
     and text are treated alike. Other columns pass through, whatever their names, but for
     the three added ones, which replace columns of their names.
     """
-    rows, gone, copies = removed_lines(docs, id_col, text_col, percent, min_chars)
+    rows, gone, copies = removed_lines(docs, id_col, text_col, percent, min_chars, shingle)
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.split(text_col, "\n").alias("all"))
     out = base.join(_small(gone, 120), "key", "left").join(_small(copies, 24), "key", "left")
     long_line = lambda x: F.length(x) >= min_chars

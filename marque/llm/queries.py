@@ -12,7 +12,7 @@ from marque.llm.ann import nearest
 from marque.llm.bpe_codec import codec_digests
 from marque.llm.decontaminate import contamination
 from marque.llm.html_text import extract_text
-from marque.llm.line_dedup import dedup_lines
+from marque.llm.line_dedup import QUERY_SHINGLE, dedup_lines
 from marque.llm.lm_scores import lm_scores
 from marque.llm.ngram_join import jaccard_components
 from marque.llm.pii import pseudonymise
@@ -67,7 +67,7 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents"), percent=80, min_chars=40)
+    out = dedup_lines(table(spark, sf_dir, "documents"), percent=80, min_chars=40, shingle=QUERY_SHINGLE)
     return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("text_sha256"))
 
 
