@@ -3,7 +3,7 @@
 Lines of at least ``min_chars`` characters are eligible; shorter ones are left alone. The
 steps: character-shingle MinHash signatures; banding, with band hashes packed by hash block
 and shuffled in bulk, so that only lines that share a band with another text's line go on;
-exact Jaccard of each candidate with its band's centre; distributed union-find over the
+exact Jaccard of all pairs of a band that aren't linked yet; distributed union-find over the
 links; and removal of every line of a component but the first (by id, then line number).
 
 Byte-equal texts are one row until the end: of rows with one text, those with a larger id
@@ -30,10 +30,13 @@ SHINGLE = 9
 QUERY_SHINGLE = 6
 #: A pair at exactly 0.8 misses every band once in 4,600.
 BANDS, ROWS = 16, 4
-#: Eligible lines packed together, text bytes for each hash block, candidates of a band that share a centre.
+#: Eligible lines packed together, text bytes for each hash block, different lines of a band compared in one block.
 PART_LINES = 20_000
 BLOCK_BYTES = 8_000_000
-CENTRE_LINES = 1000
+BAND_LINES = 1000
+#: Cells of a line's presence bitmap, and characters of lines whose bands are compared at once.
+BITS = 512
+FOREST_CHARS = 2_000_000
 #: Estimated bytes up to which a side is broadcast; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 32_000_000
 
@@ -184,24 +187,85 @@ def _small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
-def _verified(pairs: DataFrame, percent: int, size: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (b.column(i).to_pylist() for i in (2, 3))
-            if not x:
+def _forest(place: np.ndarray, hashes: np.ndarray, comps: np.ndarray, texts: list[str], percent: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (component, component), a spanning forest of all pairs of like lines of different components in one place; place is sorted.
+
+    A pair whose presence bitmaps differ in more cells than two like sets can is passed over; all others are compared as sets.
+    """
+    _, at, line = np.unique(hashes, return_index=True, return_inverse=True)
+    parts, n, bits = [], [], []
+    for i in range(0, len(at), 500):
+        h, first = _shingles([texts[j] for j in at[i : i + 500]], size)
+        count = np.diff(np.r_[first, len(h)])
+        cells = np.zeros((len(first), BITS), bool)
+        cells[np.repeat(np.arange(len(first)), count), (h % np.uint64(BITS)).astype(np.int64)] = True
+        parts += np.split(h, first[1:])
+        n.append(count)
+        bits.append(np.packbits(cells, axis=1).view("<u8"))
+    n, bits = np.concatenate(n), np.concatenate(bits)
+    label, group = np.unique(comps, return_inverse=True)
+    parent = np.arange(len(label))
+    sets: dict[int, frozenset] = {}
+    a, b = [], []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    def of(x: int) -> frozenset:
+        if x not in sets:
+            sets[x] = frozenset(parts[x].tolist())
+        return sets[x]
+
+    rows, d = np.arange(len(place)), 1
+    while True:  # pairs d rows apart
+        rows = rows[: np.searchsorted(rows, len(place) - d)]
+        rows = rows[place[rows] == place[rows + d]]
+        if not len(rows):
+            break
+        flat = parent
+        while (flat != flat[flat]).any():
+            flat = flat[flat]
+        i = rows[flat[group[rows]] != flat[group[rows + d]]]
+        x, y = line[i], line[i + d]
+        apart = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
+        near = (100 + percent) * apart <= (100 - percent) * (n[x] + n[y])
+        for i, x, y in zip(i[near].tolist(), x[near].tolist(), y[near].tolist(), strict=True):
+            r, s = root(group[i]), root(group[i + d])
+            if r == s:
                 continue
-            sets = []
-            for side in (x, y):
-                h, first = _shingles(side, size)
-                sets.append(np.split(h, first[1:]))
-            ok = []
-            for p, q in zip(*sets, strict=True):
-                p, q = np.unique(p), np.unique(q)
-                o = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(100 * o >= percent * (len(p) + len(q) - o))
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], ["a", "b"])
+            p, q = of(x), of(y)
+            o = len(p & q)
+            if 100 * o >= percent * (len(p) + len(q) - o):
+                parent[max(r, s)] = min(r, s)
+                a.append(r)
+                b.append(s)
+        d += 1
+    return label[np.array(a, np.int64)], label[np.array(b, np.int64)]
+
+
+def _links(rows: DataFrame, percent: int, size: int) -> DataFrame:
+    """Links (a, b) between components of all like lines in one place; rows: place, hash, comp, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            c = list(zip(*own, strict=True))
+            a, b = _forest(*(np.array(x, np.int64) for x in c[:3]), c[3], percent, size)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        own, chars = [], 0
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if chars >= FOREST_CHARS and own[-1][0] != r[0]:
+                    yield out()
+                    own, chars = [], 0
+                own.append(r)
+                chars += len(r[3])
+        if own:
+            yield out()
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(tidy(run), "a long, b long")
+    return rows.select("place", "hash", "comp", "text").repartition("place").sortWithinPartitions("place").mapInArrow(tidy(run), "a long, b long")
 
 
 def removed_lines(docs: DataFrame, id_col: str, text_col: str, percent: int, min_chars: int, shingle: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -215,20 +279,28 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, percent: int, min
     packed = _pack(rows.select("key", "text"), even_keys(spark, blocks), min_chars, shingle).repartition(blocks, "block")
     found = cut(_candidates(_share(packed), blocks))
 
-    # Centres: the least hash of each band, one for every CENTRE_LINES candidates and one above those.
+    # Bands of several different lines, of those with the same lines one. A wide band is cut into blocks; its least hash is in each.
     band = found.select("hash", F.explode("tokens").alias("token")).distinct()
-    wide = band.groupBy("token").agg(F.count("*").alias("n"), F.min("hash").alias("top")).where("n > 1")
-    band = band.join(wide, "token").withColumn("share", F.pmod(F.xxhash64("hash"), F.ceil(F.col("n") / CENTRE_LINES).cast("long")))
-    centre = band.groupBy("token", "share").agg(F.min("hash").alias("mid"), F.min("top").alias("top"))
-    pairs = band.join(centre.select("token", "share", "mid"), ["token", "share"]).select(F.col("mid").alias("a"), F.col("hash").alias("b"))
-    pairs = cut(pairs.unionByName(centre.select(F.col("top").alias("a"), F.col("mid").alias("b"))).where("a <> b").distinct())
+    wide = band.groupBy("token").agg(F.count("*").alias("n"), F.min("hash").alias("top"), F.bit_xor("hash").alias("x"), F.bit_xor(F.xxhash64("hash")).alias("y")).where("n > 1")
+    wide = wide.groupBy("n", "top", "x", "y").agg(F.min("token").alias("token")).select("token", "top", F.ceil(F.col("n") / BAND_LINES).cast("int").alias("blocks"))
+    member = cut(band.join(wide, "token").select("token", "hash", "top", "blocks", F.pmod(F.xxhash64("hash"), F.col("blocks")).cast("int").alias("i")))
 
-    need = cut(pairs.select(F.explode(F.array("a", "b")).alias("hash")).distinct().join(found.groupBy("hash").agg(F.min(F.struct("key", "line")).alias("at")), "hash").select("hash", "at.key", "at.line"))
+    need = cut(member.select("hash").distinct().join(found.groupBy("hash").agg(F.min(F.struct("key", "line")).alias("at")), "hash").select("hash", "at.key", "at.line"))
     text = rows.select("key", "text").join(_small(need.groupBy("key").agg(F.collect_list(F.struct("line", "hash")).alias("lines")), 100), "key")
     text = text.select(F.split("text", "\n").alias("all"), F.explode("lines").alias("l")).select("l.hash", F.element_at("all", F.col("l.line") + 1).alias("text"))
     text = cut(text.groupBy("hash").agg(F.first("text").alias("text")))
-    full = pairs.join(text.select(F.col("hash").alias("a"), F.col("text").alias("text_a")), "a").join(text.select(F.col("hash").alias("b"), F.col("text").alias("text_b")), "b")
-    roots = connected_components(_verified(full, percent, shingle))
+    block = F.xxhash64("token", "i").alias("place")
+    own = member.select(block, "hash").unionByName(member.where("blocks > 1").select(block, F.col("top").alias("hash")).distinct())
+    links = cut(_links(own.join(text, "hash").withColumn("comp", F.col("hash")), percent, shingle))
+    roots = connected_components(links)
+
+    # Wide bands whose lines are still in several components: every pair of their blocks.
+    broad = member.where("blocks > 1").join(roots.select(F.col("node").alias("hash"), "root"), "hash", "left").select("token", "hash", "i", "blocks", F.coalesce("root", "hash").alias("comp"))
+    mixed = cut(broad.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token"))
+    if not mixed.isEmpty():
+        pair = broad.join(mixed, "token").select("*", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("i"))).alias("j"))
+        pair = pair.select(F.xxhash64("token", F.least("i", "j"), F.greatest("i", "j")).alias("place"), "hash", "comp")
+        roots = connected_components(links.unionByName(_links(pair.join(text, "hash"), percent, shingle)))
 
     first = rows.where("text is not null").groupBy("key").agg(F.min("id").alias("first"), F.count_distinct("id").alias("ids"))
     lines = found.select("hash", "key", "line").join(roots.select(F.col("node").alias("hash"), "root"), "hash", "left").select("key", "line", F.coalesce("root", "hash").alias("comp")).join(first.select("key", "first"), "key")

@@ -2,8 +2,12 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 import corpus_pipeline as cp
+from marque.llm import line_dedup
 from marque.llm import queries as q
+from marque.llm.line_dedup import dedup_lines
 from tests.llm.test_similarity import brute_lines
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -29,3 +33,24 @@ def test_query_and_stage_compare_six_character_shingles(spark, tmp_path):
     out = {r.doc_id: r.n_removed for r in q.op7_line_dedup(spark, d).collect()}
     assert {i for i, n in out.items() if n} == gone
     assert {r.doc_id for r in cp.line_dedup(spark, q.table(spark, d, "documents"), d).collect()} == set(out) - gone
+
+
+@pytest.mark.parametrize("band_lines", [1000, 20])
+def test_every_pair_of_a_wide_band_is_compared(spark, monkeypatch, band_lines):
+    """Lines of one frame share bands though most are unlike; like ones among them mustn't depend on a centre."""
+    monkeypatch.setattr(line_dedup, "BAND_LINES", band_lines)
+    rnd = random.Random(5)
+    word = lambda n: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    frame = [word(8) for _ in range(30)]
+    rows = []
+    for i in range(60):
+        x, y, z = rnd.sample(range(30), 3)
+        own = word(8)
+        for j, k in enumerate((y, z)):
+            line = list(frame)
+            line[x], line[k] = own, word(8)
+            rows.append((2 * i + j, " ".join(line)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    gone = {i for i, _ in brute_lines(rows, k=6)}
+    assert 60 <= len(gone) <= 80
+    assert {r.doc_id for r in dedup_lines(df, shingle=6).where("n_removed > 0").collect()} == gone
