@@ -1,7 +1,8 @@
 """Near-duplicate lines by MinHash, kept once in the corpus.
 
-Lines of at least ``min_chars`` characters are eligible; shorter ones are left alone. The
-steps: character-shingle MinHash signatures; banding, with band hashes packed by hash block
+Lines of at least ``min_chars`` characters are eligible; shorter ones are left alone or, with
+``short_lines``, compared as one shingle each: by equality. The steps for long ones:
+character-shingle MinHash signatures; banding, with band hashes packed by hash block
 and shuffled in bulk, so that only lines that share a band with another text's line go on;
 exact Jaccard of all pairs of a band that aren't linked yet; distributed union-find over the
 links; and removal of every line of a component but the first (by id, then line number).
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marque.llm.arrow import slices, tidy
@@ -43,6 +44,7 @@ BROADCAST_BYTES = 32_000_000
 _ENTRY = np.dtype([("local", "<u2"), ("token", "u1", 6)])
 _SHARED = np.dtype([("local", "<u2"), ("token", "<u8")])
 _LINE = np.dtype([("key", "<i8"), ("line", "<i4"), ("hash", "<i8")])
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _PACK = "block int, part long, kind int, data binary"
 _SALT = np.random.default_rng(7).integers(1, 2**31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
 _STEP = np.random.default_rng(8).integers(1, 2**63, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -268,7 +270,12 @@ def _links(rows: DataFrame, percent: int, size: int) -> DataFrame:
     return rows.select("place", "hash", "comp", "text").repartition("place").sortWithinPartitions("place").mapInArrow(tidy(run), "a long, b long")
 
 
-def removed_lines(docs: DataFrame, id_col: str, text_col: str, percent: int, min_chars: int, shingle: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _short(line: Column, min_chars: int) -> Column:
+    """Whether a line is short but not blank."""
+    return (F.length(line) < min_chars) & line.rlike(r"(?U)\S")
+
+
+def removed_lines(docs: DataFrame, id_col: str, text_col: str, percent: int, min_chars: int, shingle: int, short_lines: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows with id, key, text; key -> removed line numbers; key -> first id, for texts of several ids)."""
     if not 1 <= shingle <= min(SHINGLE, min_chars):
         raise ValueError(f"shingle must be from 1 to {SHINGLE}, and min_chars at least that")
@@ -303,27 +310,35 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, percent: int, min
         roots = connected_components(links.unionByName(_links(pair.join(text, "hash"), percent, shingle)))
 
     first = rows.where("text is not null").groupBy("key").agg(F.min("id").alias("first"), F.count_distinct("id").alias("ids"))
-    lines = found.select("hash", "key", "line").join(roots.select(F.col("node").alias("hash"), "root"), "hash", "left").select("key", "line", F.coalesce("root", "hash").alias("comp")).join(first.select("key", "first"), "key")
+    lines = found.select("hash", "key", "line").join(roots.select(F.col("node").alias("hash"), "root"), "hash", "left").select("key", "line", F.coalesce("root", "hash").alias("comp"))
+    if short_lines:
+        every = rows.where("text is not null").select("key", F.posexplode(F.split("text", "\n")).alias("line", "x")).where(_short(F.col("x"), min_chars))
+        every = every.select(F.xxhash64(F.translate("x", _UPPER, _UPPER.lower()), F.lit("short")).alias("comp"), "key", "line").distinct()
+        often = every.groupBy("comp").agg(F.min(F.struct("key", "line")).alias("a"), F.max(F.struct("key", "line")).alias("b")).where("a <> b").select("comp")
+        lines = lines.unionByName(every.join(often, "comp"))
+    lines = lines.join(first.select("key", "first"), "key")
     keep = lines.groupBy("comp").agg(F.min(F.struct("first", "key", "line")).alias("keep"))
     gone = lines.join(keep, "comp").where("key <> keep.key or line <> keep.line").groupBy("key").agg(F.collect_set("line").alias("gone"))
     return rows, cut(gone), cut(first.where("ids > 1").select("key", "first"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, min_chars: int = 40, shingle: int = SHINGLE) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, min_chars: int = 40, shingle: int = SHINGLE, short_lines: bool = False) -> DataFrame:
     """docs, with the duplicate lines cut out of the text, and n_lines, n_removed, n_long_kept added.
 
     Two eligible lines (of min_chars characters or more) are duplicates when percent * |union| <=
     100 * |intersection| for their sets of shingles of so many characters; duplicates of duplicates
-    count too, and the first line of a component in order of (id, line number) stays. A
+    count too, and the first line of a component in order of (id, line number) stays. With
+    short_lines, shorter lines that aren't blank are duplicates where equal but for A-Z's case. A
     null text stays null with 0 lines; an empty one has one (short) line. Rows of equal id
     and text are treated alike. Other columns pass through, whatever their names, but for
     the three added ones, which replace columns of their names.
     """
-    rows, gone, copies = removed_lines(docs, id_col, text_col, percent, min_chars, shingle)
+    rows, gone, copies = removed_lines(docs, id_col, text_col, percent, min_chars, shingle, short_lines)
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.split(text_col, "\n").alias("all"))
     out = base.join(_small(gone, 120), "key", "left").join(_small(copies, 24), "key", "left")
     long_line = lambda x: F.length(x) >= min_chars
-    kept = F.when(F.col("first") < F.col("id"), F.filter("all", lambda x: ~long_line(x))).when(F.col("gone").isNotNull(), F.filter("all", lambda x, i: ~F.array_contains("gone", i))).otherwise(F.col("all"))
+    spared = lambda x: ~long_line(x) & ~_short(x, min_chars) if short_lines else ~long_line(x)
+    kept = F.when(F.col("first") < F.col("id"), F.filter("all", spared)).when(F.col("gone").isNotNull(), F.filter("all", lambda x, i: ~F.array_contains("gone", i))).otherwise(F.col("all"))
     out = out.withColumn("kept", kept)
     n = F.when(F.col("all").isNull(), 0).otherwise(F.size("all"))
     m = F.when(F.col("all").isNull(), 0).otherwise(F.size("all") - F.size("kept"))

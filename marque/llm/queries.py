@@ -67,7 +67,7 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents"), percent=80, min_chars=40, shingle=QUERY_SHINGLE)
+    out = dedup_lines(table(spark, sf_dir, "documents"), percent=80, min_chars=40, shingle=QUERY_SHINGLE, short_lines=True)
     return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("text_sha256"))
 
 

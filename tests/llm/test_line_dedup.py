@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 
 import pytest
@@ -54,3 +55,16 @@ def test_every_pair_of_a_wide_band_is_compared(spark, monkeypatch, band_lines):
     gone = {i for i, _ in brute_lines(rows, k=6)}
     assert 60 <= len(gone) <= 80
     assert {r.doc_id for r in dedup_lines(df, shingle=6).where("n_removed > 0").collect()} == gone
+
+
+def test_query_and_stage_keep_each_short_line_once(spark, tmp_path):
+    rnd = random.Random(9)
+    long_line = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz ", k=60)) for _ in range(4)]
+    texts = [f"Home\n\n{long_line[0]}\nhome", f"HOME\n \n{long_line[1]}\nÉ\né\nab", f"{long_line[2]}\nab\n\nonly here", f"{long_line[3]}\nx" + "y" * 38, "x" + "y" * 38 + "\nlast", "ab\nnew", "ab\nnew", None, ""]
+    want = [f"Home\n\n{long_line[0]}", f" \n{long_line[1]}\nÉ\né\nab", f"{long_line[2]}\n\nonly here", f"{long_line[3]}\nx" + "y" * 38, "last", "new", "", None, ""]
+    d = folder(spark, tmp_path, list(enumerate(texts)))
+    out = {r.doc_id: r for r in q.op7_line_dedup(spark, d).collect()}
+    assert [out[i].text_sha256 for i in range(9)] == [t if t is None else hashlib.sha256(t.encode()).hexdigest() for t in want]
+    assert [out[i].n_removed for i in range(9)] == [1, 1, 1, 0, 1, 1, 2, 0, 0]
+    staged = {r.doc_id: r.text for r in cp.line_dedup(spark, q.table(spark, d, "documents"), d).collect()}
+    assert {i: t for i, t in staged.items() if i < 4} == dict(enumerate(want[:4]))
