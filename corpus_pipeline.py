@@ -37,9 +37,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each fuzzy line once in the corpus. A document that lost lines and has no long line left goes: what it held stays elsewhere."""
+    """Each fuzzy line once in the corpus. A document that lost lines and has none left but blank ones goes: what it held stays elsewhere."""
     out = dedup_lines(docs, shingle=QUERY_SHINGLE, short_lines=True)
-    out = out.where((F.col("n_removed") == 0) | (F.col("n_long_kept") > 0))
+    out = out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"(?U)\S"))
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

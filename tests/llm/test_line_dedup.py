@@ -68,3 +68,11 @@ def test_query_and_stage_keep_each_short_line_once(spark, tmp_path):
     assert [out[i].n_removed for i in range(9)] == [1, 1, 1, 0, 1, 1, 2, 0, 0]
     staged = {r.doc_id: r.text for r in cp.line_dedup(spark, q.table(spark, d, "documents"), d).collect()}
     assert {i: t for i, t in staged.items() if i < 4} == dict(enumerate(want[:4]))
+
+
+def test_stage_keeps_documents_with_short_lines_of_their_own(spark, tmp_path):
+    licence, poem = "Permission is hereby granted to everyone to use this text.", "A rose\n\nis a rose"
+    rows = [(1, f"{licence}\nfirst"), (2, f"{licence}\n{poem}"), (3, f"{licence}\n\nfirst\n \n"), (4, licence.upper()), (5, "first")]
+    d = folder(spark, tmp_path, rows)
+    out = {r.doc_id: (r.text, r.n_chars) for r in cp.line_dedup(spark, q.table(spark, d, "documents"), d).collect()}
+    assert out == {1: (rows[0][1], len(rows[0][1])), 2: (poem, len(poem))}
