@@ -8,9 +8,10 @@ digit, public addresses stay public, hexadecimal stays hexadecimal, names keep t
 script and number of words, and the case of letters is kept.
 
 Numbers and addresses go through a keyed permutation (a Feistel network), which can't make two
-of them equal. The other kinds are checked over the whole corpus: where two entities share a
+of them equal. All kinds are checked over the whole corpus: where two entities share a
 surrogate, or a surrogate is itself an entity of the corpus, the later ones are drawn anew
-with another nonce until all differ. Only those redrawn travel back to their documents.
+with another nonce (numbers and addresses by another permutation) until all differ; where
+that can't be reached an error is raised. Only those redrawn travel back to their documents.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from marque.llm.shared import cut
 
-#: Redraws after which a name gets a further syllable, and after which the search ends.
+#: Redraws after which a name gets a further syllable (and one more each time), and after which the search fails.
 LONGER_AFTER, MAX_DRAWS = 3, 40
 #: Estimated bytes up to which the redrawn entities of documents are broadcast.
 BROADCAST_BYTES = 16_000_000
@@ -104,6 +105,10 @@ def _digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
 
+def _salt(name: str, nonce: Column) -> Column:
+    return F.when(nonce == 0, F.lit(name)).otherwise(F.concat(F.lit(name), nonce.cast("string")))
+
+
 def _luhn_sum(digits: Column, doubled: int) -> Column:
     """Luhn's sum of a digit string; doubled: 1 if the last digit counts double, else 0."""
     ds = F.reverse(F.filter(F.split(digits, ""), lambda c: c != ""))
@@ -115,26 +120,29 @@ def _luhn_sum(digits: Column, doubled: int) -> Column:
     return F.aggregate(F.transform(ds, weigh), F.lit(0), lambda a, d: a + d)
 
 
-def _card(key: str, e: Column) -> Column:
+def _card(key: str, e: Column, nonce: Column) -> Column:
     def run(d: Column) -> Column:
-        inner = _permuted(key, F.substr(d, F.lit(2), F.length(d) - 2), F.lit("card"))
+        inner = _permuted(key, F.substr(d, F.lit(2), F.length(d) - 2), _salt("card", nonce))
         return _let(F.concat(F.substring(d, 1, 1), inner), lambda b: _laid_out(e, F.concat(b, F.pmod(-_luhn_sum(b, 1), F.lit(10)).cast("string"))))
 
     return _let(_digits(e), run)
 
 
-def _plain_number(key: str, e: Column) -> Column:
+def _plain_number(key: str, e: Column, nonce: Column | None = None) -> Column:
+    salt = F.lit("number") if nonce is None else _salt("number", nonce)
     head = F.regexp_extract(e, r"^\+\d{1,3}(?=[ .(-])", 0)  # the country code stays
-    return _let(F.substr(e, F.length(head) + 1), lambda tail: F.concat(head, _laid_out(tail, _permuted(key, _digits(tail), F.lit("number")))))
+    return _let(F.substr(e, F.length(head) + 1), lambda tail: F.concat(head, _laid_out(tail, _permuted(key, _digits(tail), salt))))
 
 
-def _address(key: str, e: Column) -> Column:
+def _address(key: str, e: Column, nonce: Column | None = None) -> Column:
+    salt = F.lit if nonce is None else lambda name: _salt(name, nonce)
+
     def public(hi: Column, lo: Column) -> Column:
         a = F.shiftright(hi, 8)
         return ~(a.isin(0, 10, 127) | (a >= 224) | hi.between(172 * 256 + 16, 172 * 256 + 31) | hi.isin(192 * 256 + 168, 169 * 256 + 254))
 
     def turn(acc: Column, k: Column) -> Column:
-        mask = lambda by, side: F.pmod(_number(_hash(key, F.lit("ip"), k % 4, F.lit(side), by)), F.lit(65536)).cast("int")
+        mask = lambda by, side: F.pmod(_number(_hash(key, salt("ip"), k % 4, F.lit(side), by)), F.lit(65536)).cast("int")
         moved = _let(acc["hi"].bitwiseXOR(mask(acc["lo"], "h")), lambda h: F.struct(h.alias("hi"), acc["lo"].bitwiseXOR(mask(h, "l")).alias("lo")))
         return F.when((k % 4 == 0) & (k > 0) & public(acc["hi"], acc["lo"]), acc).otherwise(moved)
 
@@ -144,7 +152,7 @@ def _address(key: str, e: Column) -> Column:
         text = lambda hi, lo: F.concat_ws(".", F.shiftright(hi, 8).cast("string"), (hi % 256).cast("string"), F.shiftright(lo, 8).cast("string"), (lo % 256).cast("string"))
 
         def whole(s: Column) -> Column:
-            inner = F.pmod(s["lo"] * (2 * _number(_hash(key, F.lit("private"), s["hi"]), 1, 4) + 1) + _number(_hash(key, F.lit("private"), s["hi"]), 5, 4), F.lit(65536)).cast("int")
+            inner = F.pmod(s["lo"] * (2 * _number(_hash(key, salt("private"), s["hi"]), 1, 4) + 1) + _number(_hash(key, salt("private"), s["hi"]), 5, 4), F.lit(65536)).cast("int")
             # Walking whole cycles of four turns until the address is public keeps the permutation one.
             walked = F.aggregate(F.sequence(F.lit(0), F.lit(31)), s, turn)
             return F.when(public(s["hi"], s["lo"]), _let(walked, lambda w: text(w["hi"], w["lo"]))).otherwise(text(s["hi"], inner))
@@ -194,8 +202,12 @@ def _name(key: str, e: Column, nonce: Column) -> Column:
     def by_script(make) -> Column:
         return F.when(script == "cyrillic", make("cyrillic")).otherwise(make("latin"))
 
+    def more(s: str, digest: Column) -> Column:
+        each = F.array_repeat(digest, F.floor(nonce / (LONGER_AFTER + 1)).cast("int"))
+        return F.array_join(F.transform(each, lambda d, i: F.lower(of(_STEMS[s], F.sha2(F.concat_ws("\x1f", d, i.cast("string")), 256), 1))), "")
+
     last = F.element_at(rest, -1)
-    family = by_script(lambda s: F.concat(of(_STEMS[s], d := _hash(key, F.lit("family"), last, nonce), 1), F.when(nonce > LONGER_AFTER, F.lower(of(_STEMS[s], d, 9))).otherwise(""), of(_ENDS[s], d, 17)))
+    family = by_script(lambda s: F.concat(of(_STEMS[s], d := _hash(key, F.lit("family"), last, nonce), 1), more(s, d), of(_ENDS[s], d, 17)))
     given = by_script(lambda s: F.when(gender == "m", of(_NAMES[s, "m"], _hash(key, F.lit("given"), F.element_at(rest, 1), nonce), 1)).otherwise(of(_NAMES[s, "f"], _hash(key, F.lit("given"), F.element_at(rest, 1), nonce), 1)))
     return F.concat_ws(" ", title, F.when(F.size(rest) > 1, given), family)
 
@@ -209,7 +221,7 @@ def kind_of(e: Column) -> Column:
 def surrogate(e: Column, key: str, nonce: Column | None = None) -> Column:
     """The replacement of an entity."""
     n = F.lit(0) if nonce is None else nonce
-    return _let(kind_of(e), lambda k: F.when(k == "email", _email(key, e, n)).when(k == "name", _name(key, e, n)).when(k == "address", _address(key, e)).when(k == "card", _card(key, e)).when(k == "number", _plain_number(key, e)).otherwise(_secret(key, e, n)))
+    return _let(kind_of(e), lambda k: F.when(k == "email", _email(key, e, n)).when(k == "name", _name(key, e, n)).when(k == "address", _address(key, e, n)).when(k == "card", _card(key, e, n)).when(k == "number", _plain_number(key, e, n)).otherwise(_secret(key, e, n)))
 
 
 def _redrawn(entities: DataFrame, key: str) -> DataFrame:
@@ -226,6 +238,8 @@ def _redrawn(entities: DataFrame, key: str) -> DataFrame:
         changed = True
         fresh = known.join(again, "e").select("e", surrogate(F.col("e"), key, F.col("nonce") + 1).alias("s"), (F.col("nonce") + 1).alias("nonce"))
         known = cut(known.join(again, "e", "left_anti").unionByName(fresh))
+    else:
+        raise ValueError(f"after {MAX_DRAWS} redraws some entities still share a surrogate, or have another entity's value")
     return known.where("nonce > 0").select("e", "s") if changed else known.where("false").select("e", "s")
 
 

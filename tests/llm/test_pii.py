@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import re
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from marque.llm import pii
@@ -64,3 +66,27 @@ def test_colliding_surrogates_are_redrawn(spark):
     first = [t.split(" met ")[0] for t in out]
     assert all(t == f"{a} met {a}" for t, a in zip(out, first, strict=True))
     assert len(set(first)) == len(names) and not {*first} & {f"Mr {n}" for n in names}
+
+
+def test_more_surnames_of_one_title_than_short_surrogates(spark):
+    """20 x 16 stems and ends, and 20 x 20 x 16 with one more syllable, are fewer than these."""
+    df = spark.range(9000).select(F.col("id").alias("doc_id"), F.concat(F.lit("Mr B"), F.translate(F.lpad(F.col("id").cast("string"), 4, "0"), "0123456789", "abcdefghij")).alias("text"))
+    out = pseudonymise(df, "k").cache()
+    assert out.select("text").distinct().count() == 9000
+    assert out.join(df.select("text"), "text").count() == 0
+
+
+def test_a_number_never_becomes_another_of_the_corpus(spark):
+    a, n = "20.30.40.50", "9566113270"
+    first = of(spark, [a, n])
+    values = [a, n, first[a][1], first[n][1]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "doc_id long, text string")
+    got = {r.text for r in pseudonymise(df, "k").collect()}
+    assert len(got) == 4 and not got & set(values)
+
+
+def test_without_a_free_surrogate_it_fails(spark, monkeypatch):
+    monkeypatch.setattr(pii, "MAX_DRAWS", 1)
+    df = spark.range(900).select(F.col("id").alias("doc_id"), F.concat(F.lit("Mr B"), F.translate(F.lpad(F.col("id").cast("string"), 3, "0"), "0123456789", "abcdefghij")).alias("text"))
+    with pytest.raises(ValueError):
+        pseudonymise(df, "k")
