@@ -74,7 +74,7 @@ def _ten(n: Column) -> Column:
 
 
 def _permuted(key: str, digits: Column, salt: Column) -> Column:
-    """A keyed permutation of the digit strings of each length from 2 to 30; shorter ones stay."""
+    """A keyed permutation of the digit strings of each length from 2; shorter ones stay, longer ones than 30 go in pieces."""
 
     def run(d: Column) -> Column:
         n = F.length(d)
@@ -88,7 +88,12 @@ def _permuted(key: str, digits: Column, salt: Column) -> Column:
 
         return F.aggregate(F.array(*[F.lit(i) for i in range(4)]), start, turn, lambda a: F.concat(a["l"], a["r"]))
 
-    return F.when(F.length(digits).between(2, 30), _let(digits, run)).otherwise(digits)
+    def pieces(d: Column) -> Column:
+        n = F.ceil(F.length(d) / 28).cast("int")  # a last piece of one digit joins the one before: 29 at most
+        ends = lambda i: F.when(F.length(d) - (i + 1) * 28 < 2, F.length(d)).otherwise((i + 1) * 28)
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: _let(F.substr(d, i * 28 + 1, ends(i) - i * 28), lambda x: F.when(F.length(x) > 1, run(x)).otherwise(""))), "")
+
+    return F.when(F.length(digits).between(2, 30), _let(digits, run)).when(F.length(digits) > 30, _let(digits, pieces)).otherwise(digits)
 
 
 def _laid_out(layout: Column, digits: Column) -> Column:

@@ -90,3 +90,13 @@ def test_without_a_free_surrogate_it_fails(spark, monkeypatch):
     df = spark.range(900).select(F.col("id").alias("doc_id"), F.concat(F.lit("Mr B"), F.translate(F.lpad(F.col("id").cast("string"), 3, "0"), "0123456789", "abcdefghij")).alias("text"))
     with pytest.raises(ValueError):
         pseudonymise(df, "k")
+
+
+def test_long_runs_of_digits_are_replaced_in_every_piece(spark):
+    values = ["".join(str((i * i + n) % 10) for i in range(n)) for n in (31, 56, 57, 58, 84, 85, 200)] + ["12345678-" * 5]
+    got = of(spark, values)
+    for e, (k, s) in got.items():
+        assert k == "number" and len(s) == len(e) and re.sub(r"\d", "0", s) == re.sub(r"\d", "0", e), e
+        assert all(s[i : i + 28] != e[i : i + 28] for i in range(0, len(e) - 4, 28)), e
+    near = of(spark, ["7" * 40 + f"{i:03}" for i in range(300)])
+    assert len({s for _, s in near.values()}) == 300
