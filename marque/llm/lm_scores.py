@@ -4,30 +4,32 @@ S(w | h) is c(h w) / c(h) where the bigram is in the table, else alpha * c(w) /
 tables count the whole corpus that is scored; a bigram enters with ``min_count``
 occurrences, as one seen only in the text at hand says nothing about it.
 
-All is relational, on packed rows. A document's distinct bigrams (with their numbers) go to
-the block of their history's hash, where the count table is summed and joined to them; a
+All is relational, on packed rows (``dealing``). A document's distinct bigrams (with their numbers)
+go to the block of their history's hash, where the count table is summed and joined to them; a
 document's last word goes with an end mark, so that a history's bigrams add up to its count.
 What the table doesn't hold needs c(w): it goes on to the block of that word's hash, where
 the unigram counts of all tasks meet. What a block finds is summed for each document.
 
 Hot words (at most 1000, found in a sample) only change how rows are dealt: their bigrams
 are spread by both words, and their counts, taken over all texts in a pass of its own, are
-broadcast. Words of a row are 40-bit ids.
+broadcast. Words of a row are 56-bit ids.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marque.llm.arrow import slices, tidy
-from marque.llm.hashing import BLANK, hashed_words, lower_ascii, mix
-from marque.llm.shared import cut, even_keys, text_bytes
+from marque.llm.dealing import LOCAL, SCHEMA, Deal, Packed, Row, batched, grouped, united
+from marque.llm.hashing import BLANK, hashed_words, lower_ascii
+from marque.llm.shared import cut, text_bytes
 
 #: Text bytes for each block, and those packed together.
 BLOCK_BYTES = 12_000_000
@@ -35,59 +37,20 @@ PART_BYTES = 6_000_000
 PART_DOCS = 60_000
 #: Distinct words a task holds before it sends their counts on.
 HELD_WORDS = 2_000_000
+#: Lookups of a block that are joined at once.
+LOOK_ENTRIES = 4_000_000
 #: A hot word has this share of the words of the sample; the sample's text bytes, about.
 HOT_SHARE = 0.001
 SAMPLE_BYTES = 20_000_000
 
-_PACK = "block int, part long, kind int, src int, data binary"
-_NAMES = ["block", "part", "kind", "src", "data"]
-_ID_BITS = np.uint64(24)  # of a 64-bit hash the upper 40 bits are a word's id
-_PLAIN, _PAIR, _LOOK, _COUNT, _SUM = range(5)
-
-
-def _emit(rows: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatch:
-    c = list(zip(*rows, strict=True))
-    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, kinds, strict=True)], _NAMES)
-
-
-def _five(x: np.ndarray) -> bytes:
-    """Five bytes of each id, byte planes apart (they compress by themselves)."""
-    return np.ascontiguousarray(np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
-def _from_five(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
-
-
-def _pairs_out(a: np.ndarray, b: np.ndarray, local: np.ndarray, n: np.ndarray) -> bytes:
-    """Bigrams in order of a, which is written once for each of its runs."""
-    at = _runs(a)
-    size = np.diff(np.r_[at, len(a)])
-    return np.array([len(a), len(at)], "<u4").tobytes() + size.astype("<u4").tobytes() + n.astype("<u2").tobytes() + local.astype("<u2").tobytes() + _five(a[at]) + _five(b)
-
-
-def _pairs_in(d: bytes) -> tuple[np.ndarray, ...]:
-    m, k = np.frombuffer(d, "<u4", 2).tolist()
-    o = 8 + 4 * k
-    size, n, local = np.frombuffer(d, "<u4", k, 8), np.frombuffer(d, "<u2", m, o), np.frombuffer(d, "<u2", m, o + 2 * m)
-    o += 4 * m
-    return np.repeat(_from_five(d[o : o + 5 * k]), size), _from_five(d[o + 5 * k :]), local, n
-
-
-def _looks_out(local: np.ndarray, n: np.ndarray, w: np.ndarray) -> bytes:
-    return np.uint32(len(local)).tobytes() + local.astype("<u2").tobytes() + n.astype("<i4").tobytes() + _five(w)
-
-
-def _looks_in(d: bytes) -> tuple[np.ndarray, ...]:
-    m = int(np.frombuffer(d, "<u4", 1)[0])
-    return np.frombuffer(d, "<u2", m, 4), np.frombuffer(d, "<i4", m, 4 + 2 * m), _from_five(d[4 + 6 * m :])
-
+_ID_BITS = np.uint64(8)  # of a 64-bit hash the upper 56 bits are a word's id
+#: Kinds of rows: documents' names and sizes; bigrams; words whose counts are asked for; counts; sums of documents.
+_HOME, _PAIR, _LOOK, _COUNT, _SUM = range(5)
+#: The word that ends a document; a word's own id of 0 becomes 1.
+_END = np.uint64(0)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
-def _block(x: np.ndarray, n: int) -> np.ndarray:
-    return (mix(x) % np.uint64(n)).astype(np.int64)
+Batches = Iterator[pa.RecordBatch]
 
 
 def _runs(*columns: np.ndarray) -> np.ndarray:
@@ -97,24 +60,26 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)])
 
 
-def _deal(block: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(block, kind="stable")
-    return order, np.searchsorted(block[order], np.arange(n + 1))
+def _words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    h, size = hashed_words([t or b"" for t in texts], lower_ascii(), BLANK)
+    return np.maximum(h >> _ID_BITS, np.uint64(1)), size
 
 
-#: The word that ends a document; a word's own id of 0 becomes 1.
-_END = np.uint64(0)
+def _added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    w, n = np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
+    order = np.argsort(w)
+    at = _runs(w[order])
+    return w[order][at], np.add.reduceat(n[order], at) if len(at) else n
 
 
-def _words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    h, size = hashed_words([t or b"" for t in texts], lower_ascii(), BLANK)
-    return np.maximum(h >> _ID_BITS, np.uint64(1)), size
+def _sizes(column: pa.Array) -> list[int | None]:
+    return pc.binary_length(column).to_pylist()
 
 
-def _word_counts(rows: DataFrame, only: object = None) -> DataFrame:
+def _word_counts(rows: DataFrame, only: Broadcast | None = None) -> DataFrame:
     """(word, n) of each task; only: a broadcast of the words to count."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for some in slices(batch, _sizes(batch.column(1))):
@@ -131,19 +96,6 @@ def _word_counts(rows: DataFrame, only: object = None) -> DataFrame:
     return rows.mapInArrow(tidy(run), "word long, n long")
 
 
-def _added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    w, n = np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
-    order = np.argsort(w)
-    at = _runs(w[order])
-    return w[order][at], np.add.reduceat(n[order], at) if len(at) else n
-
-
-def _sizes(column: pa.Array) -> list[int | None]:
-    import pyarrow.compute as pc
-
-    return pc.binary_length(column).to_pylist()
-
-
 def _hot_counts(rows: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
     """Hot words, sorted, and their counts over all rows; 1000 at most. The sample only finds the words."""
     sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(max(1, total // SAMPLE_BYTES))) == 0)
@@ -165,203 +117,168 @@ def _find(x: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words[at] == x, at
 
 
-def _explode(rows: DataFrame, keys: list[int], hot: object) -> DataFrame:
-    """(id as text, text binary) -> packed bigrams, first words, word counts and ids."""
-    blocks = len(keys)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId() << 32
+def _places(deal: Deal, hot: Broadcast):
+    """The blocks of entries of a kind."""
+
+    def place(kind: int, e: Packed) -> np.ndarray:
+        if kind == _PAIR:
+            a, b = e.cols[:2]
+            return deal.place(np.where(_find(a, hot.value[0])[0], a * _SPREAD + b, a))
+        return deal.homes(e.who[e.of]) if kind in (_HOME, _SUM) else deal.place(e.cols[0])
+
+    return place
+
+
+def _explode(rows: DataFrame, deal: Deal, hot: Broadcast) -> DataFrame:
+    """(id as text, text binary) -> packed bigrams, first words, word counts, and documents' ids and sizes."""
+
+    def counts(part: int, w: np.ndarray, n: np.ndarray) -> Iterator[Row]:
+        e = Packed(np.zeros(1, np.int64), np.zeros(len(w), np.int64), [w, n])
+        return deal.rows(_COUNT, part, deal.place(w), e)
+
+    def packed(part: int, ids: list[str | None], size: np.ndarray, w: np.ndarray, place) -> Iterator[Row]:
+        who = np.uint64(part << int(LOCAL)) + np.arange(len(size), dtype=np.uint64)
+        every = Packed(who, np.arange(len(who)), [size], (), np.array([*ids, None], object)[:-1])
+        yield from deal.rows(_HOME, part, place(_HOME, every), every)
+        if not len(w):
+            return
+        text = np.repeat(np.arange(len(size)), size)
+        first = np.r_[True, text[1:] != text[:-1]]
+        begun = Packed(who, text[first], [w[first], np.ones(first.sum(), np.int64)])
+        yield from deal.rows(_LOOK, part, place(_LOOK, begun), begun)
+        after = np.where(np.r_[first[1:], True], _END, np.r_[w[1:], _END])
+        order = np.lexsort((text, after, w))
+        a, b, text = w[order], after[order], text[order]
+        at = _runs(a, b, text)
+        pairs = Packed(who, text[at], [a[at], b[at], np.diff(np.r_[at, len(a)])])
+        yield from deal.rows(_PAIR, part, place(_PAIR, pairs), pairs)
+
+    def made(batches: Batches) -> Iterator[Row]:
+        part, place = TaskContext.get().partitionId() << 24, _places(deal, hot)
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        ids: list[str] = []
+        ids: list[str | None] = []
         sizes: list[np.ndarray] = []
         ws: list[np.ndarray] = []
-
-        def counts() -> pa.RecordBatch:
-            w, c = _added(held)
-            order, bound = _deal(_block(w, blocks), blocks)
-            held.clear()
-            return _emit([(keys[i], part, _COUNT, 0, np.uint32(b - a).tobytes() + c[order[a:b]].astype("<i8").tobytes() + _five(w[order[a:b]])) for i, (a, b) in enumerate(zip(bound, bound[1:], strict=False)) if b > a])
-
-        def packed() -> Iterator[pa.RecordBatch]:
-            size, w = np.concatenate(sizes), np.concatenate(ws)
-            yield _emit([(keys[part % blocks], part, _PLAIN, 0, np.uint32(len(size)).tobytes() + size.astype("<i8").tobytes() + "\x00".join(ids).encode())])
-            if not len(w):
-                return
-            local = np.repeat(np.arange(len(size)), size)
-            first = np.r_[True, local[1:] != local[:-1]]
-            order, bound = _deal(_block(w[first], blocks), blocks)
-            fl, fw = local[first][order], w[first][order]
-            yield _emit([(keys[j], part, _LOOK, 0, _looks_out(fl[a:b], np.ones(b - a), fw[a:b])) for j, (a, b) in enumerate(zip(bound, bound[1:], strict=False)) if b > a])
-            after = np.where(np.r_[first[1:], True], _END, np.r_[w[1:], _END])
-            is_hot, _ = _find(w, hot.value[0])
-            block = _block(np.where(is_hot, w * np.uint64(0x9E3779B97F4A7C15) + after, w), blocks)
-            order = np.lexsort((local, after, w, block))
-            a, b, local, block = w[order], after[order], local[order], block[order]
-            at = _runs(block, a, b, local)
-            n = np.diff(np.r_[at, len(a)])
-            while len(at):  # numbers of 16 bits
-                a1, b1, l1, k1, n1 = a[at], b[at], local[at], block[at], np.minimum(n, 65535)
-                bound = np.searchsorted(k1, np.arange(blocks + 1))
-                yield _emit([(keys[j], part, _PAIR, 0, _pairs_out(a1[x:y], b1[x:y], l1[x:y], n1[x:y])) for j, (x, y) in enumerate(zip(bound, bound[1:], strict=False)) if y > x])
-                at, n = at[n > 65535], (n - 65535)[n > 65535]
-
         bulk = 0
         for batch in batches:
             for some in slices(batch, _sizes(batch.column(1))):
                 texts = some.column(1).to_pylist()
                 w, size = _words(texts)
-                ids += [x if x is not None else "\x01" for x in some.column(0).to_pylist()]
+                ids += some.column(0).to_pylist()
                 sizes.append(size)
                 ws.append(w)
                 held.append(np.unique(w, return_counts=True))
                 bulk += sum(len(t or b"") for t in texts)
                 if bulk > PART_BYTES or len(ids) > PART_DOCS:
-                    yield from packed()
-                    part, bulk = part + 1, 0
-                    ids, sizes, ws = [], [], []
+                    yield from packed(part, ids, np.concatenate(sizes), np.concatenate(ws), place)
+                    part, bulk, ids, sizes, ws = part + 1, 0, [], [], []
                 if sum(len(x) for x, _ in held) > HELD_WORDS:
-                    held[:] = [_added(held)]
+                    held = [_added(held)]
                     if len(held[0][0]) > HELD_WORDS // 2:
-                        yield counts()
+                        yield from counts(part, *held.pop())
         if ids:
-            yield from packed()
+            yield from packed(part, ids, np.concatenate(sizes), np.concatenate(ws), place)
         if held:
-            yield counts()
+            yield from counts(part, *_added(held))
 
-    return rows.mapInArrow(tidy(run), _PACK)
+    return rows.mapInArrow(tidy(lambda batches: batched(made(batches))), SCHEMA)
 
 
-def _sums(part_of: np.ndarray, local: np.ndarray, value: np.ndarray, seen: np.ndarray | None, parts: list[int], src: int, keys: list[int]) -> list[tuple[int, int, int, int, bytes]]:
-    """Sums for each document of each part: kind _SUM rows, dealt by part. part_of: index into parts, in order."""
-    out = []
-    bound = np.searchsorted(part_of, np.arange(len(parts) + 1))
-    for i, (a, b) in enumerate(zip(bound, bound[1:], strict=False)):
-        if b > a:
-            n = int(local[a:b].max()) + 1
-            s = np.bincount(local[a:b], value[a:b], n).tobytes()
-            c = b"" if seen is None else np.bincount(local[a:b], seen[a:b], n).astype("<u4").tobytes()
-            out.append((keys[parts[i] % len(keys)], parts[i], _SUM, src, np.uint32(n).tobytes() + s + c))
-    return out
+def _sums(deal: Deal, src: int, who: np.ndarray, of: np.ndarray, value: np.ndarray, seen: np.ndarray) -> Iterator[Row]:
+    """Sums for each document."""
+    n = len(who)
+    e = Packed(who, np.arange(n), [np.bincount(of, value, n), np.bincount(of, seen, n).astype(np.int64)])
+    return deal.rows(_SUM, src, deal.homes(who), e)
 
 
-def _join_pairs(packed: DataFrame, keys: list[int], hot: object, alpha: float, min_count: int) -> DataFrame:
+def _join_pairs(dealt: DataFrame, deal: Deal, hot: Broadcast, alpha: float, min_count: int) -> DataFrame:
     """Count the bigrams of a block, score what they settle, and send on what needs a word's count."""
-    blocks = len(keys)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list] = defaultdict(list)
-        for batch in batches:
-            for block, part, kind, src, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if kind == _PAIR:
-                    by[block].append((part, data))
-                else:
-                    yield _emit([(block, part, kind, src, data)])
+    def block(src: int, e: Packed) -> Iterator[Row]:
         words, logs = hot.value[0], np.log(np.maximum(hot.value[1], 1))
+        a, b, n = e.cols
+        n = n.astype(np.int64)
+        order = np.lexsort((b, a))
+        at, heads = _runs(a[order], b[order]), _runs(a[order])
+        count, past = np.empty(len(a), np.int64), np.empty(len(a), np.int64)
+        count[order] = np.repeat(np.add.reduceat(n[order], at), np.diff(np.r_[at, len(a)]))
+        past[order] = np.repeat(np.add.reduceat(n[order], heads), np.diff(np.r_[heads, len(a)]))
+        del order
+        is_hot, where = _find(a, words)
+        past = np.where(is_hot, logs[where], np.log(past)) if len(words) else np.log(past)
+        real = b != _END
+        seen = (count >= min_count) & real
+        value = n * np.where(seen, np.log(count) - past, np.where(real, np.log(alpha), 0.0))
+        is_hot, where = _find(b, words)
+        if len(words):
+            value += np.where(real & ~seen & is_hot, n * logs[where], 0.0)
+        yield from _sums(deal, src, e.who, e.of, value, n * seen)
+        ask = real & ~seen & ~is_hot
+        word, need, of = b[ask], n[ask], e.of[ask]
+        del a, b, n, count, past, value, seen
+        order = np.lexsort((word, of))
+        word, need, of = word[order], need[order], of[order]
+        at = _runs(of, word)
+        if len(at):
+            looks = Packed(e.who, of[at], [word[at], np.add.reduceat(need, at)])
+            yield from deal.rows(_LOOK, src, deal.place(word[at]), looks)
+
+    def made(batches: Batches) -> Iterator[Row]:
+        by = grouped(batches)
         while by:
-            block, own = by.popitem()
-            parts = sorted({p for p, _ in own})
-            own.sort(key=lambda x: x[0])
-            cols = [_pairs_in(d) for _, d in own]
-            source = np.repeat(np.searchsorted(parts, [p for p, _ in own]), [len(c[0]) for c in cols])
-            a, b, local, n = (np.concatenate([c[i] for c in cols]) for i in range(4))
-            del cols, own
-            n = n.astype(np.int64)
-            order = np.lexsort((b, a))
-            at, heads = _runs(a[order], b[order]), _runs(a[order])
-            size = np.diff(np.r_[at, len(a)])
-            count, past = np.empty(len(a), np.int64), np.empty(len(a), np.int64)
-            count[order] = np.repeat(np.add.reduceat(n[order], at), size)
-            past[order] = np.repeat(np.add.reduceat(n[order], heads), np.diff(np.r_[heads, len(a)]))
-            del order
-            is_hot, where = _find(a, words)
-            past = np.where(is_hot, logs[where], np.log(past)) if len(words) else np.log(past)
-            real = b != _END
-            seen = (count >= min_count) & real
-            value = n * np.where(seen, np.log(count) - past, np.where(real, np.log(alpha), 0.0))
-            is_hot, where = _find(b, words)
-            if len(words):
-                value += np.where(real & ~seen & is_hot, n * logs[where], 0.0)
-            rows = _sums(source, local, value, n * seen, parts, block, keys)
-            for i in range(0, len(rows), 200):
-                yield _emit(rows[i : i + 200])
-            ask = real & ~seen & ~is_hot
-            word, need, local, source = b[ask], n[ask], local[ask], source[ask]
-            del a, b, n, count, past, value, seen
-            to = _block(word, blocks)
-            order = np.lexsort((word, local, source, to))
-            word, need, local, source, to = word[order], need[order], local[order], source[order], to[order]
-            at = _runs(to, source, local, word)
-            if not len(at):
-                continue
-            word, local, source, to, need = word[at], local[at], source[at], to[at], np.add.reduceat(need, at)
-            cut_at = np.r_[_runs(to, source), len(to)]
-            rows = [(keys[to[x]], parts[source[x]], _LOOK, 0, _looks_out(local[x:y], need[x:y], word[x:y])) for x, y in zip(cut_at, cut_at[1:], strict=False)]
-            for i in range(0, len(rows), 500):
-                yield _emit(rows[i : i + 500])
-
-    return packed.mapInArrow(tidy(run), _PACK)
-
-
-def _join_words(packed: DataFrame) -> DataFrame:
+            task, kinds = by.popitem()
+            own = sorted(kinds.pop(_PAIR, []))
+            yield from ((task, kind, src, data) for kind, rows in kinds.items() for src, data in rows)
+            if own:
+                yield from block(task, united([d for _, d in own]))
+
+    return dealt.mapInArrow(tidy(lambda batches: batched(made(batches))), SCHEMA)
+
+
+def _join_words(dealt: DataFrame, deal: Deal) -> DataFrame:
     """Count the words of a block and join them to what asks for them."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asks: dict[int, list] = defaultdict(list)
-        tables: dict[int, list] = defaultdict(list)
-        for batch in batches:
-            for block, part, kind, src, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if kind == _COUNT:
-                    m = int(np.frombuffer(data, "<u4", 1)[0])
-                    tables[block].append((_from_five(data[4 + 8 * m :]), np.frombuffer(data, "<i8", m, 4)))
-                elif kind == _LOOK:
-                    asks[block].append((part, data))
-                else:
-                    yield _emit([(0, part, kind, src, data)])
-        while asks:
-            block, own = asks.popitem()
-            own.sort(key=lambda x: x[0])
-            w = np.concatenate([x for x, _ in tables[block]])
-            c = np.concatenate([y for _, y in tables.pop(block)])
-            order = np.argsort(w)
-            w, c = w[order], c[order]
-            at = _runs(w)
-            w, logc = w[at], np.log(np.add.reduceat(c, at))
-            step = max(1, 4_000_000 // max(1, sum(len(d) for _, d in own) // (11 * len(own))))
-            for i in range(0, len(own), step):
-                some = own[i : i + step]
-                cols = [_looks_in(d) for _, d in some]
-                parts = sorted({p for p, _ in some})
-                source = np.repeat(np.searchsorted(parts, [p for p, _ in some]), [len(x[0]) for x in cols])
-                local, need, word = (np.concatenate([x[j] for x in cols]) for j in range(3))
-                yield _emit(_sums(source, local, need * logc[np.searchsorted(w, word)], None, parts, -1 - block, [0]))
-
-    return packed.mapInArrow(tidy(run), _PACK)
-
-
-def _per_document(sums: DataFrame, n: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list] = defaultdict(list)
-        for batch in batches:
-            for _, part, kind, src, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                by[part].append((kind, src, data))
-        for own in by.values():
-            own.sort()  # one order of summation, whatever came first
-            size = total = seen = ids = None
-            for kind, _, data in own:
-                if kind == _PLAIN:
-                    m = int(np.frombuffer(data, "<u4", 1)[0])
-                    size, ids = np.frombuffer(data, "<i8", m, 4), data[4 + 8 * m :].decode().split("\x00")
-                    total, seen = np.zeros(m), np.zeros(m, np.int64)
-                else:
-                    m = int(np.frombuffer(data, "<u4", 1)[0])
-                    total[:m] += np.frombuffer(data, "<f8", m, 4)
-                    if len(data) > 4 + 8 * m:
-                        seen[:m] += np.frombuffer(data, "<u4", m, 4 + 8 * m)
-            yield pa.RecordBatch.from_arrays([pa.array([None if x == "\x01" else x for x in ids], pa.string()), pa.array(size), pa.array(seen), pa.array(total)], ["id", "n_tokens", "n_seen", "logs"])
-
-    return sums.repartition(n, "part").mapInArrow(tidy(run), "id string, n_tokens long, n_seen long, logs double")
+    def block(src: int, looks: list[bytes], tables: list[bytes]) -> Iterator[Row]:
+        w, c = _added([(e.cols[0], e.cols[1].astype(np.int64)) for e in map(Packed.read, tables)])
+        logc = np.log(c)
+        held: list[bytes] = []
+        for i, data in enumerate(looks):
+            held.append(data)
+            if sum(map(len, held)) > 4 * LOOK_ENTRIES or i == len(looks) - 1:
+                e = united(held)
+                value = e.cols[1].astype(np.int64) * logc[np.searchsorted(w, e.cols[0])]
+                yield from _sums(deal, -1 - src, e.who, e.of, value, np.zeros(len(e), np.int64))
+                held = []
+
+    def made(batches: Batches) -> Iterator[Row]:
+        by = grouped(batches)
+        while by:
+            task, kinds = by.popitem()
+            looks, tables = sorted(kinds.pop(_LOOK, [])), kinds.pop(_COUNT, [])
+            yield from ((task, kind, src, data) for kind, rows in kinds.items() for src, data in rows)
+            if looks:
+                yield from block(task, [d for _, d in looks], [d for _, d in tables])
+
+    return dealt.mapInArrow(tidy(lambda batches: batched(made(batches))), SCHEMA)
+
+
+def _per_document(dealt: DataFrame) -> DataFrame:
+    def run(batches: Batches) -> Batches:
+        by = grouped(batches)
+        while by:
+            _, kinds = by.popitem()
+            home = united([d for _, d in sorted(kinds[_HOME])])
+            total, seen = np.zeros(len(home.who)), np.zeros(len(home.who), np.int64)
+            for _, data in sorted(kinds[_SUM]):  # one order of summation, whatever came first
+                e = Packed.read(data)
+                at = np.searchsorted(home.who, e.who)[e.of]
+                total += np.bincount(at, e.cols[0], len(total))
+                seen += np.bincount(at, e.cols[1], len(total)).astype(np.int64)
+            size = np.empty(len(home.who), np.int64)
+            size[home.of] = home.cols[0]
+            yield pa.RecordBatch.from_arrays([pa.array(home.names, pa.string()), pa.array(size), pa.array(seen), pa.array(total)], ["id", "n_tokens", "n_seen", "logs"])
+
+    return dealt.mapInArrow(tidy(run), "id string, n_tokens long, n_seen long, logs double")
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.4, min_count: int = 2) -> DataFrame:
@@ -370,17 +287,17 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a
     score is the sum of the natural logarithms of S over the words (A-Z lower-cased,
     split at ASCII white space); a first word is scored alpha-free by c(w) / N. A null,
     empty or blank text has 0 words and score 0. Repeated rows count, and are scored, each. Ids
-    must cast to a string and back; other columns are not read.
+    must cast to a string and back (null ids stay null); other columns are not read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("binary").alias("text"))
     total = text_bytes(docs, text_col)
-    blocks = max(12, -(-total // BLOCK_BYTES))
-    keys = even_keys(spark, blocks)
+    deal = Deal.of(spark, max(12, -(-total // BLOCK_BYTES)))
     hot = spark.sparkContext.broadcast(_hot_counts(rows, total))  # 1000 words at most
-    one = _join_pairs(_explode(rows, keys, hot).repartition(blocks, "block"), keys, hot, alpha, min_count)
-    two = _join_words(one.repartition(blocks, "block"))
-    out = cut(_per_document(two, blocks))
+    place = _places(deal, hot)
+    pairs = deal.dealt(_explode(rows, deal, hot), place)
+    words = deal.dealt(_join_pairs(pairs, deal, hot, alpha, min_count), place)
+    out = cut(_per_document(deal.dealt(_join_words(words, deal), place)))
     n = out.agg(F.sum("n_tokens")).first()[0] or 1
     score = F.when(F.col("n_tokens") == 0, 0.0).otherwise(F.col("logs") - (F.col("n_tokens") - F.col("n_seen")) * F.log(F.lit(float(max(n, 1)))))
     return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "n_tokens", "n_seen", score.alias("score"))
