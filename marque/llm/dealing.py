@@ -129,13 +129,13 @@ class Deal:
     def key(self, i: int) -> int:
         return self.keys[i] if self.keys else i
 
-    def place(self, x: np.ndarray) -> np.ndarray:
-        """Blocks by the whole hash."""
-        return (mix(x) % np.uint64(self.blocks)).astype(np.int64)
+    def place(self, h: np.ndarray) -> np.ndarray:
+        """Blocks of 64-bit hashes, each a range of them: what those of a row share takes no room."""
+        return ((h >> np.uint64(32)) * np.uint64(self.blocks) >> np.uint64(32)).astype(np.int64)
 
     def homes(self, who: np.ndarray) -> np.ndarray:
         """Blocks of texts, which those of a part share."""
-        return self.place(who >> LOCAL)
+        return self.place(mix(who >> LOCAL))
 
     def rows(self, kind: int, src: int, block: np.ndarray, entries: Packed, level: int = 0) -> Iterator[Row]:
         """One row for each group of blocks of a level."""

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from marque.llm.arrow import slices, tidy
 from marque.llm.dealing import LOCAL, SCHEMA, Deal, Packed, Row, batched, grouped, united
-from marque.llm.hashing import BLANK, hashed_words, lower_ascii
+from marque.llm.hashing import BLANK, hashed_words, lower_ascii, mix
 from marque.llm.shared import cut, text_bytes
 
 #: Text bytes for each block, and those packed together.
@@ -123,8 +123,8 @@ def _places(deal: Deal, hot: Broadcast):
     def place(kind: int, e: Packed) -> np.ndarray:
         if kind == _PAIR:
             a, b = e.cols[:2]
-            return deal.place(np.where(_find(a, hot.value[0])[0], a * _SPREAD + b, a))
-        return deal.homes(e.who[e.of]) if kind in (_HOME, _SUM) else deal.place(e.cols[0])
+            return deal.place(np.where(_find(a, hot.value[0])[0], mix(a * _SPREAD + b), a << _ID_BITS))
+        return deal.homes(e.who[e.of]) if kind in (_HOME, _SUM) else deal.place(e.cols[0] << _ID_BITS)
 
     return place
 
@@ -134,7 +134,7 @@ def _explode(rows: DataFrame, deal: Deal, hot: Broadcast) -> DataFrame:
 
     def counts(part: int, w: np.ndarray, n: np.ndarray) -> Iterator[Row]:
         e = Packed(np.zeros(1, np.int64), np.zeros(len(w), np.int64), [w, n])
-        return deal.rows(_COUNT, part, deal.place(w), e)
+        return deal.rows(_COUNT, part, deal.place(w << _ID_BITS), e)
 
     def packed(part: int, ids: list[str | None], size: np.ndarray, w: np.ndarray, place) -> Iterator[Row]:
         who = np.uint64(part << int(LOCAL)) + np.arange(len(size), dtype=np.uint64)
@@ -221,7 +221,7 @@ def _join_pairs(dealt: DataFrame, deal: Deal, hot: Broadcast, alpha: float, min_
         at = _runs(of, word)
         if len(at):
             looks = Packed(e.who, of[at], [word[at], np.add.reduceat(need, at)])
-            yield from deal.rows(_LOOK, src, deal.place(word[at]), looks)
+            yield from deal.rows(_LOOK, src, deal.place(looks.cols[0] << _ID_BITS), looks)
 
     def made(batches: Batches) -> Iterator[Row]:
         by = grouped(batches)

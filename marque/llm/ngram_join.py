@@ -1,7 +1,7 @@
 """N-gram Jaccard join as a blocked sparse product of the document by n-gram incidence.
 
 The incidence matrix is never expanded into rows. It is cut into column blocks (n-gram
-hashes) that travel packed, seven bytes an entry, and the work is discarding:
+hashes) that travel packed (``dealing``), and the work is discarding:
 
 1. Column blocks: an n-gram that only one text has adds to no overlap. Each block counts,
    for every text, the columns it shares with another one. A text whose shared columns are
@@ -22,31 +22,39 @@ Texts that are byte for byte equal are one row throughout.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marque.llm.arrow import slices, tidy
 from marque.llm.components import connected_components
+from marque.llm.dealing import LOCAL, SCHEMA, Deal, Packed, Row, batched, grouped, united
 from marque.llm.hashing import BLANK, hashed_words, lower_ascii, mix, shingles
-from marque.llm.shared import cut, drop, even_keys, text_bytes
+from marque.llm.shared import cut, drop, text_bytes
 
 #: Text bytes for each column block (about 1.2 million entries) and rows of a row block.
 BLOCK_BYTES = 8_000_000
 ROW_BLOCK = 768
+#: Text bytes and texts packed together.
+PART_BYTES = 4_000_000
+PART_TEXTS = 60_000
+#: Texts that a task remembers.
+SEEN = 500_000
 #: Columns multiplied at once in a row block.
 COLUMN_SLICE = 4096
 #: Passes of steps 2 and 3 before step 4. More passes only move work from 4 to 2.
 PASSES = 2
 
-_ENTRY = np.dtype([("local", "u1"), ("token", "u1", 6)])
-_SHARED = np.dtype([("local", "u1"), ("df", "<u2"), ("token", "<u8")])
-_ROW = np.dtype([("key", "<i8"), ("comp", "<i8"), ("n", "<u4")])
-_PACK = "block int, part long, kind int, data binary"
+#: Kinds of rows: texts; their columns; columns that another text has too.
+_HOME, _ENTRY, _SHARED = range(3)
+_TEXTS = "key long, comp long, n long, tokens binary, dfs binary"
+
+Batches = Iterator[pa.RecordBatch]
 
 
 def _least(n: np.ndarray, percent: int) -> np.ndarray:
@@ -54,171 +62,151 @@ def _least(n: np.ndarray, percent: int) -> np.ndarray:
     return (n * percent + 99) // 100
 
 
-def _emit(parts: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-    cols = list(zip(*parts, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], ["block", "part", "kind", "data"])
+def _place(deal: Deal):
+    return lambda kind, e: deal.place(e.cols[0]) if kind == _ENTRY else deal.homes(e.who[e.of])
 
 
-def _pack(part: int, keys: list[int], rows: np.ndarray, text: np.ndarray, token: np.ndarray) -> pa.RecordBatch:
-    """Entries of up to 256 texts by column block, and the texts themselves (kind 0)."""
-    block = (token >> np.uint64(48)).astype(np.int64) % len(keys)
-    order = np.argsort(block, kind="stable")
-    entry = np.empty(len(token), _ENTRY)
-    entry["local"] = text[order]
-    entry["token"] = np.ascontiguousarray(token[order]).view(np.uint8).reshape(-1, 8)[:, :6]
-    bounds = np.searchsorted(block[order], np.arange(len(keys) + 1))
-    out = [(keys[part % len(keys)], part, 0, rows.tobytes())]
-    out += [(keys[i], part, 1, entry[a:b].tobytes()) for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a]
-    return _emit(out)
+def _sent(deal: Deal, part: int, key: np.ndarray, comp: np.ndarray, size: np.ndarray, text: np.ndarray, token: np.ndarray) -> Iterator[Row]:
+    """A part's texts, and their columns with the text's component."""
+    who = np.uint64(part << int(LOCAL)) + np.arange(len(key), dtype=np.uint64)
+    texts = Packed(who, np.arange(len(key)), [key.view(np.uint64), comp.view(np.uint64), size])
+    yield from deal.rows(_HOME, part, deal.homes(who), texts)
+    columns = Packed(who, text, [token], (comp.view(np.uint64),))
+    yield from deal.rows(_ENTRY, part, deal.place(token), columns)
 
 
-def _reader(kind: int):
-    """Groups the packed rows of a partition by a column."""
+def _first(docs: DataFrame, deal: Deal, n: int) -> DataFrame:
+    """Step 1's entries of (key, text binary). A text seen before by the task, among its last SEEN, adds nothing."""
 
-    def read(batches: Iterator[pa.RecordBatch]) -> tuple[dict, list]:
-        by: dict[int, list] = defaultdict(list)
-        rest: list = []
-        for b in batches:
-            for block, part, k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                (by[block if kind == 1 else part] if kind == 1 and k == 1 or kind == 2 else rest).append((part, k, data))
-        return by, rest
+    def made(batches: Batches) -> Iterator[Row]:
+        part, fold = TaskContext.get().partitionId() << 24, lower_ascii()
+        held: list[tuple[np.ndarray, ...]] = []
+        seen: set[int] = set()
+        bulk = own = 0
 
-    return read
+        def out() -> Iterator[Row]:
+            first = np.cumsum([0, *[len(k) for k, *_ in held]])
+            key, size, token = (np.concatenate([h[i] for h in held]) for i in (0, 1, 3))
+            text = np.concatenate([h[2] + a for h, a in zip(held, first, strict=False)])
+            return _sent(deal, part, key, key, size, text, token)
 
+        for batch in batches:
+            for some in slices(batch, _lengths(batch.column(1))):
+                fresh = {}
+                for k, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                    if t and k not in seen:
+                        fresh[k] = t
+                if not fresh:
+                    continue
+                seen.update(fresh)
+                own += len(fresh)
+                bulk += sum(map(len, fresh.values()))
+                h, counts = hashed_words(list(fresh.values()), fold, BLANK)
+                text, token, size = shingles(h, counts, n)
+                held.append((np.array(list(fresh), np.int64), size, text, token))
+                if bulk > PART_BYTES or own > PART_TEXTS:
+                    yield from out()
+                    part, bulk, own = part + 1, 0, 0
+                    held.clear()
+                if len(seen) > SEEN:
+                    seen.clear()
+        if held:
+            yield from out()
+
+    return docs.mapInArrow(tidy(lambda batches: batched(made(batches))), SCHEMA)
+
+
+def _again(texts: DataFrame, deal: Deal) -> DataFrame:
+    """Entries of step 3, of texts (key, comp, n, tokens)."""
+
+    def made(batches: Batches) -> Iterator[Row]:
+        part = TaskContext.get().partitionId() << 24
+        for batch in batches:
+            for b in slices(batch, _lengths(batch.column(3))):
+                toks = [np.frombuffer(x, "<u8") for x in b.column(3).to_pylist()]
+                key, comp, size = (b.column(j).to_numpy(zero_copy_only=False) for j in (0, 1, 2))
+                yield from _sent(deal, part, key, comp, size, np.repeat(np.arange(len(toks)), [len(x) for x in toks]), np.concatenate(toks))
+                part += 1
 
-def _count_columns(packed: DataFrame, by_comp: bool) -> DataFrame:
-    """Per part: entries (kind 2) whose column is shared, with the column's texts; rows of kind 0 pass through.
+    return texts.select("key", "comp", "n", "tokens").mapInArrow(tidy(lambda batches: batched(made(batches))), SCHEMA)
 
-    Shared: by two texts, or with by_comp by texts of two components.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by, rest = _reader(1)(batches)
-        for part, k, data in rest:
-            if k == 0:
-                yield _emit([(0, part, 0, data)])
-        comps = {part: np.frombuffer(data, _ROW)["comp"] for part, k, data in rest if k == 3} if by_comp else {}
-        while by:
-            block, own = by.popitem()
-            e = np.concatenate([np.frombuffer(d, _ENTRY) for _, _, d in own])
-            size = [len(d) // _ENTRY.itemsize for _, _, d in own]
-            src = np.repeat(np.arange(len(own)), size)
-            tok = np.zeros((len(e), 8), np.uint8)
-            tok[:, :6] = e["token"]
-            token, local = tok.view("<u8").ravel(), e["local"].copy()
-            del e, tok
-            if by_comp:
-                comp = np.concatenate([comps[p][np.frombuffer(d, _ENTRY)["local"]] for p, _, d in own])
-                order = np.lexsort((comp, token))
-            else:
-                order = np.argsort(token)
-            t = token[order]
-            del token
-            new = np.r_[True, t[1:] != t[:-1]]
-            group = np.cumsum(new) - 1
-            df = np.bincount(group)
-            if by_comp:
-                c = comp[order]
-                kinds = np.bincount(group, np.r_[True, (t[1:] != t[:-1]) | (c[1:] != c[:-1])])
-                hit = (kinds > 1)[group]
-            else:
-                hit = (df > 1)[group]
-            at = order[hit]
-            out = np.empty(len(at), _SHARED)
-            out["local"], out["df"] = local[at], np.minimum(df[group[hit]], 65535)
-            del group
-            out["token"] = mix(t[hit] ^ np.uint64((block * 0x9E3779B97F4A7C15) & (2**64 - 1)))
-            s = src[at]
-            back = np.argsort(s, kind="stable")
-            out, s = out[back], s[back]
-            bounds = np.searchsorted(s, np.arange(len(own) + 1))
-            rows = [(0, own[i][0], 2, out[a:b].tobytes()) for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a]
-            for i in range(0, len(rows), 1000):
-                yield _emit(rows[i : i + 1000])
-
-    return packed.mapInArrow(tidy(run), _PACK)
 
+def _lengths(column: pa.Array) -> list[int | None]:
+    return pc.binary_length(column).to_pylist()
 
-_TEXTS = "key long, comp long, n long, tokens binary, dfs binary"
 
+def _count_columns(dealt: DataFrame, deal: Deal, by_comp: bool) -> DataFrame:
+    """The entries whose column is shared, with the column's number of texts, sent home; texts pass through.
 
-def _gather(counted: DataFrame, percent: int, n_out: int) -> DataFrame:
-    """Per text: its shared columns, or null where they are too few for any link."""
+    Shared: by two texts, or with by_comp by texts of two components.
+    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by, _ = _reader(2)(batches)
+    def block(src: int, e: Packed) -> Iterator[Row]:
+        token = e.cols[0]
+        if by_comp:
+            comp = e.about[0][e.of]
+            order = np.lexsort((comp, token))
+        else:
+            order = np.argsort(token)
+        t = token[order]
+        new = np.r_[True, t[1:] != t[:-1]]
+        group = np.cumsum(new) - 1
+        df = np.bincount(group)
+        if by_comp:
+            c = comp[order]
+            kinds = np.bincount(group, np.r_[True, new[1:] | (c[1:] != c[:-1])])
+            hit = (kinds > 1)[group]
+        else:
+            hit = (df > 1)[group]
+        at, df = order[hit], df[group[hit]]
+        del group, t, new
+        back = np.argsort(e.of[at], kind="stable")  # by text: what is sent compresses well
+        at, df = at[back], df[back]
+        out = Packed(e.who, e.of[at], [token[at], np.minimum(df, 65535)])
+        yield from deal.rows(_SHARED, src, deal.homes(e.who)[out.of], out)
+
+    def made(batches: Batches) -> Iterator[Row]:
+        by = grouped(batches)
         while by:
-            _, own = by.popitem()
-            rows = np.concatenate([np.frombuffer(d, _ROW) for _, k, d in own if k == 0])
-            e = np.concatenate([np.zeros(0, _SHARED), *[np.frombuffer(d, _SHARED) for _, k, d in own if k == 2]])
-            e = e[np.lexsort((e["token"], e["local"]))]
-            bounds = np.searchsorted(e["local"], np.arange(len(rows) + 1))
-            need = _least(rows["n"].astype(np.int64), percent)
-            tokens, dfs = [], []
-            for a, b, least in zip(bounds, bounds[1:], need, strict=False):
-                keep = least > 0 and b - a >= least
-                tokens.append(e["token"][a:b].tobytes() if keep else None)
-                dfs.append(e["df"][a:b].tobytes() if keep else None)
-            yield pa.RecordBatch.from_arrays([pa.array(rows["key"]), pa.array(rows["comp"]), pa.array(rows["n"].astype(np.int64)), pa.array(tokens, pa.binary()), pa.array(dfs, pa.binary())], ["key", "comp", "n", "tokens", "dfs"])
-
-    return counted.repartition(n_out, "part").mapInArrow(tidy(run), _TEXTS)
-
-
-def _first(docs: DataFrame, keys: list[int], n: int) -> DataFrame:
-    """Step 1's packed entries of (key, text binary). A text seen before in the same task adds nothing."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId() << 32
-        fold, seen = lower_ascii(), set()
-        for batch in batches:
-            for whole in slices(batch, _lengths(batch.column(1))):
-                for i in range(0, whole.num_rows, 256):
-                    some = whole.slice(i, 256)
-                    fresh = {}
-                    for k, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                        if t and k not in seen:
-                            fresh[k] = t
-                    if not fresh:
-                        continue
-                    seen.update(fresh)
-                    h, counts = hashed_words(list(fresh.values()), fold, BLANK)
-                    text, token, size = shingles(h, counts, n)
-                    rows = np.zeros(len(size), _ROW)
-                    rows["key"] = list(fresh)
-                    rows["comp"], rows["n"] = rows["key"], size
-                    yield _pack(part, keys, rows, text, token)
-                    part += 1
-
-    return docs.mapInArrow(tidy(run), _PACK)
-
-
-def _lengths(column: pa.Array) -> list[int | None]:
-    import pyarrow.compute as pc
+            task, kinds = by.popitem()
+            own = kinds.pop(_ENTRY, [])
+            yield from ((task, kind, src, data) for kind, rows in kinds.items() for src, data in rows)
+            if own:
+                yield from block(task, united([d for _, d in own]))
 
-    return pc.binary_length(column).to_pylist()
-
-
-def _again(texts: DataFrame, keys: list[int]) -> DataFrame:
-    """Packed entries of step 3, with the components for every block (kind 3)."""
+    return dealt.mapInArrow(tidy(lambda batches: batched(made(batches))), SCHEMA)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for some in slices(batch, _lengths(batch.column(3))):
-                for i in range(0, some.num_rows, 256):
-                    b = some.slice(i, 256)
-                    toks = [np.frombuffer(x, "<u8") for x in b.column(3).to_pylist()]
-                    rows = np.zeros(len(toks), _ROW)
-                    rows["key"], rows["comp"], rows["n"] = (b.column(j).to_numpy(zero_copy_only=False) for j in (0, 1, 2))
-                    yield _pack(part, keys, rows, np.repeat(np.arange(len(toks)), [len(x) for x in toks]), np.concatenate(toks))
-                    yield _emit([(k, part, 3, rows.tobytes()) for k in keys])
-                    part += 1
+def _gather(dealt: DataFrame, percent: int) -> DataFrame:
+    """Per text: its shared columns, or null where they are too few for any link."""
 
-    return texts.select("key", "comp", "n", "tokens").mapInArrow(tidy(run), _PACK)
+    def run(batches: Batches) -> Batches:
+        by = grouped(batches)
+        while by:
+            _, kinds = by.popitem()
+            home = united([d for _, d in kinds[_HOME]])
+            place = np.argsort(home.of)  # a text has one entry
+            key, comp, size = (c[place] for c in home.cols)
+            entries = [Packed.read(d) for _, d in kinds.pop(_SHARED, [])]
+            text = np.concatenate([np.zeros(0, np.int64), *[np.searchsorted(home.who, e.who)[e.of] for e in entries]])
+            token, df = (np.concatenate([np.zeros(0, np.uint64), *[e.cols[i] for e in entries]]) for i in (0, 1))
+            del entries, kinds
+            order = np.lexsort((token, text))
+            text, token, df = text[order], token[order], df[order].astype("<u2")
+            bounds = np.searchsorted(text, np.arange(len(key) + 1)).tolist()
+            need = _least(size.astype(np.int64), percent).tolist()
+            keep = [least > 0 and b - a >= least for a, b, least in zip(bounds, bounds[1:], need, strict=False)]
+            tokens = [token[a:b].tobytes() if k else None for a, b, k in zip(bounds, bounds[1:], keep, strict=False)]
+            dfs = [df[a:b].tobytes() if k else None for a, b, k in zip(bounds, bounds[1:], keep, strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(comp.view(np.int64)), pa.array(size.astype(np.int64)), pa.array(tokens, pa.binary()), pa.array(dfs, pa.binary())], ["key", "comp", "n", "tokens", "dfs"])
+
+    return dealt.mapInArrow(tidy(run), _TEXTS)
+
+
+def _shared(sent: DataFrame, deal: Deal, by_comp: bool, percent: int) -> DataFrame:
+    """texts with the columns that they share, of packed texts and entries."""
+    place = _place(deal)
+    return cut(_gather(deal.dealt(_count_columns(deal.dealt(sent, place), deal, by_comp), place), percent))
 
 
 def forest(comps: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -334,10 +322,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).cast("binary").alias("text"))
     total = text_bytes(docs, text_col)
-    blocks = max(12, -(-total // BLOCK_BYTES))
-    keys = even_keys(spark, blocks)
-    packed = _first(rows.select("key", "text"), keys, n).repartition(blocks, "block")
-    texts = cut(_gather(_count_columns(packed, False), percent, blocks))
+    deal = Deal.of(spark, max(12, -(-total // BLOCK_BYTES)))
+    texts = _shared(_first(rows.select("key", "text"), deal, n), deal, False, percent)
     sizes = texts.groupBy("key").agg(F.max("n").alias("n"))
     rest = cut(texts.where("tokens is not null").groupBy("key").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.first("tokens").alias("tokens")))
     known: DataFrame | None = None
@@ -346,8 +332,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if not mass[0]:
             break
         # Step 3, and on the first turn the same among different texts: copies in several tasks counted as texts of their own.
-        own = even_keys(spark, max(12, -(-mass[1] // (8 * BLOCK_BYTES // 6))))
-        fewer = cut(_gather(_count_columns(_again(rest, own).repartition(len(own), "block"), True), percent, len(own)).where("tokens is not null"))
+        own = Deal.of(spark, max(12, -(-mass[1] // (8 * BLOCK_BYTES // 6))))
+        fewer = _shared(_again(rest, own), own, True, percent).where("tokens is not null")
         drop(rest)
         rest = fewer
         links = _exact_blocks(rest, percent) if turn == PASSES else _row_blocks(rest, percent, turn)

@@ -31,7 +31,7 @@ def test_blocks_come_from_the_whole_hash(spark, blocks):
     """More than 65,536 blocks are all used, and evenly."""
     deal = Deal.of(spark, blocks)
     assert deal.base <= dealing.FAN and deal.blocks >= blocks
-    x = np.random.default_rng(2).integers(0, 2**63, 4 * deal.blocks).astype(np.uint64)
+    x = np.random.default_rng(2).integers(0, 2**64, 4 * deal.blocks, np.uint64)
     n = np.bincount(deal.place(x), minlength=deal.blocks)
     assert len(n) == deal.blocks and n.max() < 40 and (n > 0).mean() > 0.95
 
