@@ -42,6 +42,47 @@ def _planes(x: np.ndarray) -> bytes:
     return bytes([w]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :w].T).tobytes()
 
 
+def _from_planes(raw: bytes, at: int, m: int) -> tuple[np.ndarray, int]:
+    w = raw[at]
+    wide = np.zeros((m, 8), np.uint8)
+    wide[:, :w] = np.frombuffer(raw, np.uint8, w * m, at + 1).reshape(w, m).T
+    return wide.view("<u8").ravel(), at + 1 + w * m
+
+
+_PLAIN, _FLOATS, _RUNS, _WORDS = range(4)
+
+
+def _column(x: np.ndarray) -> bytes:
+    """A column as it's shortest: floats; runs of equal numbers; numbers of a list of the different ones; or the numbers."""
+    if x.dtype.kind == "f":
+        return bytes([_FLOATS]) + x.astype("<f8").tobytes()
+    m = len(x)
+    begin = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if m else np.zeros(0, np.int64)
+    if 2 * len(begin) < m:
+        return bytes([_RUNS]) + len(begin).to_bytes(4, "little") + _planes(x[begin]) + _planes(np.diff(np.r_[begin, m]))
+    some = x[:: m // 1000 + 1]
+    if m > 100 and int(some.max()) >> 32 and len(np.unique(some)) < 0.9 * len(some):
+        values, at = np.unique(x, return_inverse=True)
+        if 2 * len(values) < m:
+            return bytes([_WORDS]) + len(values).to_bytes(4, "little") + _planes(values) + _planes(at)
+    return bytes([_PLAIN]) + _planes(x)
+
+
+def _from_column(raw: bytes, at: int, m: int) -> tuple[np.ndarray, int]:
+    kind, at = raw[at], at + 1
+    if kind == _FLOATS:
+        return np.frombuffer(raw, "<f8", m, at), at + 8 * m
+    if kind == _PLAIN:
+        return _from_planes(raw, at, m)
+    k = int.from_bytes(raw[at : at + 4], "little")
+    values, at = _from_planes(raw, at + 4, k)
+    if kind == _RUNS:
+        n, at = _from_planes(raw, at, k)
+        return np.repeat(values, n.astype(np.int64)), at
+    which, at = _from_planes(raw, at, m)
+    return values[which.astype(np.int64)], at
+
+
 class Packed:
     """Entries of texts: who (places of texts), about and names (columns of these), of (which text an entry is of), cols (columns of entries)."""
 
@@ -59,13 +100,12 @@ class Packed:
         return Packed(self.who[held], (np.cumsum(held) - 1)[of], [c[at] for c in self.cols], tuple(a[held] for a in self.about), None if self.names is None else self.names[held])
 
     def data(self) -> bytes:
-        """Floats stay as they are; integers take the bytes that they need."""
         out = [np.array([len(self.who), len(self.of), len(self.about), len(self.cols), self.names is not None], "<u4").tobytes()]
         for x in (self.who, *self.about, self.of, *self.cols):
-            out.append(b"\x00" + x.astype("<f8").tobytes() if x.dtype.kind == "f" else _planes(x))
+            out.append(_column(x))
         if self.names is not None:
             spelled = [b"" if x is None else b"\x01" + x.encode("utf-8", "surrogatepass") for x in self.names]
-            out += [_planes(np.array([len(x) for x in spelled], np.int64)), *spelled]
+            out += [_column(np.array([len(x) for x in spelled], np.int64)), *spelled]
         raw = b"".join(out)
         return len(raw).to_bytes(5, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
@@ -75,14 +115,7 @@ class Packed:
         texts, entries, n_about, n_cols, named = np.frombuffer(raw, "<u4", 5).tolist()
         at, got = 20, []
         for m in [texts] * (1 + n_about) + [entries] * (1 + n_cols) + [texts] * named:
-            w, at = raw[at], at + 1
-            if not w:
-                x, w = np.frombuffer(raw, "<f8", m, at), 8
-            else:
-                wide = np.zeros((m, 8), np.uint8)
-                wide[:, :w] = np.frombuffer(raw, np.uint8, w * m, at).reshape(w, m).T
-                x = wide.view("<u8").ravel()
-            at += w * m
+            x, at = _from_column(raw, at, m)
             got.append(x)
         names = None
         if named:

@@ -4,15 +4,13 @@ S(w | h) is c(h w) / c(h) where the bigram is in the table, else alpha * c(w) /
 tables count the whole corpus that is scored; a bigram enters with ``min_count``
 occurrences, as one seen only in the text at hand says nothing about it.
 
-All is relational, on packed rows (``dealing``). A document's distinct bigrams (with their numbers)
-go to the block of their history's hash, where the count table is summed and joined to them; a
-document's last word goes with an end mark, so that a history's bigrams add up to its count.
-What the table doesn't hold needs c(w): it goes on to the block of that word's hash, where
-the unigram counts of all tasks meet. What a block finds is summed for each document.
-
-Hot words (at most 1000, found in a sample) only change how rows are dealt: their bigrams
-are spread by both words, and their counts, taken over all texts in a pass of its own, are
-broadcast. Words of a row are 56-bit ids.
+All is relational, on packed rows (``dealing``). Documents are taken in parts. A part's distinct
+bigrams and distinct words, with their numbers in it, go to the blocks of their hashes, and the
+part itself to its home. A block sums what all parts send: its share of the count tables. It
+joins them to what was asked, and sends the counts home, where the documents are summed.
+
+As a part asks once for what it holds many times, a frequent word or bigram is no more than
+an entry a part. Words and bigrams are compared by 64-bit hash.
 """
 
 from __future__ import annotations
@@ -22,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,252 +29,146 @@ from marque.llm.dealing import LOCAL, SCHEMA, Deal, Packed, Row, batched, groupe
 from marque.llm.hashing import BLANK, hashed_words, lower_ascii, mix
 from marque.llm.shared import cut, text_bytes
 
-#: Text bytes for each block, and those packed together.
+#: Text bytes for each block, and text bytes and documents of a part.
 BLOCK_BYTES = 12_000_000
 PART_BYTES = 6_000_000
 PART_DOCS = 60_000
-#: Distinct words a task holds before it sends their counts on.
-HELD_WORDS = 2_000_000
-#: Lookups of a block that are joined at once.
-LOOK_ENTRIES = 4_000_000
-#: A hot word has this share of the words of the sample; the sample's text bytes, about.
-HOT_SHARE = 0.001
-SAMPLE_BYTES = 20_000_000
-
-_ID_BITS = np.uint64(8)  # of a 64-bit hash the upper 56 bits are a word's id
-#: Kinds of rows: documents' names and sizes; bigrams; words whose counts are asked for; counts; sums of documents.
-_HOME, _PAIR, _LOOK, _COUNT, _SUM = range(5)
-#: The word that ends a document; a word's own id of 0 becomes 1.
-_END = np.uint64(0)
+
+#: Kinds of rows: documents with their words; what a part asks of bigrams and of words; their counts.
+_HOME, _PAIRS, _WORDS, _PAIR_COUNTS, _WORD_COUNTS = range(5)
+#: What stands before a document's first word; a word's own hash of 0 becomes 1.
+_BEGIN = np.uint64(0)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 Batches = Iterator[pa.RecordBatch]
 
 
-def _runs(*columns: np.ndarray) -> np.ndarray:
-    """Where a new run of equal rows begins in sorted columns."""
-    if not len(columns[0]):
-        return np.zeros(0, np.int64)
-    return np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)])
-
-
 def _words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     h, size = hashed_words([t or b"" for t in texts], lower_ascii(), BLANK)
-    return np.maximum(h >> _ID_BITS, np.uint64(1)), size
-
-
-def _added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    w, n = np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
-    order = np.argsort(w)
-    at = _runs(w[order])
-    return w[order][at], np.add.reduceat(n[order], at) if len(at) else n
+    return np.maximum(h, np.uint64(1)), size
 
 
-def _sizes(column: pa.Array) -> list[int | None]:
-    return pc.binary_length(column).to_pylist()
+def _bigrams(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where bigrams end in a sequence of words, and their hashes."""
+    at = np.flatnonzero((w[1:] != _BEGIN) & (w[:-1] != _BEGIN)) + 1
+    return at, mix(mix(w[at - 1]) * _SPREAD + w[at])
 
 
-def _word_counts(rows: DataFrame, only: Broadcast | None = None) -> DataFrame:
-    """(word, n) of each task; only: a broadcast of the words to count."""
-
-    def run(batches: Batches) -> Batches:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            for some in slices(batch, _sizes(batch.column(1))):
-                w, _ = _words(some.column(1).to_pylist())
-                if only is not None:
-                    w = w[np.isin(w, only.value)]
-                held.append(np.unique(w, return_counts=True))
-                if sum(len(x) for x, _ in held) > HELD_WORDS:
-                    held = [_added(held)]
-        if held:
-            w, n = _added(held)
-            yield pa.RecordBatch.from_arrays([pa.array(w.astype(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
-
-    return rows.mapInArrow(tidy(run), "word long, n long")
-
-
-def _hot_counts(rows: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hot words, sorted, and their counts over all rows; 1000 at most. The sample only finds the words."""
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(max(1, total // SAMPLE_BYTES))) == 0)
-    n = _word_counts(sample).groupBy("word").agg(F.sum("n").alias("n"))
-    of = n.agg(F.sum("n")).first()[0] or 0
-    words = np.array(sorted(r.word for r in n.where(F.col("n") >= max(2.0, HOT_SHARE * of)).collect()), np.uint64)
-    if not len(words):
-        return words, np.zeros(0, np.int64)
-    held = rows.sparkSession.sparkContext.broadcast(words)
-    got = {r.word: r.n for r in _word_counts(rows, held).groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    return words, np.array([got.get(int(w), 0) for w in words], np.int64)
-
-
-def _find(x: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each x is among the sorted words, and where."""
-    if not len(words):
-        return np.zeros(len(x), bool), np.zeros(len(x), np.int64)
-    at = np.minimum(np.searchsorted(words, x), len(words) - 1)
-    return words[at] == x, at
-
-
-def _places(deal: Deal, hot: Broadcast):
+def _place(deal: Deal):
     """The blocks of entries of a kind."""
+    return lambda kind, e: deal.place(e.cols[0]) if kind in (_PAIRS, _WORDS) else deal.homes(e.who[e.of])
 
-    def place(kind: int, e: Packed) -> np.ndarray:
-        if kind == _PAIR:
-            a, b = e.cols[:2]
-            return deal.place(np.where(_find(a, hot.value[0])[0], mix(a * _SPREAD + b), a << _ID_BITS))
-        return deal.homes(e.who[e.of]) if kind in (_HOME, _SUM) else deal.place(e.cols[0] << _ID_BITS)
-
-    return place
-
-
-def _explode(rows: DataFrame, deal: Deal, hot: Broadcast) -> DataFrame:
-    """(id as text, text binary) -> packed bigrams, first words, word counts, and documents' ids and sizes."""
 
-    def counts(part: int, w: np.ndarray, n: np.ndarray) -> Iterator[Row]:
-        e = Packed(np.zeros(1, np.int64), np.zeros(len(w), np.int64), [w, n])
-        return deal.rows(_COUNT, part, deal.place(w << _ID_BITS), e)
+def _explode(rows: DataFrame, deal: Deal) -> DataFrame:
+    """(id as text, text binary) -> what parts ask for, and the parts."""
 
-    def packed(part: int, ids: list[str | None], size: np.ndarray, w: np.ndarray, place) -> Iterator[Row]:
+    def sent(part: int, ids: list[str | None], size: np.ndarray, w: np.ndarray) -> Iterator[Row]:
         who = np.uint64(part << int(LOCAL)) + np.arange(len(size), dtype=np.uint64)
-        every = Packed(who, np.arange(len(who)), [size], (), np.array([*ids, None], object)[:-1])
-        yield from deal.rows(_HOME, part, place(_HOME, every), every)
-        if not len(w):
-            return
-        text = np.repeat(np.arange(len(size)), size)
-        first = np.r_[True, text[1:] != text[:-1]]
-        begun = Packed(who, text[first], [w[first], np.ones(first.sum(), np.int64)])
-        yield from deal.rows(_LOOK, part, place(_LOOK, begun), begun)
-        after = np.where(np.r_[first[1:], True], _END, np.r_[w[1:], _END])
-        order = np.lexsort((text, after, w))
-        a, b, text = w[order], after[order], text[order]
-        at = _runs(a, b, text)
-        pairs = Packed(who, text[at], [a[at], b[at], np.diff(np.r_[at, len(a)])])
-        yield from deal.rows(_PAIR, part, place(_PAIR, pairs), pairs)
+        w = np.insert(w, np.cumsum(size) - size, _BEGIN)
+        home = Packed(who, np.repeat(np.arange(len(size)), size + 1), [w], (), np.array([*ids, None], object)[:-1])
+        yield from deal.rows(_HOME, part, deal.homes(who[home.of]), home)
+        for kind, h in ((_PAIRS, _bigrams(w)[1]), (_WORDS, w[w != _BEGIN])):
+            h, n = np.unique(h, return_counts=True)
+            asked = Packed(who[:1], np.zeros(len(h), np.int64), [h, n, np.arange(len(h))])
+            yield from deal.rows(kind, part, deal.place(h), asked)
 
     def made(batches: Batches) -> Iterator[Row]:
-        part, place = TaskContext.get().partitionId() << 24, _places(deal, hot)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        part = TaskContext.get().partitionId() << 24
         ids: list[str | None] = []
         sizes: list[np.ndarray] = []
-        ws: list[np.ndarray] = []
+        words: list[np.ndarray] = []
         bulk = 0
         for batch in batches:
-            for some in slices(batch, _sizes(batch.column(1))):
+            for some in slices(batch, pc.binary_length(batch.column(1)).to_pylist()):
                 texts = some.column(1).to_pylist()
                 w, size = _words(texts)
                 ids += some.column(0).to_pylist()
                 sizes.append(size)
-                ws.append(w)
-                held.append(np.unique(w, return_counts=True))
+                words.append(w)
                 bulk += sum(len(t or b"") for t in texts)
                 if bulk > PART_BYTES or len(ids) > PART_DOCS:
-                    yield from packed(part, ids, np.concatenate(sizes), np.concatenate(ws), place)
-                    part, bulk, ids, sizes, ws = part + 1, 0, [], [], []
-                if sum(len(x) for x, _ in held) > HELD_WORDS:
-                    held = [_added(held)]
-                    if len(held[0][0]) > HELD_WORDS // 2:
-                        yield from counts(part, *held.pop())
+                    yield from sent(part, ids, np.concatenate(sizes), np.concatenate(words))
+                    part, bulk, ids, sizes, words = part + 1, 0, [], [], []
         if ids:
-            yield from packed(part, ids, np.concatenate(sizes), np.concatenate(ws), place)
-        if held:
-            yield from counts(part, *_added(held))
+            yield from sent(part, ids, np.concatenate(sizes), np.concatenate(words))
 
     return rows.mapInArrow(tidy(lambda batches: batched(made(batches))), SCHEMA)
 
 
-def _sums(deal: Deal, src: int, who: np.ndarray, of: np.ndarray, value: np.ndarray, seen: np.ndarray) -> Iterator[Row]:
-    """Sums for each document."""
-    n = len(who)
-    e = Packed(who, np.arange(n), [np.bincount(of, value, n), np.bincount(of, seen, n).astype(np.int64)])
-    return deal.rows(_SUM, src, deal.homes(who), e)
-
-
-def _join_pairs(dealt: DataFrame, deal: Deal, hot: Broadcast, alpha: float, min_count: int) -> DataFrame:
-    """Count the bigrams of a block, score what they settle, and send on what needs a word's count."""
-
-    def block(src: int, e: Packed) -> Iterator[Row]:
-        words, logs = hot.value[0], np.log(np.maximum(hot.value[1], 1))
-        a, b, n = e.cols
-        n = n.astype(np.int64)
-        order = np.lexsort((b, a))
-        at, heads = _runs(a[order], b[order]), _runs(a[order])
-        count, past = np.empty(len(a), np.int64), np.empty(len(a), np.int64)
-        count[order] = np.repeat(np.add.reduceat(n[order], at), np.diff(np.r_[at, len(a)]))
-        past[order] = np.repeat(np.add.reduceat(n[order], heads), np.diff(np.r_[heads, len(a)]))
-        del order
-        is_hot, where = _find(a, words)
-        past = np.where(is_hot, logs[where], np.log(past)) if len(words) else np.log(past)
-        real = b != _END
-        seen = (count >= min_count) & real
-        value = n * np.where(seen, np.log(count) - past, np.where(real, np.log(alpha), 0.0))
-        is_hot, where = _find(b, words)
-        if len(words):
-            value += np.where(real & ~seen & is_hot, n * logs[where], 0.0)
-        yield from _sums(deal, src, e.who, e.of, value, n * seen)
-        ask = real & ~seen & ~is_hot
-        word, need, of = b[ask], n[ask], e.of[ask]
-        del a, b, n, count, past, value, seen
-        order = np.lexsort((word, of))
-        word, need, of = word[order], need[order], of[order]
-        at = _runs(of, word)
-        if len(at):
-            looks = Packed(e.who, of[at], [word[at], np.add.reduceat(need, at)])
-            yield from deal.rows(_LOOK, src, deal.place(looks.cols[0] << _ID_BITS), looks)
+def _count(dealt: DataFrame, deal: Deal, min_count: int) -> DataFrame:
+    """The counts of a block's bigrams and words, sent to the parts that asked; bigrams that the table doesn't hold aren't answered."""
 
-    def made(batches: Batches) -> Iterator[Row]:
-        by = grouped(batches)
-        while by:
-            task, kinds = by.popitem()
-            own = sorted(kinds.pop(_PAIR, []))
-            yield from ((task, kind, src, data) for kind, rows in kinds.items() for src, data in rows)
-            if own:
-                yield from block(task, united([d for _, d in own]))
-
-    return dealt.mapInArrow(tidy(lambda batches: batched(made(batches))), SCHEMA)
-
-
-def _join_words(dealt: DataFrame, deal: Deal) -> DataFrame:
-    """Count the words of a block and join them to what asks for them."""
-
-    def block(src: int, looks: list[bytes], tables: list[bytes]) -> Iterator[Row]:
-        w, c = _added([(e.cols[0], e.cols[1].astype(np.int64)) for e in map(Packed.read, tables)])
-        logc = np.log(c)
-        held: list[bytes] = []
-        for i, data in enumerate(looks):
-            held.append(data)
-            if sum(map(len, held)) > 4 * LOOK_ENTRIES or i == len(looks) - 1:
-                e = united(held)
-                value = e.cols[1].astype(np.int64) * logc[np.searchsorted(w, e.cols[0])]
-                yield from _sums(deal, -1 - src, e.who, e.of, value, np.zeros(len(e), np.int64))
-                held = []
+    def block(kind: int, src: int, e: Packed) -> Iterator[Row]:
+        h, n, at = e.cols
+        order = np.argsort(h)
+        begin = np.flatnonzero(np.r_[True, np.diff(h[order]) != 0])
+        count = np.empty(len(h), np.int64)
+        count[order] = np.repeat(np.add.reduceat(n[order].astype(np.int64), begin), np.diff(np.r_[begin, len(h)]))
+        if kind == _PAIRS:
+            seen = np.flatnonzero(count >= min_count)
+            e, at, count = e.take(seen), at[seen], count[seen]
+        out = Packed(e.who, e.of, [at, count])
+        yield from deal.rows(_PAIR_COUNTS if kind == _PAIRS else _WORD_COUNTS, src, deal.homes(e.who)[e.of], out)
 
     def made(batches: Batches) -> Iterator[Row]:
         by = grouped(batches)
         while by:
             task, kinds = by.popitem()
-            looks, tables = sorted(kinds.pop(_LOOK, [])), kinds.pop(_COUNT, [])
+            asked = {k: kinds.pop(k) for k in (_PAIRS, _WORDS) if k in kinds}
             yield from ((task, kind, src, data) for kind, rows in kinds.items() for src, data in rows)
-            if looks:
-                yield from block(task, [d for _, d in looks], [d for _, d in tables])
+            for kind, own in asked.items():
+                yield from block(kind, task, united([d for _, d in own]))
 
     return dealt.mapInArrow(tidy(lambda batches: batched(made(batches))), SCHEMA)
 
 
-def _per_document(dealt: DataFrame) -> DataFrame:
+def _score(dealt: DataFrame, alpha: float) -> DataFrame:
+    """Documents' sums, but for log N."""
+
+    def answers(rows: list[tuple[int, bytes]]) -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
+        by: dict[int, list] = {}
+        for _, data in rows:
+            e = Packed.read(data)
+            part = (e.who >> LOCAL).tolist()
+            for i, p in enumerate(part):
+                own = e.of == i if len(part) > 1 else slice(None)
+                by.setdefault(p, []).append((e.cols[0][own].astype(np.int64), e.cols[1][own].astype(np.int64)))
+        return by
+
+    def counts(n: int, found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        out = np.zeros(n, np.int64)
+        for at, count in found:
+            out[at] = count
+        return out
+
+    def part_scores(home: Packed, pairs: list, words: list) -> pa.RecordBatch:
+        w, of, m = home.cols[0], home.of, len(home.who)
+        real = w != _BEGIN
+        value, seen = np.zeros(len(w)), np.zeros(len(w), bool)
+        if real.any():
+            vocabulary, which = np.unique(w[real], return_inverse=True)
+            log_count = np.zeros(len(w))
+            log_count[real] = np.log(counts(len(vocabulary), words))[which]
+            value[real] = log_count[real]
+            at, h = _bigrams(w)
+            h, which = np.unique(h, return_inverse=True)
+            c = counts(len(h), pairs)[which]
+            seen[at] = c > 0
+            value[at] = np.where(c > 0, np.log(np.maximum(c, 1)) - log_count[at - 1], np.log(alpha) + log_count[at])
+        sums = [np.bincount(of, x, m) for x in (real, seen, value)]
+        return pa.RecordBatch.from_arrays([pa.array(home.names, pa.string()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(sums[2])], ["id", "n_tokens", "n_seen", "logs"])
+
     def run(batches: Batches) -> Batches:
         by = grouped(batches)
         while by:
             _, kinds = by.popitem()
-            home = united([d for _, d in sorted(kinds[_HOME])])
-            total, seen = np.zeros(len(home.who)), np.zeros(len(home.who), np.int64)
-            for _, data in sorted(kinds[_SUM]):  # one order of summation, whatever came first
-                e = Packed.read(data)
-                at = np.searchsorted(home.who, e.who)[e.of]
-                total += np.bincount(at, e.cols[0], len(total))
-                seen += np.bincount(at, e.cols[1], len(total)).astype(np.int64)
-            size = np.empty(len(home.who), np.int64)
-            size[home.of] = home.cols[0]
-            yield pa.RecordBatch.from_arrays([pa.array(home.names, pa.string()), pa.array(size), pa.array(seen), pa.array(total)], ["id", "n_tokens", "n_seen", "logs"])
+            pairs, words = (answers(kinds.pop(k, [])) for k in (_PAIR_COUNTS, _WORD_COUNTS))
+            for _, data in kinds[_HOME]:
+                home = Packed.read(data)
+                part = home.who >> LOCAL
+                for p in np.unique(part).tolist():
+                    own = home if part[0] == part[-1] else home.take(np.flatnonzero((part == p)[home.of]))
+                    yield part_scores(own, pairs.pop(p, []), words.pop(p, []))
 
     return dealt.mapInArrow(tidy(run), "id string, n_tokens long, n_seen long, logs double")
 
@@ -289,15 +181,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a
     empty or blank text has 0 words and score 0. Repeated rows count, and are scored, each. Ids
     must cast to a string and back (null ids stay null); other columns are not read.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    total = text_bytes(docs, text_col)
-    deal = Deal.of(spark, max(12, -(-total // BLOCK_BYTES)))
-    hot = spark.sparkContext.broadcast(_hot_counts(rows, total))  # 1000 words at most
-    place = _places(deal, hot)
-    pairs = deal.dealt(_explode(rows, deal, hot), place)
-    words = deal.dealt(_join_pairs(pairs, deal, hot, alpha, min_count), place)
-    out = cut(_per_document(deal.dealt(_join_words(words, deal), place)))
+    deal = Deal.of(docs.sparkSession, max(12, -(-text_bytes(docs, text_col) // BLOCK_BYTES)))
+    place = _place(deal)
+    counted = _count(deal.dealt(_explode(rows, deal), place), deal, min_count)
+    out = cut(_score(deal.dealt(counted, place), alpha))
     n = out.agg(F.sum("n_tokens")).first()[0] or 1
     score = F.when(F.col("n_tokens") == 0, 0.0).otherwise(F.col("logs") - (F.col("n_tokens") - F.col("n_seen")) * F.log(F.lit(float(max(n, 1)))))
     return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "n_tokens", "n_seen", score.alias("score"))
