@@ -13,18 +13,21 @@ than the first lose all eligible lines.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marque.llm.arrow import slices, tidy
 from marque.llm.components import connected_components
+from marque.llm.dealing import LOCAL, SCHEMA, Deal, Packed, Row, batched, grouped, united
 from marque.llm.hashing import mix
-from marque.llm.shared import cut, even_keys, text_bytes
+from marque.llm.ngram_join import SEEN, forest
+from marque.llm.shared import cut, text_bytes
 
 #: Characters of a shingle where the caller names none (the queries and the pipeline use QUERY_SHINGLE), and the longest.
 SHINGLE = 9
@@ -34,18 +37,19 @@ BANDS, ROWS = 16, 4
 #: Eligible lines packed together, text bytes for each hash block, different lines of a band compared in one block.
 PART_LINES = 20_000
 BLOCK_BYTES = 8_000_000
-BAND_LINES = 1000
+BAND_LINES = 512
+#: Different lines of one place from which their overlaps come from a matrix product.
+WIDE_LINES = 48
 #: Cells of a line's presence bitmap, and characters of lines whose bands are compared at once.
 BITS = 512
 FOREST_CHARS = 2_000_000
 #: Estimated bytes up to which a side is broadcast; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 32_000_000
 
-_ENTRY = np.dtype([("local", "<u2"), ("token", "u1", 6)])
-_SHARED = np.dtype([("local", "<u2"), ("token", "<u8")])
-_LINE = np.dtype([("key", "<i8"), ("line", "<i4"), ("hash", "<i8")])
+#: Kinds of rows: lines; their band hashes; band hashes that another line has too.
+_HOME, _BAND, _SHARED = range(3)
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_PACK = "block int, part long, kind int, data binary"
+Batches = Iterator[pa.RecordBatch]
 _SALT = np.random.default_rng(7).integers(1, 2**31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
 _STEP = np.random.default_rng(8).integers(1, 2**63, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -74,13 +78,8 @@ def _lines(text: str, least: int) -> list[tuple[int, str]]:
     return [(i, x) for i, x in enumerate(text.split("\n")) if len(x) >= least]
 
 
-def _emit(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-    c = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.binary())], ["block", "part", "kind", "data"])
-
-
-def _signed(part: int, keys: list[int], own: list[tuple[int, int, str]], size: int) -> pa.RecordBatch:
-    """Band hashes of own (text key, line number, line) by hash block, and the lines' places (kind 0)."""
+def _sent(deal: Deal, part: int, own: list[tuple[int, int, str]], size: int) -> Iterator[Row]:
+    """The places of own (text key, line number, line), and their band hashes."""
     tokens, whole = [], []
     for i in range(0, len(own), 1000):  # shingles of some lines at once: what stays in a processor's cache
         h, first = _shingles([x for _, _, x in own[i : i + 1000]], size)
@@ -96,92 +95,81 @@ def _signed(part: int, keys: list[int], own: list[tuple[int, int, str]], size: i
             band = mix(band + sig[:, r::ROWS] + np.uint64(r))
         tokens.append(mix(band + np.arange(BANDS, dtype=np.uint64)))
     token = np.concatenate(tokens).ravel()
-    rows = np.zeros(len(own), _LINE)
-    rows["key"], rows["line"] = [k for k, _, _ in own], [n for _, n, _ in own]
-    rows["hash"] = np.concatenate(whole).astype(np.int64)
-    block = (token >> np.uint64(48)).astype(np.int64) % len(keys)
-    order = np.argsort(block, kind="stable")
-    e = np.empty(len(token), _ENTRY)
-    e["local"] = order // BANDS
-    e["token"] = np.ascontiguousarray(token[order]).view(np.uint8).reshape(-1, 8)[:, :6]
-    bounds = np.searchsorted(block[order], np.arange(len(keys) + 1))
-    out = [(keys[part % len(keys)], part, 0, rows.tobytes())]
-    return _emit(out + [(keys[i], part, 1, e[a:b].tobytes()) for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a])
-
-
-def _pack(rows: DataFrame, keys: list[int], least: int, size: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute as pc
-        from pyspark import TaskContext
-
-        part, seen, own = TaskContext.get().partitionId() << 32, set(), []
+    n = len(own)
+    who = np.uint64(part << int(LOCAL)) + np.arange(n, dtype=np.uint64)
+    key = np.array([k for k, _, _ in own], np.int64).view(np.uint64)
+    lines = Packed(who, np.arange(n), [key, np.array([i for _, i, _ in own], np.int64), np.concatenate(whole)])
+    yield from deal.rows(_HOME, part, deal.homes(who), lines)
+    yield from deal.rows(_BAND, part, deal.place(token), Packed(who, np.repeat(np.arange(n), BANDS), [token]))
+
+
+def _pack(rows: DataFrame, deal: Deal, least: int, size: int) -> DataFrame:
+    def made(batches: Batches) -> Iterator[Row]:
+        part, own = TaskContext.get().partitionId() << 24, []
+        seen: set[int] = set()
         for batch in batches:
             for some in slices(batch, pc.binary_length(batch.column(1)).to_pylist()):
                 for k, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
                     if t and k not in seen:
                         seen.add(k)
                         own += [(k, i, x) for i, x in _lines(t, least)]
-                while len(own) >= PART_LINES:
-                    yield _signed(part, keys, own[:PART_LINES], size)
-                    own, part = own[PART_LINES:], part + 1
+                whole = len(own) - len(own) % PART_LINES
+                for i in range(0, whole, PART_LINES):
+                    yield from _sent(deal, part, own[i : i + PART_LINES], size)
+                    part += 1
+                del own[:whole]
+                if len(seen) > SEEN:
+                    seen.clear()
         if own:
-            yield _signed(part, keys, own, size)
+            yield from _sent(deal, part, own, size)
 
-    return rows.mapInArrow(tidy(run), _PACK)
+    return rows.mapInArrow(tidy(lambda batches: batched(made(batches))), SCHEMA)
 
 
-def _share(packed: DataFrame) -> DataFrame:
-    """Per part: the entries (kind 2) whose band hash another line has too."""
+def _place(deal: Deal):
+    return lambda kind, e: deal.place(e.cols[0]) if kind == _BAND else deal.homes(e.who[e.of])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = defaultdict(list)
-        for b in batches:
-            for block, part, kind, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if kind == 0:
-                    yield _emit([(0, part, 0, data)])
-                else:
-                    by[block].append((part, data))
+
+def _share(dealt: DataFrame, deal: Deal) -> DataFrame:
+    """The band hashes that another line has too, sent home; lines pass through."""
+
+    def made(batches: Batches) -> Iterator[Row]:
+        by = grouped(batches)
         while by:
-            _, own = by.popitem()
-            e = np.concatenate([np.frombuffer(d, _ENTRY) for _, d in own])
-            src = np.repeat(np.arange(len(own)), [len(d) // _ENTRY.itemsize for _, d in own])
-            tok = np.zeros((len(e), 8), np.uint8)
-            tok[:, :6] = e["token"]
-            token = tok.view("<u8").ravel()
-            order = np.argsort(token)
-            t = token[order]
+            task, kinds = by.popitem()
+            own = kinds.pop(_BAND, [])
+            yield from ((task, kind, src, data) for kind, rows in kinds.items() for src, data in rows)
+            if not own:
+                continue
+            e = united([d for _, d in own])
+            order = np.argsort(e.cols[0])
+            t = e.cols[0][order]
             same = t[1:] == t[:-1]
-            at = np.sort(order[np.r_[False, same] | np.r_[same, False]])
-            out = np.empty(len(at), _SHARED)
-            out["local"], out["token"] = e["local"][at], token[at]
-            bounds = np.searchsorted(src[at], np.arange(len(own) + 1))
-            rows = [(0, own[i][0], 2, out[a:b].tobytes()) for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a]
-            for i in range(0, len(rows), 1000):
-                yield _emit(rows[i : i + 1000])
+            at = order[np.r_[False, same] | np.r_[same, False]]
+            at = at[np.argsort(e.of[at], kind="stable")]
+            yield from deal.rows(_SHARED, task, deal.homes(e.who)[e.of[at]], e.take(at))
 
-    return packed.mapInArrow(tidy(run), _PACK)
+    return dealt.mapInArrow(tidy(lambda batches: batched(made(batches))), SCHEMA)
 
 
-def _candidates(shared: DataFrame, n: int) -> DataFrame:
+def _candidates(dealt: DataFrame) -> DataFrame:
     """Lines with a shared band: hash, key, line, tokens."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines, hits = {}, defaultdict(list)
-        for b in batches:
-            for _, part, kind, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if kind == 0:
-                    lines[part] = np.frombuffer(data, _LINE)
-                else:
-                    hits[part].append(np.frombuffer(data, _SHARED))
-        for part, es in hits.items():
-            e = np.concatenate(es)
-            e = e[np.argsort(e["local"], kind="stable")]
-            local, first = np.unique(e["local"], return_index=True)
-            rows = lines[part][local]
-            tokens = pa.ListArray.from_arrays(pa.array(np.r_[first, len(e)].astype(np.int32)), pa.array(e["token"].astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(rows["hash"]), pa.array(rows["key"]), pa.array(rows["line"]), tokens], ["hash", "key", "line", "tokens"])
-
-    return shared.repartition(n, "part").mapInArrow(tidy(run), "hash long, key long, line int, tokens array<long>")
+    def run(batches: Batches) -> Batches:
+        by = grouped(batches)
+        while by:
+            _, kinds = by.popitem()
+            if _SHARED not in kinds:
+                continue
+            home, e = (united([d for _, d in kinds[k]]) for k in (_HOME, _SHARED))
+            key, line, whole = (c[np.argsort(home.of)] for c in home.cols)
+            at = np.searchsorted(home.who, e.who)[e.of]
+            order = np.argsort(at, kind="stable")
+            local, first = np.unique(at[order], return_index=True)
+            tokens = pa.ListArray.from_arrays(pa.array(np.r_[first, len(at)].astype(np.int32)), pa.array(e.cols[0][order].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(whole[local].view(np.int64)), pa.array(key[local].view(np.int64)), pa.array(line[local].astype(np.int32)), tokens], ["hash", "key", "line", "tokens"])
+
+    return dealt.mapInArrow(tidy(run), "hash long, key long, line int, tokens array<long>")
 
 
 def _small(df: DataFrame, row_bytes: int) -> DataFrame:
@@ -192,7 +180,7 @@ def _small(df: DataFrame, row_bytes: int) -> DataFrame:
 def _forest(place: np.ndarray, hashes: np.ndarray, comps: np.ndarray, texts: list[str], percent: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (component, component), a spanning forest of all pairs of like lines of different components in one place; place is sorted.
 
-    A pair whose presence bitmaps differ in more cells than two like sets can is passed over; all others are compared as sets.
+    For places of few lines. A pair whose presence bitmaps differ in more cells than two like sets can is passed over; all others are compared as sets.
     """
     _, at, line = np.unique(hashes, return_index=True, return_inverse=True)
     parts, n, bits = [], [], []
@@ -247,14 +235,33 @@ def _forest(place: np.ndarray, hashes: np.ndarray, comps: np.ndarray, texts: lis
     return label[np.array(a, np.int64)], label[np.array(b, np.int64)]
 
 
+def _wide(hashes: np.ndarray, comps: np.ndarray, texts: list[str], percent: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for one place of many lines: all overlaps at once."""
+    _, at = np.unique(hashes, return_index=True)
+    h, first = _shingles([texts[i] for i in at], size)
+    line = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(h)]))
+    order = np.lexsort((h, line))
+    h, line = h[order], line[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (line[1:] != line[:-1])]
+    h, line = h[new], line[new]
+    count = np.bincount(line, minlength=len(at))
+    got = np.array(forest(comps[at], count, np.split(h, np.cumsum(count)[:-1]), percent), np.int64).reshape(-1, 2)
+    return got[:, 0], got[:, 1]
+
+
 def _links(rows: DataFrame, percent: int, size: int) -> DataFrame:
     """Links (a, b) between components of all like lines in one place; rows: place, hash, comp, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
-            c = list(zip(*own, strict=True))
-            a, b = _forest(*(np.array(x, np.int64) for x in c[:3]), c[3], percent, size)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            place, hashes, comps = (np.array(x, np.int64) for x in zip(*[r[:3] for r in own], strict=True))
+            texts = [r[3] for r in own]
+            begin = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+            n = np.diff(np.r_[begin, len(place)])
+            some = np.flatnonzero(np.repeat(n < WIDE_LINES, n))
+            got = [_forest(place[some], hashes[some], comps[some], [texts[i] for i in some], percent, size)] if len(some) else []
+            got += [_wide(hashes[i : i + m], comps[i : i + m], texts[i : i + m], percent, size) for i, m in zip(begin.tolist(), n.tolist(), strict=True) if m >= WIDE_LINES]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in got])) for i in (0, 1)], ["a", "b"])
 
         own, chars = [], 0
         for batch in batches:
@@ -282,9 +289,9 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, percent: int, min
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     total = text_bytes(docs, text_col)
-    blocks = max(12, -(-total // BLOCK_BYTES))
-    packed = _pack(rows.select("key", "text"), even_keys(spark, blocks), min_chars, shingle).repartition(blocks, "block")
-    found = cut(_candidates(_share(packed), blocks))
+    deal = Deal.of(spark, max(12, -(-total // BLOCK_BYTES)))
+    place = _place(deal)
+    found = cut(_candidates(deal.dealt(_share(deal.dealt(_pack(rows.select("key", "text"), deal, min_chars, shingle), place), deal), place)))
 
     # Bands of several different lines, of those with the same lines one. A wide band is cut into blocks; its least hash is in each.
     band = found.select("hash", F.explode("tokens").alias("token")).distinct()
@@ -294,8 +301,8 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, percent: int, min
 
     need = cut(member.select("hash").distinct().join(found.groupBy("hash").agg(F.min(F.struct("key", "line")).alias("at")), "hash").select("hash", "at.key", "at.line"))
     text = rows.select("key", "text").join(_small(need.groupBy("key").agg(F.collect_list(F.struct("line", "hash")).alias("lines")), 100), "key")
-    text = text.select(F.split("text", "\n").alias("all"), F.explode("lines").alias("l")).select("l.hash", F.element_at("all", F.col("l.line") + 1).alias("text"))
-    text = cut(text.groupBy("hash").agg(F.first("text").alias("text")))
+    text = text.select(F.split("text", "\n").alias("all"), "lines").select(F.transform("lines", lambda x: F.struct(x["hash"], F.element_at("all", x["line"] + 1).alias("text"))).alias("l"))
+    text = cut(text.select(F.inline("l")).groupBy("hash").agg(F.first("text").alias("text")))
     block = F.xxhash64("token", "i").alias("place")
     own = member.select(block, "hash").unionByName(member.where("blocks > 1").select(block, F.col("top").alias("hash")).distinct())
     links = cut(_links(own.join(text, "hash").withColumn("comp", F.col("hash")), percent, shingle))
@@ -338,7 +345,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = base.join(_small(gone, 120), "key", "left").join(_small(copies, 24), "key", "left")
     long_line = lambda x: F.length(x) >= min_chars
     spared = lambda x: ~long_line(x) & ~_short(x, min_chars) if short_lines else ~long_line(x)
-    kept = F.when(F.col("first") < F.col("id"), F.filter("all", spared)).when(F.col("gone").isNotNull(), F.filter("all", lambda x, i: ~F.array_contains("gone", i))).otherwise(F.col("all"))
+    kept = F.when(F.col("first") < F.col("id"), F.filter("all", spared)).when(F.col("gone").isNotNull(), F.transform(F.array_except(F.sequence(F.lit(0), F.size("all") - 1), F.col("gone")), lambda i: F.element_at("all", i + 1))).otherwise(F.col("all"))
     out = out.withColumn("kept", kept)
     n = F.when(F.col("all").isNull(), 0).otherwise(F.size("all"))
     m = F.when(F.col("all").isNull(), 0).otherwise(F.size("all") - F.size("kept"))
