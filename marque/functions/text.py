@@ -12,6 +12,8 @@ from marque.functions.exact import repair_mojibake, unescape_html
 
 # Footnotes and markers, and the tails that test titles leave on model names (in this order).
 NOISE = r"(?iu)\s*\[[^\]]*\]|\s*\([^)]*citation[^)]*\)|—?N/?[Aa]|\best\.?\b|\bclaim(?:ed)?\b"
+#: All noise has one of these; looking for them costs far less than the pattern.
+_MAY_BE_NOISE = r"[\[(aAeE]"
 _END = r"\s*[\|–—-]?\s*$"
 TEST_TAILS: tuple[str, ...] = (
     r"\s+long-?\s*term\s+road\s+test\s+wrap-?\s*up" + _END,
@@ -68,7 +70,8 @@ def squeeze(c: Column) -> Column:
 
 def clean_text(c: Column) -> Column:
     """Without footnotes, citations and markers; white space collapsed. Null becomes blank."""
-    return squeeze(F.regexp_replace(F.coalesce(c, F.lit("")), NOISE, ""))
+    text = F.coalesce(c, F.lit(""))
+    return squeeze(F.when(text.rlike(_MAY_BE_NOISE), F.regexp_replace(text, NOISE, "")).otherwise(text))
 
 
 def year_of(c: Column) -> Column:
@@ -97,6 +100,13 @@ def model_key(model: Column, keep_parens: bool = False) -> Column:
     return F.regexp_replace(m, r"\s+", " ")
 
 
+def record_key(year: Column, manufacturer: Column, model: Column) -> Column:
+    """What tells records apart: manufacturer and model (without anything in parentheses), and the year where there is one."""
+    m = F.trim(F.regexp_replace(F.trim(F.lower(F.coalesce(model, F.lit("")))), r"\s*\([^)]+\)\s*", " "))
+    maker = F.trim(F.lower(F.coalesce(manufacturer, F.lit(""))))
+    return F.struct(F.nullif(year, F.lit("")).alias("year"), maker.alias("manufacturer"), F.regexp_replace(m, r"\s+", " ").alias("model"))
+
+
 def stored_model(model: Column) -> Column:
     """A stored model name without test tails; case stays."""
     m = F.regexp_replace(F.coalesce(model, F.lit("")), r"[;:]+\s*$", "")

@@ -79,6 +79,36 @@ def parse_power(c: Column) -> Column:
     return let(clean_text(c), parse)
 
 
+def strict_time(c: Column) -> Column:
+    """Seconds of ``m:ss(.f)``, or of a number that the text begins with; null for DNF, DNS and other text."""
+    def parse(t: Column) -> Column:
+        clock = r"(\d+):(\d+(?:\.\d+)?)"
+        seconds = group(t, clock, 1).try_cast("double") * 60 + group(t, clock, 2).try_cast("double")
+        return F.coalesce(seconds, group(t, r"^(\d+(?:\.\d+)?)").try_cast("double"))
+
+    return let(clean_text(c), parse)
+
+
+def comma_speed(c: Column) -> Column:
+    """Struct (mph, kmh): numbers with decimal commas or points; the missing one from the other by one factor."""
+    def parse(t: Column) -> Column:
+        number = lambda unit: F.replace(group(t, rf"(?i)(\d+(?:[.,]\d+)?)\s*{unit}"), F.lit(","), F.lit(".")).try_cast("double")
+        mph, kmh = number("(?:mph|mi/?h)"), number("(?:km/?h|kph|kmh)")
+        return F.struct(F.coalesce(mph, F.round(kmh / MPH_TO_KMH, 1)).alias("mph"), F.coalesce(kmh, mph_to_kmh(mph)).alias("kmh"))
+
+    return let(clean_text(c), parse)
+
+
+def exact_power(c: Column) -> Column:
+    """Struct (hp, kw): hp, else PS; the missing one from the other by one factor; a bare number says nothing."""
+    def parse(t: Column) -> Column:
+        kw, hp, ps = _first(t, "kw", _GROUPED), _first(t, "(?:hp|bhp)", _GROUPED), _double(group(t, rf"{_GROUPED}\s*PS"))
+        hp = F.coalesce(hp, times(ps, PS_TO_HP))
+        return F.struct(F.coalesce(hp, F.round(kw / HP_TO_KW, 1)).alias("hp"), F.coalesce(kw, hp_to_kw(hp)).alias("kw"))
+
+    return let(clean_text(c), parse)
+
+
 def parse_float(c: Column) -> Column:
     """A number without thousands commas and unit; else the first number in the text; null for placeholders."""
     def parse(bare: Column) -> Column:

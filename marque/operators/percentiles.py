@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from marque.functions.columns import name
 from marque.operators.catalog_query import prepared, valid
+from marque.session import cut
 
 # Which columns are better low or high.
 LOWER = ("0_60_mph_sec", "0_100_kmh_sec", "0_100_mph_sec", "0_200_kmh_sec", "quarter_mile_sec", "curb_weight_lb", "braking_70_0_ft", "braking_100_0_ft", "nurburgring_lap_sec", "top_gear_lap_sec", "lightning_lap_sec", "power_to_weight")
 HIGHER = ("top_speed_mph", "top_speed_kmh", "quarter_mile_speed_mph", "power_hp", "power_kw", "torque", "skidpad_g")
 LEAST = 10  # fewer values have no percentiles
+P_LOW, P_HIGH = 0.1, 0.9
 
 
 def _source(column: str) -> Column:
@@ -21,22 +23,25 @@ def _source(column: str) -> Column:
 def percentiles(catalog: DataFrame, columns: tuple[str, ...] = LOWER + HIGHER) -> DataFrame:
     """(column, n, p10, p90) of each column with values; null percentiles under ten values.
 
-    Equal values are counted first, so what is ranked is the distinct values of each column: one
-    aggregate with map-side combining, then a running count. Ranking reads one row a distinct value.
+    Equal values are counted first, by one aggregate with map-side combining. The distinct values are dealt by
+    ranges; running totals of the ranges (a row a column and range) tell which range holds an offset, and only
+    that range is ranked. No task sees all values of a column.
     """
     rows = prepared(catalog).where(valid())
     has = set(rows.columns) | {"torque"}
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), _source(c).alias("v")) for c in columns if c in has])
-    counts = rows.select(F.explode(pairs).alias("p")).select("p.*").where("v is not null").groupBy("column", "v").agg(F.count("*").alias("k"))
-    total = counts.groupBy("column").agg(F.sum("k").alias("n"))
-    upto = F.sum("k").over(Window.partitionBy("column").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("upto", upto).join(F.broadcast(total), "column")  # one row a column
-
-    def at(p: float) -> Column:
-        offset = F.floor(F.col("n") * F.lit(p))
-        return F.min(F.when((F.col("n") >= LEAST) & (F.col("upto") > offset), F.col("v")))
-
-    return ranked.groupBy("column").agg(F.first("n").alias("n"), at(0.1).alias("p10"), at(0.9).alias("p90"))
+    counts = rows.select(F.inline(pairs)).where("v is not null").groupBy("column", "v").agg(F.count("*").alias("k"))
+    ranged = cut(counts.repartitionByRange("column", "v").withColumn("range", F.spark_partition_id()))
+    by_column = Window.partitionBy("column")
+    upto = F.sum("k").over(by_column.orderBy("range"))
+    ranges = ranged.groupBy("column", "range").agg(F.sum("k").alias("k")).select("column", "range", (upto - F.col("k")).alias("before"), upto.alias("upto"), F.sum("k").over(by_column).alias("n"))
+    sought = ranges.select("*", F.explode(F.array(F.lit(P_LOW), F.lit(P_HIGH))).alias("p")).withColumn("offset", F.floor(F.col("n") * F.col("p")))
+    sought = sought.where("before <= offset and offset < upto")  # two rows a column
+    ranked = ranged.join(F.broadcast(sought.select("column", "range", "before", "n", "p", "offset")), ["column", "range"])
+    place = F.col("before") + F.sum("k").over(Window.partitionBy("column", "range", "p").orderBy("v"))
+    found = ranked.withColumn("place", place).where("place > offset").groupBy("column", "n", "p").agg(F.min("v").alias("v"))
+    at = lambda p: F.min(F.when((F.col("p") == p) & (F.col("n") >= LEAST), F.col("v")))
+    return found.groupBy("column").agg(F.first("n").alias("n"), at(P_LOW).alias("p10"), at(P_HIGH).alias("p90"))
 
 
 def with_status(catalog: DataFrame, thresholds: DataFrame, column: str, out: str = "status") -> DataFrame:

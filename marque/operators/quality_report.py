@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import html
 import json
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +57,21 @@ def metric_coverage(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("total"), *[F.count_distinct(c).alias(f"unique_{c}") for c in ("manufacturer", "model", "year")], *[F.count(name(c)).alias(c) for c in NUMERIC if c in df.columns])
 
 
+def step_counts(df: DataFrame, steps: dict[str, tuple[Callable[[DataFrame], DataFrame], tuple[str, ...]]]) -> DataFrame:
+    """(step, changed): for each step in turn, the rows in which it changes one of its columns; one pass over df.
+
+    A step is a projection of df's rows and the columns that count.
+    """
+    now, flags = df, []
+    for i, (_, (step, columns)) in enumerate(steps.items()):
+        before = now.withColumns({f"_before_{c}": name(c) for c in columns})
+        changed = reduce(or_, [~name(c).eqNullSafe(name(f"_before_{c}")) for c in columns])
+        now = step(before).withColumn(f"_changed_{i}", changed).drop(*[f"_before_{c}" for c in columns])
+        flags.append(F.count_if(F.col(f"_changed_{i}")).alias(f"n_{i}"))
+    cells = [F.struct(F.lit(s).alias("step"), F.col(f"n_{i}").alias("changed")) for i, s in enumerate(steps)]
+    return now.agg(*flags).select(F.inline(F.array(*cells)))
+
+
 def bar(share: float, width: int = 20) -> str:
     n = round(width * max(0.0, min(1.0, share)))
     return "█" * n + "░" * (width - n)

@@ -10,17 +10,23 @@ from marque.functions.text import label
 from marque.functions.units import HP_TO_KW, MPH_TO_KMH
 from marque.operators.makers import Makers, country_of, normalize
 from marque.schema import BY_NAME, FIELDS, NUMERIC
+from marque.session import cut
 
 TOLERANCE = 0.05
+#: Row numbers of a duplicate key listed together, about.
+LISTED = 10_000
 PROPULSIONS = ("Electric", "Hybrid", "ICE", "Plug-in Hybrid")
 _ISSUE = ("severity", "validator", "field", "message", "value", "suggestion")
 
 
 def numbered(df: DataFrame, order: list[Column] | None = None, column: str = "row_index") -> DataFrame:
-    """Rows numbered from 1: by the order given, else as they come. Runs of partitions are counted first, so no task sees all rows."""
+    """Rows numbered from 1: by the order given, else as they come.
+
+    Runs of partitions are counted first, so no task sees all rows; the runs are written, so both uses see the same ones.
+    """
     if order is not None:
         df = df.orderBy(*order)
-    rows = df.withColumn("_m", F.monotonically_increasing_id())
+    rows = cut(df.withColumn("_m", F.monotonically_increasing_id()))
     part = F.shiftright(F.col("_m"), 33)
     ends = rows.groupBy(part.alias("_p")).agg((F.max("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("_n"))
     upto = ends.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")
@@ -104,14 +110,17 @@ def issues_of(df: DataFrame, checks: list[Column], row: str = "row_index") -> Da
 
 
 def duplicate_keys(df: DataFrame, makers: Makers, row: str = "row_index") -> DataFrame:
-    """(year, manufacturer, model, n, rows) of keys that more than one row has; rows: the first hundred row numbers."""
-    keyed = df.select(F.coalesce("year", F.lit("")).alias("year"), F.lower(normalize(F.col("manufacturer"), makers)).alias("manufacturer"), F.lower(F.trim(F.coalesce("model", F.lit("")))).alias("model"), name(row).alias("row"))
+    """(year, manufacturer, model, n, rows) of keys that more than one row has; rows: the row numbers, all of them.
+
+    A key of more than about LISTED rows has several rows here, each with some of the numbers, so that none grows without bound.
+    """
+    model, maker = F.lower(F.trim(F.coalesce("model", F.lit("")))), F.lower(normalize(F.col("manufacturer"), makers))
+    keyed = df.select(F.coalesce("year", F.lit("")).alias("year"), maker.alias("manufacturer"), model.alias("model"), name(row).alias("row"))
     key = ["year", "manufacturer", "model"]
-    count = keyed.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
-    w = Window.partitionBy(*key).orderBy("row")
-    some = keyed.join(count.select(*key), key, "left_semi").withColumn("k", F.row_number().over(w)).where("k <= 100")
-    lists = some.groupBy(*key).agg(F.sort_array(F.collect_list("row")).alias("rows"))
-    return count.join(lists, key)
+    count = cut(keyed.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"))  # a table: a hot key's rows are then split in the join
+    piece = F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / LISTED))
+    some = keyed.join(count, key).groupBy(*key, "n", piece.alias("piece")).agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    return some.drop("piece")
 
 
 def duplicate_issues(df: DataFrame, makers: Makers, row: str = "row_index") -> DataFrame:

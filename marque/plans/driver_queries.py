@@ -135,11 +135,6 @@ def b05_search_prefix(spark, sf_dir):
     return rows.where(cq.matches(prefix)).select("p_partkey")
 
 
-@query(f"{_C} SELECT l_returnflag_ AS drivetrain, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, cast(floor(ratio) AS bigint) AS ratio FROM (SELECT *, drivetrain AS l_returnflag_ FROM c)")
-def b13_b14_projection(spark, sf_dir):
-    return cq.prepared(catalog(spark, sf_dir)).select("drivetrain", *KEY, F.floor("power_to_weight").alias("ratio"))
-
-
 _FACET_COLUMNS = ("manufacturer", "country", "body_style", "propulsion", "engine_type", "drivetrain")
 
 
@@ -209,12 +204,6 @@ def h30_h33_parse_numbers(spark, sf_dir):
     )
 
 
-@query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents WHERE NOT regexp_matches(text, '[\\[\\(]') AND NOT regexp_matches(text, '(?i)n/?a|est|claim') AND regexp_full_match(text, '[\\x00-\\x7f]*')")
-def h01_h02_clean_text(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.where(~F.col("text").rlike(r"[\[\(]") & ~F.col("text").rlike(r"(?i)n/?a|est|claim") & F.col("text").rlike(r"^[\x00-\x7f]*$")).select("doc_id", text.clean_text(F.col("text")).alias("t"))
-
-
 @query()
 def h01_h02_clean_text_whole(spark, sf_dir):
     """All documents, with what clean_text removes and null texts: SQL can't express its rules, so a test holds it against Python."""
@@ -266,21 +255,6 @@ def ie1_fill_speeds(spark, sf_dir):
     return rows.select(*KEY, mph.cast("int").alias("from_kmh"), kmh.cast("int").alias("from_mph"))
 
 
-_WORDS_SQL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(p_type), '{k}')" for k in ks) + f" THEN '{s}'" for s, ks in clean.BODY_KEYWORDS.items()) + " ELSE p_type END"
-
-
-@query(f"SELECT p_partkey, {_WORDS_SQL} AS body_style FROM part")
-def ic6_body_style(spark, sf_dir):
-    return clean.body_style(table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("model"), F.col("p_type").alias("body_style"))).select("p_partkey", "body_style")
-
-
-@query("SELECT p_partkey, CASE WHEN regexp_matches(lower(p_name || ' ' || p_type), '\\bdiesel\\b') THEN 'Diesel' ELSE '' END AS propulsion FROM part WHERE NOT regexp_matches(lower(p_name || ' ' || p_type), '\\b(electric|bev|ev|battery|hybrid|phev|turbo|cylinder|inline|flat|rotary|v[0-9]+)\\b')")
-def h50_propulsion(spark, sf_dir):
-    t = F.lower(F.concat_ws(" ", "p_name", "p_type"))
-    rows = table(spark, sf_dir, "part").where(~t.rlike(r"\b(electric|bev|ev|battery|hybrid|phev|turbo|cylinder|inline|flat|rotary|v[0-9]+)\b"))
-    return rows.select("p_partkey", F.when(t.rlike(r"\bdiesel\b"), "Diesel").otherwise(classify.propulsion(F.col("p_name"), F.col("p_type"))).alias("propulsion"))
-
-
 @query()
 def h50_propulsion_whole(spark, sf_dir):
     """All parts; a test holds it against Python."""
@@ -324,22 +298,6 @@ def d13_numeric_stats(spark, sf_dir):
     return quality_report.numeric_stats(catalog(spark, sf_dir), tuple(_BOUNDS)).select("field", "count", "min", "max")
 
 
-@query("SELECT event_id, cast(json_extract_string(props, '$.k') AS bigint) AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
-def a08_json_cells(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("o", F.from_json("props", "map<string,string>"))
-    return e.select("event_id", F.col("o")["k"].try_cast("bigint").alias("k")).where("k is not null")
-
-
-@query("SELECT o_orderkey, c_name, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey")
-def c01_inner_join(spark, sf_dir):
-    return table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name", "c_mktsegment")
-
-
-@query("SELECT p_partkey, cast(i - 1 AS int) AS i, string_split(p_type, ' ')[i] AS part FROM (SELECT *, unnest(range(1, len(string_split(p_type, ' ')) + 1)) AS i FROM part)")
-def ap7_expansion(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.posexplode(F.split("p_type", " ")).alias("i", "part"))
-
-
 @query(f"{_C} SELECT count(*) AS n FROM c WHERE (power_hp IS NULL OR power_hp BETWEEN 50 AND 3000) AND (curb_weight_lb IS NULL OR curb_weight_lb BETWEEN 1000 AND 10000) AND (a_0_60 IS NULL OR a_0_60 BETWEEN 1 AND 30) AND (quarter_mile_sec BETWEEN 7 AND 25) AND (top_speed_mph BETWEEN 50 AND 350) AND (engine_displacement BETWEEN 0.5 AND 10)")
 def b18_constraints(spark, sf_dir):
     c = catalog(spark, sf_dir)

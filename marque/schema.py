@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -111,3 +113,12 @@ def _cast(c: Column, f: Field) -> Column:
         return F.nullif(c.cast("string"), F.lit(""))
     text = F.nullif(F.trim(c.cast("string")), F.lit(""))
     return text.try_cast("double") if f.kind == "numeric" else text.try_cast("double").cast("int")
+
+
+def type_definitions(country_names: Mapping[str, str] | None = None) -> str:
+    """The catalog's types as a TypeScript module: the row, the columns' metadata, the categories and countries."""
+    key = lambda c: json.dumps(c) if c[0].isdigit() or "-" in c else c
+    row = "".join(f"  {key(f.name)}: {'string' if f.kind == 'string' else 'number'} | null;\n" for f in FIELDS)
+    about = [{"id": f.name, "header": f.header, "category": f.category, "unit": f.unit, "isNumeric": f.kind != "string", "visible": f.visible} for f in FIELDS]
+    parts = {"COLUMNS": about, "CATEGORIES": columns_by_category(), "COUNTRY_NAMES": dict(country_names or {})}
+    return f"export interface CatalogRow {{\n{row}}}\n" + "".join(f"\nexport const {k} = {json.dumps(v, ensure_ascii=False, indent=2)} as const;\n" for k, v in parts.items())

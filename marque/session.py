@@ -33,13 +33,22 @@ def get_session(app: str = "marque", cpus: int | None = None, **conf: str) -> Sp
     return spark
 
 
+def table_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which all executors share; a folder of our own only where none is set and the master is local."""
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if given:
+        return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"file://{tempfile.gettempdir()}/marque-tables"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to a table in the folder that all executors share (spark.checkpoint.dir) and read again.
 
     Ends the lineage and the plan there: later stages are planned and recovered by themselves.
     """
     spark = df.sparkSession
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    path = f"{(given or f'file://{tempfile.gettempdir()}/marque-tables').rstrip('/')}/stage-{uuid.uuid4().hex}"
+    path = f"{table_root(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

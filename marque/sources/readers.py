@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -34,6 +34,15 @@ def read_csv(spark: SparkSession, path: str | list[str], skip_files: Iterable[st
     return df.withColumn("source_row", row).select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in cols], *PROVENANCE)
 
 
+def read_directory(spark: SparkSession, folder: str, can_parse: Callable[[str], bool] = lambda _: True, pattern: str = "*.csv") -> DataFrame:
+    """The CSV files of a folder, by name, whose path a parser can take. Paths are listed, not files read, to choose them."""
+    paths = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path").distinct().orderBy("path")
+    use = [r.path for r in paths.toLocalIterator() if can_parse(r.path)]
+    if not use:
+        raise ValueError(f"no file of {folder} fits")
+    return read_csv(spark, use)
+
+
 def read_catalog_csv(spark: SparkSession, path: str) -> DataFrame:
     """A catalog CSV in the catalog's types, with seq as it stands in the file."""
     df = read_csv(spark, path)
