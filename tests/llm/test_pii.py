@@ -87,6 +87,7 @@ def test_a_number_never_becomes_another_of_the_corpus(spark):
 
 def test_without_a_free_surrogate_it_fails(spark, monkeypatch):
     monkeypatch.setattr(pii, "MAX_DRAWS", 1)
+    monkeypatch.setattr(pii, "ROOM", 0)
     df = spark.range(900).select(F.col("id").alias("doc_id"), F.concat(F.lit("Mr B"), F.translate(F.lpad(F.col("id").cast("string"), 3, "0"), "0123456789", "abcdefghij")).alias("text"))
     with pytest.raises(ValueError):
         pseudonymise(df, "k")
@@ -100,3 +101,68 @@ def test_long_runs_of_digits_are_replaced_in_every_piece(spark):
         assert all(s[i : i + 28] != e[i : i + 28] for i in range(0, len(e) - 4, 28)), e
     near = of(spark, ["7" * 40 + f"{i:03}" for i in range(300)])
     assert len({s for _, s in near.values()}) == 300
+
+
+def test_dense_addresses_and_numbers_stay_apart(spark):
+    """All of 10.0.0.0/18, and a tenth of all nine-digit numbers' last five places."""
+    i = F.col("id")
+    df = spark.range(16384).select(i.alias("doc_id"), F.concat_ws(".", F.lit("10.0"), F.floor(i / 256).cast("string"), (i % 256).cast("string")).alias("text"))
+    out = pseudonymise(df, "k").cache()
+    assert out.select("text").distinct().count() == 16384 and out.join(df, ["doc_id", "text"]).count() == 0
+    assert out.where(~F.col("text").startswith("10.0.")).count() == 0
+    df = spark.range(20000).select(i.alias("doc_id"), F.concat(F.lit("5550"), F.lpad(i.cast("string"), 5, "0")).alias("text"))
+    out = pseudonymise(df, "k").cache()
+    assert out.select("text").distinct().count() == 20000 and out.join(df.select("text"), "text").count() == 0
+
+
+@pytest.mark.parametrize("n", [2, 3, 4])
+def test_permutations_are_whole_and_leave_nothing_as_it_is(spark, n):
+    d = F.lpad(F.col("id").cast("string"), n, "0")
+    r = spark.range(10**n).select(d.alias("d"), pii._permuted("k", d, F.lit("x")).alias("p"))
+    assert r.select("p").distinct().count() == 10**n and r.where("d = p or length(p) <> length(d)").count() == 0
+
+
+def test_private_addresses_are_those_that_keep_two_octets(spark):
+    rows = [(f"{a}.{b}.7.9",) for a in range(0, 256) for b in (0, 1, 15, 16, 31, 32, 168, 254)]
+    df = spark.createDataFrame(rows, "e string").select("e", pii._private(F.col("e")).alias("p"), pii._address("k", F.col("e")).alias("s"))
+    for r in df.collect():
+        same = r.e.split(".")[:2] == r.s.split(".")[:2]
+        assert same if r.p else not (pii_private := re.match(r"^(?:0|10|127|2(?:2[4-9]|[345]\d))\.", r.s)), (r.e, pii_private)
+
+
+def test_family_names_and_layouts_refer_alike(spark):
+    """A family name has one surrogate with any title or given name, redrawn or not; a number in any layout."""
+    fam = ["B" + "".join("abcdefghij"[int(c)] for c in f"{i:03}") for i in range(900)]
+    rows = [(i, f"Mr Karl {f}; Mr {f}; Mrs Anna {f}; Mr. {f}; 555-{i:03}-4567 and 555{i:03}4567") for i, f in enumerate(fam)]
+    out = pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()
+    seen = set()
+    for r in out:
+        a, b, c, d, rest = r.text.split("; ")
+        assert a.split()[2] == b.split()[1] == c.split()[2] == d.split()[1]
+        assert (a.split()[0], b.split()[0], c.split()[0], d.split()[0]) == ("Mr", "Mr", "Mrs", "Mr.")
+        x, y = rest.split(" and ")
+        assert x.replace("-", "") == y and y != rows[r.doc_id][1].split()[-1]
+        seen |= {a, b, c, d, x, y}
+    assert len(seen) == 6 * 900 and not seen & {e for _, t in rows for e in re.split("; | and ", t)}
+    assert len({t.split()[1] for t in seen if t.startswith("Mr ") and len(t.split()) == 3}) == 1
+
+
+def test_whole_query_equals_entity_by_entity(spark):
+    """Every entity that the pattern finds is replaced alike everywhere, and all between stays, against Python's own split."""
+    import regex
+
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(200).collect()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen: dict[str, str] = {}
+    for r in pseudonymise(df, "k").collect():
+        t = texts[r.doc_id]
+        if t is None:
+            assert r.text is None
+            continue
+        found = [m.group() for m in regex.finditer(pii.PATTERN, t)]
+        gaps = [re.escape(t[a:b]) for a, b in zip([0, *[m.end() for m in regex.finditer(pii.PATTERN, t)]], [*[m.start() for m in regex.finditer(pii.PATTERN, t)], len(t)], strict=True)]
+        m = re.fullmatch("(.+?)".join(gaps), r.text, re.S) if found else None
+        assert r.n_entities == len(found) and (m or r.text == t)
+        for e, s in zip(found, m.groups() if m else (), strict=True):
+            assert seen.setdefault(e, s) == s and s != e
+    assert len(set(seen.values())) == len(seen) and seen
