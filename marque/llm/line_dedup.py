@@ -2,9 +2,8 @@
 
 Lines of at least ``min_chars`` characters are eligible; shorter ones are left alone or, with
 ``short_lines``, compared as one shingle each: by equality. The steps for long ones:
-character-shingle MinHash signatures; banding, with band hashes packed by hash block
-and shuffled in bulk, so that only lines that share a band with another text's line go on;
-exact Jaccard of all pairs of a band that aren't linked yet; distributed union-find over the
+character-shingle MinHash signatures of different lines; banding, with band hashes packed
+and dealt to blocks (``dealing``), where those of several lines come out; exact Jaccard of all pairs of a band that aren't linked yet; distributed union-find over the
 links; and removal of every line of a component but the first (by id, then line number).
 
 Byte-equal texts are one row until the end: of rows with one text, those with a larger id
@@ -46,8 +45,8 @@ FOREST_CHARS = 2_000_000
 #: Estimated bytes up to which a side is broadcast; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 32_000_000
 
-#: Kinds of rows: lines; their band hashes; band hashes that another line has too.
-_HOME, _BAND, _SHARED = range(3)
+#: Kinds of rows: lines; band hashes.
+_LINE, _BAND = range(2)
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 Batches = Iterator[pa.RecordBatch]
 _SALT = np.random.default_rng(7).integers(1, 2**31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -78,13 +77,20 @@ def _lines(text: str, least: int) -> list[tuple[int, str]]:
     return [(i, x) for i, x in enumerate(text.split("\n")) if len(x) >= least]
 
 
-def _sent(deal: Deal, part: int, own: list[tuple[int, int, str]], size: int) -> Iterator[Row]:
-    """The places of own (text key, line number, line), and their band hashes."""
-    tokens, whole = [], []
-    for i in range(0, len(own), 1000):  # shingles of some lines at once: what stays in a processor's cache
-        h, first = _shingles([x for _, _, x in own[i : i + 1000]], size)
-        whole.append(mix(np.add.reduceat(mix(h ^ np.uint64(0x5BD1E995)), first)))  # of the set with repeats; equal lines agree
-        low = (h >> np.uint64(32)).astype(np.uint32)
+def _signed(texts: list[str], size: int, seen: set[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of lines; and the band hashes of those not seen before, with the line's hash. seen: hashes, added to."""
+    tokens, owners, whole = [], [], []
+    for i in range(0, len(texts), 1000):  # shingles of some lines at once: what stays in a processor's cache
+        h, first = _shingles(texts[i : i + 1000], size)
+        line = mix(np.add.reduceat(mix(h ^ np.uint64(0x5BD1E995)), first))  # of the set with repeats; equal lines agree
+        whole.append(line)
+        _, at = np.unique(line, return_index=True)
+        new = np.array([j for j in np.sort(at).tolist() if int(line[j]) not in seen], np.int64)
+        if not len(new):
+            continue
+        seen.update(line[new].tolist())
+        count = np.diff(np.r_[first, len(h)])[new]
+        first, low = np.cumsum(count) - count, (h >> np.uint64(32)).astype(np.uint32)[np.repeat(first[new] - np.cumsum(count) + count, count) + np.arange(count.sum())]
         sig = np.empty((len(first), BANDS * ROWS), np.uint64)
         v = np.empty_like(low)
         for k, salt in enumerate(_SALT):  # an odd factor permutes the 32-bit hashes
@@ -93,83 +99,100 @@ def _sent(deal: Deal, part: int, own: list[tuple[int, int, str]], size: int) ->
         band = np.zeros((len(first), BANDS), np.uint64)
         for r in range(ROWS):
             band = mix(band + sig[:, r::ROWS] + np.uint64(r))
-        tokens.append(mix(band + np.arange(BANDS, dtype=np.uint64)))
-    token = np.concatenate(tokens).ravel()
-    n = len(own)
-    who = np.uint64(part << int(LOCAL)) + np.arange(n, dtype=np.uint64)
-    key = np.array([k for k, _, _ in own], np.int64).view(np.uint64)
-    lines = Packed(who, np.arange(n), [key, np.array([i for _, i, _ in own], np.int64), np.concatenate(whole)])
-    yield from deal.rows(_HOME, part, deal.homes(who), lines)
-    yield from deal.rows(_BAND, part, deal.place(token), Packed(who, np.repeat(np.arange(n), BANDS), [token]))
+        tokens.append(mix(band + np.arange(BANDS, dtype=np.uint64)).ravel())
+        owners.append(np.repeat(line[new], BANDS))
+    none = np.zeros(0, np.uint64)
+    return np.concatenate(whole), np.concatenate([none, *tokens]), np.concatenate([none, *owners])
+
+
+def _place(deal: Deal):
+    return lambda kind, e: deal.place(e.cols[0]) if kind == _BAND else deal.place(mix(e.who[e.of]))
 
 
 def _pack(rows: DataFrame, deal: Deal, least: int, size: int) -> DataFrame:
+    """(key, text) -> lines (of a text: hash, line number) and the band hashes of different lines."""
+
+    def sent(part: int, own: list[tuple[int, int, str]], seen: set[int]) -> Iterator[Row]:
+        whole, token, owner = _signed([x for _, _, x in own], size, seen)
+        key, of = np.unique(np.array([k for k, _, _ in own], np.int64).view(np.uint64), return_inverse=True)
+        lines = Packed(key, of, [whole, np.array([i for _, i, _ in own], np.int64)])
+        yield from deal.rows(_LINE, part, deal.place(mix(key))[of], lines)
+        hashes, of = np.unique(owner, return_inverse=True)
+        yield from deal.rows(_BAND, part, deal.place(token), Packed(hashes, of, [token]))
+
     def made(batches: Batches) -> Iterator[Row]:
         part, own = TaskContext.get().partitionId() << 24, []
+        texts: set[int] = set()
         seen: set[int] = set()
         for batch in batches:
             for some in slices(batch, pc.binary_length(batch.column(1)).to_pylist()):
                 for k, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                    if t and k not in seen:
-                        seen.add(k)
+                    if t and k not in texts:
+                        texts.add(k)
                         own += [(k, i, x) for i, x in _lines(t, least)]
                 whole = len(own) - len(own) % PART_LINES
                 for i in range(0, whole, PART_LINES):
-                    yield from _sent(deal, part, own[i : i + PART_LINES], size)
+                    yield from sent(part, own[i : i + PART_LINES], seen)
                     part += 1
                 del own[:whole]
-                if len(seen) > SEEN:
-                    seen.clear()
+                for held in (texts, seen):
+                    if len(held) > SEEN:
+                        held.clear()
         if own:
-            yield from _sent(deal, part, own, size)
+            yield from sent(part, own, seen)
 
     return rows.mapInArrow(tidy(lambda batches: batched(made(batches))), SCHEMA)
 
 
-def _place(deal: Deal):
-    return lambda kind, e: deal.place(e.cols[0]) if kind == _BAND else deal.homes(e.who[e.of])
-
-
-def _share(dealt: DataFrame, deal: Deal) -> DataFrame:
-    """The band hashes that another line has too, sent home; lines pass through."""
-
-    def made(batches: Batches) -> Iterator[Row]:
-        by = grouped(batches)
-        while by:
-            task, kinds = by.popitem()
-            own = kinds.pop(_BAND, [])
-            yield from ((task, kind, src, data) for kind, rows in kinds.items() for src, data in rows)
-            if not own:
-                continue
-            e = united([d for _, d in own])
-            order = np.argsort(e.cols[0])
-            t = e.cols[0][order]
-            same = t[1:] == t[:-1]
-            at = order[np.r_[False, same] | np.r_[same, False]]
-            at = at[np.argsort(e.of[at], kind="stable")]
-            yield from deal.rows(_SHARED, task, deal.homes(e.who)[e.of[at]], e.take(at))
+_FOUND = "kind int, hash long, key long, line int, s1 long, s2 long, i int, blocks int, members array<long>"
 
-    return dealt.mapInArrow(tidy(lambda batches: batched(made(batches))), SCHEMA)
 
+def _gather(dealt: DataFrame) -> DataFrame:
+    """Rows of kind _LINE: hash, key, line; and of kind _BAND: the different lines of a band of several.
 
-def _candidates(dealt: DataFrame) -> DataFrame:
-    """Lines with a shared band: hash, key, line, tokens."""
+    s1 and s2 tell sets of lines apart, hash is the least line; members are cut into blocks of BAND_LINES at most.
+    """
+    empty = pa.ListArray.from_arrays(pa.array([0], pa.int32()), pa.array([], pa.int64()))
+
+    def row(kind: int, m: int, **cols: pa.Array) -> pa.RecordBatch:
+        given = {"kind": pa.array(np.full(m, kind, np.int32)), **cols}
+        schema = pa.schema([("kind", pa.int32()), ("hash", pa.int64()), ("key", pa.int64()), ("line", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("i", pa.int32()), ("blocks", pa.int32()), ("members", empty.type)])
+        return pa.RecordBatch.from_arrays([given.get(f.name, pa.nulls(m, f.type)) for f in schema], schema=schema)
+
+    def bands(e: Packed) -> pa.RecordBatch | None:
+        order = np.lexsort((e.of, e.cols[0]))
+        t, of = e.cols[0][order], e.of[order]
+        new = np.r_[True, (t[1:] != t[:-1]) | (of[1:] != of[:-1])]
+        t, of = t[new], of[new]
+        first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+        n = np.diff(np.r_[first, len(t)])
+        several = np.repeat(n > 1, n)
+        of, n = of[several], n[n > 1]
+        if not len(n):
+            return None
+        member = e.who[of]  # sorted within a band
+        first = np.cumsum(n) - n
+        s1, s2 = np.add.reduceat(mix(member), first), np.bitwise_xor.reduceat(mix(member ^ np.uint64(0x5BD1E995)), first)
+        blocks = -(-n // BAND_LINES)
+        band = np.repeat(np.arange(len(n)), blocks)
+        i = np.arange(len(band)) - (np.cumsum(blocks) - blocks)[band]
+        begin = first[band] + i * BAND_LINES
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[begin, len(member)].astype(np.int32)), pa.array(member.view(np.int64)))
+        long = lambda x: pa.array(x[band].view(np.int64))
+        return row(_BAND, len(band), hash=long(member[first]), s1=long(s1), s2=long(s2), i=pa.array(i.astype(np.int32)), blocks=pa.array(blocks[band].astype(np.int32)), members=lists)
 
     def run(batches: Batches) -> Batches:
         by = grouped(batches)
         while by:
             _, kinds = by.popitem()
-            if _SHARED not in kinds:
-                continue
-            home, e = (united([d for _, d in kinds[k]]) for k in (_HOME, _SHARED))
-            key, line, whole = (c[np.argsort(home.of)] for c in home.cols)
-            at = np.searchsorted(home.who, e.who)[e.of]
-            order = np.argsort(at, kind="stable")
-            local, first = np.unique(at[order], return_index=True)
-            tokens = pa.ListArray.from_arrays(pa.array(np.r_[first, len(at)].astype(np.int32)), pa.array(e.cols[0][order].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(whole[local].view(np.int64)), pa.array(key[local].view(np.int64)), pa.array(line[local].astype(np.int32)), tokens], ["hash", "key", "line", "tokens"])
+            if _LINE in kinds:
+                e = united([d for _, d in kinds.pop(_LINE)])
+                whole, line = e.cols
+                yield row(_LINE, len(e), hash=pa.array(whole.view(np.int64)), key=pa.array(e.who[e.of].view(np.int64)), line=pa.array(line.astype(np.int32)))
+            if _BAND in kinds and (out := bands(united([d for _, d in kinds.pop(_BAND)]))) is not None:
+                yield from (out.slice(i, 20_000) for i in range(0, out.num_rows, 20_000))
 
-    return dealt.mapInArrow(tidy(run), "hash long, key long, line int, tokens array<long>")
+    return dealt.mapInArrow(tidy(run), _FOUND)
 
 
 def _small(df: DataFrame, row_bytes: int) -> DataFrame:
@@ -290,41 +313,49 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, percent: int, min
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     total = text_bytes(docs, text_col)
     deal = Deal.of(spark, max(12, -(-total // BLOCK_BYTES)))
-    place = _place(deal)
-    found = cut(_candidates(deal.dealt(_share(deal.dealt(_pack(rows.select("key", "text"), deal, min_chars, shingle), place), deal), place)))
-
-    # Bands of several different lines, of those with the same lines one. A wide band is cut into blocks; its least hash is in each.
-    band = found.select("hash", F.explode("tokens").alias("token")).distinct()
-    wide = band.groupBy("token").agg(F.count("*").alias("n"), F.min("hash").alias("top"), F.bit_xor("hash").alias("x"), F.bit_xor(F.xxhash64("hash")).alias("y")).where("n > 1")
-    wide = wide.groupBy("n", "top", "x", "y").agg(F.min("token").alias("token")).select("token", "top", F.ceil(F.col("n") / BAND_LINES).cast("int").alias("blocks"))
-    member = cut(band.join(wide, "token").select("token", "hash", "top", "blocks", F.pmod(F.xxhash64("hash"), F.col("blocks")).cast("int").alias("i")))
-
-    need = cut(member.select("hash").distinct().join(found.groupBy("hash").agg(F.min(F.struct("key", "line")).alias("at")), "hash").select("hash", "at.key", "at.line"))
+    found = cut(_gather(deal.dealt(_pack(rows.select("key", "text"), deal, min_chars, shingle), _place(deal))))
+    every = found.where(F.col("kind") == _LINE).select("hash", "key", "line")
+    reps = cut(every.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("key", "line")).alias("at")))
+
+    # Bands of several different lines, of those with the same lines one.
+    band = found.where(F.col("kind") == _BAND).groupBy("s1", "s2", "i").agg(F.first(F.struct("blocks", F.col("hash").alias("top"), "members")).alias("b"))
+    band = cut(band.select("s1", "s2", "i", "b.*", F.xxhash64("s1", "s2", "i").alias("place")))
+    member = band.select("place", F.explode("members").alias("hash"))
+    need = cut(member.select("hash").distinct().join(reps, "hash").select("hash", "at.key", "at.line"))
     text = rows.select("key", "text").join(_small(need.groupBy("key").agg(F.collect_list(F.struct("line", "hash")).alias("lines")), 100), "key")
-    text = text.select(F.split("text", "\n").alias("all"), "lines").select(F.transform("lines", lambda x: F.struct(x["hash"], F.element_at("all", x["line"] + 1).alias("text"))).alias("l"))
-    text = cut(text.select(F.inline("l")).groupBy("hash").agg(F.first("text").alias("text")))
-    block = F.xxhash64("token", "i").alias("place")
-    own = member.select(block, "hash").unionByName(member.where("blocks > 1").select(block, F.col("top").alias("hash")).distinct())
+    # The text is split once: a plain column of its lines would be put in place within the inner function.
+    taken = lambda all_lines: F.transform("lines", lambda x: F.struct(x["hash"], F.element_at(all_lines, x["line"] + 1).alias("text")))
+    text = text.select(F.inline(F.element_at(F.transform(F.array(F.split("text", "\n")), taken), 1)))
+    text = cut(text.groupBy("hash").agg(F.first("text").alias("text")))
+    # The least line of a wide band is in each of its blocks.
+    own = member.unionByName(band.where("i > 0").select("place", F.col("top").alias("hash")))
     links = cut(_links(own.join(text, "hash").withColumn("comp", F.col("hash")), percent, shingle))
     roots = connected_components(links)
 
     # Wide bands whose lines are still in several components: every pair of their blocks.
-    broad = member.where("blocks > 1").join(roots.select(F.col("node").alias("hash"), "root"), "hash", "left").select("token", "hash", "i", "blocks", F.coalesce("root", "hash").alias("comp"))
-    mixed = cut(broad.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token"))
-    if not mixed.isEmpty():
-        pair = broad.join(mixed, "token").select("*", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("i"))).alias("j"))
-        pair = pair.select(F.xxhash64("token", F.least("i", "j"), F.greatest("i", "j")).alias("place"), "hash", "comp")
-        roots = connected_components(links.unionByName(_links(pair.join(text, "hash"), percent, shingle)))
-
+    wide = cut(band.where("blocks > 1"))
+    if not wide.isEmpty():
+        known = roots.select(F.col("node").alias("hash"), "root")
+        broad = wide.select("s1", "s2", "i", "blocks", F.explode("members").alias("hash")).join(known, "hash", "left").select("s1", "s2", "hash", "i", "blocks", F.coalesce("root", "hash").alias("comp"))
+        mixed = broad.groupBy("s1", "s2").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("s1", "s2")
+        pair = broad.join(cut(mixed), ["s1", "s2"]).select("*", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("i"))).alias("j"))
+        pair = pair.select(F.xxhash64("s1", "s2", F.least("i", "j"), F.greatest("i", "j")).alias("place"), "hash", "comp")
+        more = _links(pair.join(text, "hash"), percent, shingle)
+        roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+    roots = cut(roots)
     first = rows.where("text is not null").groupBy("key").agg(F.min("id").alias("first"), F.count_distinct("id").alias("ids"))
-    lines = found.select("hash", "key", "line").join(roots.select(F.col("node").alias("hash"), "root"), "hash", "left").select("key", "line", F.coalesce("root", "hash").alias("comp"))
+    alike = reps.where("n > 1").select("hash").unionByName(roots.select(F.col("node").alias("hash"))).distinct()
+    alike = cut(alike.join(roots.select(F.col("node").alias("hash"), "root"), "hash", "left").select("hash", F.coalesce("root", "hash").alias("comp")))
+    lines = every.join(alike, "hash").select("key", "line", "comp")
     if short_lines:
-        every = rows.where("text is not null").select("key", F.posexplode(F.split("text", "\n")).alias("line", "x")).where(_short(F.col("x"), min_chars))
-        every = every.select(F.xxhash64(F.translate("x", _UPPER, _UPPER.lower()), F.lit("short")).alias("comp"), "key", "line").distinct()
-        often = every.groupBy("comp").agg(F.min(F.struct("key", "line")).alias("a"), F.max(F.struct("key", "line")).alias("b")).where("a <> b").select("comp")
-        lines = lines.unionByName(every.join(often, "comp"))
+        short = rows.where("text is not null").select("key", F.posexplode(F.split("text", "\n")).alias("line", "x")).where(_short(F.col("x"), min_chars))
+        short = short.select(F.xxhash64(F.translate("x", _UPPER, _UPPER.lower()), F.lit("short")).alias("comp"), "key", "line").distinct()
+        often = short.groupBy("comp").agg(F.min(F.struct("key", "line")).alias("a"), F.max(F.struct("key", "line")).alias("b")).where("a <> b").select("comp")
+        lines = lines.unionByName(short.join(cut(often), "comp").select("key", "line", "comp"))
     lines = lines.join(first.select("key", "first"), "key")
-    keep = lines.groupBy("comp").agg(F.min(F.struct("first", "key", "line")).alias("keep"))
+    lines = cut(lines)
+    keep = cut(lines.groupBy("comp").agg(F.min(F.struct("first", "key", "line")).alias("keep")))  # a table: a hot component's lines are then split in the join
     gone = lines.join(keep, "comp").where("key <> keep.key or line <> keep.line").groupBy("key").agg(F.collect_set("line").alias("gone"))
     return rows, cut(gone), cut(first.where("ids > 1").select("key", "first"))
 
