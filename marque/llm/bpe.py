@@ -18,11 +18,12 @@ matches white space), so encoded runs are kept in a bounded cache.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterable
+from functools import cache
 
 import numpy as np
-import regex
 
 #: Runs of non-space characters kept encoded in a worker unless told otherwise; beyond it the cache starts anew.
 CACHE_RUNS = 300_000
@@ -30,7 +31,30 @@ CACHE_RUNS = 300_000
 CACHE_RUN_CHARS = 200
 #: str.split() also splits at these four, which aren't white space to Unicode.
 _NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
-_SPACE = regex.compile(r"\p{White_Space}+")
+# White space; letters and numbers of Unicode 16 that Unicode 15.1 lacks; capitals with a later lower case: (first, last, lower case of the first).
+_SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LETTERS_16 = "\u1c89-\u1c8a\ua7cb-\ua7cd\ua7da-\ua7dc\U000105c0-\U000105f3\U00010d4a-\U00010d65\U00010d6f-\U00010d85\U00010ec2-\U00010ec4\U00011380-\U00011389\U0001138b\U0001138e\U00011390-\U000113b5\U000113b7\U000113d1\U000113d3\U00011bc0-\U00011be0\U00013460-\U000143fa\U00016100-\U0001611d\U00016d40-\U00016d6c\U00018cff\U0001e5d0-\U0001e5ed\U0001e5f0"
+_NUMBERS_16 = "\U00010d40-\U00010d49\U000116d0-\U000116e3\U00011bf0-\U00011bf9\U00016130-\U00016139\U00016d70-\U00016d79\U0001ccf0-\U0001ccf9\U0001e5f1-\U0001e5fa"
+_CAPITALS = ((0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB))
+_LOWER = {a + i: low + i for a, b, low in _CAPITALS for i in range(b - a + 1)}
+_SPACE = re.compile(f"[{_SPACES}]+")
+_LATER = re.compile(f"[{''.join(map(chr, _LOWER))}]")
+
+
+@cache
+def _classes() -> tuple[str, str]:
+    """Letters and numbers as the insides of character classes, by Unicode 16 whatever Python's own version (15.1 or 16)."""
+    ranges: dict[str, list[list[int]]] = {"L": [], "N": []}
+    for c in range(0x110000):
+        own = ranges.get(unicodedata.category(chr(c))[0])
+        if own is None:
+            continue
+        if own and own[-1][1] == c - 1:
+            own[-1][1] = c
+        else:
+            own.append([c, c])
+    letters, numbers = ("".join(f"{chr(a)}-{chr(b)}" for a, b in ranges[k]) for k in "LN")
+    return letters + _LETTERS_16, numbers + _NUMBERS_16
 
 
 def byte_symbols() -> list[str]:
@@ -111,8 +135,9 @@ class WordBpe:
         self.inner = np.array([vocab[s] for s in symbols], np.int64)
         self.last = np.array([vocab[s + end] for s in symbols], np.int64)
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.split = regex.compile(split.replace(r"\s", r"\p{White_Space}"))
-        self.special = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
+        letters, numbers = _classes()
+        self.split = re.compile(split.replace(r"\s", _SPACES).replace(r"\p{L}", letters).replace(r"\p{N}", numbers))
+        self.special = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         self.marks = sorted({s[0] + s[1:2] for s in self.specials})
         self.known: dict[str, tuple[int, ...]] = {}
         self.text_ids = [str(i) for i in range(len(self.tokens))]
@@ -134,6 +159,8 @@ class WordBpe:
         if not text.isascii():
             # The library lowers each character by itself: no final sigma.
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            if _LATER.search(text):
+                return text.lower().translate(_LOWER)
         return text.lower()
 
     def _pretokens(self, run: str) -> list[str | int]:

@@ -58,3 +58,18 @@ def test_round_trip_columns_and_empty_table(spark, library):
     assert out[1].ids == library.encode("Hello world", add_special_tokens=False).ids and out[2].ids == []
     assert out[1].decoded == library.decode(out[1].ids, skip_special_tokens=False)
     assert token_counts(df.where("false"), PATH).count() == 0 and codec_digests(df.where("false"), PATH).count() == 0
+
+
+def test_every_code_point_equals_the_library(library):
+    """Alone, within a word and beside a digit; composition is that of Python's own Unicode version."""
+    bpe = WordBpe(PATH)
+    code_points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    bad = []
+    for i in range(0, len(code_points), 50_000):
+        some = code_points[i : i + 50_000]
+        texts = [f"a{chr(c)}b {chr(c)}1" for c in some]
+        theirs = library.encode_batch(texts, add_special_tokens=False)
+        runs = [bpe.runs(t) for t in texts]
+        ids = iter(bpe.encode_runs([r for rs in runs for r in rs]))
+        bad += [hex(c) for c, rs, e in zip(some, runs, theirs, strict=True) if [x for _ in rs for x in next(ids)] != e.ids]
+    assert not bad
