@@ -31,8 +31,8 @@ CENTRES = 16
 SAMPLE_ROWS = 20_000
 BLOCK_ROWS = 100_000
 QUERY_BATCH = 256
-#: Distinct vectors of a block that are reranked for a query.
-RERANK = 120
+#: Distinct vectors of a block that are reranked for a query: so many for each neighbour sought, and this many at least.
+RERANK_EACH, RERANK = 6, 120
 
 
 @dataclass
@@ -129,7 +129,7 @@ class Block:
         approx = np.zeros((len(q), len(self.x)), np.float32)
         for j in range(table.shape[1]):
             approx += np.take(table[:, j], self.codes[:, j], axis=1)
-        m = min(RERANK, len(self.x))
+        m = min(max(RERANK, RERANK_EACH * self.k), len(self.x))
         top = np.argpartition(-approx, m - 1, axis=1)[:, :m] if m < len(self.x) else np.tile(np.arange(m), (len(q), 1))
         exact = np.zeros(top.shape)
         for j in range(q.shape[1]):  # one order of summation, so that equal vectors tie

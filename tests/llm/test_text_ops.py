@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marque.llm import decontaminate as dc
 from marque.llm.ann import nearest
@@ -114,6 +115,23 @@ def test_nearest_recall_ties_and_bad_vectors(spark):
     assert nearest(df.where("vec_id < 3"), df.where("vec_id = 0")).count() == 2
 
 
+def test_nearest_recall_in_blocks_that_the_quantiser_prunes(spark):
+    """100,000 rows in production blocks, so that each reranks about one in a hundred; recall against brute force."""
+    n, d = 100_000, 32
+    draw = lambda j: sum(((F.xxhash64("id", F.lit(j), F.lit(i)) % 10_000) / 10_000 for i in range(3)), F.lit(0.0))
+    df = spark.range(n).select(F.col("id").alias("vec_id"), F.array(*[draw(j).cast("float") for j in range(d)]).alias("embedding")).cache()
+    rows = df.orderBy("vec_id").toPandas()
+    x = np.stack(rows.embedding.to_numpy()).astype(np.float64)
+    got = nearest(df, df.where("vec_id % 2000 = 0"), k=20).toPandas()
+    hits = 0
+    for q in range(0, n, 2000):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len({*np.argsort(-s)[:20].tolist()} & {*got[got.query_id == q].vec_id.tolist()})
+    assert len(got) == 50 * 20 and hits >= 0.9 * 50 * 20
+    assert nearest(df.where("vec_id < 3000"), df.where("vec_id = 7"), k=500).count() == 500
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body><header><h1>Site</h1></header><nav><ul><li><a href="/x">Menu</a></li></ul></nav>
 <!-- ad --><div class="ad">Buy</div><div id="cookie-notice">We use cookies</div><article><header><h1>Head &amp; line</h1></header><p><b>First  para&#8211;graph<br>goes on<p>Second</p><aside>Aside</aside><form>Form</form>
 <div class="share-bar">Share</div><p>Third &lt;b&gt;</p><section id="comments"><p>A reader says</p></section></article><footer>&copy; x</footer></body></html>"""
