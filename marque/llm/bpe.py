@@ -36,6 +36,8 @@ _SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LETTERS_16 = "\u1c89-\u1c8a\ua7cb-\ua7cd\ua7da-\ua7dc\U000105c0-\U000105f3\U00010d4a-\U00010d65\U00010d6f-\U00010d85\U00010ec2-\U00010ec4\U00011380-\U00011389\U0001138b\U0001138e\U00011390-\U000113b5\U000113b7\U000113d1\U000113d3\U00011bc0-\U00011be0\U00013460-\U000143fa\U00016100-\U0001611d\U00016d40-\U00016d6c\U00018cff\U0001e5d0-\U0001e5ed\U0001e5f0"
 _NUMBERS_16 = "\U00010d40-\U00010d49\U000116d0-\U000116e3\U00011bf0-\U00011bf9\U00016130-\U00016139\U00016d70-\U00016d79\U0001ccf0-\U0001ccf9\U0001e5f1-\U0001e5fa"
 _CAPITALS = ((0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB))
+#: A pair that Unicode composes and the library doesn't.
+_APART = "\U00011935\U00011930"
 _LOWER = {a + i: low + i for a, b, low in _CAPITALS for i in range(b - a + 1)}
 _SPACE = re.compile(f"[{_SPACES}]+")
 _LATER = re.compile(f"[{''.join(map(chr, _LOWER))}]")
@@ -158,7 +160,7 @@ class WordBpe:
     def _normal(text: str) -> str:
         if not text.isascii():
             # The library lowers each character by itself: no final sigma.
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            text = _APART.join(unicodedata.normalize("NFC", t) for t in text.split(_APART)).replace("Σ", "σ")
             if _LATER.search(text):
                 return text.lower().translate(_LOWER)
         return text.lower()

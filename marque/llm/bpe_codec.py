@@ -19,7 +19,8 @@ def _ids(bpe: WordBpe):
 
 
 def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """docs with an array<int> of token ids (empty for a null or empty text). No shuffle."""
+    """docs with an array<int> of token ids (empty for a null or empty text), in place of a column of that name. No shuffle."""
+    docs = docs.drop(ids_col)
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
     at = names.index(text_col)
@@ -34,7 +35,8 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str
 
 
 def decode(rows: DataFrame, tokenizer: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """rows with the text of their ids (null for null ids)."""
+    """rows with the text of their ids (null for null ids), in place of a column of that name."""
+    rows = rows.drop(text_col)
     names = rows.columns
     schema = T.StructType([*rows.schema.fields, T.StructField(text_col, T.StringType())])
     at = names.index(ids_col)

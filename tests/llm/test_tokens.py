@@ -12,7 +12,7 @@ from marque.llm.token_counts import token_counts
 P = pytest.importorskip("public_tokenizers")
 tokenizers = pytest.importorskip("tokenizers")
 PATH = P.path("word_bpe_49k.json")
-TEXTS = ["", "  \n", "Hello WORLD's 12!", "Héllo ﬁ Å é", "ΣΑΣ İ ß", "a<|endoftext|>b <|x|> <|ENDOFTEXT|>", "aaaa aaaaa ababab", "a\x1cb\x85c d", "😀‍中文 x", "re're I'll", "word*** &&&" * 50, "x" * 5000]
+TEXTS = ["", "  \n", "Hello WORLD's 12!", "Héllo ﬁ Å é", "ΣΑΣ İ ß", "a<|endoftext|>b <|x|> <|ENDOFTEXT|>", "aaaa aaaaa ababab", "a\x1cb\x85c d", "😀‍中文 x", "a\U00011935\U00011930b \U00011938", "re're I'll", "word*** &&&" * 50, "x" * 5000]
 
 
 @pytest.fixture(scope="module")
@@ -56,6 +56,8 @@ def test_round_trip_columns_and_empty_table(spark, library):
     df = spark.createDataFrame([(1, "Hello world"), (2, None)], "doc_id long, text string")
     out = {r.doc_id: r for r in decode(encode(df, PATH), PATH).collect()}
     assert out[1].ids == library.encode("Hello world", add_special_tokens=False).ids and out[2].ids == []
+    again = {r.doc_id: r for r in encode(encode(df, PATH).withColumnRenamed("doc_id", "decoded"), PATH).withColumnRenamed("decoded", "doc_id").collect()}
+    assert again[1].ids == out[1].ids
     assert out[1].decoded == library.decode(out[1].ids, skip_special_tokens=False)
     assert token_counts(df.where("false"), PATH).count() == 0 and codec_digests(df.where("false"), PATH).count() == 0
 
