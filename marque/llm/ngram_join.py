@@ -35,7 +35,7 @@ from marque.llm.arrow import slices, tidy
 from marque.llm.components import connected_components
 from marque.llm.dealing import LOCAL, SCHEMA, Deal, Packed, Row, batched, grouped, united
 from marque.llm.hashing import BLANK, hashed_words, lower_ascii, mix, shingles
-from marque.llm.shared import cut, drop, text_bytes
+from marque.llm.shared import cut, drop, text_bytes, text_key
 
 #: Text bytes for each column block (about 1.2 million entries) and rows of a row block.
 BLOCK_BYTES = 8_000_000
@@ -310,17 +310,10 @@ def _exact_blocks(texts: DataFrame, percent: int) -> DataFrame:
     return _products(texts.join(place, "key").select("place", "key", "comp", "n", "tokens"), percent)
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
-    """Per row of docs: id, n_shingles, component_id (least id reachable by links, its own included).
-
-    A set is the distinct n-word shingles of the text (A-Z lower-cased, words split at
-    ASCII white space; a text of fewer words is one shingle). Two rows link when
-    100 * |intersection| >= percent * |union|. A null, empty or blank text has an empty set
-    and is linked with nothing, not even its copies. Rows with a null id keep a null
-    component unless linked. Extra columns are not read. Shingles are compared by 64-bit hash.
-    """
+def _labelled(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(rows: id, key of the text; label: key, n, comp, the text's component)."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), text_key(docs, text_col).alias("key"), F.col(text_col).cast("binary").alias("text"))
     total = text_bytes(docs, text_col)
     deal = Deal.of(spark, max(12, -(-total // BLOCK_BYTES)))
     texts = _shared(_first(rows.select("key", "text"), deal, n), deal, False, percent)
@@ -344,9 +337,34 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             rest = cut(rest.drop("dfs").join(moved.withColumnRenamed("comp", "now"), "key").select("key", F.col("now").alias("comp"), "n", "tokens"))
     label = sizes if known is None else sizes.join(known.select(F.col("node").alias("key"), "root"), "key", "left")
     label = label.select("key", "n", (F.coalesce("root", "key") if known is not None else F.col("key")).alias("comp"))
-    ids = rows.select("id", "key").groupBy("key").agg(F.min("id").alias("id"))
+    return rows.select("id", "key"), label
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
+    """Per row of docs: id, n_shingles, component_id (least id reachable by links, its own included).
+
+    A set is the distinct n-word shingles of the text (A-Z lower-cased, words split at
+    ASCII white space; a text of fewer words is one shingle). Two rows link when
+    100 * |intersection| >= percent * |union|. A null, empty or blank text has an empty set
+    and is linked with nothing, not even its copies. Rows with a null id keep a null
+    component unless linked. Extra columns are not read. Shingles are compared by 64-bit hash.
+    """
+    rows, label = _labelled(docs, id_col, text_col, n, percent)
+    ids = rows.groupBy("key").agg(F.min("id").alias("id"))
     least = label.join(ids, "key").groupBy("comp").agg(F.min("id").alias("least"))
     label = label.join(least, "comp").select("key", "n", "least")
-    out = rows.select("id", "key").join(label, "key", "left")
+    out = rows.join(label, "key", "left")
     got = F.coalesce("n", F.lit(0)).cast("long")
     return out.select(F.col("id").alias(id_col), got.alias("n_shingles"), F.when(got > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
+    """(id, key of the text) of the rows that aren't the first of their component, in order of id, then key.
+
+    Components are those of jaccard_components, of texts: an id that repeats with unlike texts joins nothing. A null
+    id comes first. Rows that repeat an id and text count as one.
+    """
+    rows, label = _labelled(docs, id_col, text_col, n, percent)
+    linked = rows.distinct().join(label.select("key", "comp"), "key")
+    first = linked.groupBy("comp").agg(F.min(F.struct("id", "key")).alias("first"))
+    return linked.join(first, "comp").where(~F.struct("id", "key").eqNullSafe(F.col("first"))).select("id", "key")

@@ -9,24 +9,16 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where none is set (local runs, tests)."""
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if given:
-        return given.rstrip("/")
-    own = f"file://{tempfile.gettempdir()}/marque-shared"
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+from marque.session import table_root
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df written to a table in the shared folder and read again: the lineage ends there, whatever executor is lost."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/marque-{uuid.uuid4().hex}"
+    path = f"{table_root(spark)}/marque-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -40,6 +32,19 @@ def drop(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def text_key(docs: DataFrame, text_col: str) -> Column:
+    """A 64-bit key of a text that no other text of docs has.
+
+    Texts whose hashes meet, which a second hash tells, are keyed anew; in 10^10 texts a few do. The
+    list of those is what comes to the driver.
+    """
+    text = F.col(text_col)
+    pair = docs.where(text.isNotNull()).select(F.xxhash64(text).alias("a"), F.xxhash64(F.lit("other"), text).alias("b"))
+    met = pair.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).where("lo <> hi")
+    again = [r.a for r in met.collect()]
+    return F.when(F.xxhash64(text).isin(again), F.xxhash64(F.lit("again"), text)).otherwise(F.xxhash64(text)) if again else F.xxhash64(text)
+
+
 def text_bytes(docs: DataFrame, text_col: str) -> int:
     """About how many bytes of text docs has, to choose the number of blocks by (results don't depend on it).
 
