@@ -37,7 +37,7 @@ Row = tuple[int, int, int, bytes]
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Non-negative integers as their lower bytes, plane by plane: as many as the largest needs."""
+    """Non-negative integers as their lower bytes, plane by plane: as many as the largest needs. (Planes of one value take no room.)"""
     w = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
     return bytes([w]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :w].T).tobytes()
 

@@ -26,7 +26,7 @@ from marque.llm.components import connected_components
 from marque.llm.dealing import LOCAL, SCHEMA, Deal, Packed, Row, batched, grouped, united
 from marque.llm.hashing import mix
 from marque.llm.ngram_join import SEEN, forest
-from marque.llm.shared import cut, text_bytes
+from marque.llm.shared import cut, text_bytes, text_key
 
 #: Characters of a shingle where the caller names none (the queries and the pipeline use QUERY_SHINGLE), and the longest.
 SHINGLE = 9
@@ -47,6 +47,8 @@ BROADCAST_BYTES = 32_000_000
 
 #: Kinds of rows: lines; band hashes.
 _LINE, _BAND = range(2)
+#: Of a band's hash the upper 48 bits count: bands that meet by chance are compared, and found unlike.
+_TOKEN = ~np.uint64(0xFFFF)
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 Batches = Iterator[pa.RecordBatch]
 _SALT = np.random.default_rng(7).integers(1, 2**31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -99,7 +101,7 @@ def _signed(texts: list[str], size: int, seen: set[int]) -> tuple[np.ndarray, np
         band = np.zeros((len(first), BANDS), np.uint64)
         for r in range(ROWS):
             band = mix(band + sig[:, r::ROWS] + np.uint64(r))
-        tokens.append(mix(band + np.arange(BANDS, dtype=np.uint64)).ravel())
+        tokens.append(mix(band + np.arange(BANDS, dtype=np.uint64)).ravel() & _TOKEN)
         owners.append(np.repeat(line[new], BANDS))
     none = np.zeros(0, np.uint64)
     return np.concatenate(whole), np.concatenate([none, *tokens]), np.concatenate([none, *owners])
@@ -305,12 +307,12 @@ def _short(line: Column, min_chars: int) -> Column:
     return (F.length(line) < min_chars) & line.rlike(r"(?U)\S")
 
 
-def removed_lines(docs: DataFrame, id_col: str, text_col: str, percent: int, min_chars: int, shingle: int, short_lines: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+def removed_lines(docs: DataFrame, key: Column, id_col: str, text_col: str, percent: int, min_chars: int, shingle: int, short_lines: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows with id, key, text; key -> removed line numbers; key -> first id, for texts of several ids)."""
     if not 1 <= shingle <= min(SHINGLE, min_chars):
         raise ValueError(f"shingle must be from 1 to {SHINGLE}, and min_chars at least that")
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), key.alias("key"), F.col(text_col).alias("text"))
     total = text_bytes(docs, text_col)
     deal = Deal.of(spark, max(12, -(-total // BLOCK_BYTES)))
     found = cut(_gather(deal.dealt(_pack(rows.select("key", "text"), deal, min_chars, shingle), _place(deal))))
@@ -326,10 +328,11 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, percent: int, min
     # The text is split once: a plain column of its lines would be put in place within the inner function.
     taken = lambda all_lines: F.transform("lines", lambda x: F.struct(x["hash"], F.element_at(all_lines, x["line"] + 1).alias("text")))
     text = text.select(F.inline(F.element_at(F.transform(F.array(F.split("text", "\n")), taken), 1)))
-    text = cut(text.groupBy("hash").agg(F.first("text").alias("text")))
-    # The least line of a wide band is in each of its blocks.
+    # The least line of a wide band is in each of its blocks. Texts and places meet in one shuffle.
     own = member.unionByName(band.where("i > 0").select("place", F.col("top").alias("hash")))
-    links = cut(_links(own.join(text, "hash").withColumn("comp", F.col("hash")), percent, shingle))
+    both = own.select("hash", "place", F.lit(None).cast("string").alias("text")).unionByName(text.select("hash", F.lit(None).cast("long").alias("place"), "text"))
+    text = cut(both.groupBy("hash").agg(F.first("text", True).alias("text"), F.collect_set("place").alias("places")))
+    links = cut(_links(text.select(F.explode("places").alias("place"), "hash", F.col("hash").alias("comp"), "text"), percent, shingle))
     roots = connected_components(links)
 
     # Wide bands whose lines are still in several components: every pair of their blocks.
@@ -340,7 +343,7 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, percent: int, min
         mixed = broad.groupBy("s1", "s2").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("s1", "s2")
         pair = broad.join(cut(mixed), ["s1", "s2"]).select("*", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("i"))).alias("j"))
         pair = pair.select(F.xxhash64("s1", "s2", F.least("i", "j"), F.greatest("i", "j")).alias("place"), "hash", "comp")
-        more = _links(pair.join(text, "hash"), percent, shingle)
+        more = _links(pair.join(text.select("hash", "text"), "hash"), percent, shingle)
         roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     roots = cut(roots)
@@ -371,8 +374,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and text are treated alike. Other columns pass through, whatever their names, but for
     the three added ones, which replace columns of their names.
     """
-    rows, gone, copies = removed_lines(docs, id_col, text_col, percent, min_chars, shingle, short_lines)
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.split(text_col, "\n").alias("all"))
+    key = text_key(docs, text_col)
+    rows, gone, copies = removed_lines(docs, key, id_col, text_col, percent, min_chars, shingle, short_lines)
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), key.alias("key"), F.split(text_col, "\n").alias("all"))
     out = base.join(_small(gone, 120), "key", "left").join(_small(copies, 24), "key", "left")
     long_line = lambda x: F.length(x) >= min_chars
     spared = lambda x: ~long_line(x) & ~_short(x, min_chars) if short_lines else ~long_line(x)
