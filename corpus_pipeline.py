@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from marque.llm.bpe_codec import codec_digests
 from marque.llm.decontaminate import decontaminate
 from marque.llm.line_dedup import QUERY_SHINGLE, dedup_lines
-from marque.llm.ngram_join import jaccard_components
+from marque.llm.ngram_join import near_copies
 from marque.llm.quality import fit_quality, score_quality
 from marque.llm.queries import held_out, table, word_bpe
-from marque.llm.shared import cut, ship
+from marque.llm.shared import cut, ship, text_key
 
 #: Runs that the last stage's workers keep: fewer than the operator's default, as the executors are full by then.
 CACHE_RUNS = 60_000
@@ -44,21 +44,25 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each component of the n-gram Jaccard join. Rows that repeat an id and text count as one."""
-    ids = jaccard_components(docs).select("doc_id", "component_id")
-    gone = cut(ids.where("component_id < doc_id").select("doc_id").distinct())
-    if gone.count() * 16 <= 16_000_000:
+    """One document, that of the least id (null is least), of each component of the n-gram Jaccard join.
+
+    Rows that repeat an id and text count as one and stay or go together; an id that repeats with unlike texts
+    joins nothing. Null, empty and blank texts stay.
+    """
+    gone = cut(near_copies(docs))
+    if gone.count() * 24 <= 16_000_000:
         gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    same = docs["doc_id"].eqNullSafe(gone["id"]) & (text_key(docs, "text") == gone["key"])
+    return docs.join(gone, same, "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage beyond the contract's share."""
+    """Documents that hold no benchmark passage beyond the contract's share. Null and empty texts stay, as do all where the benchmark is empty."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids' number and digests of each document that is left."""
+    """Token ids' number and digests of each document that is left; a null or empty text has none."""
     return codec_digests(docs, word_bpe(), cache_runs=CACHE_RUNS)
 
 
