@@ -207,7 +207,8 @@ def _edges(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 1200) -> LineCRF:
     """Fit on at most per_class labelled documents of each label.
 
-    A label is 0 or 1; null ids, null labels and ids with conflicting labels are left out.
+    A label is 0 or 1; null ids, null labels and ids with conflicting labels are left out. Of rows that
+    repeat an id one counts, that of the least text.
     Without any labelled document every score is 0.5.
     """
     one = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("y"), F.max(label_col).alias("hi")).where("y = hi").select("id", "y")
@@ -217,7 +218,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     rank = F.xxhash64("id", F.lit("sample"))
     some = [one.where(F.col("y") == v).orderBy(rank, "id").limit(per_class) for v in (0, 1)]
     picked = F.broadcast(some[0].unionByName(some[1]))  # 2 * per_class ids at most
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).join(picked, "id").select("id", "y", "text")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).join(picked, "id")
+    rows = rows.groupBy("id", "y").agg(F.min("text").alias("text")).select("id", "y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
