@@ -47,8 +47,8 @@ PART_TEXTS = 60_000
 SEEN = 500_000
 #: Columns multiplied at once in a row block.
 COLUMN_SLICE = 4096
-#: Passes of steps 2 and 3 before step 4. More passes only move work from 4 to 2.
-PASSES = 2
+#: Passes of steps 2 and 3 before step 4, and the texts that go to step 4 without. More passes only move work from 4 to 2.
+PASSES, FEW = 2, 4 * ROW_BLOCK
 
 #: Kinds of rows: texts; their columns; columns that another text has too.
 _HOME, _ENTRY, _SHARED = range(3)
@@ -302,6 +302,7 @@ def _exact_blocks(texts: DataFrame, percent: int) -> DataFrame:
 
     p = cut(texts.select("key", "comp", "n", "tokens", "dfs").mapInArrow(tidy(prefix), "key long, comp long, token long"))
     mixed = p.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("key").alias("to")).where("lo < hi").select("token", "to")
+    mixed = cut(mixed)  # a table: a hot column's texts are then split in the join
     near = cut(connected_components(p.join(mixed, "token").select(F.col("key").alias("a"), F.col("to").alias("b"))))
     size = near.groupBy("root").agg(F.ceil(F.count("*") / ROW_BLOCK).cast("int").alias("blocks"))
     place = near.join(size, "root").select(F.col("node").alias("key"), "root", "blocks", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int").alias("i"))
@@ -310,6 +311,14 @@ def _exact_blocks(texts: DataFrame, percent: int) -> DataFrame:
     return _products(texts.join(place, "key").select("place", "key", "comp", "n", "tokens"), percent)
 
 
+def _merged(known: DataFrame | None, roots: DataFrame) -> DataFrame:
+    """(node, root) of all components so far; the nodes of roots are components of known."""
+    if known is None:
+        return roots
+    moved = known.join(roots.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    return cut(moved.select("node", F.coalesce("top", "root").alias("root")).unionByName(roots.join(known.select("node"), "node", "left_anti")))
+
+
 def _labelled(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(rows: id, key of the text; label: key, n, comp, the text's component)."""
     spark = docs.sparkSession
@@ -329,12 +338,15 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int)
         fewer = _shared(_again(rest, own), own, True, percent).where("tokens is not null")
         drop(rest)
         rest = fewer
-        links = _exact_blocks(rest, percent) if turn == PASSES else _row_blocks(rest, percent, turn)
+        settled = turn == PASSES or mass[0] <= FEW
+        links = _exact_blocks(rest, percent) if settled else _row_blocks(rest, percent, turn)
         roots = cut(connected_components(links))
+        if settled:
+            known = _merged(known, roots)
+            break
         moved = rest.select("key", "comp").join(roots.select(F.col("node").alias("comp"), "root"), "comp", "left").select("key", F.coalesce("root", "comp").alias("comp"))
-        known = roots if known is None else cut(known.join(roots.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(roots.join(known.select("node"), "node", "left_anti")))
-        if turn < PASSES:
-            rest = cut(rest.drop("dfs").join(moved.withColumnRenamed("comp", "now"), "key").select("key", F.col("now").alias("comp"), "n", "tokens"))
+        known = _merged(known, roots)
+        rest = cut(rest.drop("dfs").join(moved.withColumnRenamed("comp", "now"), "key").select("key", F.col("now").alias("comp"), "n", "tokens"))
     label = sizes if known is None else sizes.join(known.select(F.col("node").alias("key"), "root"), "key", "left")
     label = label.select("key", "n", (F.coalesce("root", "key") if known is not None else F.col("key")).alias("comp"))
     return rows.select("id", "key"), label

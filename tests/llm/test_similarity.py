@@ -54,9 +54,10 @@ def brute(texts):
     return [(len(s), c) for s, c in zip(sets, components(len(sets), links), strict=True)]
 
 
-@pytest.mark.parametrize("passes,block", [(2, 768), (0, 8), (1, 8)])
-def test_ngram_join_equals_brute_force(spark, monkeypatch, passes, block):
+@pytest.mark.parametrize("passes,block,few", [(2, 768, 0), (0, 8, 0), (1, 8, 0), (2, 8, 3000)])
+def test_ngram_join_equals_brute_force(spark, monkeypatch, passes, block, few):
     monkeypatch.setattr(ngram_join, "PASSES", passes)
+    monkeypatch.setattr(ngram_join, "FEW", few)
     monkeypatch.setattr(ngram_join, "ROW_BLOCK", block)
     texts = near_copies(passes) + ["", None, " \n", "One", "one", "ONE two", "one two", "a b c d e", "a  b\tc d E", "é É"]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n_shingles int").repartition(3)
