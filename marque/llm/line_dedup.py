@@ -347,7 +347,7 @@ def removed_lines(docs: DataFrame, key: Column, id_col: str, text_col: str, perc
         roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     roots = cut(roots)
-    first = rows.where("text is not null").groupBy("key").agg(F.min("id").alias("first"), F.count_distinct("id").alias("ids"))
+    first = rows.where("text is not null").groupBy("key").agg(F.min("id").alias("first"), (F.count_distinct("id") + F.max(F.col("id").isNull().cast("int"))).alias("ids"))
     alike = reps.where("n > 1").select("hash").unionByName(roots.select(F.col("node").alias("hash"))).distinct()
     alike = cut(alike.join(roots.select(F.col("node").alias("hash"), "root"), "hash", "left").select("hash", F.coalesce("root", "hash").alias("comp")))
     lines = every.join(alike, "hash").select("key", "line", "comp")
@@ -358,7 +358,7 @@ def removed_lines(docs: DataFrame, key: Column, id_col: str, text_col: str, perc
         lines = lines.unionByName(short.join(cut(often), "comp").select("key", "line", "comp"))
     lines = lines.join(first.select("key", "first"), "key")
     lines = cut(lines)
-    keep = cut(lines.groupBy("comp").agg(F.min(F.struct("first", "key", "line")).alias("keep")))  # a table: a hot component's lines are then split in the join
+    keep = cut(lines.groupBy("comp").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "key", "line")).alias("keep")))  # a table: a hot component's lines are then split in the join
     gone = lines.join(keep, "comp").where("key <> keep.key or line <> keep.line").groupBy("key").agg(F.collect_set("line").alias("gone"))
     return rows, cut(gone), cut(first.where("ids > 1").select("key", "first"))
 
@@ -371,7 +371,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     count too, and the first line of a component in order of (id, line number) stays. With
     short_lines, shorter lines that aren't blank are duplicates where equal but for A-Z's case. A
     null text stays null with 0 lines; an empty one has one (short) line. Rows of equal id
-    and text are treated alike. Other columns pass through, whatever their names, but for
+    and text are treated alike; a null id comes after all others. Other columns pass through, whatever their names, but for
     the three added ones, which replace columns of their names.
     """
     key = text_key(docs, text_col)
@@ -380,7 +380,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = base.join(_small(gone, 120), "key", "left").join(_small(copies, 24), "key", "left")
     long_line = lambda x: F.length(x) >= min_chars
     spared = lambda x: ~long_line(x) & ~_short(x, min_chars) if short_lines else ~long_line(x)
-    kept = F.when(F.col("first") < F.col("id"), F.filter("all", spared)).when(F.col("gone").isNotNull(), F.transform(F.array_except(F.sequence(F.lit(0), F.size("all") - 1), F.col("gone")), lambda i: F.element_at("all", i + 1))).otherwise(F.col("all"))
+    kept = F.when((F.col("first") < F.col("id")) | F.col("first").isNotNull() & F.col("id").isNull(), F.filter("all", spared)).when(F.col("gone").isNotNull(), F.transform(F.array_except(F.sequence(F.lit(0), F.size("all") - 1), F.col("gone")), lambda i: F.element_at("all", i + 1))).otherwise(F.col("all"))
     out = out.withColumn("kept", kept)
     n = F.when(F.col("all").isNull(), 0).otherwise(F.size("all"))
     m = F.when(F.col("all").isNull(), 0).otherwise(F.size("all") - F.size("kept"))
