@@ -26,13 +26,13 @@ from marque.llm.components import connected_components
 from marque.llm.dealing import LOCAL, SCHEMA, Deal, Packed, Row, batched, grouped, united
 from marque.llm.hashing import mix
 from marque.llm.ngram_join import SEEN, forest
-from marque.llm.shared import cut, text_bytes, text_key
+from marque.llm.shared import cut, drop, text_bytes, text_key
 
 #: Characters of a shingle where the caller names none (the queries and the pipeline use QUERY_SHINGLE), and the longest.
 SHINGLE = 9
 QUERY_SHINGLE = 6
-#: A pair at exactly 0.8 misses every band once in 4,600.
-BANDS, ROWS = 16, 4
+#: A pair at exactly 0.8 misses every band once in 6,200 (16 bands of 4 rows: 4,600); unlike lines seldom meet.
+BANDS, ROWS = 22, 5
 #: Eligible lines packed together, text bytes for each hash block, different lines of a band compared in one block.
 PART_LINES = 20_000
 BLOCK_BYTES = 8_000_000
@@ -316,8 +316,10 @@ def removed_lines(docs: DataFrame, key: Column, id_col: str, text_col: str, perc
     total = text_bytes(docs, text_col)
     deal = Deal.of(spark, max(12, -(-total // BLOCK_BYTES)))
     found = cut(_gather(deal.dealt(_pack(rows.select("key", "text"), deal, min_chars, shingle), _place(deal))))
+    held = [found]  # tables that nothing reads once the removed lines are known
     every = found.where(F.col("kind") == _LINE).select("hash", "key", "line")
     reps = cut(every.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("key", "line")).alias("at")))
+    held.append(reps)
 
     # Bands of several different lines, of those with the same lines one.
     band = found.where(F.col("kind") == _BAND).groupBy("s1", "s2", "i").agg(F.first(F.struct("blocks", F.col("hash").alias("top"), "members")).alias("b"))
@@ -332,11 +334,13 @@ def removed_lines(docs: DataFrame, key: Column, id_col: str, text_col: str, perc
     own = member.unionByName(band.where("i > 0").select("place", F.col("top").alias("hash")))
     both = own.select("hash", "place", F.lit(None).cast("string").alias("text")).unionByName(text.select("hash", F.lit(None).cast("long").alias("place"), "text"))
     text = cut(both.groupBy("hash").agg(F.first("text", True).alias("text"), F.collect_set("place").alias("places")))
+    held += [band, need, text]
     links = cut(_links(text.select(F.explode("places").alias("place"), "hash", F.col("hash").alias("comp"), "text"), percent, shingle))
     roots = connected_components(links)
 
     # Wide bands whose lines are still in several components: every pair of their blocks.
     wide = cut(band.where("blocks > 1"))
+    held += [links, wide]
     if not wide.isEmpty():
         known = roots.select(F.col("node").alias("hash"), "root")
         broad = wide.select("s1", "s2", "i", "blocks", F.explode("members").alias("hash")).join(known, "hash", "left").select("s1", "s2", "hash", "i", "blocks", F.coalesce("root", "hash").alias("comp"))
@@ -347,6 +351,7 @@ def removed_lines(docs: DataFrame, key: Column, id_col: str, text_col: str, perc
         roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     roots = cut(roots)
+    held.append(roots)
     first = rows.where("text is not null").groupBy("key").agg(F.min("id").alias("first"), (F.count_distinct("id") + F.max(F.col("id").isNull().cast("int"))).alias("ids"))
     alike = reps.where("n > 1").select("hash").unionByName(roots.select(F.col("node").alias("hash"))).distinct()
     alike = cut(alike.join(roots.select(F.col("node").alias("hash"), "root"), "hash", "left").select("hash", F.coalesce("root", "hash").alias("comp")))
@@ -358,9 +363,13 @@ def removed_lines(docs: DataFrame, key: Column, id_col: str, text_col: str, perc
         lines = lines.unionByName(short.join(cut(often), "comp").select("key", "line", "comp"))
     lines = lines.join(first.select("key", "first"), "key")
     lines = cut(lines)
+    held += [alike, lines]
     keep = cut(lines.groupBy("comp").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "key", "line")).alias("keep")))  # a table: a hot component's lines are then split in the join
     gone = lines.join(keep, "comp").where("key <> keep.key or line <> keep.line").groupBy("key").agg(F.collect_set("line").alias("gone"))
-    return rows, cut(gone), cut(first.where("ids > 1").select("key", "first"))
+    done = cut(gone), cut(first.where("ids > 1").select("key", "first"))
+    for table in held:
+        drop(table)
+    return rows, *done
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, min_chars: int = 40, shingle: int = SHINGLE, short_lines: bool = False) -> DataFrame:
