@@ -326,8 +326,9 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int)
     total = text_bytes(docs, text_col)
     deal = Deal.of(spark, max(12, -(-total // BLOCK_BYTES)))
     texts = _shared(_first(rows.select("key", "text"), deal, n), deal, False, percent)
-    sizes = texts.groupBy("key").agg(F.max("n").alias("n"))
+    sizes = cut(texts.groupBy("key").agg(F.max("n").alias("n")))
     rest = cut(texts.where("tokens is not null").groupBy("key").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.first("tokens").alias("tokens")))
+    drop(texts)
     known: DataFrame | None = None
     for turn in range(PASSES + 1):
         mass = rest.agg(F.count("*"), F.sum(F.octet_length("tokens"))).first()
@@ -335,18 +336,21 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int)
             break
         # Step 3, and on the first turn the same among different texts: copies in several tasks counted as texts of their own.
         own = Deal.of(spark, max(12, -(-mass[1] // (8 * BLOCK_BYTES // 6))))
-        fewer = _shared(_again(rest, own), own, True, percent).where("tokens is not null")
+        fewer = _shared(_again(rest, own), own, True, percent)
         drop(rest)
-        rest = fewer
+        rest = fewer.where("tokens is not null")
         settled = turn == PASSES or mass[0] <= FEW
         links = _exact_blocks(rest, percent) if settled else _row_blocks(rest, percent, turn)
         roots = cut(connected_components(links))
         if settled:
             known = _merged(known, roots)
+            drop(rest)
             break
         moved = rest.select("key", "comp").join(roots.select(F.col("node").alias("comp"), "root"), "comp", "left").select("key", F.coalesce("root", "comp").alias("comp"))
         known = _merged(known, roots)
-        rest = cut(rest.drop("dfs").join(moved.withColumnRenamed("comp", "now"), "key").select("key", F.col("now").alias("comp"), "n", "tokens"))
+        now = cut(rest.drop("dfs").join(moved.withColumnRenamed("comp", "now"), "key").select("key", F.col("now").alias("comp"), "n", "tokens"))
+        drop(rest)
+        rest = now
     label = sizes if known is None else sizes.join(known.select(F.col("node").alias("key"), "root"), "key", "left")
     label = label.select("key", "n", (F.coalesce("root", "key") if known is not None else F.col("key")).alias("comp"))
     return rows.select("id", "key"), label
