@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from marque.llm.arrow import slices, tidy
 from marque.llm.components import connected_components
-from marque.llm.dealing import LOCAL, SCHEMA, Deal, Packed, Row, batched, grouped, united
+from marque.llm.dealing import SCHEMA, Deal, Packed, Row, batched, grouped, united
 from marque.llm.hashing import mix
 from marque.llm.ngram_join import SEEN, forest
 from marque.llm.shared import cut, drop, text_bytes, text_key
