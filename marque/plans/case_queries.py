@@ -12,9 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marque.functions import classify, text, units
-from marque.functions.columns import name
 from marque.functions.exact import repair_mojibake, unescape_html
-from marque.operators import clean, enrich
 from marque.operators.makers import Makers, country_name, country_of, normalize, parse_name, split_make
 from marque.plans.driver_queries import QUERIES, SQL
 from marque.sources import parsers
@@ -148,11 +146,11 @@ def _digest(v: str) -> str:
 
 
 _ided = _by_row([("{y}", "Bmw", "BMW M{z}", "{y}bmwm{z}"), ("{y}", "BMW", "M-{z}", "{y}bmwm{z}"), ("", "alfa", "4C {z}", "alfaromeo4c{z}"), (None, "Zed", "X (É) {z}", "zedx{z}"), ("{y}", "Ford", "Fordo {z}", "{y}fordfordo{z}")])
-QUERIES["h04_catalog_id"] = lambda spark, sf_dir: parsers_id(raw(spark, sf_dir, {"year": _ided[0], "manufacturer": _ided[1], "model": _ided[2]}))
+QUERIES["h04_catalog_id"] = lambda spark, sf_dir: _catalog_ids(raw(spark, sf_dir, {"year": _ided[0], "manufacturer": _ided[1], "model": _ided[2]}))
 SQL["h04_catalog_id"] = "SELECT p_partkey, CASE p_partkey % 5 " + " ".join(f"WHEN {i} THEN {_digest(v)}" for i, v in enumerate(_ided[3])) + " END AS car_id FROM part"
 
 
-def parsers_id(d: DataFrame) -> DataFrame:
+def _catalog_ids(d: DataFrame) -> DataFrame:
     from marque.operators.survivorship import with_car_id
 
     return with_car_id(d, MAKERS).select("p_partkey", "car_id")

@@ -190,9 +190,6 @@ def e05_percentile_status(spark, sf_dir):
     return rows.groupBy(F.coalesce("status", F.lit("none")).alias("status")).agg(F.count("*").alias("n"))
 
 
-_Q = "cast(cast(l_quantity AS int) AS varchar)"
-
-
 @query(f"SELECT {_KEY_SQL}, cast(l_quantity AS double) AS mph, cast(cast(l_quantity AS int) * 1000 AS double) AS hp, cast(cast(l_linenumber AS int) * 60 + cast(l_quantity AS int) % 60 AS double) AS seconds, cast(cast(l_quantity AS int) AS double) + 0.5 AS plain, cast(1990 + l_linenumber AS varchar) AS year FROM lineitem")
 def h30_h33_parse_numbers(spark, sf_dir):
     q = F.col("l_quantity").cast("int")

@@ -157,7 +157,7 @@ def iv9_schema(spark, sf_dir):
     return found.groupBy(F.col("row_index").alias("p_partkey")).agg(F.array_join(F.array_sort(F.collect_set("field")), ",").alias("fields"))
 
 
-@query("SELECT 'ERROR' AS severity, 'Duplicate entry in rows ' || array_to_string(list_sort(list(p_partkey)), ', ') AS message, '2001 ' || lower(CASE p_size % 3 WHEN 0 THEN 'BMW' ELSE 'Ford' END) || ' ' || lower(p_name) AS value, min(p_partkey) AS row_index FROM part GROUP BY p_size % 3 = 0, p_name, message_key(p_size, p_name), value HAVING count(*) > 1".replace(", message_key(p_size, p_name), value", "").replace("lower(CASE p_size % 3 WHEN 0 THEN 'BMW' ELSE 'Ford' END)", "lower(CASE WHEN p_size % 3 = 0 THEN 'BMW' ELSE 'Ford' END)"))
+@query("SELECT 'ERROR' AS severity, 'Duplicate entry in rows ' || array_to_string(list_sort(list(p_partkey)), ', ') AS message, '2001 ' || lower(CASE WHEN p_size % 3 = 0 THEN 'BMW' ELSE 'Ford' END) || ' ' || lower(p_name) AS value, min(p_partkey) AS row_index FROM part GROUP BY p_size % 3 = 0, p_name HAVING count(*) > 1")
 def iv8_duplicates(spark, sf_dir):
     """Rows alike but for case and alias; every row is listed."""
     z = F.col("p_size") % 3
@@ -215,9 +215,6 @@ def b13_display_ratio(spark, sf_dir):
     return c.select(*KEY, cq.display_ratio(F.col("curb_weight_lb"), F.col("power_hp")).alias("ratio"), "manufacturer", "model")
 
 
-_PART_COLUMNS = ("car_id", "power_hp", "year", "manufacturer", "model", "curb_weight_lb")
-
-
 @query("SELECT concat(p_partkey) AS car_id, p_brand AS manufacturer, p_name AS model, '2001' AS year FROM part ORDER BY p_brand, p_name, concat(p_partkey) LIMIT 20 OFFSET 20")
 def b04_b12_b14_page(spark, sf_dir):
     """Parameters as text; a page in the catalog's columns; of these the visible ones of some categories."""
