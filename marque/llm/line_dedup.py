@@ -37,8 +37,8 @@ BANDS, ROWS = 22, 5
 PART_LINES = 20_000
 BLOCK_BYTES = 8_000_000
 BAND_LINES = 512
-#: Different lines of one place from which their overlaps come from a matrix product.
-WIDE_LINES = 48
+#: Different lines from which a place is taken by itself, and pairs that may be alike, a line, from which overlaps come from a matrix product.
+WIDE_LINES, NEAR_PAIRS = 48, 40
 #: Cells of a line's presence bitmap, and characters of lines whose bands are compared at once.
 BITS = 512
 FOREST_CHARS = 2_000_000
@@ -261,7 +261,7 @@ def _forest(place: np.ndarray, hashes: np.ndarray, comps: np.ndarray, texts: lis
 
 
 def _wide(hashes: np.ndarray, comps: np.ndarray, texts: list[str], percent: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same for one place of many lines: all overlaps at once."""
+    """The same for one place of many lines. Where many pairs may be alike, all overlaps come from one product."""
     _, at = np.unique(hashes, return_index=True)
     h, first = _shingles([texts[i] for i in at], size)
     line = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(h)]))
@@ -270,7 +270,41 @@ def _wide(hashes: np.ndarray, comps: np.ndarray, texts: list[str], percent: int,
     new = np.r_[True, (h[1:] != h[:-1]) | (line[1:] != line[:-1])]
     h, line = h[new], line[new]
     count = np.bincount(line, minlength=len(at))
-    got = np.array(forest(comps[at], count, np.split(h, np.cumsum(count)[:-1]), percent), np.int64).reshape(-1, 2)
+    sets, comps, m = np.split(h, np.cumsum(count)[:-1]), comps[at], len(at)
+    cells = np.zeros((m, BITS), bool)
+    cells[line, (h % np.uint64(BITS)).astype(np.int64)] = True
+    bits = np.packbits(cells, axis=1).view("<u8")
+    near = []
+    for i in range(0, m, 64):
+        apart = np.bitwise_count(bits[i : i + 64, None] ^ bits[None]).sum(2, dtype=np.int64)
+        x, y = np.nonzero((100 + percent) * apart <= (100 - percent) * (count[i : i + 64, None] + count[None]))
+        near.append(np.stack([x + i, y])[:, y > x + i])
+    near = np.concatenate(near, axis=1)
+    near = near[:, comps[near[0]] != comps[near[1]]]
+    if near.shape[1] > NEAR_PAIRS * m:
+        got = np.array(forest(comps, count, sets, percent), np.int64).reshape(-1, 2)
+        return got[:, 0], got[:, 1]
+    top: dict[int, int] = {}
+    held: dict[int, frozenset] = {}
+
+    def root(c: int) -> int:
+        while (up := top.get(c, c)) != c:
+            c = up
+        return c
+
+    links = []
+    for x, y in near.T.tolist():
+        r, t = root(int(comps[x])), root(int(comps[y]))
+        if r == t:
+            continue
+        for j in (x, y):
+            if j not in held:
+                held[j] = frozenset(sets[j].tolist())
+        o = len(held[x] & held[y])
+        if 100 * o >= percent * (len(held[x]) + len(held[y]) - o):
+            top[max(r, t)] = min(r, t)
+            links.append((r, t))
+    got = np.array(links, np.int64).reshape(-1, 2)
     return got[:, 0], got[:, 1]
 
 

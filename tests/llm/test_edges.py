@@ -52,6 +52,21 @@ def test_line_dedup_recall_of_near_copies(spark):
     assert want > 300 and 0.99 * want <= found <= want
 
 
+@pytest.mark.parametrize("pairs", [0, 40, 10**6])
+def test_a_wide_place_links_what_brute_force_does(pairs, monkeypatch):
+    from marque.llm import line_dedup
+    from tests.llm.test_similarity import components
+
+    monkeypatch.setattr(line_dedup, "NEAR_PAIRS", pairs)
+    rnd = random.Random(6)
+    lines = ["the quick brown fox jumps over the lazy dog and runs along " + "".join(rnd.choices("abcd", k=rnd.randint(4, 16))) for _ in range(120)]
+    sets = [{x[i : i + 6] for i in range(len(x) - 5)} for x in lines]
+    want = components(120, [(i, j) for i in range(120) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])])
+    ids = np.arange(120)
+    a, b = line_dedup._wide(ids, ids, lines, 80, 6)
+    assert components(120, list(zip(a.tolist(), b.tolist(), strict=True))) == want and len(a) == 120 - len(set(want))
+
+
 def test_wide_bands_lose_no_link(spark, monkeypatch):
     """Many unlike lines of one frame in wide bands: every pair over the bound is linked, within blocks and across."""
     from marque.llm import line_dedup
