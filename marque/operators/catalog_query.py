@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marque.functions.columns import all_of, name
+from marque.operators.search_index import SearchIndex
 from marque.operators.store import DERIVED, tokens, with_derived
 from marque.schema import COLUMNS
 
@@ -121,8 +122,10 @@ def prepared(catalog: DataFrame) -> DataFrame:
     return catalog if set(DERIVED) <= set(catalog.columns) else with_derived(catalog)
 
 
-def filtered(catalog: DataFrame, q: CatalogQuery) -> DataFrame:
-    return prepared(catalog).where(all_of(q.predicates()))
+def filtered(catalog: DataFrame, q: CatalogQuery, index: SearchIndex | None = None) -> DataFrame:
+    """The rows that the parameters keep. With an index a search reads the index, and tests only the rows that it finds."""
+    rows = prepared(catalog).where(all_of(q.predicates()))
+    return index.search(rows, q.search) if index is not None and q.search else rows
 
 
 def ordering(q: CatalogQuery, tie: tuple[str, ...] = ("car_id",)) -> list[Column]:
@@ -135,9 +138,9 @@ def ordering(q: CatalogQuery, tie: tuple[str, ...] = ("car_id",)) -> list[Column
     return [c.desc_nulls_last() if q.sortOrder == "desc" else c.asc_nulls_last(), *keys]
 
 
-def page(catalog: DataFrame, q: CatalogQuery, tie: tuple[str, ...] = ("car_id",)) -> DataFrame:
+def page(catalog: DataFrame, q: CatalogQuery, tie: tuple[str, ...] = ("car_id",), index: SearchIndex | None = None) -> DataFrame:
     """The rows of a page: one top-k, not a sort of the catalog."""
-    return filtered(catalog, q).orderBy(*ordering(q, tie)).offset((q.page - 1) * q.size).limit(q.size)
+    return filtered(catalog, q, index).orderBy(*ordering(q, tie)).offset((q.page - 1) * q.size).limit(q.size)
 
 
 def pagination(catalog: DataFrame, q: CatalogQuery) -> DataFrame:
@@ -146,10 +149,10 @@ def pagination(catalog: DataFrame, q: CatalogQuery) -> DataFrame:
     return filtered(catalog, q).agg(F.lit(q.page).cast("long").alias("page"), F.lit(q.size).cast("long").alias("page_size"), n.alias("total"), F.ceil(n / q.size).cast("long").alias("total_pages"))
 
 
-def run(catalog: DataFrame, q: CatalogQuery) -> tuple[DataFrame, dict[str, int]]:
+def run(catalog: DataFrame, q: CatalogQuery, index: SearchIndex | None = None) -> tuple[DataFrame, dict[str, int]]:
     """The page in the catalog's columns, and its pagination."""
-    rows = page(catalog, q)
-    total = filtered(catalog, q).count()
+    rows = page(catalog, q, index=index)
+    total = filtered(catalog, q, index).count()
     return rows.select(*[name(c) for c in COLUMNS if c in rows.columns]), {"page": q.page, "pageSize": q.size, "total": total, "totalPages": math.ceil(total / q.size)}
 
 

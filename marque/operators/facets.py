@@ -58,3 +58,38 @@ def year_range(catalog: DataFrame, fallback: tuple[int, int] | None = None) -> D
 def meta(catalog: DataFrame) -> dict[str, DataFrame]:
     """What the filter panel asks for, in four passes at most."""
     return {"facets": facet_counts(catalog), "sources": source_counts(catalog), "thresholds": threshold_counts(catalog), "summary": year_range(catalog)}
+
+
+def counted(catalog: DataFrame) -> DataFrame:
+    """(kind, name, value, count): the facets, sources, years, thresholds and total of a catalog in one table, to be kept and moved on.
+
+    Facets and thresholds of columns that the catalog lacks are left out.
+    """
+    rows = prepared(catalog).where(valid())
+    has = set(rows.columns)
+    metrics = tuple(m for m, c, *_ in THRESHOLDS if c in has)
+    kind = lambda k, n, v, c="count": [F.lit(k).alias("kind"), n.alias("name"), v.alias("value"), F.col(c).cast("long").alias("count")]
+    out = rows.agg(F.count("*").alias("count")).select(*kind("total", F.lit("rows"), F.lit("")))
+    own = tuple(c for c in FACETS if c in has)
+    if own:
+        out = out.unionByName(facet_counts(rows, own).select(*kind("facet", F.col("facet"), F.col("value"))))
+    if metrics:
+        out = out.unionByName(threshold_counts(rows, metrics).select(*kind("threshold", F.col("metric"), F.col("label"))))
+    out = out.unionByName(rows.where("year_int is not null").groupBy("year_int").count().select(*kind("year", F.lit("year"), F.col("year_int").cast("string"))))
+    return out.unionByName(source_counts(rows).select(*kind("source", F.lit("source"), F.col("value"))))
+
+
+def moved(state: DataFrame, removed: DataFrame, added: DataFrame) -> DataFrame:
+    """The counts after rows were removed and added, from those before and these rows alone: what an upsert reports.
+
+    A value of which no row is left goes; thresholds and the total stay at 0. Equals counted() of the catalog then.
+    """
+    signed = counted(removed).withColumn("count", -F.col("count")).unionByName(counted(added))
+    out = state.unionByName(signed).groupBy("kind", "name", "value").agg(F.sum("count").alias("count"))
+    return out.where("count <> 0 or kind in ('threshold', 'total')")
+
+
+def year_span(state: DataFrame) -> DataFrame:
+    """(year_min, year_max) of kept counts; null without years."""
+    y = F.col("value").cast("int")
+    return state.where("kind = 'year'").agg(F.min(y).alias("year_min"), F.max(y).alias("year_max"))

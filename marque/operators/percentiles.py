@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,34 +16,83 @@ LOWER = ("0_60_mph_sec", "0_100_kmh_sec", "0_100_mph_sec", "0_200_kmh_sec", "qua
 HIGHER = ("top_speed_mph", "top_speed_kmh", "quarter_mile_speed_mph", "power_hp", "power_kw", "torque", "skidpad_g")
 LEAST = 10  # fewer values have no percentiles
 P_LOW, P_HIGH = 0.1, 0.9
+#: One over the share of a column's values by which a sketch may err.
+ACCURACY = 10_000
+#: Values between the bounds of an offset that one task ranks.
+FEW = 200_000
 
 
 def _source(column: str) -> Column:
     return name("torque_lbft" if column == "torque" else column).cast("double")
 
 
-def percentiles(catalog: DataFrame, columns: tuple[str, ...] = LOWER + HIGHER) -> DataFrame:
+def _ranked(counts: DataFrame, sought: DataFrame, few: bool = False) -> DataFrame:
+    """(column, p, v): the value at each sought place. counts: (column, p, v, k), no value twice; sought: (column, p, before, offset), a row each.
+
+    Unless they are few, values are dealt by ranges; running totals of the ranges tell which of them holds an offset, and only that one is ranked.
+    """
+    if few:
+        reached = F.col("before") + F.sum("k").over(Window.partitionBy("column", "p").orderBy("v"))
+        return counts.join(F.broadcast(sought), ["column", "p"]).withColumn("reached", reached).where("reached > offset").groupBy("column", "p").agg(F.min("v").alias("v"))
+    ranged = cut(counts.repartitionByRange("column", "p", "v").withColumn("range", F.spark_partition_id()))
+    upto = F.sum("k").over(Window.partitionBy("column", "p").orderBy("range"))
+    ranges = ranged.groupBy("column", "p", "range").agg(F.sum("k").alias("k")).select("column", "p", "range", (upto - F.col("k")).alias("lower"), upto.alias("upto"))
+    at = ranges.join(F.broadcast(sought), ["column", "p"]).withColumn("place", F.col("offset") - F.col("before")).where("lower <= place and place < upto")  # a row each
+    within = ranged.join(F.broadcast(at.select("column", "p", "range", "lower", "place")), ["column", "p", "range"])
+    reached = F.col("lower") + F.sum("k").over(Window.partitionBy("column", "p", "range").orderBy("v"))
+    return within.withColumn("reached", reached).where("reached > place").groupBy("column", "p").agg(F.min("v").alias("v"))
+
+
+def percentiles(catalog: DataFrame, columns: tuple[str, ...] = LOWER + HIGHER, accuracy: int = ACCURACY) -> DataFrame:
     """(column, n, p10, p90) of each column with values; null percentiles under ten values.
 
-    Equal values are counted first, by one aggregate with map-side combining. The distinct values are dealt by
-    ranges; running totals of the ranges (a row a column and range) tell which range holds an offset, and only
-    that range is ranked. No task sees all values of a column.
+    The first scan counts each column's values and sketches their quantiles, in one aggregate of mergeable sketches.
+    These bound the value at each offset from both sides. The second scan counts what lies outside the bounds on
+    the shorter side and the values between, about four in ``accuracy``; only those are shuffled and ranked. An offset that
+    the bounds miss, should a sketch err by more than it promises, is sought among all values of its column.
     """
     rows = prepared(catalog).where(valid())
     has = set(rows.columns) | {"torque"}
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), _source(c).alias("v")) for c in columns if c in has])
-    counts = rows.select(F.inline(pairs)).where("v is not null").groupBy("column", "v").agg(F.count("*").alias("k"))
-    ranged = cut(counts.repartitionByRange("column", "v").withColumn("range", F.spark_partition_id()))
-    by_column = Window.partitionBy("column")
-    upto = F.sum("k").over(by_column.orderBy("range"))
-    ranges = ranged.groupBy("column", "range").agg(F.sum("k").alias("k")).select("column", "range", (upto - F.col("k")).alias("before"), upto.alias("upto"), F.sum("k").over(by_column).alias("n"))
-    sought = ranges.select("*", F.explode(F.array(F.lit(P_LOW), F.lit(P_HIGH))).alias("p")).withColumn("offset", F.floor(F.col("n") * F.col("p")))
-    sought = sought.where("before <= offset and offset < upto")  # two rows a column
-    ranked = ranged.join(F.broadcast(sought.select("column", "range", "before", "n", "p", "offset")), ["column", "range"])
-    place = F.col("before") + F.sum("k").over(Window.partitionBy("column", "range", "p").orderBy("v"))
-    found = ranked.withColumn("place", place).where("place > offset").groupBy("column", "n", "p").agg(F.min("v").alias("v"))
+    columns = tuple(c for c in columns if c in has)
+    if not columns:
+        return rows.sparkSession.createDataFrame([], "column string, n long, p10 double, p90 double")
+    off = 2.0 / accuracy
+    asked = [min(1.0, max(0.0, p + d)) for p in (P_LOW, P_HIGH) for d in (-off, off)]
+    found = rows.agg(*[F.struct(F.count(_source(c)).alias("n"), F.percentile_approx(_source(c), asked, accuracy).alias("q")).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    known = {c: found[f"c{i}"] for i, c in enumerate(columns) if found[f"c{i}"]["n"]}
+    spark = rows.sparkSession
+    if not known:
+        return spark.createDataFrame([], "column string, n long, p10 double, p90 double")
+    # A few first or last values need no sketch: the bounds are open there.
+    bounds = {(c, p): (None if k["n"] * p < accuracy * off else k["q"][2 * i], None if k["n"] * (1 - p) < accuracy * off else k["q"][2 * i + 1]) for c, k in known.items() for i, p in enumerate((P_LOW, P_HIGH))}
+
+    def cell(c: str, p: float) -> Column:
+        """(column, p, the value if between the bounds, else null for one on the shorter side); null for others."""
+        v, (low, high) = _source(c), bounds[c, p]
+        below, above = (v < low if low is not None else F.lit(False)), (v > high if high is not None else F.lit(False))
+        own = lambda x: F.struct(F.lit(c).alias("column"), F.lit(p).alias("p"), x.alias("v"))
+        return F.when(v.isNull(), None).when(below if p < 0.5 else above, own(F.lit(None).cast("double"))).when(~(above if p < 0.5 else below), own(v))
+
+    cells = F.array(*[cell(c, p) for c, p in bounds])
+    counts = cut(rows.select(F.inline(cells)).where("p is not null").groupBy("column", "p", "v").agg(F.count("*").alias("k")))
+    sums = {(r["column"], r["p"]): r for r in counts.groupBy("column", "p").agg(F.sum(F.when(F.col("v").isNull(), F.col("k")).otherwise(0)).alias("outside"), F.sum(F.when(F.col("v").isNotNull(), F.col("k")).otherwise(0)).alias("inside"), F.count("v").alias("values")).collect()}
+    sought, missed = [], []
+    for c, p in bounds:
+        n, offset, own = known[c]["n"], math.floor(known[c]["n"] * p), sums.get((c, p))
+        outside, inside = (own["outside"], own["inside"]) if own else (0, 0)
+        before = outside if p < 0.5 else n - outside - inside
+        if before <= offset < before + inside:
+            sought.append((c, p, before, offset))
+        else:
+            missed.append((c, p, 0, offset))
+    kind = "column string, p double, before long, offset long"
+    out = _ranked(counts.where("v is not null"), spark.createDataFrame(sought, kind), max((r["values"] for r in sums.values()), default=0) <= FEW)
+    if missed:
+        whole = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(p).alias("p"), _source(c).alias("v")) for c, p, *_ in missed])
+        out = out.unionByName(_ranked(rows.select(F.inline(whole)).where("v is not null").groupBy("column", "p", "v").agg(F.count("*").alias("k")), spark.createDataFrame(missed, kind)))
+    sizes = F.broadcast(spark.createDataFrame([(c, k["n"]) for c, k in known.items()], "column string, n long"))  # a row a column
     at = lambda p: F.min(F.when((F.col("p") == p) & (F.col("n") >= LEAST), F.col("v")))
-    return found.groupBy("column").agg(F.first("n").alias("n"), at(P_LOW).alias("p10"), at(P_HIGH).alias("p90"))
+    return out.join(sizes, "column").groupBy("column").agg(F.first("n").alias("n"), at(P_LOW).alias("p10"), at(P_HIGH).alias("p90"))
 
 
 def with_status(catalog: DataFrame, thresholds: DataFrame, column: str, out: str = "status") -> DataFrame:

@@ -121,5 +121,29 @@ def merge_plain(existing: DataFrame, new: DataFrame, seq: str = "seq") -> DataFr
     return out.select(*[name(c) for c in existing.columns if c in out.columns])
 
 
+def merge_first(existing: DataFrame, new: DataFrame, makers: Makers, seq: str = "seq") -> DataFrame:
+    """The scraped pages' variant: equal manufacturer and model; of existing rows of one name the first stays, others go.
+
+    Empty fields are filled in order. A source is appended after a comma unless the text of sources holds it already,
+    be it within another name. A new name gets its maker's country. Null names count as blank.
+    """
+    keys = {"_m": F.coalesce("manufacturer", F.lit("")), "_n": F.coalesce("model", F.lit(""))}
+    old = existing.withColumns(keys).groupBy("_m", "_n").agg(F.min_by(F.struct(*[name(c) for c in existing.columns]), name(seq)).alias("r")).select("r.*")
+    rows = old.withColumn("_e", F.lit(0)).unionByName(new.withColumn("_e", F.lit(1)), allowMissingColumns=True)
+    rows = rows.withColumns(keys).withColumn("_o", F.struct("_e", name(seq).alias("s")))
+    agg = {c: first_filled(name(c), F.col("_o")) for c in rows.columns if c in FILLED or c in ("year", "propulsion", "car_id", "country")}
+    agg |= {c: F.min_by(name(c), F.col("_o")) for c in ("manufacturer", "model")} | {"_base": F.min_by("sources", F.when(F.col("_e") == 0, F.col("_o")))} | {seq: F.min("_o.s"), "_known": F.min("_e") == 0}
+    out = rows.groupBy("_m", "_n").agg(*[v.alias(c) for c, v in agg.items()])
+    # Each source of a name once, at its first place, so that what is gathered grows with the sources and not the rows.
+    told = rows.where((F.col("_e") == 1) & filled(F.col("sources"))).groupBy("_m", "_n", "sources").agg(F.min("_o.s").alias("s"))
+    told = told.groupBy("_m", "_n").agg(F.sort_array(F.collect_list(F.struct("s", "sources"))).alias("told"))
+    out = out.join(told, ["_m", "_n"], "left")
+    text = F.aggregate(F.coalesce("told", F.array().cast(told.schema["told"].dataType)), F.coalesce("_base", F.lit("")), lambda a, x: F.when(F.contains(a, x["sources"]), a).when(a == "", x["sources"]).otherwise(F.concat(a, F.lit(","), x["sources"])))
+    out = out.withColumn("sources", F.nullif(text, F.lit("")))
+    if "country" in out.columns:
+        out = out.withColumn("country", F.when(F.col("_known"), F.col("country")).otherwise(F.nullif(country_of(F.col("manufacturer"), makers), F.lit(""))))
+    return out.select(*[name(c) for c in existing.columns if c in out.columns])
+
+
 def catalog_order(df: DataFrame) -> DataFrame:
     return df.orderBy("manufacturer", "model", "year", "car_id")

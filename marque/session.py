@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,3 +54,19 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{table_root(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store, if it's there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder in the shared store for as long as the block lasts."""
+    path = f"{table_root(spark)}/scratch-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        delete(spark, path)
