@@ -19,7 +19,7 @@ from marque.operators.store import tokens, with_derived
 from marque.session import cut
 
 #: Ids in a piece of a token's postings, about.
-PIECE = 20_000
+PIECE = 1_000
 #: Postings of a folder, about, where the caller doesn't say how many folders there are.
 FOLDER_POSTINGS = 5_000_000
 #: Tokens of more than one piece that the dealing of postings broadcasts.
