@@ -8,7 +8,7 @@ from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marque.functions.columns import name
@@ -77,20 +77,48 @@ def bar(share: float, width: int = 20) -> str:
     return "█" * n + "░" * (width - n)
 
 
-def report(df: DataFrame, makers: Makers | None = None, issues: DataFrame | None = None, top: int = 20) -> dict:
-    """The report's figures: a few small aggregates, collected."""
+def bar_of(percent: Column, width: int = 20) -> Column:
+    """The same as a column, of a share in percent."""
+    n = F.bround(width * F.greatest(F.lit(0.0), F.least(F.lit(1.0), percent / 100))).cast("int")
+    return F.when(percent.isNotNull(), F.concat(F.repeat(F.lit("█"), n), F.repeat(F.lit("░"), width - n)))
+
+
+def report_table(df: DataFrame, top: int = 20) -> DataFrame:
+    """The report's figures as rows (section, name, count, share in percent, bar), for a catalog of any size.
+
+    Sections: total; fields (filled values); sources, manufacturers and countries (the ``top`` most frequent); years
+    (first and last as counts, no share). Nothing of it comes to the driver.
+    """
+    rows = lambda d, section, label, count: d.select(F.lit(section).alias("section"), label.cast("string").alias("name"), count.cast("long").alias("count"))
+    values = F.col("value"), F.col("count")
+    out = rows(df.agg(F.count("*").alias("count")), "total", F.lit("records"), F.col("count"))
+    out = out.unionByName(rows(completeness(df), "fields", F.col("field"), F.col("filled")))
+    if "sources" in df.columns:
+        out = out.unionByName(rows(source_distribution(df).limit(top), "sources", *values))
+    for section, column in (("manufacturers", "manufacturer"), ("countries", "country")):
+        if column in df.columns:
+            out = out.unionByName(rows(distribution(df.where(F.coalesce(name(column), F.lit("")) != ""), column, top), section, *values))
+    span = year_span(df).select(F.inline(F.array(F.struct(F.lit("first").alias("label"), F.col("year_min").alias("y")), F.struct(F.lit("last").alias("label"), F.col("year_max").alias("y")))))
+    out = out.unionByName(rows(span, "years", F.col("label"), F.col("y")))
+    total = F.broadcast(df.agg(F.count("*").alias("_total")))  # one row
+    share = F.when(F.col("section") != "years", F.try_divide(F.col("count") * 100.0, F.col("_total")))
+    return out.join(total).withColumn("share", share).withColumn("bar", bar_of(F.col("share"))).drop("_total")
+
+
+def report(df: DataFrame, makers: Makers | None = None, issues: DataFrame | None = None, top: int = 20, most: int = 1000) -> dict:
+    """The report's figures: a few small aggregates, collected. most: sources and countries shown, as their text is free."""
     rows = lambda d: [r.asDict() for r in d.collect()]
     out = {
         "total": df.count(),
         "fields": sorted(rows(completeness(df)), key=lambda r: COLUMNS.index(r["field"])),
-        "sources": rows(source_distribution(df)),
+        "sources": rows(source_distribution(df).limit(most)),
         "manufacturers": rows(distribution(df, "manufacturer", top)),
-        "countries": rows(distribution(df, "country")),
+        "countries": rows(distribution(df, "country", most)),
         "years": rows(year_span(df))[0],
         "numeric": rows(numeric_stats(df)),
     }
     if makers is not None:
-        out["country_names"] = {r["value"]: r["name"] for r in rows(distribution(df, "country").select("value", country_name(F.col("value"), makers).alias("name")))}
+        out["country_names"] = {r["value"]: r["name"] for r in rows(distribution(df, "country", most).select("value", country_name(F.col("value"), makers).alias("name")))}
     if issues is not None:
         out["issues"] = rows(issues.groupBy("severity").agg(F.count("*").alias("count")).orderBy("severity"))
     return out

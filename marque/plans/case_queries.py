@@ -217,16 +217,15 @@ case_query(
 
 QUERIES["h16_h17_shown"] = lambda spark, sf_dir: _shown(spark.read.parquet(f"{sf_dir}/part.parquet"))
 SQL["h16_h17_shown"] = """
-SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN '—' ELSE format('{:,}', p_partkey * 7) || ' lb' END AS weight, CASE WHEN p_size % 5 = 0 THEN NULL ELSE concat(cast(p_partkey // 60 AS varchar), ':', lpad(cast(p_partkey % 60 AS varchar), 2, '0'), '.25') END AS lap,
-  concat(lpad(cast(p_size AS varchar), CASE WHEN p_size < 10 THEN 1 ELSE 2 END, '0'), '.5') AS sec FROM part WHERE p_partkey >= 60
+SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN '—' ELSE format('{:,}', p_partkey * 7) || ' lb' END AS weight, CASE WHEN p_size % 5 = 0 THEN NULL WHEN p_partkey < 60 THEN concat(p_partkey, '.25') ELSE concat(cast(p_partkey // 60 AS varchar), ':', lpad(cast(p_partkey % 60 AS varchar), 2, '0'), '.25') END AS lap,
+  concat(lpad(cast(p_size AS varchar), CASE WHEN p_size < 10 THEN 1 ELSE 2 END, '0'), '.5') AS sec FROM part
 """
 
 
 def _shown(part: DataFrame) -> DataFrame:
     some = lambda c: F.when(F.col("p_size") % 5 != 0, c)
-    rows = part.where("p_partkey >= 60")  # from a minute on; below it the format is that of sec
     lap = units.lap_time(some(F.col("p_partkey") + 0.25))
-    return rows.select("p_partkey", units.shown(some(F.col("p_partkey") * 7), 0, "lb").alias("weight"), lap.alias("lap"), units.lap_time(F.col("p_size") + 0.5, 1).alias("sec"))
+    return part.select("p_partkey", units.shown(some(F.col("p_partkey") * 7), 0, "lb").alias("weight"), lap.alias("lap"), units.lap_time(F.col("p_size") + 0.5, 1).alias("sec"))
 
 
 # --- Categories (H50-H57) ---

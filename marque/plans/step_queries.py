@@ -10,7 +10,7 @@ from marque.operators import catalog_query as cq
 from marque.operators import clean, column_filters, enrich, quality_report, survivorship, validate
 from marque.plans.case_queries import MAKERS, _by_row, case_query, raw, wanted
 from marque.plans.driver_queries import _C, CATALOG_SQL, KEY, QUERIES, SQL, catalog, table
-from marque.schema import BY_NAME, COLUMNS, columns_by_category, schema_df
+from marque.schema import BY_NAME, COLUMNS, column_definitions, columns_by_category, schema_df
 
 _KEYS = ", ".join(KEY)
 
@@ -261,10 +261,12 @@ def d12_year_span(spark, sf_dir):
     return quality_report.year_span(raw(spark, sf_dir, {"year": _years[0]}))
 
 
-@query("SELECT 'power_hp' AS name, 'numeric' AS kind, 50.0::double AS min, 3000.0::double AS max, true AS visible UNION ALL SELECT 'car_id', 'string', NULL, NULL, false UNION ALL SELECT 'doors', 'integer', 1, 6, false UNION ALL SELECT 'country', 'string', NULL, NULL, true")
+@query(f"{_C} SELECT 'power_hp' AS name, 'numeric' AS kind, 50.0::double AS min, 3000.0::double AS max, true AS visible, count(power_hp) AS filled, count(*) FILTER (WHERE power_hp < 50 OR power_hp > 3000) AS outside FROM c UNION ALL SELECT 'car_id', 'string', NULL, NULL, false, count(car_id), 0 FROM c UNION ALL SELECT 'doors', 'integer', 1, 6, false, 0, 0 UNION ALL SELECT 'country', 'string', NULL, NULL, true, count(country), 0 FROM c")
 def a22_a26_g03_schema(spark, sf_dir):
-    """The declared columns, of those that part's stand-in has and those that it lacks."""
-    return schema_df(spark).where(F.col("name").isin("power_hp", "car_id", "doors", "country")).select("name", "kind", "min", "max", "visible")
+    """The declared columns, and of each how many rows of the catalog fill it and lie outside its bounds; 'doors' it lacks."""
+    figures = column_definitions(catalog(spark, sf_dir)).select("name", "filled", "outside")
+    declared = schema_df(spark).where(F.col("name").isin("power_hp", "car_id", "doors", "country")).select("name", "kind", "min", "max", "visible")
+    return declared.join(figures, "name", "left").fillna(0, ["filled", "outside"])
 
 
 assert CATALOG_SQL in _C

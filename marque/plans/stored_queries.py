@@ -8,15 +8,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marque.functions.columns import name
 from marque.operators import catalog_query as cq
-from marque.operators import facets
+from marque.operators import facets, quality_report
 from marque.operators.makers import Makers
 from marque.operators.page_directory import PageDirectory, order_of
+from marque.operators.requests import rows_answer
 from marque.operators.search_index import SearchIndex
 from marque.operators.store import with_derived, write_clustered
 from marque.operators.stored_catalog import StoredCatalog
-from marque.plans.driver_queries import _C, KEY, catalog, table
+from marque.plans.driver_queries import _BOUNDS, _C, KEY, catalog, table
 from marque.plans.step_queries import query
+from marque.schema import column_definitions
 from marque.session import cut, scratch
 
 _KEYS = ", ".join(KEY)
@@ -185,3 +188,67 @@ def d01_d06_meta_by_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
         done = stored.upsert(cars.where("seq % 4 >= 2 and manufacturer like 'Brand#2%'"))
         out = facets.moved(state, done.removed, done.added)
         return cut(out.where("kind <> 'threshold' or name = 'power'"))
+
+
+# --- Requests, report and definitions of a catalog (A21, A22, A23, H21) ---
+
+_REQUESTS = {
+    "?drivetrain=R&powerMin=900&sortBy=power_hp&sortOrder=desc&pageSize=20&page=2": ("drivetrain = 'R' AND power_hp >= 900", "power_hp DESC NULLS LAST", 20, 20),
+    "manufacturer=Brand%2311&yearMin=1995&yearMax=": ("manufacturer = 'Brand#11' AND cast(year AS int) >= 1995", "manufacturer, model", 50, 0),
+    "weightMax=2000&sortBy=power_to_weight&pageSize=100": ("curb_weight_lb <= 2000", "ratio NULLS LAST", 100, 0),
+}
+_BAD = ("page=0", "pageSize=101", "sortOrder=up", "yearMin=soon", "powerMin=1e")
+
+
+
+def _request_sql(text: str, where: str, order: str, size: int, offset: int) -> str:
+    kept = f"(SELECT *, row_number() OVER (ORDER BY {order}, car_id) AS place FROM u WHERE {where})"
+    total = f"(SELECT count(*) FROM u WHERE {where})"
+    return f"SELECT '{text}' AS request, 200 AS status, place, car_id, power_hp, {total} AS total, cast(ceil({total} / {size}.0) AS bigint) AS pages FROM {kept} WHERE place > {offset} AND place <= {offset + size}"
+
+
+# One row an id, as a catalog has it: the first by the rows' order.
+@query(f"{_C}, u AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY car_id ORDER BY {_KEYS}) = 1) " + " UNION ALL ".join([_request_sql(t, *x) for t, x in _REQUESTS.items()] + [f"SELECT '{t}', 400, NULL, NULL, NULL, NULL, NULL" for t in _BAD]))
+def a21_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Query strings answered from the stored catalog: the rows of each page, and what is refused."""
+    rows = catalog(spark, sf_dir)
+    columns = [c for c in rows.columns if c not in KEY]
+    once = rows.groupBy("car_id").agg(F.min_by(F.struct(*[name(c) for c in columns]), F.struct(*KEY)).alias("r")).select("r.*")
+    cars = cut(with_derived(once))
+    out = []
+    for text in (*_REQUESTS, *_BAD):
+        status, body = rows_answer(cars, text)
+        about = body.get("pagination", {})
+        offset = (about["page"] - 1) * about["pageSize"] if about else 0
+        page = [(text, status, offset + i + 1, r["car_id"], r["power_hp"], about["totalCount"], about["totalPages"]) for i, r in enumerate(body.get("data", []))]
+        out += page or [(text, status, None, None, None, None, None)]
+    return spark.createDataFrame(out, "request string, status int, place long, car_id string, power_hp double, total long, pages long")
+
+
+def _described(column: str, shown: str, kind: str, low: float | None, high: float | None) -> str:
+    outside = "false" if low is None else f"{column} < {low} OR {column} > {high}"
+    return f"SELECT '{shown}' AS name, '{chr(34) + shown + chr(34) if shown[0].isdigit() else shown}: {kind}' || CASE WHEN count({column}) < count(*) THEN ' | null;' ELSE ';' END AS definition, count({column}) AS filled, count(*) FILTER (WHERE {outside}) AS outside FROM c"
+
+
+_LIMITS = _BOUNDS | {"a_0_60": (1, 30), "quarter_mile_sec": (7, 25), "engine_displacement": (0.5, 10)}
+_DESCRIBED = [_described(c, "0_60_mph_sec" if c == "a_0_60" else c, "number" if c in _LIMITS else "string", *_LIMITS.get(c, (None, None))) for c in ("car_id", "country", "year", "manufacturer", "model", "body_style", "drivetrain", "propulsion", "engine_type", "power_hp", "curb_weight_lb", "torque", "a_0_60", "quarter_mile_sec", "top_speed_mph", "engine_displacement", "sources")]
+
+
+@query(f"{_C} " + " UNION ALL ".join(_DESCRIBED))
+def a22_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return column_definitions(catalog(spark, sf_dir))
+
+
+_FIELD_SQL = " UNION ALL ".join(f"SELECT 'fields' AS section, '{'0_60_mph_sec' if c == 'a_0_60' else c}' AS name, count({c}) AS count FROM c" for c in ("car_id", "country", "year", "manufacturer", "model", "body_style", "drivetrain", "propulsion", "engine_type", "power_hp", "curb_weight_lb", "torque", "a_0_60", "quarter_mile_sec", "top_speed_mph", "engine_displacement", "sources"))
+
+
+@query(f"""
+{_C}, s AS (SELECT trim(unnest(string_split(sources, ','))) AS value FROM c), f AS ({_FIELD_SQL} UNION ALL SELECT 'total', 'records', count(*) FROM c
+  UNION ALL (SELECT 'sources', value, count(*) FROM s GROUP BY value ORDER BY count(*) DESC, value LIMIT 20) UNION ALL (SELECT 'manufacturers', manufacturer, count(*) FROM c GROUP BY manufacturer ORDER BY count(*) DESC, manufacturer LIMIT 20)
+  UNION ALL (SELECT 'countries', country, count(*) FROM c GROUP BY country ORDER BY count(*) DESC, country LIMIT 20) UNION ALL SELECT 'years', 'first', min(cast(year AS int)) FROM c UNION ALL SELECT 'years', 'last', max(cast(year AS int)) FROM c),
+  h AS (SELECT f.*, CASE WHEN section <> 'years' THEN count * 100.0::double / (SELECT count(*) FROM c) END AS share FROM f)
+SELECT section, name, count, round(share, 6) AS share, repeat('█', cast(round_even(share / 5, 0) AS int)) || repeat('░', 20 - cast(round_even(share / 5, 0) AS int)) AS bar FROM h
+""")
+def a23_h21_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality report's figures with their bars."""
+    return quality_report.report_table(catalog(spark, sf_dir)).withColumn("share", F.round("share", 6))

@@ -122,3 +122,23 @@ def type_definitions(country_names: Mapping[str, str] | None = None) -> str:
     about = [{"id": f.name, "header": f.header, "category": f.category, "unit": f.unit, "isNumeric": f.kind != "string", "visible": f.visible} for f in FIELDS]
     parts = {"COLUMNS": about, "CATEGORIES": columns_by_category(), "COUNTRY_NAMES": dict(country_names or {})}
     return f"export interface CatalogRow {{\n{row}}}\n" + "".join(f"\nexport const {k} = {json.dumps(v, ensure_ascii=False, indent=2)} as const;\n" for k, v in parts.items())
+
+
+def column_definitions(df: DataFrame) -> DataFrame:
+    """(name, definition, filled, outside): the catalog's columns in df as members of the row type, by one aggregate.
+
+    A column is nullable in the definition where the table has a row without a value; outside counts what its bounds exclude.
+    """
+    has = set(df.columns)
+    own = [f for f in FIELDS if f.name in has]
+    figures = []
+    for i, f in enumerate(own):
+        c = F.col(f"`{f.name}`")
+        outside = F.lit(False) if f.kind == "string" else F.coalesce((c < f.low) if f.low is not None else F.lit(False), F.lit(False)) | F.coalesce((c > f.high) if f.high is not None else F.lit(False), F.lit(False))
+        figures += [F.count(c).alias(f"n{i}"), F.count_if(outside).alias(f"o{i}")]
+    if not own:
+        return df.sparkSession.createDataFrame([], "name string, definition string, filled long, outside long")
+    key = lambda c: json.dumps(c) if c[0].isdigit() or "-" in c else c
+    kind = lambda f: "string" if f.kind == "string" else "number"
+    cells = [F.struct(F.lit(f.name).alias("name"), F.concat(F.lit(f"{key(f.name)}: {kind(f)}"), F.when(F.col(f"n{i}") < F.col("n"), F.lit(" | null;")).otherwise(F.lit(";"))).alias("definition"), F.col(f"n{i}").alias("filled"), F.col(f"o{i}").alias("outside")) for i, f in enumerate(own)]
+    return df.agg(F.count("*").alias("n"), *figures).select(F.inline(F.array(*cells)))
