@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marque.functions.columns import name
 from marque.operators.catalog_query import prepared, valid
+from marque.operators.sketches import quantiles, rank_error
 from marque.session import cut
 
 # Which columns are better low or high.
@@ -16,8 +17,8 @@ LOWER = ("0_60_mph_sec", "0_100_kmh_sec", "0_100_mph_sec", "0_200_kmh_sec", "qua
 HIGHER = ("top_speed_mph", "top_speed_kmh", "quarter_mile_speed_mph", "power_hp", "power_kw", "torque", "skidpad_g")
 LEAST = 10  # fewer values have no percentiles
 P_LOW, P_HIGH = 0.1, 0.9
-#: Size of a quantile sketch: some 90 KB at most. Sketches are merged in so many groups first, and then once.
-SKETCH, GROUPS = 4096, 256
+#: Size of a quantile sketch: some 90 KB at most.
+SKETCH = 4096
 #: Values between the bounds of an offset that one task ranks.
 FEW = 200_000
 
@@ -57,14 +58,9 @@ def percentiles(catalog: DataFrame, columns: tuple[str, ...] = LOWER + HIGHER, s
     columns = tuple(c for c in columns if c in has)
     if not columns:
         return rows.sparkSession.createDataFrame([], "column string, n long, p10 double, p90 double")
-    off = 2 * 2.296 / sketch**0.9021  # twice the rank error that 99 in 100 sketches keep to
+    off = 2 * rank_error(sketch)
     asked = [min(1.0, max(0.0, p + d)) for p in (P_LOW, P_HIGH) for d in (-off, off)]
-    each = [e for i, c in enumerate(columns) for e in (F.count(_source(c)).alias(f"n{i}"), F.count(F.nanvl(_source(c), F.lit(None).cast("double"))).alias(f"m{i}"), F.kll_sketch_agg_double(_source(c), F.lit(sketch)).alias(f"s{i}"))]
-    groups = rows.groupBy(F.pmod(F.spark_partition_id(), F.lit(GROUPS))).agg(*each)
-    one = groups.agg(*[e for i in range(len(columns)) for e in (F.sum(f"n{i}").alias(f"n{i}"), F.sum(f"m{i}").alias(f"m{i}"), F.kll_merge_agg_double(F.when(F.col(f"m{i}") > 0, F.col(f"s{i}")), F.lit(sketch)).alias(f"s{i}"))])
-    has_any = lambda i: F.coalesce(F.col(f"m{i}"), F.lit(0)) > 0  # a sketch holds no NaN
-    found = one.select(*[F.struct(F.coalesce(F.col(f"n{i}"), F.lit(0)).alias("n"), F.when(has_any(i), F.kll_sketch_get_quantile_double(f"s{i}", F.array(*map(F.lit, asked)))).alias("q")).alias(f"c{i}") for i in range(len(columns))]).first()
-    known = {c: found[f"c{i}"] for i, c in enumerate(columns) if found[f"c{i}"]["n"]}
+    known = {c: {"n": n, "q": q} for c, (n, q) in zip(columns, quantiles(rows, [_source(c) for c in columns], asked, sketch), strict=True) if n}
     spark = rows.sparkSession
     if not known:
         return spark.createDataFrame([], "column string, n long, p10 double, p90 double")

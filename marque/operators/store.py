@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marque.functions.columns import name
+from marque.operators.sketches import quantiles
 
 #: Letters that fold to plain ones in a search, by Unicode decomposition of the common Latin ones.
 _FOLD = ("àáâãäåçèéêëìíîïñòóôõöøùúûüýÿčćšžđřěůłńśźżășțőű", "aaaaaaceeeeiiiinoooooouuuuyyccszdreulnszzastou")
@@ -54,8 +55,8 @@ def write_catalog(df: DataFrame, path: str, partitions: int | None = None) -> No
     out.sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
 
 
-#: Bits of each column in the interleaved key: 32 steps.
-KEY_BITS = 5
+#: Bits of each column in the interleaved key: 32 steps. Size of the sketches that bound them: some 10 KB.
+KEY_BITS, SKETCH = 5, 500
 CLUSTERED_BY = ("manufacturer", "year_int", "power_hp")
 
 
@@ -86,10 +87,10 @@ def write_clustered(df: DataFrame, path: str, files: int | None = None, by: tupl
     kinds = dict(out.dtypes)
     steps = 2**KEY_BITS
     asked = [i / steps for i in range(1, steps)]
-    found = out.agg(*[F.percentile_approx(_as_number(name(c), kinds[c]), asked, 10_000).alias(f"b{i}") for i, c in enumerate(by)]).first()
+    found = quantiles(out, [_as_number(name(c), kinds[c]) for c in by], asked, SKETCH)
 
     def step(i: int, c: str) -> Column:
-        bounds = sorted(set(found[f"b{i}"] or []))
+        bounds = sorted(set(found[i][1] or []))
         v = _as_number(name(c), kinds[c])
         # How many bounds lie at or below the value: unequal steps where one value is in many rows.
         below = F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b <= v)) if bounds else F.lit(0)
