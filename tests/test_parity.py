@@ -6,7 +6,7 @@ from pathlib import Path
 
 import pytest
 
-from marque.plans import case_queries, driver_queries, source_queries, step_queries  # noqa: F401
+from marque.plans import case_queries, driver_queries, source_queries, step_queries, stored_queries  # noqa: F401
 
 duckdb = pytest.importorskip("duckdb")
 SF = Path("/root/testdata/sf0.001")
