@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from marque.functions.columns import name
 from marque.operators import catalog_query as cq
 from marque.operators import facets, quality_report
+from marque.operators.maker_table import MakerTable
 from marque.operators.makers import Makers
 from marque.operators.page_directory import PageDirectory, order_of
 from marque.operators.requests import rows_answer
@@ -252,3 +253,52 @@ SELECT section, name, count, round(share, 6) AS share, repeat('█', cast(round_
 def a23_h21_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality report's figures with their bars."""
     return quality_report.report_table(catalog(spark, sf_dir)).withColumn("share", F.round("share", 6))
+
+
+# --- Manufacturers as a table (C2-C5, F10) ---
+
+_DICT = """
+WITH d AS (SELECT DISTINCT p_brand AS name, 'B' AS country, false AS multi FROM part UNION ALL SELECT DISTINCT p_name, 'N', true FROM part UNION ALL SELECT c_name, c_mktsegment, false FROM customer),
+a AS (SELECT p_type AS alias, min(p_brand) AS name FROM part WHERE p_type < 'M' GROUP BY p_type)"""
+
+
+def _dictionary(spark: SparkSession, sf_dir: str, path: str) -> MakerTable:
+    part, customer = table(spark, sf_dir, "part"), table(spark, sf_dir, "customer")
+    names = _union([
+        part.select(F.col("p_brand").alias("name"), F.lit("B").alias("country"), F.lit(False).alias("multi_word")).distinct(), part.select(F.col("p_name").alias("name"), F.lit("N").alias("country"), F.lit(True).alias("multi_word")).distinct(),
+        customer.select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("country"), F.lit(False).alias("multi_word")),
+    ])
+    return MakerTable.build(names, part.where("p_type < 'M'").groupBy(F.col("p_type").alias("alias")).agg(F.min("p_brand").alias("name")), path)
+
+
+#: SQL of a vehicle's name and of a make field, by p_partkey; Spark and DuckDB read them alike.
+_VEHICLE = """CASE p_partkey % 8 WHEN 0 THEN p_brand || ' ' || p_name WHEN 1 THEN upper(p_name) || ' -' || p_size WHEN 2 THEN p_size || ' ' || p_brand || ' ' || p_type WHEN 3 THEN lower(p_brand) || p_size
+  WHEN 4 THEN p_size || ' ' || p_type WHEN 5 THEN p_type || ' ' || p_size || ' ' || p_name WHEN 6 THEN 'Customer#' || lpad(cast(p_partkey AS varchar(20)), 9, '0') || 'x ' || p_size WHEN 7 THEN 'x-' || p_size || ' ' || p_name END"""
+_MAKE = "CASE p_partkey % 6 WHEN 0 THEN p_brand WHEN 1 THEN p_name || ' ' || p_size WHEN 2 THEN upper(replace(p_name, ' ', '-')) WHEN 3 THEN p_type WHEN 4 THEN p_brand || ' ' || p_type WHEN 5 THEN p_type || ' ' || p_brand END"
+
+
+@query(f"""{_DICT}, t AS (SELECT p_partkey, {_VEHICLE} AS t FROM part), w AS (SELECT *, split_part(t, ' ', 1) AS word, substr(t, length(split_part(t, ' ', 1)) + 2) AS rest FROM t),
+m AS (SELECT w.*, name, country, multi, 0 AS way FROM w JOIN d ON starts_with(lower(t), lower(name))
+  UNION ALL SELECT w.*, name, country, false, 1 FROM w JOIN d ON starts_with(lower(rest) || ' ', lower(name) || ' ') AND regexp_full_match(word, '[a-zA-Z0-9_.-]+')),
+b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY multi DESC, length(name) DESC, name, way) = 1)
+SELECT w.p_partkey, CASE WHEN b.name IS NOT NULL THEN b.name WHEN regexp_full_match(w.word, '[0-9]+') AND w.rest != '' THEN '' ELSE coalesce(a.name, w.word) END AS manufacturer,
+  CASE b.way WHEN 0 THEN regexp_replace(trim(substr(w.t, length(b.name) + 1)), '^[ /-]+', '') WHEN 1 THEN trim(w.word || ' ' || trim(substr(w.rest, length(b.name) + 1))) ELSE CASE WHEN regexp_full_match(w.word, '[0-9]+') AND w.rest != '' THEN w.t ELSE w.rest END END AS model,
+  CASE WHEN b.name IS NOT NULL THEN b.country WHEN a.name IS NOT NULL THEN 'B' ELSE '' END AS country
+FROM w LEFT JOIN b USING (p_partkey) LEFT JOIN a ON a.alias = w.word""")
+def c03_c04_f10_maker_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with scratch(spark) as path:
+        names = table(spark, sf_dir, "part").select("p_partkey", F.expr(_VEHICLE).alias("t"))
+        return cut(_dictionary(spark, sf_dir, path).parse_names(names, "t").select("p_partkey", "parsed.*"))
+
+
+@query(f"""{_DICT}, t AS (SELECT p_partkey, {_MAKE} AS t FROM part), w AS (SELECT *, split_part(t, ' ', 1) AS word, substr(t, length(split_part(t, ' ', 1)) + 2) AS rest FROM t),
+m AS (SELECT p_partkey, name, country, 0 AS way FROM w JOIN d ON multi AND starts_with(lower(t), lower(name)) UNION ALL SELECT p_partkey, name, country, 1 FROM w JOIN d ON multi AND replace(lower(t), ' ', '-') = replace(lower(name), ' ', '-')),
+b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY length(name) DESC, name, way) = 1)
+SELECT w.p_partkey, coalesce(ta.name, td.name, b.name, wa.name, wd.name, w.t) AS manufacturer,
+  CASE WHEN ta.name IS NOT NULL OR td.name IS NOT NULL THEN '' WHEN b.way = 0 THEN trim(substr(w.t, length(b.name) + 1)) WHEN b.way = 1 THEN '' WHEN wa.name IS NOT NULL OR wd.name IS NOT NULL THEN w.rest ELSE '' END AS model,
+  CASE WHEN ta.name IS NOT NULL THEN 'B' WHEN td.name IS NOT NULL THEN td.country WHEN b.name IS NOT NULL THEN b.country WHEN wa.name IS NOT NULL THEN 'B' ELSE coalesce(wd.country, '') END AS country
+FROM w LEFT JOIN b USING (p_partkey) LEFT JOIN a AS ta ON ta.alias = w.t LEFT JOIN d AS td ON td.name = w.t LEFT JOIN a AS wa ON wa.alias = w.word LEFT JOIN d AS wd ON wd.name = w.word""")
+def c02_c05_maker_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with scratch(spark) as path:
+        makes = table(spark, sf_dir, "part").select("p_partkey", F.expr(_MAKE).alias("t"))
+        return cut(_dictionary(spark, sf_dir, path).split_makes(makes, "t").select("p_partkey", "parsed.*"))
