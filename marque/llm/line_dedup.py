@@ -79,13 +79,21 @@ def _lines(text: str, least: int) -> list[tuple[int, str]]:
     return [(i, x) for i, x in enumerate(text.split("\n")) if len(x) >= least]
 
 
-def _signed(texts: list[str], size: int, seen: set[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of lines; and the band hashes of those not seen before, with the line's hash. seen: hashes, added to."""
-    tokens, owners, whole = [], [], []
+def _signed(texts: list[str], size: int, seen: set[int], bits: int, again: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of lines, and second hashes; and the band hashes of those not seen before, with the line's hash. seen: hashes, added to.
+
+    Of a hash in again the second one takes the place.
+    """
+    tokens, owners, whole, checks = [], [], [], []
     for i in range(0, len(texts), 1000):  # shingles of some lines at once: what stays in a processor's cache
         h, first = _shingles(texts[i : i + 1000], size)
-        line = mix(np.add.reduceat(mix(h ^ np.uint64(0x5BD1E995)), first))  # of the set with repeats; equal lines agree
+        v = mix(h ^ np.uint64(0x5BD1E995))
+        line = mix(np.add.reduceat(v, first)) >> np.uint64(64 - bits)  # of the set with repeats; equal lines agree
+        check = mix(np.bitwise_xor.reduceat(v, first))
+        if len(again):
+            line = np.where(np.isin(line, again), mix(check ^ np.uint64(0xC2B2AE35)), line)
         whole.append(line)
+        checks.append(check)
         _, at = np.unique(line, return_index=True)
         new = np.array([j for j in np.sort(at).tolist() if int(line[j]) not in seen], np.int64)
         if not len(new):
@@ -104,20 +112,21 @@ def _signed(texts: list[str], size: int, seen: set[int]) -> tuple[np.ndarray, np
         tokens.append(mix(band + np.arange(BANDS, dtype=np.uint64)).ravel() & _TOKEN)
         owners.append(np.repeat(line[new], BANDS))
     none = np.zeros(0, np.uint64)
-    return np.concatenate(whole), np.concatenate([none, *tokens]), np.concatenate([none, *owners])
+    return np.concatenate(whole), np.concatenate(checks), np.concatenate([none, *tokens]), np.concatenate([none, *owners])
 
 
 def _place(deal: Deal):
     return lambda kind, e: deal.place(e.cols[0]) if kind == _BAND else deal.place(mix(e.who[e.of]))
 
 
-def _pack(rows: DataFrame, deal: Deal, least: int, size: int) -> DataFrame:
-    """(key, text) -> lines (of a text: hash, line number) and the band hashes of different lines."""
+def _pack(rows: DataFrame, deal: Deal, least: int, size: int, bits: int, met: list[int]) -> DataFrame:
+    """(key, text) -> lines (of a text: hash, line number, second hash) and the band hashes of different lines."""
+    again = np.array(met, np.int64).view(np.uint64)
 
     def sent(part: int, own: list[tuple[int, int, str]], seen: set[int]) -> Iterator[Row]:
-        whole, token, owner = _signed([x for _, _, x in own], size, seen)
+        whole, check, token, owner = _signed([x for _, _, x in own], size, seen, bits, again)
         key, of = np.unique(np.array([k for k, _, _ in own], np.int64).view(np.uint64), return_inverse=True)
-        lines = Packed(key, of, [whole, np.array([i for _, i, _ in own], np.int64)])
+        lines = Packed(key, of, [whole, np.array([i for _, i, _ in own], np.int64), check])
         yield from deal.rows(_LINE, part, deal.place(mix(key))[of], lines)
         hashes, of = np.unique(owner, return_inverse=True)
         yield from deal.rows(_BAND, part, deal.place(token), Packed(hashes, of, [token]))
@@ -150,9 +159,9 @@ _FOUND = "kind int, hash long, key long, line int, s1 long, s2 long, i int, bloc
 
 
 def _gather(dealt: DataFrame) -> DataFrame:
-    """Rows of kind _LINE: hash, key, line; and of kind _BAND: the different lines of a band of several.
+    """Rows of kind _LINE: hash, key, line, and in s1 the second hash; and of kind _BAND: the different lines of a band of several.
 
-    s1 and s2 tell sets of lines apart, hash is the least line; members are cut into blocks of BAND_LINES at most.
+    Of a band s1 and s2 tell sets of lines apart, hash is the least line; members are cut into blocks of BAND_LINES at most.
     """
     empty = pa.ListArray.from_arrays(pa.array([0], pa.int32()), pa.array([], pa.int64()))
 
@@ -189,8 +198,8 @@ def _gather(dealt: DataFrame) -> DataFrame:
             _, kinds = by.popitem()
             if _LINE in kinds:
                 e = united([d for _, d in kinds.pop(_LINE)])
-                whole, line = e.cols
-                yield row(_LINE, len(e), hash=pa.array(whole.view(np.int64)), key=pa.array(e.who[e.of].view(np.int64)), line=pa.array(line.astype(np.int32)))
+                whole, line, check = e.cols
+                yield row(_LINE, len(e), s1=pa.array(check.view(np.int64)), hash=pa.array(whole.view(np.int64)), key=pa.array(e.who[e.of].view(np.int64)), line=pa.array(line.astype(np.int32)))
             if _BAND in kinds and (out := bands(united([d for _, d in kinds.pop(_BAND)]))) is not None:
                 yield from (out.slice(i, 20_000) for i in range(0, out.num_rows, 20_000))
 
@@ -341,7 +350,7 @@ def _short(line: Column, min_chars: int) -> Column:
     return (F.length(line) < min_chars) & line.rlike(r"(?U)\S")
 
 
-def removed_lines(docs: DataFrame, key: Column, id_col: str, text_col: str, percent: int, min_chars: int, shingle: int, short_lines: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+def removed_lines(docs: DataFrame, key: Column, id_col: str, text_col: str, percent: int, min_chars: int, shingle: int, short_lines: bool, hash_bits: int = 64) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows with id, key, text; key -> removed line numbers; key -> first id, for texts of several ids)."""
     if not 1 <= shingle <= min(SHINGLE, min_chars):
         raise ValueError(f"shingle must be from 1 to {SHINGLE}, and min_chars at least that")
@@ -349,11 +358,18 @@ def removed_lines(docs: DataFrame, key: Column, id_col: str, text_col: str, perc
     rows = docs.select(F.col(id_col).alias("id"), key.alias("key"), F.col(text_col).alias("text"))
     total = text_bytes(docs, text_col)
     deal = Deal.of(spark, max(12, -(-total // BLOCK_BYTES)))
-    found = cut(_gather(deal.dealt(_pack(rows.select("key", "text"), deal, min_chars, shingle), _place(deal))))
-    held = [found]  # tables that nothing reads once the removed lines are known
-    every = found.where(F.col("kind") == _LINE).select("hash", "key", "line")
-    reps = cut(every.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("key", "line")).alias("at")))
-    held.append(reps)
+    met: list[int] = []
+    while True:  # unlike lines whose hashes meet, seldom any, get their second hashes in another run
+        found = cut(_gather(deal.dealt(_pack(rows.select("key", "text"), deal, min_chars, shingle, hash_bits, met), _place(deal))))
+        every = found.where(F.col("kind") == _LINE).select("hash", "key", "line")
+        reps = cut(found.where(F.col("kind") == _LINE).groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("key", "line")).alias("at"), F.min("s1").alias("lo"), F.max("s1").alias("hi")))
+        more_met = [r.hash for r in reps.where("lo <> hi").select("hash").collect()]
+        if not more_met:
+            break
+        met += more_met
+        drop(found)
+        drop(reps)
+    held = [found, reps]  # tables that nothing reads once the removed lines are known
 
     # Bands of several different lines, of those with the same lines one.
     band = found.where(F.col("kind") == _BAND).groupBy("s1", "s2", "i").agg(F.first(F.struct("blocks", F.col("hash").alias("top"), "members")).alias("b"))
@@ -389,24 +405,25 @@ def removed_lines(docs: DataFrame, key: Column, id_col: str, text_col: str, perc
     first = rows.where("text is not null").groupBy("key").agg(F.min("id").alias("first"), (F.count_distinct("id") + F.max(F.col("id").isNull().cast("int"))).alias("ids"))
     alike = reps.where("n > 1").select("hash").unionByName(roots.select(F.col("node").alias("hash"))).distinct()
     alike = cut(alike.join(roots.select(F.col("node").alias("hash"), "root"), "hash", "left").select("hash", F.coalesce("root", "hash").alias("comp")))
-    lines = every.join(alike, "hash").select("key", "line", "comp")
+    lines = every.join(alike, "hash").select("key", "line", "comp", F.lit(0).cast("long").alias("comp2"))
     if short_lines:
         short = rows.where("text is not null").select("key", F.posexplode(F.split("text", "\n")).alias("line", "x")).where(_short(F.col("x"), min_chars))
-        short = short.select(F.xxhash64(F.translate("x", _UPPER, _UPPER.lower()), F.lit("short")).alias("comp"), "key", "line").distinct()
-        often = short.groupBy("comp").agg(F.min(F.struct("key", "line")).alias("a"), F.max(F.struct("key", "line")).alias("b")).where("a <> b").select("comp")
-        lines = lines.unionByName(short.join(cut(often), "comp").select("key", "line", "comp"))
+        folded = F.translate("x", _UPPER, _UPPER.lower())
+        short = short.select(F.xxhash64(folded, F.lit("short")).alias("comp"), F.xxhash64(F.lit("other"), folded).alias("comp2"), "key", "line").distinct()
+        often = short.groupBy("comp", "comp2").agg(F.min(F.struct("key", "line")).alias("a"), F.max(F.struct("key", "line")).alias("b")).where("a <> b").select("comp", "comp2")
+        lines = lines.unionByName(short.join(cut(often), ["comp", "comp2"]).select("key", "line", "comp", "comp2"))
     lines = lines.join(first.select("key", "first"), "key")
     lines = cut(lines)
     held += [alike, lines]
-    keep = cut(lines.groupBy("comp").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "key", "line")).alias("keep")))  # a table: a hot component's lines are then split in the join
-    gone = lines.join(keep, "comp").where("key <> keep.key or line <> keep.line").groupBy("key").agg(F.collect_set("line").alias("gone"))
+    keep = cut(lines.groupBy("comp", "comp2").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "key", "line")).alias("keep")))  # a table: a hot component's lines are then split in the join
+    gone = lines.join(keep, ["comp", "comp2"]).where("key <> keep.key or line <> keep.line").groupBy("key").agg(F.collect_set("line").alias("gone"))
     done = cut(gone), cut(first.where("ids > 1").select("key", "first"))
     for table in held:
         drop(table)
     return rows, *done
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, min_chars: int = 40, shingle: int = SHINGLE, short_lines: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, min_chars: int = 40, shingle: int = SHINGLE, short_lines: bool = False, hash_bits: int = 64) -> DataFrame:
     """docs, with the duplicate lines cut out of the text, and n_lines, n_removed, n_long_kept added.
 
     Two eligible lines (of min_chars characters or more) are duplicates when percent * |union| <=
@@ -415,10 +432,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     short_lines, shorter lines that aren't blank are duplicates where equal but for A-Z's case. A
     null text stays null with 0 lines; an empty one has one (short) line. Rows of equal id
     and text are treated alike; a null id comes after all others. Other columns pass through, whatever their names, but for
-    the three added ones, which replace columns of their names.
+    the three added ones, which replace columns of their names. Lines of hash_bits that meet
+    are told apart by a second hash of 64 bits; fewer than 64 serve tests.
     """
     key = text_key(docs, text_col)
-    rows, gone, copies = removed_lines(docs, key, id_col, text_col, percent, min_chars, shingle, short_lines)
+    rows, gone, copies = removed_lines(docs, key, id_col, text_col, percent, min_chars, shingle, short_lines, hash_bits)
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), key.alias("key"), F.split(text_col, "\n").alias("all"))
     out = base.join(_small(gone, 120), "key", "left").join(_small(copies, 24), "key", "left")
     long_line = lambda x: F.length(x) >= min_chars

@@ -76,3 +76,30 @@ def test_stage_keeps_documents_with_short_lines_of_their_own(spark, tmp_path):
     d = folder(spark, tmp_path, rows)
     out = {r.doc_id: (r.text, r.n_chars) for r in cp.line_dedup(spark, q.table(spark, d, "documents"), d).collect()}
     assert out == {1: (rows[0][1], len(rows[0][1])), 2: (poem, len(poem))}
+
+
+def some_documents():
+    rnd = random.Random(21)
+    pool = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz ", k=rnd.randint(40, 90))) for _ in range(150)]
+    pool += [x[:30] + "#" + x[31:] for x in pool[:60]] + ["Home", "home", "next"]
+    rows = [(i, "\n".join(rnd.choices(pool, k=rnd.randint(0, 6)))) for i in range(120)]
+    return [*rows, (500, None), (None, pool[0]), (501, rows[3][1])]
+
+
+def lines_left(docs, **given):
+    return sorted((tuple(r) for r in dedup_lines(docs, shingle=6, short_lines=True, **given).collect()), key=repr)
+
+
+@pytest.mark.parametrize("bits", [3, 8, 12])
+def test_lines_whose_hashes_meet_are_told_apart(spark, bits):
+    df = spark.createDataFrame(some_documents(), "doc_id long, text string").repartition(3)
+    assert lines_left(df, hash_bits=bits) == lines_left(df)
+
+
+def test_two_levels_of_dealing_change_nothing(spark, monkeypatch):
+    df = spark.createDataFrame(some_documents(), "doc_id long, text string").repartition(3)
+    want = lines_left(df)
+    deal = line_dedup.Deal.of
+    monkeypatch.setattr(line_dedup.Deal, "of", lambda spark, blocks: deal(spark, 300))
+    assert deal(spark, 300).levels == 2
+    assert lines_left(df) == want
