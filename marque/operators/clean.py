@@ -97,6 +97,16 @@ def body_style(df: DataFrame) -> DataFrame:
     return df.withColumn("body_style", F.coalesce(detected_body(F.col("model")), F.col("body_style")))
 
 
+def _body_style(when_filled: bool):
+    """The rows of body_style whose value was, or wasn't, filled before."""
+
+    def run(df: DataFrame) -> DataFrame:
+        now = F.col("body_style")
+        return df.withColumn("body_style", F.when(filled(now) == F.lit(when_filled), F.coalesce(detected_body(F.col("model")), now)).otherwise(now))
+
+    return run
+
+
 def source_label(c: Column) -> Column:
     return F.coalesce(first_match([(c.rlike("(?i)^" + p), v) for p, v in SOURCE_LABELS]), c)
 
@@ -109,6 +119,18 @@ def sources(df: DataFrame) -> DataFrame:
 
 
 STEPS = (year_in_manufacturer, year_in_model, year_range_in_model, model_in_manufacturer, manufacturer_case, body_style, accelerations, sources)
+#: The steps by name, with the columns that each may change; body styles in two, those filled and those replaced.
+COUNTED = {
+    "year_extracted_from_manufacturer": (year_in_manufacturer, ("year", "manufacturer")),
+    "year_extracted_from_model": (year_in_model, ("year", "model")),
+    "year_range_cleaned": (year_range_in_model, ("year", "model")),
+    "model_extracted_from_manufacturer": (model_in_manufacturer, ("year", "manufacturer", "model")),
+    "manufacturer_case_normalized": (manufacturer_case, ("manufacturer",)),
+    "body_style_inferred": (_body_style(False), ("body_style",)),
+    "body_style_corrected": (_body_style(True), ("body_style",)),
+    "implausible_0_60_cleared": (accelerations, ("0_60_mph_sec",)),
+    "sources_normalized": (sources, ("sources",)),
+}
 
 
 def clean(df: DataFrame) -> DataFrame:

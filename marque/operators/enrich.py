@@ -95,6 +95,16 @@ def seats(df: DataFrame) -> DataFrame:
 
 
 STEPS = (speeds, powers, accelerations, engine_placement, engine_aspiration, doors, seats)
+#: The steps by name, with the columns that each may change.
+COUNTED = {
+    "speed_conversions": (speeds, ("top_speed_mph", "top_speed_kmh")),
+    "power_conversions": (powers, ("power_hp", "power_kw")),
+    "accel_conversions": (accelerations, ("0_60_mph_sec", "0_100_kmh_sec")),
+    "engine_placement_inferred": (engine_placement, ("engine_placement",)),
+    "aspiration_inferred": (engine_aspiration, ("engine_aspiration",)),
+    "doors_inferred": (doors, ("doors",)),
+    "seats_inferred": (seats, ("seats",)),
+}
 
 
 def enrich(df: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from marque.functions.columns import name
@@ -57,21 +57,48 @@ def metric_coverage(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("total"), *[F.count_distinct(c).alias(f"unique_{c}") for c in ("manufacturer", "model", "year")], *[F.count(name(c)).alias(c) for c in NUMERIC if c in df.columns])
 
 
-def step_counts(df: DataFrame, steps: dict[str, tuple[Callable[[DataFrame], DataFrame], tuple[str, ...]]]) -> DataFrame:
-    """(step, changed): for each step in turn, the rows in which it changes one of its columns; one pass over df.
+Steps = dict[str, tuple[Callable[[DataFrame], DataFrame], tuple[str, ...]]]
 
-    A step is a projection of df's rows and the columns that count.
-    """
-    now, flags = df, []
+
+def _flagged(df: DataFrame, steps: Steps) -> tuple[DataFrame, list[Column]]:
+    """df after all steps, with a flag a step (_changed_i): whether it changed one of its columns; and their counts."""
+    now, counts = df, []
     for i, (_, (step, columns)) in enumerate(steps.items()):
         before = now.withColumns({f"_before_{c}": name(c) for c in columns})
         changed = reduce(or_, [~name(c).eqNullSafe(name(f"_before_{c}")) for c in columns])
         now = step(before).withColumn(f"_changed_{i}", changed).drop(*[f"_before_{c}" for c in columns])
-        flags.append(F.count_if(F.col(f"_changed_{i}")).alias(f"n_{i}"))
+        counts.append(F.count_if(F.col(f"_changed_{i}")).alias(f"n_{i}"))
+    return now, counts
+
+
+def step_counts(df: DataFrame, steps: Steps) -> DataFrame:
+    """(step, changed): for each step in turn, the rows in which it changes one of its columns; one pass over df.
+
+    A step is a projection of df's rows and the columns that count.
+    """
+    now, flags = _flagged(df, steps)
     cells = [F.struct(F.lit(s).alias("step"), F.col(f"n_{i}").alias("changed")) for i, s in enumerate(steps)]
     return now.agg(*flags).select(F.inline(F.array(*cells)))
 
 
+class Watched:
+    """What steps changed, counted while their result is written: ``df`` is df after all steps, ``counts`` is there once df has been written.
+
+    Steps are projections, and df should be written as it is: then rows are counted in the tasks that write them,
+    each of which counts once however often it's tried. Behind a shuffle, a stage that runs again would count again.
+    """
+
+    def __init__(self, df: DataFrame, steps: Steps):
+        now, counts = _flagged(df, steps)
+        self._seen, self._steps = Observation(), tuple(steps)
+        self.df = now.observe(self._seen, F.count(F.lit(1)).alias("rows"), *counts).drop(*[f"_changed_{i}" for i in range(len(steps))])
+
+    def counts(self) -> dict[str, int]:
+        """Changed rows by step. Waits for df's first action; an empty table has zeros."""
+        seen = self._seen.get
+        return {s: seen.get(f"n_{i}", 0) for i, s in enumerate(self._steps)}
+
+
 def bar(share: float, width: int = 20) -> str:
     n = round(width * max(0.0, min(1.0, share)))
     return "█" * n + "░" * (width - n)

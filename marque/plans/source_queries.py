@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from marque.functions.columns import name
 from marque.plans.case_queries import MAKERS, raw, wanted
 from marque.plans.driver_queries import QUERIES, SQL
-from marque.sources import parsers, readers, sinks
+from marque.session import cut, delete, scratch
+from marque.sources import changes, parsers, readers, sinks
 from marque.sources.registry import SourceSpec, sources_df, stage
 
 
@@ -264,6 +265,47 @@ QUERIES["a06_a07_a12_files"] = a06_a07_a12_files
 SQL["a06_a07_a12_files"] = "SELECT 'BMW' AS manufacturer, 'M' || p_size AS model, 'DE' AS country, count(*) AS n, cast(sum(p_partkey) AS double) AS hp, (SELECT count(*) FROM part) AS read, cast(1 AS bigint) AS files, 64 AS digits FROM part GROUP BY p_size"
 
 
+def _files(df: DataFrame, path: str) -> None:
+    """df as CSV, a folder and a file for each f."""
+    df.repartition("f").write.mode("append").options(header="true").partitionBy("f").csv(path)
+
+
+def a03_a06_changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of files staged twice; between, some files are replaced, rewritten in place, given a new time, added and removed. Only the new and the rewritten are parsed again."""
+    with scratch(spark) as root:
+        src, k = f"{root}/src", F.col("p_partkey")
+        part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", (k % 5).alias("f"))
+        _files(part, src)
+        store, parsed = changes.StagedFiles(spark, f"{root}/kept"), []
+
+        def parse(paths: list[str]) -> DataFrame:
+            parsed.append(len(paths))
+            return readers.read_csv(spark, [changes.literal_path(p) for p in paths])
+
+        listed = lambda: changes.listed_files(spark, src, "*.csv")
+        first = store.refresh(listed(), parse)
+        old = {f: next(p for p in first.added if f"/f={f}/" in p) for f in range(5)}
+        for f in (1, 2, 4):
+            delete(spark, old[f])
+        nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("p_partkey"), F.col("n_name").alias("p_name"), F.lit(5).alias("f"))
+        _files(part.where("f = 1").withColumn("p_name", F.concat("p_name", F.lit(" new"))).unionByName(nation), src)
+        _files(part.where("f = 4").withColumn("p_name", F.upper("p_name")), f"{root}/other")
+        at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+        fs = at(root).getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.rename(at(changes.listed_files(spark, f"{root}/other", "*.csv").first()["path"]), at(old[4]))
+        fs.setTimes(at(old[3]), fs.getFileStatus(at(old[3])).getModificationTime() + 5000, -1)
+        seen = store.refresh(listed(), parse)
+        counts = {"added": len(seen.added), "changed": len(seen.changed), "touched": len(seen.touched), "removed": len(seen.removed), "unchanged": seen.unchanged, "parsed": parsed[-1]}
+        return cut(store.read().select("p_partkey", "p_name", *[F.lit(n).alias(c) for c, n in counts.items()]))
+
+
+QUERIES["a03_a06_changed_files"] = a03_a06_changed_files
+SQL["a03_a06_changed_files"] = """
+SELECT cast(p_partkey AS varchar) AS p_partkey, CASE p_partkey % 5 WHEN 4 THEN upper(p_name) WHEN 1 THEN p_name || ' new' ELSE p_name END AS p_name, 2 AS added, 1 AS changed, 1 AS touched, 2 AS removed, 1 AS unchanged, 3 AS parsed FROM part WHERE p_partkey % 5 <> 2
+UNION ALL SELECT cast(n_nationkey AS varchar), n_name, 2, 1, 1, 2, 1, 3 FROM nation
+"""
+
+
 def a11_generic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table of unknown make-up, its columns found by their headers."""
     d = raw(spark, sf_dir, columns("The Car (make)|Model Year|Max. Speed|Power output", [("Porsche 9{z}", "{y}", "2{s} mph", ""), ("{z} x", "", "", ""), ("Ford F", "", "", "{z} hp"), ("Ford G", "", "", "")]))

@@ -11,6 +11,7 @@ from marque.operators import clean, column_filters, enrich, quality_report, surv
 from marque.plans.case_queries import MAKERS, _by_row, case_query, raw, wanted
 from marque.plans.driver_queries import _C, CATALOG_SQL, KEY, QUERIES, SQL, catalog, table
 from marque.schema import BY_NAME, COLUMNS, column_definitions, columns_by_category, schema_df
+from marque.session import cut
 
 _KEYS = ", ".join(KEY)
 
@@ -52,6 +53,17 @@ def d17_step_counts(spark, sf_dir):
     return quality_report.step_counts(_numbers(spark, sf_dir), steps)
 
 
+@query("""
+WITH n AS (SELECT p_partkey, p_partkey % 4 AS k, cast(p_size AS double) AS z FROM part)
+SELECT p_partkey, CASE WHEN k IN (0, 2) THEN z * 10 WHEN k = 1 THEN round((z * 7 + 0.25) * 1.341::double, 1) END AS power_hp, (SELECT count(*) FROM n WHERE k IN (0, 1)) AS power, (SELECT count(*) FROM n WHERE k IN (0, 1)) AS acceleration FROM n
+""")
+def d17_watched_write(spark, sf_dir):
+    """A written result of two steps, with the rows that each changed, counted by the tasks that wrote them."""
+    seen = quality_report.Watched(_numbers(spark, sf_dir), {"power": (enrich.powers, ("power_hp", "power_kw")), "acceleration": (enrich.accelerations, ("0_60_mph_sec", "0_100_kmh_sec"))})
+    out = cut(seen.df)
+    return out.select("p_partkey", "power_hp", *[F.lit(n).cast("long").alias(s) for s, n in seen.counts().items()])
+
+
 _placed = _by_row([
     ("Porsche", "911 GT3", "H6", "Petrol", None, "Rear"), ("porsche", "Boxster {z}", "H6", "Petrol", None, "Mid"), ("Porsche", "Cayenne", "V8", "Petrol", None, "Front"), ("Ferrari", "F430", None, "Petrol", "", "Mid"), ("Ferrari", "Roma", None, None, None, "Front"), ("McLaren", "X{z}", None, None, None, "Mid"),
     ("Chevrolet", "Corvette C8", None, None, None, "Mid"), ("Chevrolet", "Corvette {z}", None, None, None, "Front"), ("Ford", "GT", None, None, None, "Mid"), ("Ford", "GT500", "V8", "Petrol", None, "Front"), ("Ford", "GT500", None, None, None, None), ("Tesla", "S", "Electric", "Electric", None, None),

@@ -19,7 +19,7 @@ from marque.sources.readers import read_csv
 class SourceSpec:
     name: str
     parser: str
-    path: str  # a file, glob or directory; for autoevolution the directory of its CSV files
+    path: str | list[str]  # a file, glob or directory, or several; for autoevolution the directory of its CSV files
     enabled: bool = True
     skip_files: tuple[str, ...] = ()
     description: str = ""
@@ -55,7 +55,11 @@ def stage(spark: SparkSession, specs: Iterable[SourceSpec], makers: Makers, name
     use, unknown = chosen(specs, names)
     if not use:
         raise ValueError("no source is enabled")
-    every = cut(reduce(lambda a, b: a.unionByName(b), [stage_one(spark, s, makers).withColumn("_s", F.lit(i)) for i, s in enumerate(use)]))
+    return numbered_rows(cut(reduce(lambda a, b: a.unionByName(b), [stage_one(spark, s, makers).withColumn("_s", F.lit(i)) for i, s in enumerate(use)])), unknown)
+
+
+def numbered_rows(every: DataFrame, unknown: tuple[str, ...]) -> Staged:
+    """Parsed rows, with their source's place as _s, as staged ones."""
     good = every.where("reject is null").drop("reject")
     # The place among a source's files comes from a small table of file names, so numbering needs no global sort.
     files = good.select("_s", "source_file").distinct().withColumn("_f", F.dense_rank().over(Window.partitionBy("_s").orderBy("source_file")))
