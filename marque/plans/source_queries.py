@@ -14,7 +14,7 @@ from marque.functions.columns import name
 from marque.plans.case_queries import MAKERS, raw, wanted
 from marque.plans.driver_queries import QUERIES, SQL
 from marque.session import cut, delete, scratch
-from marque.sources import changes, parsers, readers, sinks
+from marque.sources import changes, html_source, parsers, readers, sinks
 from marque.sources.registry import SourceSpec, sources_df, stage
 
 
@@ -225,6 +225,33 @@ QUERIES["a09_html_tables"] = a09_html_tables
 SQL["a09_html_tables"] = "SELECT cast(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS int) AS row, 'Ford' AS manufacturer, substr(n_name, 3) || ' & co' AS model, cast(300 + n_nationkey AS double) AS power_hp FROM nation"
 
 
+def _pages(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """A page for each hundred parts, with a table of their sizes and one of their types; tables of another class stand between."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("page", F.floor(F.col("p_partkey") / 100))
+    row = lambda c: F.concat(F.lit("<tr><td>"), F.col("p_partkey").cast("string"), F.lit("</td><td>"), F.col("p_name"), F.lit(" &amp; <b>"), F.col(c).cast("string"), F.lit("</b></td></tr>"))
+    rows = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", row(c).alias("r")))), lambda x: x["r"]), "")
+    table = lambda title, c: F.concat(F.lit(f"<h2>{title}</h2><table><tr><td>no</td></tr></table><table class='wikitable'><tr><th>Key</th><th>{title}</th></tr>"), F.col(c), F.lit("</table>"))
+    pages = part.groupBy("page").agg(rows("p_size").alias("sizes"), rows("p_type").alias("types"))  # a hundred rows a group
+    pages.select("page", F.concat(table("Sizes", "sizes"), table("Types", "types")).alias("value")).write.partitionBy("page").text(path)
+
+
+def a09_html_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of many pages' tables by the data source, a section at a time: rows of the other never leave the task that parses them."""
+    with scratch(spark) as root:
+        _pages(spark, sf_dir, root)
+        scan = lambda s: html_source.scan_html_tables(spark, root, [s], pattern="*.txt", partitionBytes=1_000_000)
+        parts = [scan(s).select("section", "table_idx", "row_idx", F.col("cells")[0].cast("long").alias("p_partkey"), F.col("cells")[1].alias("value"), F.array_join("header", "|").alias("header")) for s in ("Sizes", "Types")]
+        return cut(parts[0].unionByName(parts[1]))
+
+
+QUERIES["a09_html_source"] = a09_html_source
+SQL["a09_html_source"] = """
+WITH r AS (SELECT *, cast(row_number() OVER (PARTITION BY p_partkey // 100 ORDER BY p_partkey) AS int) AS row_idx FROM part)
+SELECT 'Sizes' AS section, 0 AS table_idx, row_idx, p_partkey, p_name || ' & ' || p_size AS value, 'Key|Sizes' AS header FROM r
+UNION ALL SELECT 'Types', 1, row_idx, p_partkey, p_name || ' & ' || p_type, 'Key|Types' FROM r
+"""
+
+
 def a02_a03_g01_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources of a catalog in its order, by name; files by glob without those to skip; rejects with their reasons."""
     root = _folder(spark)
