@@ -367,7 +367,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     rows, label = _labelled(docs, id_col, text_col, n, percent)
     ids = rows.groupBy("key").agg(F.min("id").alias("id"))
-    least = label.join(ids, "key").groupBy("comp").agg(F.min("id").alias("least"))
+    label = cut(label.join(ids, "key"))
+    least = cut(label.groupBy("comp").agg(F.min("id").alias("least")))  # a table: a hot component's texts are then split in the join
     label = label.join(least, "comp").select("key", "n", "least")
     out = rows.join(label, "key", "left")
     got = F.coalesce("n", F.lit(0)).cast("long")
@@ -381,6 +382,6 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id comes first. Rows that repeat an id and text count as one.
     """
     rows, label = _labelled(docs, id_col, text_col, n, percent)
-    linked = rows.distinct().join(label.select("key", "comp"), "key")
-    first = linked.groupBy("comp").agg(F.min(F.struct("id", "key")).alias("first"))
+    linked = cut(rows.distinct().join(label.select("key", "comp"), "key"))
+    first = cut(linked.groupBy("comp").agg(F.min(F.struct("id", "key")).alias("first")))
     return linked.join(first, "comp").where(~F.struct("id", "key").eqNullSafe(F.col("first"))).select("id", "key")
