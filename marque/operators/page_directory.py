@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from marque.functions.columns import name
 from marque.operators.catalog_query import SORTABLE, CatalogQuery, filtered
+from marque.session import delete, tidy
 
 #: Rows of a range, about.
 RANGE_ROWS = 200_000
@@ -58,15 +59,24 @@ class PageDirectory:
     path: str
 
     @classmethod
-    def build(cls, catalog: DataFrame, q: CatalogQuery, path: str, tie: tuple[str, ...] = ("car_id",), ranges: int | None = None) -> PageDirectory:
-        """Writes the rows that q's filters keep, in its order. tie: columns that no two rows share, which end the order."""
+    def build(cls, catalog: DataFrame, q: CatalogQuery, path: str, tie: tuple[str, ...] = ("car_id",), ranges: int | None = None, columns: tuple[str, ...] | None = None) -> PageDirectory:
+        """Writes the rows that q's filters keep, in its order. tie: columns that no two rows share, which end the order.
+
+        ranges: so many at least, more where they would have more than RANGE_ROWS rows. columns: what pages show besides
+        the order's columns (all, if not given); the filters may use others. The rows are written as they come first, so that
+        the shuffles of what makes the catalog are gone when they are dealt.
+        """
         rows = filtered(catalog, q)
         order = order_of(q, tie)
-        n = ranges or max(1, math.ceil(rows.count() / RANGE_ROWS))
-        dealt = rows.repartitionByRange(n, *_sorts(order)).withColumn("_range", F.spark_partition_id()).sortWithinPartitions("_range", *_sorts(order))
-        dealt = dealt.withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit(_IN_PARTITION)))  # from 0 in each range
-        dealt.write.mode("overwrite").partitionBy("_range").parquet(f"{path}/rows")
+        if columns is not None:
+            rows = rows.select(*[name(c) for c in dict.fromkeys([*columns, *(c for c, _ in order)])])
         spark = catalog.sparkSession
+        with tidy(spark):
+            rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/unsorted")
+            rows = spark.read.schema(rows.schema).parquet(f"{path}/unsorted")
+            n = max(ranges or 1, math.ceil(rows.count() / RANGE_ROWS))
+            cls._deal(rows, order, n, path)
+        delete(spark, f"{path}/unsorted")
         spark.createDataFrame([(json.dumps({"order": order, "schema": rows.schema.json()}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/layout")
         out = cls(spark, path)
         written = spark.read.schema(T.StructType([*rows.schema.fields, *_PLACE, T.StructField("_range", T.IntegerType())])).parquet(f"{path}/rows")
@@ -76,6 +86,12 @@ class PageDirectory:
         counts.withColumn("before", F.coalesce(before, F.lit(0))).coalesce(1).write.mode("overwrite").parquet(f"{path}/ranges")
         return out
 
+    @staticmethod
+    def _deal(rows: DataFrame, order: Order, n: int, path: str) -> None:
+        dealt = rows.repartitionByRange(n, *_sorts(order)).withColumn("_range", F.spark_partition_id()).sortWithinPartitions("_range", *_sorts(order))
+        dealt = dealt.withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit(_IN_PARTITION)))  # from 0 in each range
+        dealt.write.mode("overwrite").partitionBy("_range").parquet(f"{path}/rows")
+
     def _layout(self) -> tuple[Order, T.StructType]:
         got = json.loads(self.spark.read.text(f"{self.path}/layout").first()[0])
         return tuple((c, down) for c, down in got["order"]), T.StructType.fromJson(json.loads(got["schema"]))

@@ -84,7 +84,7 @@ def f05_d01_deep_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = cq.CatalogQuery(sortBy="power_hp", sortOrder="desc")
     order = order_of(asked, KEY)
     with scratch(spark) as path:
-        listing = PageDirectory.build(catalog(spark, sf_dir), asked, path, KEY, ranges=24)
+        listing = PageDirectory.build(catalog(spark, sf_dir), asked, path, KEY, ranges=24, columns=(*KEY, "power_hp"))
         about = listing.pagination(1, _SIZE)
         middle, last = about["total"] // 2 // _SIZE + 1, about["totalPages"]
         cursor = PageDirectory.cursor(listing.page(middle, _SIZE).collect()[-1], order)

@@ -45,6 +45,21 @@ def table_root(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/marque-tables"
 
 
+#: Shuffle files go when a query ends, instead of when the driver collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """For the writes and actions of the block: none leaves its shuffle files behind for the next. Their frames aren't run again."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to a table in the folder that all executors share (spark.checkpoint.dir) and read again.
 
@@ -52,7 +67,8 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{table_root(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with tidy(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
