@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marque.functions.columns import name
 from marque.operators.sketches import quantiles
+from marque.session import tidy
 
 #: Letters that fold to plain ones in a search, by Unicode decomposition of the common Latin ones.
 _FOLD = ("àáâãäåçèéêëìíîïñòóôõöøùúûüýÿčćšžđřěůłńśźżășțőű", "aaaaaaceeeeiiiinoooooouuuuyyccszdreulnszzastou")
@@ -81,13 +82,15 @@ def write_clustered(df: DataFrame, path: str, files: int | None = None, by: tupl
 
     Each column falls into 32 steps of about equally many rows (bounds from one aggregate of mergeable quantile
     sketches; nulls in step 0); rows are dealt by ranges of the interleaved steps and sorted so. ids: a column with a Bloom
-    filter in every row group, for lookups of one value.
+    filter in every row group, for lookups of one value. Only df's own columns are dealt and sorted; the others are derived again behind.
     """
+    spark, columns = df.sparkSession, df.columns
     out = with_derived(df)
     kinds = dict(out.dtypes)
     steps = 2**KEY_BITS
     asked = [i / steps for i in range(1, steps)]
-    found = quantiles(out, [_as_number(name(c), kinds[c]) for c in by], asked, SKETCH)
+    with tidy(spark):
+        found = quantiles(out, [_as_number(name(c), kinds[c]) for c in by], asked, SKETCH)
 
     def step(i: int, c: str) -> Column:
         bounds = sorted(set(found[i][1] or []))
@@ -96,10 +99,12 @@ def write_clustered(df: DataFrame, path: str, files: int | None = None, by: tupl
         below = F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b <= v)) if bounds else F.lit(0)
         return F.when(v.isNull(), 0).otherwise(below).cast("int")
 
-    out = out.withColumn("_key", interleaved([step(i, c) for i, c in enumerate(by)]))
+    keyed = out.withColumn("_key", interleaved([step(i, c) for i, c in enumerate(by)]))
+    keyed = keyed.select("_key", *[name(c) for c in dict.fromkeys([*columns, *by])])
     order = ["_key", *by, *([ids] if ids and ids in kinds else [])]
-    dealt = out.repartitionByRange(files, *order) if files else out.repartitionByRange(*order)
-    writer = dealt.sortWithinPartitions(*order).drop("_key").write.mode("overwrite")
+    dealt = keyed.repartitionByRange(files, *order) if files else keyed.repartitionByRange(*order)
+    writer = with_derived(dealt.sortWithinPartitions(*order).select(*[name(c) for c in columns])).write.mode("overwrite").option("compression", "zstd")
     if ids and ids in kinds:
         writer = writer.option(f"parquet.bloom.filter.enabled#{ids}", "true")
-    writer.parquet(path)
+    with tidy(spark):
+        writer.parquet(path)

@@ -62,7 +62,7 @@ _LOOKED_UP = "count(*) AS n, min(l_orderkey) AS low, max(l_orderkey) AS high, mi
 @query(f"{_C} SELECT 'maker and power' AS lookup, {_LOOKED_UP} FROM c WHERE manufacturer = 'Brand#11' AND power_hp >= 600 UNION ALL SELECT 'years and power', {_LOOKED_UP} FROM c WHERE cast(year AS int) BETWEEN 1994 AND 1995 AND power_hp >= 900 UNION ALL SELECT 'power', {_LOOKED_UP} FROM c WHERE power_hp >= 980 UNION ALL SELECT 'id', {_LOOKED_UP} FROM c WHERE car_id = (SELECT min(car_id) FROM c)")
 def a16_clustered_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     with scratch(spark) as path:
-        write_clustered(catalog(spark, sf_dir), path, files=32)
+        write_clustered(cut(catalog(spark, sf_dir).select("l_orderkey", "car_id", "manufacturer", "model", "year", "power_hp")), path, files=32)  # what the lookups test and count
         cars = spark.read.parquet(path)
         first = cars.agg(F.min("car_id")).first()[0]
         kept = {

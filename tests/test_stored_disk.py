@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from marque.operators import catalog_query as cq
 from marque.operators import page_directory
 from marque.operators.page_directory import PageDirectory, order_of
+from marque.operators.store import DERIVED, with_derived, write_clustered
 from marque.session import cut
 from tests.test_stored import _cars
 
@@ -48,3 +49,13 @@ def test_listing_keeps_the_columns_that_pages_show(spark, tmp_path, monkeypatch)
     row = dict(zip(("model", "power_hp", "car_id"), whole[100], strict=True))
     assert [tuple(r) for r in listing.after(listing.cursor(row, order_of(q)), 60).collect()] == whole[101:161]
     assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["layout", "ranges", "rows"]
+
+
+def test_clustering_derives_behind_the_shuffle(spark, tmp_path):
+    cars = _cars(spark, 300)
+    before = _shuffled(spark)
+    write_clustered(cars, f"file://{tmp_path}", 8)
+    assert not _stays(spark, before)
+    got = spark.read.parquet(f"file://{tmp_path}")
+    wanted = with_derived(cars)
+    assert set(DERIVED) <= set(got.columns) and sorted(map(str, got.select(*wanted.columns).collect())) == sorted(map(str, wanted.collect()))
