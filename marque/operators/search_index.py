@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 
 from marque.functions.columns import name
 from marque.operators.store import tokens, with_derived
-from marque.session import cut
+from marque.session import cut, tidy
 
 #: Ids in a piece of a token's postings, about.
 PIECE = 1_000
-#: Postings of a folder, about, where the caller doesn't say how many folders there are.
+#: Postings that a task sorts, about; of a folder, where the caller doesn't say how many folders there are.
 FOLDER_POSTINGS = 5_000_000
 #: Tokens of more than one piece that the dealing of postings broadcasts.
 FEW_TOKENS = 200_000
@@ -49,23 +49,31 @@ class SearchIndex:
 
         Rows without an id or without tokens aren't in it; rows that share an id are one document. Tokens are counted
         by an aggregate with map-side combining; only the few with more than ``piece`` ids (at most the postings
-        over ``piece``) are joined back, to be dealt to their pieces.
+        over ``piece``) are joined back, to be dealt to their pieces. The postings are shuffled once, by ranges of
+        token and piece; a folder is one range or, where it holds more than FOLDER_POSTINGS, several in a row.
         """
         rows = catalog if "search_tokens" in catalog.columns else with_derived(catalog)
-        pairs = cut(rows.select(name(id_col).cast("string").alias("id"), F.explode(F.array_distinct("search_tokens")).alias("token")).where("id is not null"))
+        spark = catalog.sparkSession
+        kept = rows.select(name(id_col).cast("string").alias("id"), F.array_distinct("search_tokens").alias("tokens")).where("id is not null")
+        pairs = kept.select("id", F.explode("tokens").alias("token"))
         sizes = pairs.groupBy("token").agg(F.count("*").alias("n"))
-        total = pairs.count()
         hot = cut(sizes.where(F.col("n") > piece).select("token", F.ceil(F.col("n") / piece).cast("int").alias("pieces")))
+        with tidy(spark):
+            few = hot.count() <= FEW_TOKENS
+            total = kept.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
         of = F.coalesce(F.col("pieces"), F.lit(1))
-        dealt = pairs.join(F.broadcast(hot) if hot.count() <= FEW_TOKENS else hot, "token", "left").withColumn("piece", F.pmod(F.xxhash64("id"), of).cast("int"))
-        postings = dealt.groupBy("token", "piece").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+        dealt = pairs.join(F.broadcast(hot) if few else hot, "token", "left").withColumn("piece", F.pmod(F.xxhash64("id"), of).cast("int"))
         n = folders or max(1, -(-total // FOLDER_POSTINGS))
-        ranged = postings.repartitionByRange(n, "token", "piece").withColumn("folder", F.spark_partition_id()).sortWithinPartitions("folder", "token", "piece")
-        ranged.write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings")
-        written = catalog.sparkSession.read.schema("token string, piece int, ids array<string>, folder int").parquet(f"{path}/postings")
-        fences = written.groupBy("folder").agg(F.min("token").alias("low"), F.max("token").alias("high"), F.count("*").alias("pieces"), F.sum(F.size("ids")).alias("n"))
-        fences.coalesce(1).write.mode("overwrite").parquet(f"{path}/fences")
-        return cls(catalog.sparkSession, path)
+        each = max(1, -(-total // (n * FOLDER_POSTINGS)))
+        # The ranges bring equal (token, piece) together, so the aggregate has no shuffle of its own.
+        postings = dealt.repartitionByRange(n * each, "token", "piece").groupBy("token", "piece").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+        ranged = postings.withColumn("folder", (F.spark_partition_id() / each).cast("int")).sortWithinPartitions("folder", "token", "piece")
+        with tidy(spark):
+            ranged.write.mode("overwrite").option("compression", "zstd").partitionBy("folder").parquet(f"{path}/postings")
+            written = spark.read.schema("token string, piece int, ids array<string>, folder int").parquet(f"{path}/postings")
+            fences = written.groupBy("folder").agg(F.min("token").alias("low"), F.max("token").alias("high"), F.count("*").alias("pieces"), F.sum(F.size("ids")).alias("n"))
+            fences.coalesce(1).write.mode("overwrite").parquet(f"{path}/fences")
+        return cls(spark, path)
 
     def _ranges(self, text: str) -> list[tuple[str, str]]:
         """Of each word the first and the last token sought: itself, or for the last word all that begin with it."""

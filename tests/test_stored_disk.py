@@ -7,8 +7,9 @@ import time
 from pyspark.sql import functions as F
 
 from marque.operators import catalog_query as cq
-from marque.operators import page_directory
+from marque.operators import page_directory, search_index
 from marque.operators.page_directory import PageDirectory, order_of
+from marque.operators.search_index import SearchIndex
 from marque.operators.store import DERIVED, with_derived, write_clustered
 from marque.session import cut
 from tests.test_stored import _cars
@@ -59,3 +60,19 @@ def test_clustering_derives_behind_the_shuffle(spark, tmp_path):
     got = spark.read.parquet(f"file://{tmp_path}")
     wanted = with_derived(cars)
     assert set(DERIVED) <= set(got.columns) and sorted(map(str, got.select(*wanted.columns).collect())) == sorted(map(str, wanted.collect()))
+
+
+def test_index_of_several_ranges_a_folder(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(search_index, "FOLDER_POSTINGS", 100)
+    cars = with_derived(_cars(spark))
+    before = _shuffled(spark)
+    index = SearchIndex.build(cars, f"file://{tmp_path}", folders=4, piece=50)
+    assert not _stays(spark, before)
+    written = spark.read.parquet(f"{index.path}/postings")
+    assert len(written.inputFiles()) > 12 and written.select("folder").distinct().count() == 4
+    assert written.groupBy("token", "piece").count().where("count > 1").count() == 0
+    fences = sorted((r["low"], r["high"]) for r in spark.read.parquet(f"{index.path}/fences").collect())
+    assert all(a[1] <= b[0] for a, b in zip(fences, fences[1:], strict=False))
+    for t in ("porsche car", "id-17", "m5", "elan 911"):
+        q = cq.CatalogQuery(search=t)
+        assert sorted(map(str, cq.filtered(cars, q, index).collect())) == sorted(map(str, cq.filtered(cars, q).collect()))
