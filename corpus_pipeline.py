@@ -63,7 +63,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids' number and digests of each document that is left; a null or empty text has none."""
-    return codec_digests(docs, word_bpe(), cache_runs=CACHE_RUNS)
+    return codec_digests(docs, word_bpe(), cache_runs=CACHE_RUNS, keep=False)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

@@ -247,6 +247,12 @@ def loaded(path: str, kind: str, make, limit: int = CACHE_RUNS) -> RunCache:
     return _LOADED[path, kind]
 
 
+def unload() -> None:
+    """Empty the caches and drop the vocabularies too, some 17 MB each; the next task loads its own again."""
+    forget()
+    _LOADED.clear()
+
+
 def forget() -> None:
     """Empty the caches, as workers outlive their tasks; the vocabularies stay."""
     for cache in _LOADED.values():

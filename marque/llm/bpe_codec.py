@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marque.llm.arrow import map_slices
-from marque.llm.bpe import CACHE_RUNS, WordBpe, forget, loaded
+from marque.llm.bpe import CACHE_RUNS, WordBpe, forget, loaded, unload
 
 
 def _ids(bpe: WordBpe):
@@ -49,11 +49,11 @@ def decode(rows: DataFrame, tokenizer: str, ids_col: str = "ids", text_col: str
     return map_slices(rows, run, schema)
 
 
-def codec_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", cache_runs: int = CACHE_RUNS) -> DataFrame:
+def codec_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", cache_runs: int = CACHE_RUNS, keep: bool = True) -> DataFrame:
     """id, n_tokens, and SHA-256 of the ids and of the decoded text, without keeping either.
 
     A null text counts as empty: no ids, and the digests are of the empty string. cache_runs:
-    runs of text a worker keeps encoded, memory for time. Repeated rows give repeated results; other columns are not read.
+    runs of text a worker keeps encoded, memory for time; keep: whether it keeps the vocabulary when a task ends. Repeated rows give repeated results; other columns are not read.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -70,5 +70,5 @@ def codec_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
 
     t = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = map_slices(rows, run, f"id {t}, n_tokens long, ids_sha256 string, decoded_sha256 string", by=1, done=forget)
+    out = map_slices(rows, run, f"id {t}, n_tokens long, ids_sha256 string, decoded_sha256 string", by=1, done=forget if keep else unload)
     return out.withColumnRenamed("id", id_col)
