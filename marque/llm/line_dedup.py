@@ -39,8 +39,10 @@ BLOCK_BYTES = 8_000_000
 BAND_LINES = 512
 #: Different lines from which a place is taken by itself, and pairs that may be alike, a line, from which overlaps come from a matrix product.
 WIDE_LINES, NEAR_PAIRS = 48, 40
-#: Cells of a line's presence bitmap, and characters of lines whose bands are compared at once.
-BITS = 512
+#: Cells of a line's presence bitmap (several times the shingles of most lines, so that few unlike pairs pass it), pairs whose
+#: bitmaps are compared at once, and characters of lines whose bands are.
+BITS = 4096
+BIT_PAIRS = 4096
 FOREST_CHARS = 2_000_000
 #: Estimated bytes up to which a side is broadcast; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 32_000_000
@@ -128,8 +130,8 @@ def _pack(rows: DataFrame, deal: Deal, least: int, size: int, bits: int, met: li
         key, of = np.unique(np.array([k for k, _, _ in own], np.int64).view(np.uint64), return_inverse=True)
         lines = Packed(key, of, [whole, np.array([i for _, i, _ in own], np.int64), check])
         yield from deal.rows(_LINE, part, deal.place(mix(key))[of], lines)
-        hashes, of = np.unique(owner, return_inverse=True)
-        yield from deal.rows(_BAND, part, deal.place(token), Packed(hashes, of, [token]))
+        hashes, of = np.unique(owner[::BANDS], return_inverse=True)
+        yield from deal.rows(_BAND, part, deal.place(token), Packed(hashes, np.repeat(of, BANDS), [token]))
 
     def made(batches: Batches) -> Iterator[Row]:
         part, own = TaskContext.get().partitionId() << 24, []
@@ -170,18 +172,26 @@ def _gather(dealt: DataFrame) -> DataFrame:
         schema = pa.schema([("kind", pa.int32()), ("hash", pa.int64()), ("key", pa.int64()), ("line", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("i", pa.int32()), ("blocks", pa.int32()), ("members", empty.type)])
         return pa.RecordBatch.from_arrays([given.get(f.name, pa.nulls(m, f.type)) for f in schema], schema=schema)
 
-    def bands(e: Packed) -> pa.RecordBatch | None:
-        order = np.lexsort((e.of, e.cols[0]))
-        t, of = e.cols[0][order], e.of[order]
-        new = np.r_[True, (t[1:] != t[:-1]) | (of[1:] != of[:-1])]
-        t, of = t[new], of[new]
+    def bands(rows: list[bytes]) -> pa.RecordBatch | None:
+        read = [Packed.read(d) for d in rows]
+        t, member = np.concatenate([p.cols[0] for p in read]), np.concatenate([p.who[p.of] for p in read])
+        del read
+        order = np.argsort(t)
+        t = t[order]
+        same = t[1:] == t[:-1]
+        again = np.r_[same, False] | np.r_[False, same]  # most band hashes occur once
+        t, member = t[again], member[order[again]]
+        if not len(t):
+            return None
+        order = np.lexsort((member, t))
+        t, member = t[order], member[order]
+        new = np.r_[True, (t[1:] != t[:-1]) | (member[1:] != member[:-1])]
+        t, member = t[new], member[new]
         first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
         n = np.diff(np.r_[first, len(t)])
-        several = np.repeat(n > 1, n)
-        of, n = of[several], n[n > 1]
+        member, n = member[np.repeat(n > 1, n)], n[n > 1]  # sorted within a band
         if not len(n):
             return None
-        member = e.who[of]  # sorted within a band
         first = np.cumsum(n) - n
         s1, s2 = np.add.reduceat(mix(member), first), np.bitwise_xor.reduceat(mix(member ^ np.uint64(0x5BD1E995)), first)
         blocks = -(-n // BAND_LINES)
@@ -200,7 +210,7 @@ def _gather(dealt: DataFrame) -> DataFrame:
                 e = united([d for _, d in kinds.pop(_LINE)])
                 whole, line, check = e.cols
                 yield row(_LINE, len(e), s1=pa.array(check.view(np.int64)), hash=pa.array(whole.view(np.int64)), key=pa.array(e.who[e.of].view(np.int64)), line=pa.array(line.astype(np.int32)))
-            if _BAND in kinds and (out := bands(united([d for _, d in kinds.pop(_BAND)]))) is not None:
+            if _BAND in kinds and (out := bands([d for _, d in kinds.pop(_BAND)])) is not None:
                 yield from (out.slice(i, 20_000) for i in range(0, out.num_rows, 20_000))
 
     return dealt.mapInArrow(tidy(run), _FOUND)
@@ -211,6 +221,20 @@ def _small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def _set(h: np.ndarray) -> np.ndarray:
+    """Without repeats, sorted."""
+    h = np.sort(h)
+    return h[np.r_[True, h[1:] != h[:-1]]]
+
+
+def _like(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether two sets of shingles, each without repeats, are alike."""
+    both = np.concatenate([p, q])
+    both.sort()
+    o = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * o >= percent * (len(p) + len(q) - o)
+
+
 def _forest(place: np.ndarray, hashes: np.ndarray, comps: np.ndarray, texts: list[str], percent: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (component, component), a spanning forest of all pairs of like lines of different components in one place; place is sorted.
 
@@ -229,7 +253,7 @@ def _forest(place: np.ndarray, hashes: np.ndarray, comps: np.ndarray, texts: lis
     n, bits = np.concatenate(n), np.concatenate(bits)
     label, group = np.unique(comps, return_inverse=True)
     parent = np.arange(len(label))
-    sets: dict[int, frozenset] = {}
+    sets: dict[int, np.ndarray] = {}
     a, b = [], []
 
     def root(x: int) -> int:
@@ -237,11 +261,15 @@ def _forest(place: np.ndarray, hashes: np.ndarray, comps: np.ndarray, texts: lis
             x = parent[x]
         return x
 
-    def of(x: int) -> frozenset:
+    def of(x: int) -> np.ndarray:
         if x not in sets:
-            sets[x] = frozenset(parts[x].tolist())
+            sets[x] = _set(parts[x])
         return sets[x]
 
+    def close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        apart = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
+        return (100 + percent) * apart <= (100 - percent) * (n[x] + n[y])
+
     rows, d = np.arange(len(place)), 1
     while True:  # pairs d rows apart
         rows = rows[: np.searchsorted(rows, len(place) - d)]
@@ -253,15 +281,12 @@ def _forest(place: np.ndarray, hashes: np.ndarray, comps: np.ndarray, texts: lis
             flat = flat[flat]
         i = rows[flat[group[rows]] != flat[group[rows + d]]]
         x, y = line[i], line[i + d]
-        apart = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
-        near = (100 + percent) * apart <= (100 - percent) * (n[x] + n[y])
+        near = np.concatenate([np.zeros(0, bool), *[close(x[j : j + BIT_PAIRS], y[j : j + BIT_PAIRS]) for j in range(0, len(x), BIT_PAIRS)]])
         for i, x, y in zip(i[near].tolist(), x[near].tolist(), y[near].tolist(), strict=True):
             r, s = root(group[i]), root(group[i + d])
             if r == s:
                 continue
-            p, q = of(x), of(y)
-            o = len(p & q)
-            if 100 * o >= percent * (len(p) + len(q) - o):
+            if _like(of(x), of(y), percent):
                 parent[max(r, s)] = min(r, s)
                 a.append(r)
                 b.append(s)
@@ -273,20 +298,17 @@ def _wide(hashes: np.ndarray, comps: np.ndarray, texts: list[str], percent: int,
     """The same for one place of many lines. Where many pairs may be alike, all overlaps come from one product."""
     _, at = np.unique(hashes, return_index=True)
     h, first = _shingles([texts[i] for i in at], size)
-    line = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(h)]))
-    order = np.lexsort((h, line))
-    h, line = h[order], line[order]
-    new = np.r_[True, (h[1:] != h[:-1]) | (line[1:] != line[:-1])]
-    h, line = h[new], line[new]
-    count = np.bincount(line, minlength=len(at))
-    sets, comps, m = np.split(h, np.cumsum(count)[:-1]), comps[at], len(at)
+    sets, comps, m = [_set(x) for x in np.split(h, first[1:])], comps[at], len(at)
+    count = np.array([len(x) for x in sets])
+    line, h = np.repeat(np.arange(m), count), np.concatenate(sets)
     cells = np.zeros((m, BITS), bool)
     cells[line, (h % np.uint64(BITS)).astype(np.int64)] = True
     bits = np.packbits(cells, axis=1).view("<u8")
     near = []
-    for i in range(0, m, 64):
-        apart = np.bitwise_count(bits[i : i + 64, None] ^ bits[None]).sum(2, dtype=np.int64)
-        x, y = np.nonzero((100 + percent) * apart <= (100 - percent) * (count[i : i + 64, None] + count[None]))
+    for i in range(0, m, 8):
+        apart = np.bitwise_count(bits[i : i + 8, None] ^ bits[None, i:]).sum(2, dtype=np.int64)
+        x, y = np.nonzero((100 + percent) * apart <= (100 - percent) * (count[i : i + 8, None] + count[None, i:]))
+        y += i
         near.append(np.stack([x + i, y])[:, y > x + i])
     near = np.concatenate(near, axis=1)
     near = near[:, comps[near[0]] != comps[near[1]]]
@@ -294,7 +316,6 @@ def _wide(hashes: np.ndarray, comps: np.ndarray, texts: list[str], percent: int,
         got = np.array(forest(comps, count, sets, percent), np.int64).reshape(-1, 2)
         return got[:, 0], got[:, 1]
     top: dict[int, int] = {}
-    held: dict[int, frozenset] = {}
 
     def root(c: int) -> int:
         while (up := top.get(c, c)) != c:
@@ -306,11 +327,7 @@ def _wide(hashes: np.ndarray, comps: np.ndarray, texts: list[str], percent: int,
         r, t = root(int(comps[x])), root(int(comps[y]))
         if r == t:
             continue
-        for j in (x, y):
-            if j not in held:
-                held[j] = frozenset(sets[j].tolist())
-        o = len(held[x] & held[y])
-        if 100 * o >= percent * (len(held[x]) + len(held[y]) - o):
+        if _like(sets[x], sets[y], percent):
             top[max(r, t)] = min(r, t)
             links.append((r, t))
     got = np.array(links, np.int64).reshape(-1, 2)
@@ -362,7 +379,7 @@ def removed_lines(docs: DataFrame, key: Column, id_col: str, text_col: str, perc
     while True:  # unlike lines whose hashes meet, seldom any, get their second hashes in another run
         found = cut(_gather(deal.dealt(_pack(rows.select("key", "text"), deal, min_chars, shingle, hash_bits, met), _place(deal))))
         every = found.where(F.col("kind") == _LINE).select("hash", "key", "line")
-        reps = cut(found.where(F.col("kind") == _LINE).groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("key", "line")).alias("at"), F.min("s1").alias("lo"), F.max("s1").alias("hi")))
+        reps = cut(found.where(F.col("kind") == _LINE).groupBy("hash").agg(F.count("*").alias("n"), F.min("key").alias("key"), F.min_by("line", "key").alias("line"), F.min("s1").alias("lo"), F.max("s1").alias("hi")))
         more_met = [r.hash for r in reps.where("lo <> hi").select("hash").collect()]
         if not more_met:
             break
@@ -375,7 +392,7 @@ def removed_lines(docs: DataFrame, key: Column, id_col: str, text_col: str, perc
     band = found.where(F.col("kind") == _BAND).groupBy("s1", "s2", "i").agg(F.first(F.struct("blocks", F.col("hash").alias("top"), "members")).alias("b"))
     band = cut(band.select("s1", "s2", "i", "b.*", F.xxhash64("s1", "s2", "i").alias("place")))
     member = band.select("place", F.explode("members").alias("hash"))
-    need = cut(member.select("hash").distinct().join(reps, "hash").select("hash", "at.key", "at.line"))
+    need = cut(member.select("hash").distinct().join(reps, "hash").select("hash", "key", "line"))
     text = rows.select("key", "text").join(_small(need.groupBy("key").agg(F.collect_list(F.struct("line", "hash")).alias("lines")), 100), "key")
     # The text is split once: a plain column of its lines would be put in place within the inner function.
     taken = lambda all_lines: F.transform("lines", lambda x: F.struct(x["hash"], F.element_at(all_lines, x["line"] + 1).alias("text")))
@@ -402,22 +419,24 @@ def removed_lines(docs: DataFrame, key: Column, id_col: str, text_col: str, perc
 
     roots = cut(roots)
     held.append(roots)
-    first = rows.where("text is not null").groupBy("key").agg(F.min("id").alias("first"), (F.count_distinct("id") + F.max(F.col("id").isNull().cast("int"))).alias("ids"))
+    first = rows.where("text is not null").groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max(F.col("id").isNull()).alias("none"))
+    first = cut(first.select("key", "first", F.coalesce((F.col("first") < F.col("last")) | F.col("first").isNotNull() & F.col("none"), F.lit(False)).alias("several")))
     alike = reps.where("n > 1").select("hash").unionByName(roots.select(F.col("node").alias("hash"))).distinct()
     alike = cut(alike.join(roots.select(F.col("node").alias("hash"), "root"), "hash", "left").select("hash", F.coalesce("root", "hash").alias("comp")))
     lines = every.join(alike, "hash").select("key", "line", "comp", F.lit(0).cast("long").alias("comp2"))
     if short_lines:
         short = rows.where("text is not null").select("key", F.posexplode(F.split("text", "\n")).alias("line", "x")).where(_short(F.col("x"), min_chars))
         folded = F.translate("x", _UPPER, _UPPER.lower())
-        short = short.select(F.xxhash64(folded, F.lit("short")).alias("comp"), F.xxhash64(F.lit("other"), folded).alias("comp2"), "key", "line").distinct()
-        often = short.groupBy("comp", "comp2").agg(F.min(F.struct("key", "line")).alias("a"), F.max(F.struct("key", "line")).alias("b")).where("a <> b").select("comp", "comp2")
-        lines = lines.unionByName(short.join(cut(often), ["comp", "comp2"]).select("key", "line", "comp", "comp2"))
+        short = short.select(F.xxhash64(folded, F.lit("short")).alias("comp"), F.xxhash64(F.lit("other"), folded).alias("comp2"), "key", "line")
+        ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("key", "line") for f in (F.min, F.max)]
+        often = short.groupBy("comp", "comp2").agg(*ends).where("min_key <> max_key or min_line <> max_line").select("comp", "comp2")
+        lines = lines.unionByName(short.join(cut(often), ["comp", "comp2"]).select("key", "line", "comp", "comp2").distinct())
     lines = lines.join(first.select("key", "first"), "key")
     lines = cut(lines)
     held += [alike, lines]
     keep = cut(lines.groupBy("comp", "comp2").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "key", "line")).alias("keep")))  # a table: a hot component's lines are then split in the join
     gone = lines.join(keep, ["comp", "comp2"]).where("key <> keep.key or line <> keep.line").groupBy("key").agg(F.collect_set("line").alias("gone"))
-    done = cut(gone), cut(first.where("ids > 1").select("key", "first"))
+    done = cut(gone), first.where("several").select("key", "first")
     for table in held:
         drop(table)
     return rows, *done

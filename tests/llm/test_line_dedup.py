@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as cp
@@ -103,3 +104,36 @@ def test_two_levels_of_dealing_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(line_dedup.Deal, "of", lambda spark, blocks: deal(spark, 300))
     assert deal(spark, 300).levels == 2
     assert lines_left(df) == want
+
+
+def test_few_unlike_pairs_of_long_lines_are_compared_as_sets(monkeypatch):
+    """Of lines that share half their shingles the bitmaps tell nearly all pairs apart; links are those of brute force."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    frame = [word() for _ in range(60)]
+    lines = []
+    for i in range(40):
+        own = frame[:]
+        for j in rng.sample(range(60), 12):
+            own[j] = word()
+        lines.append(" ".join(own))
+        if i % 10 == 0:
+            own[0] = word()
+            lines.append(" ".join(own))
+    tried, like = [], line_dedup._like
+    monkeypatch.setattr(line_dedup, "_like", lambda p, q, percent: tried.append(0) or like(p, q, percent))
+    ids = np.arange(len(lines))
+    sets = [{x[i : i + 6] for i in range(len(x) - 5)} for x in lines]
+    near = {(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert len(near) == 4
+    for links in (line_dedup._forest(np.zeros(len(lines), np.int64), ids, ids, lines, 80, 6), line_dedup._wide(ids, ids, lines, 80, 6)):
+        assert {(min(a, b), max(a, b)) for a, b in zip(*(x.tolist() for x in links), strict=True)} == near
+    assert 8 <= len(tried) <= 24
+
+
+def test_a_text_of_null_ids_alone_is_no_copy(spark):
+    """And one of a null and another id is: the null one comes after."""
+    line = "a line that is long enough to be compared with others"
+    rows = [(None, line), (None, line), (5, line + " elsewhere, and much more of it"), (None, line + " elsewhere, and much more of it")]
+    got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), shingle=6).select("doc_id", "n_lines", "n_removed").collect()
+    assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(0, 0), (0, 0), (0, 1), (5, 0)]
