@@ -36,8 +36,8 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return whole
 
 
-def slices(batch: pa.RecordBatch, sizes: Iterable[int | None] | None = None) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows of at most SLICE_ROWS rows and about SLICE_BYTES (a longer row is alone)."""
+def slices(batch: pa.RecordBatch, sizes: Iterable[int | None] | None = None, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of rows of at most SLICE_ROWS rows and about so many bytes (a longer row is alone)."""
     if sizes is None:
         for i in range(0, batch.num_rows, SLICE_ROWS):
             yield batch.slice(i, SLICE_ROWS)
@@ -45,7 +45,7 @@ def slices(batch: pa.RecordBatch, sizes: Iterable[int | None] | None = None) ->
     start = total = 0
     for i, n in enumerate(sizes):
         n = n or 0
-        if i > start and (total + n > SLICE_BYTES or i - start >= SLICE_ROWS):
+        if i > start and (total + n > most or i - start >= SLICE_ROWS):
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += n

@@ -179,6 +179,7 @@ class Deal:
         if (group[1:] < group[:-1]).any():
             order = np.argsort(group.astype(np.uint16) if self.base <= 65_536 else group, kind="stable")  # so narrow, by radix
             group, entries = group[order], Packed(entries.who, entries.of[order], [c[order] for c in entries.cols], entries.about, entries.names)
+            del order, block
         at = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         for a, b in zip(at.tolist(), [*at[1:].tolist(), len(group)], strict=True):
             yield self.key(int(group[a]) * spread + slot), kind, src, entries.take(slice(a, b)).data()

@@ -14,6 +14,7 @@ more than one pass over the documents and the hits of the passes are united by d
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -121,8 +122,13 @@ def _matches(bench: Benchmark, pos: np.ndarray, win: np.ndarray) -> list[tuple[i
     return out
 
 
-def _scan(docs: DataFrame, items: list[tuple[str, bytes]]) -> DataFrame:
-    """docs(row, text binary) -> row, n_words, matches(start, item, item_start, length)."""
+#: What becomes of a batch of found matches, and the columns beside the id.
+Then = tuple[Callable[[pa.RecordBatch], pa.RecordBatch], str]
+_FOUND = "n_words long, matches array<struct<start long, item string, item_start long, length long>>"
+
+
+def _scan(docs: DataFrame, items: list[tuple[str, bytes]], then: Then | None = None) -> DataFrame:
+    """docs(row, text binary) -> row, n_words, matches(start, item, item_start, length), or what then makes of these in the same worker."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast((Benchmark.build(items), [i for i, _ in items]))
     t = docs.schema["id"].dataType.simpleString()
@@ -140,9 +146,10 @@ def _scan(docs: DataFrame, items: list[tuple[str, bytes]]) -> DataFrame:
                 own = doc == d
                 found[d] = [{"start": s, "item": names[i], "item_start": q, "length": n} for s, i, q, n in _matches(bench, pos[own] - base[d], win[own])]
         kind = pa.list_(pa.struct([("start", pa.int64()), ("item", pa.string()), ("item_start", pa.int64()), ("length", pa.int64())]))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(found, kind)], ["id", "n_words", "matches"])
+        out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(found, kind)], ["id", "n_words", "matches"])
+        return out if then is None else then[0](out)
 
-    return map_slices(docs, run, f"id {t}, n_words long, matches array<struct<start long, item string, item_start long, length long>>", by=1)
+    return map_slices(docs, run, f"id {t}, {_FOUND if then is None else then[1]}", by=1)
 
 
 def _covered(spans: list[tuple[int, int]]) -> int:
@@ -161,12 +168,17 @@ def find_matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     with a null id are left out; repeated rows of docs give repeated results (with more
     than one block of items their matches are united). Extra columns are not read.
     """
+    return _found(docs, bench, id_col, text_col, item_col, item_text)
+
+
+def _found(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, then: Then | None = None) -> DataFrame:
+    """find_matches, or what then makes of it: for one block of items in the worker that searches, as a second one a task takes its memory."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     items = bench.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).cast("binary").alias("text")).where("item is not null and octet_length(text) > 0")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // BLOCK_BYTES) or 1
     if blocks == 1:
-        return _scan(rows, [(r.item, bytes(r.text)) for r in items.orderBy("item", "text").collect()]).withColumnRenamed("id", id_col)
+        return _scan(rows, [(r.item, bytes(r.text)) for r in items.orderBy("item", "text").collect()], then).withColumnRenamed("id", id_col)
     rows = rows.withColumn("id", F.struct(F.col("id"), F.xxhash64("text").alias("h"), F.octet_length("text").alias("n")))
     cut = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
     parts = [_scan(rows, [(r.item, bytes(r.text)) for r in items.where(cut == b).orderBy("item", "text").collect()]) for b in range(blocks)]
@@ -175,7 +187,10 @@ def find_matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
         whole = whole.unionByName(p)
     n = whole.groupBy("id").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("matches"))).alias("matches"), F.count("*").alias("n"))
     copies = F.explode(F.array_repeat(F.lit(0), (F.col("n") / blocks).cast("int")))
-    return n.select(F.col("id.id").alias(id_col), "n_words", "matches", copies.alias("copy")).drop("copy")
+    out = n.select(F.col("id.id").alias("id"), "n_words", "matches", copies.alias("copy")).drop("copy")
+    if then is not None:
+        out = map_slices(out, then[0], f"id {out.schema['id'].dataType.simpleString()}, {then[1]}")
+    return out.withColumnRenamed("id", id_col)
 
 
 def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", share: int = 20) -> DataFrame:
@@ -184,8 +199,6 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     A word inside any occurrence of a window is hit; a document is contaminated when it
     has hits and ``share`` times their number reaches its words.
     """
-    found = find_matches(docs, bench, id_col, text_col, item_col, item_text)
-    t = docs.schema[id_col].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         hit, n, sha = [], [], []
@@ -196,8 +209,8 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
             sha.append(hashlib.sha256(",".join(names).encode()).hexdigest())
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hit, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string())], ["id", "n_words", "n_hit", "n_items", "items_sha256"])
 
-    out = map_slices(found, run, f"id {t}, n_words long, n_hit long, n_items long, items_sha256 string")
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).withColumnRenamed("id", id_col)
+    out = _found(docs, bench, id_col, text_col, item_col, item_text, (run, "n_words long, n_hit long, n_items long, items_sha256 string"))
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 20) -> DataFrame:

@@ -43,6 +43,8 @@ ROW_BLOCK = 768
 #: Text bytes and texts packed together.
 PART_BYTES = 4_000_000
 PART_TEXTS = 60_000
+#: Text bytes hashed at once: some 60 bytes of a worker's memory for each.
+HASH_BYTES = 250_000
 #: Texts that a task remembers.
 SEEN = 500_000
 #: Columns multiplied at once in a row block.
@@ -71,8 +73,9 @@ def _sent(deal: Deal, part: int, key: np.ndarray, comp: np.ndarray, size: np.nda
     who = np.uint64(part << int(LOCAL)) + np.arange(len(key), dtype=np.uint64)
     texts = Packed(who, np.arange(len(key)), [key.view(np.uint64), comp.view(np.uint64), size])
     yield from deal.rows(_HOME, part, deal.homes(who), texts)
-    columns = Packed(who, text, [token], (comp.view(np.uint64),))
-    yield from deal.rows(_ENTRY, part, deal.place(token), columns)
+    columns = deal.rows(_ENTRY, part, deal.place(token), Packed(who, text, [token], (comp.view(np.uint64),)))
+    del text, token  # rows sorts a copy
+    yield from columns
 
 
 def _first(docs: DataFrame, deal: Deal, n: int) -> DataFrame:
@@ -88,10 +91,11 @@ def _first(docs: DataFrame, deal: Deal, n: int) -> DataFrame:
             first = np.cumsum([0, *[len(k) for k, *_ in held]])
             key, size, token = (np.concatenate([h[i] for h in held]) for i in (0, 1, 3))
             text = np.concatenate([h[2] + a for h, a in zip(held, first, strict=False)])
+            held.clear()
             return _sent(deal, part, key, key, size, text, token)
 
         for batch in batches:
-            for some in slices(batch, _lengths(batch.column(1))):
+            for some in slices(batch, _lengths(batch.column(1)), HASH_BYTES):
                 fresh = {}
                 for k, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
                     if t and k not in seen:
@@ -107,7 +111,6 @@ def _first(docs: DataFrame, deal: Deal, n: int) -> DataFrame:
                 if bulk > PART_BYTES or own > PART_TEXTS:
                     yield from out()
                     part, bulk, own = part + 1, 0, 0
-                    held.clear()
                 if len(seen) > SEEN:
                     seen.clear()
         if held:

@@ -68,12 +68,16 @@ def even_keys(spark: SparkSession, n: int) -> list[int]:
 
 #: Rows of an Arrow batch where the session leaves Spark's default: documents can be long.
 BATCH_ROWS = 1000
+#: Bytes of one, likewise: packed rows are some 100 kB each, and a batch lies in the JVM and in the worker at once.
+BATCH_BYTES = 4_000_000
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, unless PYTHONPATH (which they inherit) already leads to it; smaller Arrow batches."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b") == "67108864b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     root = Path(__file__).resolve().parents[2]
     name = __name__.partition(".")[0]
     context = spark.sparkContext
