@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,9 +123,11 @@ def prepared(catalog: DataFrame) -> DataFrame:
 
 
 def filtered(catalog: DataFrame, q: CatalogQuery, index: SearchIndex | None = None) -> DataFrame:
-    """The rows that the parameters keep. With an index a search reads the index, and tests only the rows that it finds."""
-    rows = prepared(catalog).where(all_of(q.predicates()))
-    return index.search(rows, q.search) if index is not None and q.search else rows
+    """The rows that the parameters keep. With an index a search reads the index; rows that may share their id with others are tested, too."""
+    if index is None or not q.search:
+        return prepared(catalog).where(all_of(q.predicates()))
+    tested = replace(q, search=None) if index.about["unique"] else q
+    return index.search(prepared(catalog).where(all_of(tested.predicates())), q.search)
 
 
 def ordering(q: CatalogQuery, tie: tuple[str, ...] = ("car_id",)) -> list[Column]:

@@ -15,12 +15,13 @@ DERIVED = ("year_int", "torque_prefix", "torque_lbft", "power_to_weight", "sourc
 
 
 def fold(c: Column) -> Column:
-    return F.translate(F.lower(c), *_FOLD)
+    low = F.lower(c)
+    return F.when(F.octet_length(low) == F.char_length(low), low).otherwise(F.translate(low, *_FOLD))
 
 
 def tokens(c: Column) -> Column:
     """Letters and digits in runs, folded."""
-    return F.filter(F.split(fold(c), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.array_remove(F.split(fold(c), r"[^\p{L}\p{N}]+"), "")
 
 
 def torque_prefix(c: Column) -> Column:

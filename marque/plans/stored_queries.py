@@ -47,9 +47,10 @@ def _holds(words: tuple[str, ...]) -> str:
 
 @query(f"{_C}, t AS (SELECT *, regexp_split_to_array(lower(concat_ws(' ', car_id, manufacturer, model)), '[^a-z0-9]+') AS w FROM c) " + " UNION ALL ".join(f"SELECT '{text}' AS search, {_FOUND} FROM t WHERE {_holds(words)} GROUP BY manufacturer" for text, words in _SEARCHES.items()))
 def a17_b05_c06_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cars = cut(catalog(spark, sf_dir).select("l_orderkey", "l_partkey", "car_id", "manufacturer", "model", "year"))  # what searches test and count
+    cars = catalog(spark, sf_dir).select("l_orderkey", "l_partkey", "car_id", "manufacturer", "model", "year")  # what searches test and count
+    cars = cut(cars.withColumn("row", F.monotonically_increasing_id()))  # a number a row, which stays as it is stored
     with scratch(spark) as path:
-        index = SearchIndex.build(cars, path, folders=16)
+        index = SearchIndex.build(cars, path, "row", folders=16, unique=True)
         found = F.count("*").alias("n"), F.min("l_orderkey").alias("low"), F.max("l_orderkey").alias("high"), F.sum("l_partkey").alias("parts")
         # A search at a time, so that the shuffles of one are gone before the next.
         return _union([cut(cq.filtered(cars, cq.CatalogQuery(search=t), index).groupBy("manufacturer").agg(*found).select(F.lit(t).alias("search"), "manufacturer", "n", "low", "high", "parts")) for t in _SEARCHES])
