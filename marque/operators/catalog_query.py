@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame
@@ -107,7 +107,7 @@ def valid() -> Column:
     return all_of(F.col(c) != "" for c in ("manufacturer", "model", "year"))
 
 
-def matches(text: str) -> Column:
+def matches(text: str | Column) -> Column:
     """All words of the text occur in the row, the last as a prefix. Text without words matches nothing."""
     def test(words: Column) -> Column:
         last = F.element_at(words, -1)
@@ -130,6 +130,12 @@ def filtered(catalog: DataFrame, q: CatalogQuery, index: SearchIndex | None = No
     return index.search(prepared(catalog).where(all_of(tested.predicates())), q.search)
 
 
+def searched(catalog: DataFrame, texts: Iterable[str], index: SearchIndex) -> DataFrame:
+    """What ``filtered`` finds by the index for each of several searches without other parameters, with its text (``search``)."""
+    found = index.search_each(prepared(catalog).where(valid()), texts)
+    return found if index.about["unique"] else found.where(matches(F.col("search")))
+
+
 def ordering(q: CatalogQuery, tie: tuple[str, ...] = ("car_id",)) -> list[Column]:
     """The order of rows: nulls last either way; a unique key decides ties; unknown columns fall back to the default."""
     keys = [name(c).asc_nulls_last() for c in tie]

@@ -51,6 +51,17 @@ def test_rows_found_by_their_own_number_are_not_tested(spark, tmp_path):
     assert "array_contains" in _plan(cq.filtered(cars, q, by_id))  # rows may share an id
 
 
+@pytest.mark.parametrize("unique", [True, False])
+def test_many_searches_equal_one_at_a_time(spark, tmp_path, unique):
+    twice = spark.createDataFrame([("id-0", "Lucid", "car", "2001", 1.0), ("id-0", "Ford", "zz", "", 1.0), ("id-0", "Ford", "zz", "2001", 1.0)], "car_id string, manufacturer string, model string, year string, power_hp double")
+    cars = with_derived(_cars(spark).unionByName(twice).withColumn("row", F.monotonically_increasing_id())).cache()
+    index = SearchIndex.build(cars, f"file://{tmp_path}", "row" if unique else "car_id", folders=4, piece=50, unique=unique)
+    texts = [*TEXTS, "id-0 car", "id-0 zz", "lucid zz", "porsche carrera porsche", TEXTS[0]]
+    got = sorted((r["search"], r["row"]) for r in cq.searched(cars, texts, index).select("search", "row").collect())
+    assert got == sorted((t, r["row"]) for t in set(texts) for r in cq.filtered(cars, cq.CatalogQuery(search=t)).select("row").collect() if t.strip())
+    assert cq.searched(cars, [], index).count() == 0
+
+
 def test_a_build_reads_the_catalog_three_times(spark, tmp_path):
     """To count it, for the bounds, and to pack it; what it shuffles are pieces, not postings."""
     read = spark.sparkContext.accumulator(0)
